@@ -1,0 +1,20 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Upper bound on rows of a lookup table shipped to every executor.
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only after checking it has at most ``max_rows`` rows.
+
+    The check stops reading after ``max_rows + 1`` rows. Beyond the bound the
+    frame is returned unchanged and the join falls back to a shuffle join
+    (which AQE may still turn into a broadcast from measured sizes).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
