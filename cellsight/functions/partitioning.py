@@ -1,0 +1,22 @@
+"""Parallelism of scans that yield few splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan with fewer splits than cores over ``min_partitions`` tasks.
+
+    Unsplittable inputs (one Parquet row group, gzipped CSV) are read by one
+    task per file; without this the whole map side of the next stage runs
+    in those few tasks. Rows are hashed on their position in the scan,
+    which is deterministic on a retry and spreads even identical rows. With
+    enough splits (any large input) the frame is returned unchanged.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return (df.withColumn("_spread", F.monotonically_increasing_id())
+            .repartition(target, "_spread").drop("_spread"))

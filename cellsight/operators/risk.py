@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cellsight.functions.ranking import exact_percentiles, rank_within
 from cellsight.operators._util import require_columns
 from cellsight.schemas import FEATURE_COLUMNS, RISK_LABELS
+from cellsight.session import materialize
 
 ANOMALY_SCORE = 0.75
 
@@ -29,7 +30,15 @@ def risk_thresholds(features: DataFrame, col: str = "avg_usage") -> tuple[float,
 
 def label_risk(features: DataFrame, col: str = "avg_usage",
                thresholds: tuple[float, float] | None = None) -> DataFrame:
-    """HIGH at or above p90, MEDIUM at or above p50, else LOW (M2)."""
+    """HIGH at or above p90, MEDIUM at or above p50, else LOW (M2).
+
+    Without given thresholds the features (one row per region) are first
+    written to the checkpoint folder: a double aggregate evaluated twice can
+    differ in its last bit, and the median region must compare equal to the
+    median computed from it.
+    """
+    if thresholds is None:
+        features = materialize(features, "risk-features")
     p50, p90 = thresholds or risk_thresholds(features, col)
     x = F.col(col)
     label = F.when(x >= F.lit(p90), "HIGH").when(x >= F.lit(p50), "MEDIUM").otherwise("LOW")

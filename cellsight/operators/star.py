@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsight.functions.columns import decimal_text, surrogate_key, weekday_name
+from cellsight.session import materialize
 
 # Rows of one group of equal facts expanded by a single task.
 FACT_CHUNK_ROWS = 1_000_000
 
-CONTENT = ["time_id", "region_id", "call_count", "sms_count", "_inet"]
+# Columns that define a fact row's content, before keys are computed.
+CONTENT = ["date", "hour", "region_name", "city", "call_count", "sms_count", "internet_mb"]
 
 
 class Star(NamedTuple):
@@ -30,7 +32,7 @@ class Star(NamedTuple):
 
 
 def prepare_usage(cleaned: DataFrame) -> DataFrame:
-    """Warehouse form of cleaned rows (F3, P11, P7, P12/D-4), with keys.
+    """Warehouse form of cleaned rows (F3, P11, P7, P12/D-4).
 
     Counts are truncated toward zero per row before any sum (P11, D-8);
     hour is recomputed from the timestamp; a missing or null region falls
@@ -45,7 +47,7 @@ def prepare_usage(cleaned: DataFrame) -> DataFrame:
     def count(c):
         return F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).cast("int")
 
-    out = df.select(
+    return df.select(
         F.col("event_date").cast("date").alias("date"),
         F.hour("event_timestamp").alias("hour"),
         region.alias("region_name"),
@@ -53,69 +55,92 @@ def prepare_usage(cleaned: DataFrame) -> DataFrame:
         count("call_count").alias("call_count"),
         count("sms_count").alias("sms_count"),
         F.coalesce(F.nanvl(F.col("internet_usage"), F.lit(0.0)), F.lit(0.0)).alias("internet_mb"))
-    return (out.withColumn("time_id", surrogate_key("date", "hour"))
-            .withColumn("region_id", surrogate_key("region_name", "city")))
 
 
-def dim_time(usage: DataFrame) -> DataFrame:
+def usage_counts(usage: DataFrame) -> DataFrame:
+    """The star's base: one row per distinct fact content with its row count ``n``.
+
+    Combined map-side, so a group of a billion equal rows leaves each map
+    task as one row. All three star tables derive from this table.
+    """
+    return usage.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
+
+
+def time_key():
+    return surrogate_key("date", "hour")
+
+
+def region_key():
+    return surrogate_key("region_name", "city")
+
+
+def dim_time(base: DataFrame) -> DataFrame:
     """One row per (date, hour) present, with calendar attributes."""
-    return (usage.select("time_id", "date", "hour").distinct()
-            .select("time_id", "date", "hour",
+    return (base.select("date", "hour").distinct()
+            .select(time_key().alias("time_id"), "date", "hour",
                     F.dayofmonth("date").alias("day"),
                     F.month("date").alias("month"),
                     weekday_name("date").alias("weekday")))
 
 
-def dim_region(usage: DataFrame) -> DataFrame:
+def dim_region(base: DataFrame) -> DataFrame:
     """One row per (region_name, city) present."""
-    return usage.select("region_id", "region_name", "city").distinct()
+    return base.select("region_name", "city").distinct() \
+        .select(region_key().alias("region_id"), "region_name", "city")
 
 
 def fact_measures(usage: DataFrame) -> DataFrame:
-    """Fact rows without ``usage_id``: what reports and features read."""
-    return usage.select("time_id", "region_id", "call_count", "sms_count", "internet_mb")
+    """Fact rows with keys but without ``usage_id``, one per usage row."""
+    return usage.select(time_key().alias("time_id"), region_key().alias("region_id"),
+                        "call_count", "sms_count", "internet_mb")
 
 
-def fact_usage(usage: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
-    """Fact rows with a unique ``usage_id`` (T3, D-1).
+def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
+    """Fact rows with a unique ``usage_id`` (T3, D-1), from :func:`usage_counts`.
 
     usage_id = key(time_id|region_id|call|sms|internet to 4 places|n), where n
     numbers rows equal on that text 1, 2, ... in order of the exact internet
     value. Rows equal on every fact column are interchangeable, so the table
-    is fully determined by the data.
+    is fully determined by the data. Each count expands into its rows; a
+    count above ``chunk_rows`` is cut into chunks expanded by separate tasks.
     """
-    keyed = fact_measures(usage).withColumn("_inet", decimal_text("internet_mb", 4))
-    counts = keyed.groupBy(*CONTENT, "internet_mb").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*CONTENT).orderBy("internet_mb") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-
-    cols = [*CONTENT, "internet_mb"]
-    small = counts.where(F.col("_n") <= chunk_rows).select(
-        *cols, F.explode(F.sequence(F.col("_off") + 1, F.col("_off") + F.col("_n"))).alias("_ord"))
-    chunks = (counts.where(F.col("_n") > chunk_rows)
-              .select(*cols, "_off", "_n",
-                      F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk_rows))).alias("_k"))
+    inet = decimal_text("internet_mb", 4)
+    group = ["date", "hour", "region_name", "city", "call_count", "sms_count", "_inet"]
+    before = Window.partitionBy(*group).orderBy("internet_mb").rowsBetween(Window.unboundedPreceding, -1)
+    counts = base.withColumn("_inet", inet).withColumn("_off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+    cols = [*group, "internet_mb"]
+    small = counts.where(F.col("n") <= chunk_rows).select(
+        *cols, F.explode(F.sequence(F.col("_off") + 1, F.col("_off") + F.col("n"))).alias("_ord"))
+    chunks = (counts.where(F.col("n") > chunk_rows)
+              .select(*cols, "_off", "n",
+                      F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk_rows))).alias("_k"))
               .repartition(*cols, "_k"))
     first = F.col("_off") + F.col("_k") * chunk_rows + 1
-    last = F.col("_off") + F.least(F.col("_n"), (F.col("_k") + 1) * chunk_rows)
+    last = F.col("_off") + F.least(F.col("n"), (F.col("_k") + 1) * chunk_rows)
     large = chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_ord"))
 
-    numbered = small.unionByName(large)
-    return numbered.select(
+    keyed = small.unionByName(large).select(time_key().alias("time_id"), region_key().alias("region_id"),
+                                            "call_count", "sms_count", "internet_mb", "_inet", "_ord")
+    return keyed.select(
         surrogate_key("time_id", "region_id", "call_count", "sms_count", "_inet", "_ord").alias("usage_id"),
         "time_id", "region_id", "call_count", "sms_count", "internet_mb")
 
 
-def build_star(cleaned: DataFrame, with_usage_id: bool = True) -> Star:
+def build_star(cleaned: DataFrame, with_usage_id: bool = True, reliable_base: bool = False) -> Star:
     """Dimensions and fact from cleaned (optionally enriched) rows.
 
-    ``with_usage_id=False`` skips the numbering for callers that only read
-    measures (reports, features) from an unsaved star.
+    ``reliable_base`` writes the base count table to the session's
+    checkpoint folder (one pass over ``cleaned``, then three cheap reads);
+    otherwise each table recomputes it. ``with_usage_id=False`` gives fact
+    rows without the numbering, for callers that only read measures.
     """
     usage = prepare_usage(cleaned)
-    fact = fact_usage(usage) if with_usage_id else fact_measures(usage)
-    return Star(dim_time(usage), dim_region(usage), fact)
+    base = usage_counts(usage)
+    if reliable_base:
+        base = materialize(base, "star-base")
+    fact = fact_usage(base) if with_usage_id else fact_measures(usage)
+    return Star(dim_time(base), dim_region(base), fact)
 
 
 # ---- constraint checks (Q7-Q9) ------------------------------------------------

@@ -3,8 +3,10 @@
 Each entry takes (spark, sf_dir) and returns a DataFrame built from the
 tables in ``sf_dir`` through the adapters in :mod:`cellsight.sources.adapters`.
 Double columns are rounded to 6 places at the very end so that results can
-be compared value by value with another engine; the library functions
-themselves return full precision.
+be compared value by value with another engine; before rounding, values
+are moved up by a relative 1e-11 so that an exact tie (a mean ending in 5
+at the 7th place) rounds the same way whichever side of it a summation
+order lands. The library functions themselves return full precision.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ from cellsight.sources.files import (list_landing, read_cleaned, read_flat_csv,
 REPORT_REGION = "nation_3"
 
 
+TIE_NUDGE = 1e-11
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column to ``places`` decimals (comparison form)."""
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, DoubleType)
+    def fix(c):
+        return F.round(c + c * F.lit(TIE_NUDGE), places)
+    return df.select(*[fix(F.col(f.name)).alias(f.name) if isinstance(f.dataType, DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -67,7 +74,7 @@ def events_star(spark, d, with_ids=True, mapped_nations=None):
     key = (spark.sparkContext.applicationId, d, mapped_nations)
     if key not in _STORED_STARS:
         path = scratch_path(spark, "star")
-        write_star(star.build_star(events_enriched(spark, d, mapped_nations)), path)
+        write_star(star.build_star(events_enriched(spark, d, mapped_nations), reliable_base=True), path)
         _STORED_STARS[key] = path
     return read_star(spark, _STORED_STARS[key])
 
@@ -297,7 +304,7 @@ def q_region_hour_calls(spark, d):
 
 def q_region_hour_calls_lineitem(spark, d):
     path = scratch_path(spark, "star-lineitem")
-    write_star(star.build_star(lineitem_cleaned(spark, d)), path)
+    write_star(star.build_star(lineitem_cleaned(spark, d), reliable_base=True), path)
     return reports.region_hour_calls(read_star(spark, path), 10)
 
 

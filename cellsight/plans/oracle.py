@@ -198,8 +198,13 @@ def with_ctes(names, body: str, extra: tuple[str, ...] = ()) -> str:
     return "WITH " + ",\n".join([CTE[n] for n in _closure(names)] + list(extra)) + "\n" + body
 
 
+def rnd(x: str) -> str:
+    """Comparison rounding, as in the Spark catalog: nudge exact ties, then 6 places."""
+    return f"round(({x}) + ({x}) * 1e-11, 6)"
+
+
 def r6(x: str, alias: str) -> str:
-    return f"round({x}, 6) AS {alias}"
+    return f"{rnd(x)} AS {alias}"
 
 
 REGION = "nation_3"
@@ -231,9 +236,9 @@ SQL["P1_P7_clean_raw"] = with_ctes(["cleaned"], f"""SELECT grid_id, {r6('call_co
 SQL["P9_activity_long"] = with_ctes(["cleaned"], f"""
   SELECT grid_id, event_timestamp, event_date, hour, 'call' AS activity_type, {r6('call_count', 'activity_value')} FROM cleaned
   UNION ALL
-  SELECT grid_id, event_timestamp, event_date, hour, 'sms', round(sms_count, 6) FROM cleaned
+  SELECT grid_id, event_timestamp, event_date, hour, 'sms', {rnd('sms_count')} FROM cleaned
   UNION ALL
-  SELECT grid_id, event_timestamp, event_date, hour, 'internet', round(internet_usage, 6) FROM cleaned""")
+  SELECT grid_id, event_timestamp, event_date, hour, 'internet', {rnd('internet_usage')} FROM cleaned""")
 
 SQL["P10_Q3_F4_F5_D2_clean_flat"] = with_ctes(["flat_clean"], f"""SELECT timestamp, grid_id,
   {r6('call_count', 'call_count')}, {r6('sms_count', 'sms_count')}, {r6('internet_usage', 'internet_usage')},
@@ -339,7 +344,7 @@ SQL["E2_region_usage"] = with_ctes(["fact", "dim_time", "dim_region"], f"""
          {r6('CAST(SUM(f.sms_count) AS DOUBLE)', 'sms')}, {r6('SUM(f.internet_mb)', 'internet_mb')}
   {_REGION_JOIN} GROUP BY t.hour
   UNION ALL
-  SELECT 'trend', t.hour, round(AVG(f.call_count), 6), round(AVG(f.sms_count), 6), round(AVG(f.internet_mb), 6)
+  SELECT 'trend', t.hour, {rnd('AVG(f.call_count)')}, {rnd('AVG(f.sms_count)')}, {rnd('AVG(f.internet_mb)')}
   {_REGION_JOIN} GROUP BY t.hour""")
 
 SQL["A17_region_hour_calls"] = with_ctes(["fact", "dim_time", "dim_region"], """SELECT r.region_name, t.hour,
@@ -376,7 +381,7 @@ SQL["E3_peak_traffic"] = with_ctes(["fact", "dim_time", "dim_region"], f"""
                  FROM fact f JOIN dim_time t ON f.time_id = t.time_id GROUP BY t.hour
                  ORDER BY SUM({_TOTAL}) DESC, t.hour LIMIT 5)
   UNION ALL
-  SELECT * FROM (SELECT 'top_regions', CAST(NULL AS INTEGER), r.region_name, round(SUM({_TOTAL}), 6)
+  SELECT * FROM (SELECT 'top_regions', CAST(NULL AS INTEGER), r.region_name, {rnd(f'SUM({_TOTAL})')}
                  FROM fact f JOIN dim_region r ON f.region_id = r.region_id GROUP BY r.region_name
                  ORDER BY SUM({_TOTAL}) DESC, r.region_name LIMIT 5)""")
 
@@ -384,10 +389,9 @@ _FEATURE_COLS = f"""{r6('avg_usage', 'avg_usage')}, {r6('growth_rate', 'growth_r
   {r6('variability', 'variability')}, {r6('peak_ratio', 'peak_ratio')}"""
 
 SQL["E4_M1b_region_features"] = with_ctes(["fact", "dim_time", "dim_region"], f"""
-  SELECT '{REGION}' AS region, round(AVG(total_usage), 6) AS avg_usage, round(AVG(growth), 6) AS growth_rate,
-         round(coalesce(stddev_samp(total_usage), 0.0), 6) AS variability,
-         round((SELECT CASE WHEN AVG(total_usage) > 0 THEN MAX(total_usage) / AVG(total_usage) ELSE 0.0 END
-                FROM one_h), 6) AS peak_ratio
+  SELECT '{REGION}' AS region, {rnd('AVG(total_usage)')} AS avg_usage, {rnd('AVG(growth)')} AS growth_rate,
+         {rnd('coalesce(stddev_samp(total_usage), 0.0)')} AS variability,
+         {rnd('(SELECT CASE WHEN AVG(total_usage) > 0 THEN MAX(total_usage) / AVG(total_usage) ELSE 0.0 END FROM one_h)')} AS peak_ratio
   FROM one_g""", extra=(
     f"one AS (SELECT t.date, t.hour, {_TOTAL} AS total_usage {_REGION_JOIN})",
     "one_d AS (SELECT date, SUM(total_usage) AS total_usage FROM one GROUP BY date)",
@@ -413,9 +417,9 @@ SQL["M3_split"] = with_ctes(["labelled"], """SELECT region_name, label,
                CAST(round(COUNT(*) OVER (PARTITION BY label) * 0.2) AS BIGINT) AS n_test
         FROM labelled)""")
 
-SQL["Q10_range_check"] = with_ctes(["features"], """SELECT region,
-  round(avg_usage, 6) AS avg_usage, round(growth_rate, 6) AS growth_rate, round(variability, 6) AS variability,
-  round(peak_ratio, 6) AS peak_ratio,
+SQL["Q10_range_check"] = with_ctes(["features"], f"""SELECT region,
+  {rnd('avg_usage')} AS avg_usage, {rnd('growth_rate')} AS growth_rate, {rnd('variability')} AS variability,
+  {rnd('peak_ratio')} AS peak_ratio,
   CASE WHEN err = '' THEN NULL ELSE err END AS error
   FROM (SELECT *, concat_ws('; ',
           CASE WHEN avg_usage IS NULL THEN 'Missing feature: avg_usage' END,

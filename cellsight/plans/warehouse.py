@@ -19,7 +19,7 @@ def load_star(spark: SparkSession, cleaned_path: str, star_dir: str) -> dict[str
     """
     cleaned = read_cleaned(spark, cleaned_path)
     require_nonempty(cleaned, "processed dataset")
-    write_star(build_star(cleaned), star_dir)
+    write_star(build_star(cleaned, reliable_base=True), star_dir)
     stored = read_star(spark, star_dir)
     assert_star_valid(stored)
     return {"dim_time": stored.dim_time.count(), "dim_region": stored.dim_region.count(),

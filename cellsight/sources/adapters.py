@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsight.functions.joins import broadcast_if_small
+from cellsight.functions.partitioning import ensure_parallelism
 
 # Fixed mapping of event types onto the five raw measures.
 EVENT_MEASURES = {
@@ -27,6 +28,7 @@ def grid_of_user(user_col="user_id"):
 
 def raw_activity_from_events(events: DataFrame) -> DataFrame:
     """events -> raw activity rows (datetime text, CellID, countrycode, 5 measures)."""
+    events = ensure_parallelism(events)
     cols = {name: F.when(F.col("event_type") == kind, F.col("value")).cast("double")
             for kind, name in EVENT_MEASURES.items()}
     return events.select(
@@ -67,6 +69,7 @@ def region_mapping_from_events(events: DataFrame, nation: DataFrame, region: Dat
 
 def flat_usage_from_events(events: DataFrame) -> DataFrame:
     """events -> flat usage rows (timestamp text, grid_id, call, sms, internet)."""
+    events = ensure_parallelism(events)
     kind, value = F.col("event_type"), F.col("value")
     zero = F.lit(0.0)
     return events.select(
@@ -83,6 +86,7 @@ def usage_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
     event_timestamp = l_shipdate + (l_orderkey % 24) hours; grid = supplier.
     """
+    lineitem = ensure_parallelism(lineitem)
     ts = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.pmod("l_orderkey", F.lit(24)).cast("int"))
     return (lineitem.select(
         F.col("l_suppkey").cast("string").alias("grid_id"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from cellsight.functions.partitioning import ensure_parallelism
 from cellsight.operators.star import Star
 from cellsight.schemas import RAW_ACTIVITY, REGION_MAPPING
 
@@ -24,7 +27,7 @@ def read_raw_activity(spark: SparkSession, path: str | list[str], check_header:
           .option("enforceSchema", not check_header)
           .option("mode", "PERMISSIVE")
           .csv(path))
-    return with_source_file(df) if with_lineage else df
+    return ensure_parallelism(with_source_file(df) if with_lineage else df)
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def read_region_mapping(spark: SparkSession, path: str | None) -> DataFrame | No
 
 def read_flat_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Flat usage CSV, every column as text; types are fixed later."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return ensure_parallelism(spark.read.option("header", True).option("inferSchema", False).csv(path))
 
 
 def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
@@ -60,13 +63,25 @@ def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
 def list_landing(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per landing file matching ``pattern`` (S7), without reading contents.
 
-    Columns: path, file_name, length, modification_time.
+    Columns: path, file_name, length, modification_time. Listed through the
+    Hadoop file system of the path (metadata only, as Spark lists its own
+    inputs), so zero-byte files, which Spark's file sources skip, are
+    listed too.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*")
-             .load(pattern)
-             .select("path", "length", F.col("modificationTime").alias("modification_time")))
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-                        "length", "modification_time")
+    schema = "path string, file_name string, length long, modification_time timestamp"
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        statuses = fs.globStatus(hpath) or []
+        rows = [(st.getPath().toString(), st.getPath().getName(), int(st.getLen()),
+                 datetime.fromtimestamp(st.getModificationTime() / 1000.0))
+                for st in statuses if st.isFile()]
+        return spark.createDataFrame(rows, schema)
+    except Exception:  # no JVM gateway (e.g. Spark Connect): fall back to the file source
+        files = spark.read.format("binaryFile").load(pattern)
+        return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
+                            "length", F.col("modificationTime").alias("modification_time"))
 
 
 def read_star(spark: SparkSession, root: str) -> Star:
