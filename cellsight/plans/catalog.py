@@ -126,12 +126,28 @@ def q_scan_cleaned(spark, d):
 
 
 def _landing(spark, d):
-    """Landing folder of flat CSV files, one folder per day, derived from events."""
+    """Flat folder of landing CSV files ``usage_<day>_<k>.csv`` derived from events.
+
+    Written partitioned by day, then each part file is renamed into one
+    folder (metadata operations on the driver), as files arrive upstream.
+    """
     flat = adapters.flat_usage_from_events(table(spark, d, "events"))
-    path = scratch_path(spark, "landing")
+    staged = scratch_path(spark, "landing-staged")
     (flat.withColumn("day", F.substring("timestamp", 1, 10)).hint("rebalance", "day")
-     .write.mode("overwrite").option("header", True).partitionBy("day").csv(path))
-    return f"{path}/day=*/*.csv"
+     .write.mode("overwrite").option("header", True).partitionBy("day").csv(staged))
+    target = scratch_path(spark, "landing")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(staged)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(target))
+    parts = sorted(st.getPath().toString() for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/day=*/*.csv")))
+    seen: dict[str, int] = {}
+    for part in parts:
+        day = part.split("day=")[1].split("/")[0]
+        k = seen.get(day, 0)
+        seen[day] = k + 1
+        fs.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(f"{target}/usage_{day}_{k}.csv"))
+    return f"{target}/*.csv"
 
 
 def q_list_landing(spark, d):
@@ -151,7 +167,7 @@ def q_route_files(spark, d):
     pattern = _landing(spark, d)
     checked = quality.validate_files(spark, pattern)
     # Files of the first four days count as already ingested.
-    ingested = list_landing(spark, pattern).where(F.col("path").rlike("day=2024-01-0[1-4]"))
+    ingested = list_landing(spark, pattern).where(F.col("file_name").rlike("^usage_2024-01-0[1-4]_"))
     return quality.route_files(checked, ingested)
 
 

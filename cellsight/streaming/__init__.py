@@ -1,0 +1,5 @@
+"""Incremental ingestion of landing files with Structured Streaming."""
+
+from cellsight.streaming.landing import start_landing_ingest
+
+__all__ = ["start_landing_ingest"]

@@ -1,0 +1,24 @@
+import os
+
+from cellsight.streaming import start_landing_ingest
+
+HEADER = "datetime,CellID,countrycode,smsin,smsout,callin,callout,internet\n"
+
+
+def test_incremental_ingest(spark, tmp_dir):
+    landing, out, ckpt = (os.path.join(tmp_dir, x) for x in ("landing", "out", "ckpt"))
+    os.makedirs(landing)
+    with open(os.path.join(landing, "a.csv"), "w") as fh:
+        fh.write(HEADER + "2013-11-01 10:00:00,1,39,1,1,1,1,1\n2013-11-01 11:00:00,2,39,1,1,1,1,1\n")
+    mapping = spark.createDataFrame([("1", "North", "Milan")], "grid_id string, region_name string, city string")
+    start_landing_ingest(spark, landing, out, ckpt, mapping).awaitTermination()
+    first = spark.read.parquet(out)
+    assert first.count() == 2
+    assert first.where("grid_id = '1'").first()["region_name"] == "North"
+
+    with open(os.path.join(landing, "b.csv"), "w") as fh:
+        fh.write(HEADER + "2013-11-02 09:00:00,3,39,2,2,2,2,2\n")
+    start_landing_ingest(spark, landing, out, ckpt, mapping).awaitTermination()
+    rows = spark.read.parquet(out)
+    assert rows.count() == 3  # a.csv was not read again
+    assert rows.where("grid_id = '3'").first()["call_count"] == 4.0
