@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsight.functions.joins import broadcast_if_small
-from cellsight.operators.reports import region_matches
+from cellsight.operators.reports import region_fact, region_matches
 from cellsight.operators.star import Star
 
 
@@ -21,7 +21,7 @@ def usage_rows(star: Star, region: str | None = None) -> DataFrame:
     Totals are summed per (region_id, time_id) before the dimensions are
     joined, so the joins see a reduced table.
     """
-    per_key = star.fact.groupBy("region_id", "time_id").agg(
+    per_key = region_fact(star, region).groupBy("region_id", "time_id").agg(
         F.sum(F.col("call_count") + F.col("sms_count") + F.col("internet_mb")).alias("total_usage"))
     dr = star.dim_region.select("region_id", "region_name")
     if region is not None:

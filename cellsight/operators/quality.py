@@ -143,28 +143,38 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
     column, dtype, count, nulls, and for numbers mean, std, min, 25%, 50%,
     75%, max (exact); for other types unique, top, freq (top ties by value).
+    Counts and moments of all columns come from one aggregation; the exact
+    quartiles and the most frequent values need one job per column.
     """
     spark = df.sparkSession
-    rows = []
-    numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
-    for name, dtype in df.dtypes:
+    numeric_types = {"double", "float", "int", "bigint", "smallint", "tinyint"}
+    numeric = [n for n, t in df.dtypes if t in numeric_types or t.startswith("decimal")]
+    aggs = []
+    for i, (name, _) in enumerate(df.dtypes):
         c = F.col(name)
-        base = df.agg(F.count(c).alias("count"), F.count_if(c.isNull()).alias("nulls")).first()
-        row = {"column": name, "dtype": dtype, "count": base["count"], "nulls": base["nulls"]}
-        if dtype in numeric or dtype.startswith("decimal"):
-            stats = df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                           F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).first()
+        aggs += [F.count(c).alias(f"c{i}"), F.count_if(c.isNull()).alias(f"n{i}")]
+        if name in numeric:
+            aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
+                     F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
+        else:
+            aggs += [F.count_distinct(c).alias(f"u{i}")]
+    totals = df.agg(*aggs).first()
+    rows = []
+    for i, (name, dtype) in enumerate(df.dtypes):
+        row = {"column": name, "dtype": dtype, "count": totals[f"c{i}"], "nulls": totals[f"n{i}"]}
+        if name in numeric:
             q25, q50, q75 = exact_percentiles(df, name, [0.25, 0.5, 0.75])
-            row.update(mean=stats["mean"], std=stats["std"], min=stats["min"], p25=q25, p50=q50,
-                       p75=q75, max=stats["max"])
+            row.update(mean=totals[f"m{i}"], std=totals[f"s{i}"], min=totals[f"lo{i}"], p25=q25, p50=q50,
+                       p75=q75, max=totals[f"hi{i}"])
         else:
+            c = F.col(name)
             top = (df.where(c.isNotNull()).groupBy(c.cast("string").alias("v")).count()
                    .orderBy(F.desc("count"), F.asc("v")).limit(1).collect())
-            uniq = df.agg(F.count_distinct(c).alias("u")).first()["u"]
-            row.update(unique=uniq, top=top[0]["v"] if top else None, freq=top[0]["count"] if top else None)
+            row.update(unique=totals[f"u{i}"], top=top[0]["v"] if top else None,
+                       freq=top[0]["count"] if top else None)
         rows.append(row)
+    keys = ["column", "dtype", "count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max",
+            "unique", "top", "freq"]
     schema = ("column string, dtype string, count long, nulls long, mean double, std double, "
               "min double, p25 double, p50 double, p75 double, max double, unique long, top string, freq long")
-    ordered = [tuple(r.get(k) for k in ["column", "dtype", "count", "nulls", "mean", "std", "min", "p25",
-                                          "p50", "p75", "max", "unique", "top", "freq"]) for r in rows]
-    return spark.createDataFrame(ordered, schema)
+    return spark.createDataFrame([tuple(r.get(k) for k in keys) for r in rows], schema)

@@ -19,7 +19,8 @@ from pyspark.sql.types import DoubleType
 
 from cellsight.operators import cleaning, enrich, features, quality, reports, risk, rollups, star
 from cellsight.session import scratch_path
-from cellsight.sinks import load_model, save_model, write_cleaned, write_predictions, write_star
+from cellsight.sinks import (load_model, save_model, write_cleaned, write_predictions, write_star,
+                             write_summaries)
 from cellsight.sources import adapters
 from cellsight.sources.files import (list_landing, read_cleaned, read_flat_csv, read_raw_activity,
                                      read_region_mapping, read_star)
@@ -203,6 +204,18 @@ def q_enrich_region(spark, d):
     return rounded(events_enriched(spark, d))
 
 
+def q_no_mapping(spark, d):
+    """S3: without a lookup the cleaned rows come back unchanged."""
+    return rounded(enrich.enrich_region(events_cleaned(spark, d), None))
+
+
+def q_summaries_round_trip(spark, d):
+    """K2: summaries written as Parquet folders and read back (calls per hour)."""
+    root = scratch_path(spark, "summary")
+    paths = write_summaries(rollups.compute_summaries(events_enriched(spark, d)), root)
+    return rounded(spark.read.parquet(paths["calls_per_hour"]))
+
+
 def q_enrich_region_partial(spark, d):
     return rounded(events_enriched(spark, d, mapped_nations=20))
 
@@ -440,7 +453,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S1_scan_raw_csv": q_scan_raw_csv,
     "S2_scan_region_mapping": q_scan_region_mapping,
     "S4_scan_flat_csv": q_scan_flat_csv,
+    "S3_no_mapping": q_no_mapping,
     "S5_K1_scan_cleaned": q_scan_cleaned,
+    "K2_summaries_round_trip": q_summaries_round_trip,
     "S6_J2_J3_star_rows": q_star_rows,
     "S7_list_landing": q_list_landing,
     "S8_A1_records_per_file": q_records_per_file,

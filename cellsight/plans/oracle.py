@@ -233,6 +233,11 @@ SQL["P1_P7_clean_raw"] = with_ctes(["cleaned"], f"""SELECT grid_id, {r6('call_co
   {r6('sms_count', 'sms_count')}, {r6('internet_usage', 'internet_usage')}, event_timestamp, event_date, hour
   FROM cleaned""")
 
+SQL["S3_no_mapping"] = SQL["P1_P7_clean_raw"]
+
+SQL["K2_summaries_round_trip"] = with_ctes(["enriched"], f"""SELECT hour, {r6('SUM(call_count)', 'total_calls')}
+  FROM enriched GROUP BY hour""")
+
 SQL["P9_activity_long"] = with_ctes(["cleaned"], f"""
   SELECT grid_id, event_timestamp, event_date, hour, 'call' AS activity_type, {r6('call_count', 'activity_value')} FROM cleaned
   UNION ALL
