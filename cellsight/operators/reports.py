@@ -110,16 +110,26 @@ def _ordered_keys(top: DataFrame, key: str) -> Column:
     return F.transform(entries, lambda e: e["k"])
 
 
-def usage_summary(star: Star, k: int = 3) -> DataFrame:
-    """One row: totals, top ``k`` hours, top ``k`` regions.
+def hour_region_base(star: Star) -> DataFrame:
+    """Sums by (hour, region_name): c, s, i and their total u.
 
-    All parts derive from one (hour, region) aggregate of the fact table.
+    The shared first step of E1 and E3: every part reads this one aggregate,
+    so Spark reuses its shuffle and the fact table is scanned once.
     """
     dt, dr = _dims(star)
-    base = (star.fact.join(dt, "time_id").join(dr, "region_id")
+    return (star.fact.join(dt, "time_id").join(dr, "region_id")
             .groupBy("hour", "region_name")
             .agg(F.sum("call_count").alias("c"), F.sum("sms_count").alias("s"),
-                 F.sum("internet_mb").alias("i"), F.sum(_usage()).alias("u")))
+                 F.sum("internet_mb").alias("i"))
+            .withColumn("u", F.col("c") + F.col("s") + F.col("i")))
+
+
+def usage_summary(star: Star, k: int = 3) -> DataFrame:
+    """One row: totals, top ``k`` hours, top ``k`` regions.
+
+    All parts derive from one (hour, region) aggregate of the fact table.
+    """
+    base = hour_region_base(star)
     totals = base.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("total_calls"),
                       F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("total_sms"),
                       F.coalesce(F.sum("i"), F.lit(0.0)).alias("total_internet_mb"))
@@ -153,9 +163,13 @@ def region_usage_or_raise(star: Star, region: str) -> DataFrame:
 
 def peak_traffic(star: Star, k: int = 5) -> DataFrame:
     """Top ``k`` hours and top ``k`` regions by total usage, tagged by ``kind``."""
-    hours = usage_by_hour(star, k).select(F.lit("top_hours").alias("kind"), "hour",
-                                          F.lit(None).cast("string").alias("region"), "total_usage")
-    regions = usage_by_region(star, k).select(F.lit("top_regions").alias("kind"),
-                                              F.lit(None).cast("int").alias("hour"),
-                                              F.col("region_name").alias("region"), "total_usage")
+    base = hour_region_base(star)
+    hours = (base.groupBy("hour").agg(F.sum("u").alias("total_usage"))
+             .orderBy(F.desc("total_usage"), F.asc("hour")).limit(k)
+             .select(F.lit("top_hours").alias("kind"), "hour",
+                     F.lit(None).cast("string").alias("region"), "total_usage"))
+    regions = (base.groupBy("region_name").agg(F.sum("u").alias("total_usage"))
+               .orderBy(F.desc("total_usage"), F.asc("region_name")).limit(k)
+               .select(F.lit("top_regions").alias("kind"), F.lit(None).cast("int").alias("hour"),
+                       F.col("region_name").alias("region"), "total_usage"))
     return hours.unionByName(regions)
