@@ -104,10 +104,11 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
     is fully determined by the data. Each count expands into its rows; a
     count above ``chunk_rows`` is cut into chunks expanded by separate tasks.
     """
-    inet = decimal_text("internet_mb", 4)
-    group = ["date", "hour", "region_name", "city", "call_count", "sms_count", "_inet"]
+    keyed = base.select(time_key().alias("time_id"), region_key().alias("region_id"), "call_count",
+                        "sms_count", "internet_mb", decimal_text("internet_mb", 4).alias("_inet"), "n")
+    group = ["time_id", "region_id", "call_count", "sms_count", "_inet"]
     before = Window.partitionBy(*group).orderBy("internet_mb").rowsBetween(Window.unboundedPreceding, -1)
-    counts = base.withColumn("_inet", inet).withColumn("_off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = keyed.withColumn("_off", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
     cols = [*group, "internet_mb"]
     small = counts.where(F.col("n") <= chunk_rows).select(
@@ -120,9 +121,7 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
     last = F.col("_off") + F.least(F.col("n"), (F.col("_k") + 1) * chunk_rows)
     large = chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_ord"))
 
-    keyed = small.unionByName(large).select(time_key().alias("time_id"), region_key().alias("region_id"),
-                                            "call_count", "sms_count", "internet_mb", "_inet", "_ord")
-    return keyed.select(
+    return small.unionByName(large).select(
         surrogate_key("time_id", "region_id", "call_count", "sms_count", "_inet", "_ord").alias("usage_id"),
         "time_id", "region_id", "call_count", "sms_count", "internet_mb")
 

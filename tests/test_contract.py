@@ -3,7 +3,6 @@
 import os
 import sys
 
-import duckdb
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
