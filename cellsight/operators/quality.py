@@ -81,7 +81,7 @@ def validate_files(spark: SparkSession, pattern: str, sample_rows: int = 200,
         pos = F.array_position(F.col("header"), F.lit(name)).cast("int")
         value = F.when(pos > 0, F.element_at(F.col("fields"), pos))  # beyond the row -> null
         value = F.when(pos <= F.size("fields"), value)
-        missing_any = missing_any | value.isNull() | F.array_contains(markers, F.trim(value))
+        missing_any = missing_any | value.isNull() | F.array_contains(markers, value)
     per_file = joined.groupBy("path").agg(
         F.max(missing_any.cast("int")).alias("_nulls"),
         F.max((F.size("fields") > F.size("header")).cast("int")).alias("_wide"))

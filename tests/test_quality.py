@@ -16,6 +16,7 @@ def landing(tmp_dir):
         "zero.csv": "",
         "short_row.csv": "timestamp,grid_id,call_count,sms_count,internet_usage\n2013-11-01 10:00:00,1,2\n",
         "quoted.csv": 'timestamp,grid_id,call_count,sms_count,internet_usage\n"2013-11-01 10:00:00","a,b",1,2,3\n',
+        "space_value.csv": "timestamp,grid_id,call_count,sms_count,internet_usage\n2013-11-01 10:00:00, ,1,2,3\n",
     }
     for name, text in files.items():
         with open(os.path.join(tmp_dir, name), "w") as fh:
@@ -34,6 +35,7 @@ def test_validate_files(spark, tmp_dir):
     assert res["zero.csv"] == (False, "unreadable or empty file")
     assert res["short_row.csv"][0] is False
     assert res["quoted.csv"][0] is True
+    assert res["space_value.csv"][0] is True     # a blank is a value, not a missing marker
 
 
 def test_sample_is_limited(spark, tmp_dir):
@@ -54,7 +56,7 @@ def test_route_and_status(spark, tmp_dir):
     assert routed["upper.csv"]["status"] == "accepted"
     assert routed["zero.csv"]["status"] == "rejected"
     counts = {r["status"]: r["files"] for r in quality.ingest_status(quality.route_files(checked, ingested)).collect()}
-    assert counts == {"accepted": 4, "duplicate": 1, "rejected": 4}
+    assert counts == {"accepted": 5, "duplicate": 1, "rejected": 4}
 
 
 def test_quality_profile(spark):
