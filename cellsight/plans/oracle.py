@@ -89,23 +89,27 @@ def _usage_cte(name: str, source: str) -> str:
 CTE["usage"] = _usage_cte("usage", "enriched")
 CTE["usage_partial"] = _usage_cte("usage_partial", "enriched_partial")
 
-CTE["dim_time"] = """dim_time AS (
+def _star_ctes(sfx: str, usage: str) -> dict[str, str]:
+    return {
+        f"dim_time{sfx}": f"""dim_time{sfx} AS (
   SELECT DISTINCT time_id, date, hour, CAST(day(date) AS INTEGER) AS day,
          CAST(month(date) AS INTEGER) AS month, dayname(date) AS weekday
-  FROM usage)"""
-
-CTE["dim_region"] = """dim_region AS (SELECT DISTINCT region_id, region_name, city FROM usage)"""
-
-CTE["fact"] = f"""fact AS (
+  FROM {usage})""",
+        f"dim_region{sfx}": f"""dim_region{sfx} AS (SELECT DISTINCT region_id, region_name, city FROM {usage})""",
+        f"fact{sfx}": f"""fact{sfx} AS (
   SELECT {_key('time_id', 'region_id', 'call_count', 'sms_count', 'inet', 'ord')} AS usage_id,
          time_id, region_id, call_count, sms_count, internet_mb
   FROM (SELECT *, row_number() OVER (PARTITION BY time_id, region_id, call_count, sms_count, inet
                                      ORDER BY internet_mb) AS ord
-        FROM (SELECT *, CAST(CAST(internet_mb AS DECIMAL(18,4)) AS VARCHAR) AS inet FROM usage)))"""
-
-CTE["star_rows"] = """star_rows AS (
+        FROM (SELECT *, CAST(CAST(internet_mb AS DECIMAL(18,4)) AS VARCHAR) AS inet FROM {usage})))""",
+        f"star_rows{sfx}": f"""star_rows{sfx} AS (
   SELECT r.region_name, r.city, t.date, t.hour, f.call_count, f.sms_count, f.internet_mb
-  FROM fact f JOIN dim_time t ON f.time_id = t.time_id JOIN dim_region r ON f.region_id = r.region_id)"""
+  FROM fact{sfx} f JOIN dim_time{sfx} t ON f.time_id = t.time_id
+  JOIN dim_region{sfx} r ON f.region_id = r.region_id)""",
+    }
+
+
+CTE.update(_star_ctes("", "usage"))
 
 CTE["flat"] = """flat AS (
   SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp,
@@ -126,40 +130,55 @@ CTE["flat_clean"] = """flat_clean AS (
     AND internet_usage IS NOT NULL AND NOT isnan(internet_usage)
     AND call_count >= 0 AND sms_count >= 0 AND internet_usage >= 0)"""
 
-CTE["rows"] = """rows AS (
+def _feature_ctes(sfx: str) -> dict[str, str]:
+    return {
+        f"rows{sfx}": f"""rows{sfx} AS (
   SELECT r.region_name, t.date, t.hour, k.total_usage
   FROM (SELECT region_id, time_id, SUM(call_count + sms_count + internet_mb) AS total_usage
-        FROM fact GROUP BY region_id, time_id) k
-  JOIN dim_region r ON k.region_id = r.region_id JOIN dim_time t ON k.time_id = t.time_id)"""
-
-CTE["daily"] = """daily AS (
-  SELECT region_name, date, SUM(total_usage) AS total_usage FROM rows
-  WHERE region_name IS NOT NULL AND date IS NOT NULL GROUP BY region_name, date)"""
-
-CTE["growth"] = """growth AS (
+        FROM fact{sfx} GROUP BY region_id, time_id) k
+  JOIN dim_region{sfx} r ON k.region_id = r.region_id JOIN dim_time{sfx} t ON k.time_id = t.time_id)""",
+        f"daily{sfx}": f"""daily{sfx} AS (
+  SELECT region_name, date, SUM(total_usage) AS total_usage FROM rows{sfx}
+  WHERE region_name IS NOT NULL AND date IS NOT NULL GROUP BY region_name, date)""",
+        f"growth{sfx}": f"""growth{sfx} AS (
   SELECT region_name, date, total_usage, prev_usage,
          CASE WHEN prev_usage > 0 THEN (total_usage - prev_usage) / prev_usage ELSE 0.0 END AS growth_rate
   FROM (SELECT *, lag(total_usage, 1) OVER (PARTITION BY region_name ORDER BY date) AS prev_usage
-        FROM daily))"""
-
-CTE["stats"] = """stats AS (
+        FROM daily{sfx}))""",
+        f"stats{sfx}": f"""stats{sfx} AS (
   SELECT region_name, AVG(total_usage) AS avg_usage, AVG(growth_rate) AS growth_rate,
          coalesce(stddev_samp(total_usage), 0.0) AS variability
-  FROM growth GROUP BY region_name)"""
-
-CTE["hourly"] = """hourly AS (
-  SELECT region_name, hour, SUM(total_usage) AS total_usage FROM rows
-  WHERE region_name IS NOT NULL AND hour IS NOT NULL GROUP BY region_name, hour)"""
-
-CTE["ratio"] = """ratio AS (
+  FROM growth{sfx} GROUP BY region_name)""",
+        f"hourly{sfx}": f"""hourly{sfx} AS (
+  SELECT region_name, hour, SUM(total_usage) AS total_usage FROM rows{sfx}
+  WHERE region_name IS NOT NULL AND hour IS NOT NULL GROUP BY region_name, hour)""",
+        f"ratio{sfx}": f"""ratio{sfx} AS (
   SELECT region_name, CASE WHEN AVG(total_usage) > 0 THEN MAX(total_usage) / AVG(total_usage)
                            ELSE 0.0 END AS peak_ratio
-  FROM hourly GROUP BY region_name)"""
-
-CTE["features"] = """features AS (
+  FROM hourly{sfx} GROUP BY region_name)""",
+        f"features{sfx}": f"""features{sfx} AS (
   SELECT s.region_name, coalesce(s.avg_usage, 0.0) AS avg_usage, coalesce(s.growth_rate, 0.0) AS growth_rate,
          coalesce(s.variability, 0.0) AS variability, coalesce(p.peak_ratio, 0.0) AS peak_ratio
-  FROM stats s LEFT JOIN ratio p ON s.region_name = p.region_name)"""
+  FROM stats{sfx} s LEFT JOIN ratio{sfx} p ON s.region_name = p.region_name)""",
+    }
+
+
+CTE.update(_feature_ctes(""))
+
+# The benchmark adapter: lineitem rows as cleaned usage, supplier -> nation -> region lookup.
+CTE["enriched_li"] = """enriched_li AS (
+  SELECT CAST(l.l_suppkey AS VARCHAR) AS grid_id, CAST(l.l_quantity AS DOUBLE) AS call_count,
+         CAST(l.l_linenumber AS DOUBLE) AS sms_count, CAST(l.l_extendedprice AS DOUBLE) AS internet_usage,
+         l.l_shipdate + to_hours(CAST(l.l_orderkey % 24 AS INTEGER)) AS event_timestamp,
+         CAST(l.l_shipdate + to_hours(CAST(l.l_orderkey % 24 AS INTEGER)) AS DATE) AS event_date,
+         CAST(hour(l.l_shipdate + to_hours(CAST(l.l_orderkey % 24 AS INTEGER))) AS INTEGER) AS hour,
+         n.n_name AS region_name, r.r_name AS city
+  FROM lineitem l LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
+  LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+  WHERE l.l_shipdate IS NOT NULL AND l.l_suppkey IS NOT NULL)"""
+CTE["usage_li"] = _usage_cte("usage_li", "enriched_li")
+CTE.update(_star_ctes("_li", "usage_li"))
+CTE.update(_feature_ctes("_li"))
 
 CTE["labelled"] = """labelled AS (
   SELECT f.*, CASE WHEN avg_usage >= q.p90 THEN 'HIGH' WHEN avg_usage >= q.p50 THEN 'MEDIUM'
@@ -172,13 +191,18 @@ DEPENDS = {
     "raw": [], "cleaned": ["raw"], "mapping": [], "mapping_partial": [],
     "enriched": ["cleaned", "mapping"], "enriched_partial": ["cleaned", "mapping_partial"],
     "usage": ["enriched"], "usage_partial": ["enriched_partial"],
-    "dim_time": ["usage"], "dim_region": ["usage"], "fact": ["usage"],
-    "star_rows": ["fact", "dim_time", "dim_region"],
-    "flat": [], "flat_clean": ["flat"],
-    "rows": ["fact", "dim_time", "dim_region"], "daily": ["rows"], "growth": ["daily"],
-    "stats": ["growth"], "hourly": ["rows"], "ratio": ["hourly"], "features": ["stats", "ratio"],
-    "labelled": ["features"],
+    "flat": [], "flat_clean": ["flat"], "labelled": ["features"],
+    "enriched_li": [], "usage_li": ["enriched_li"],
 }
+for _sfx, _usage in (("", "usage"), ("_li", "usage_li")):
+    DEPENDS.update({
+        f"dim_time{_sfx}": [_usage], f"dim_region{_sfx}": [_usage], f"fact{_sfx}": [_usage],
+        f"star_rows{_sfx}": [f"fact{_sfx}", f"dim_time{_sfx}", f"dim_region{_sfx}"],
+        f"rows{_sfx}": [f"fact{_sfx}", f"dim_time{_sfx}", f"dim_region{_sfx}"],
+        f"daily{_sfx}": [f"rows{_sfx}"], f"growth{_sfx}": [f"daily{_sfx}"], f"stats{_sfx}": [f"growth{_sfx}"],
+        f"hourly{_sfx}": [f"rows{_sfx}"], f"ratio{_sfx}": [f"hourly{_sfx}"],
+        f"features{_sfx}": [f"stats{_sfx}", f"ratio{_sfx}"],
+    })
 
 
 def _closure(names):
@@ -199,8 +223,13 @@ def with_ctes(names, body: str, extra: tuple[str, ...] = ()) -> str:
 
 
 def rnd(x: str) -> str:
-    """Comparison rounding, as in the Spark catalog: nudge exact ties, then 6 places."""
-    return f"round(({x}) + ({x}) * 1e-11, 6)"
+    """Comparison rounding, as in the Spark catalog: nudge exact ties, then 12 significant
+    digits but at most 10 decimal places."""
+    n = f"(({x}) + ({x}) * 1e-13)"
+    k = f"least(11 - floor(log10(abs({n}))), 10)"
+    return (f"(CASE WHEN ({x}) IS NULL OR ({x}) = 0 OR isnan({x}) OR isinf({x}) THEN ({x}) "
+            f"WHEN {k} >= 0 THEN round({n} * pow(10.0, {k})) / pow(10.0, {k}) "
+            f"ELSE round({n} / pow(10.0, -{k})) * pow(10.0, -{k}) END)")
 
 
 def r6(x: str, alias: str) -> str:
@@ -368,17 +397,23 @@ SELECT coalesce(region_name, grid_id) AS region_name, CAST(hour(ts) AS INTEGER)
 FROM li WHERE ts IS NOT NULL AND grid_id IS NOT NULL
 GROUP BY 1, 2 ORDER BY total_calls DESC, region_name, hour LIMIT 10"""
 
-SQL["E1_usage_summary"] = with_ctes(["fact", "dim_time", "dim_region"], f"""
+def _usage_summary_sql(sfx: str) -> str:
+    return with_ctes([f"fact{sfx}", f"dim_time{sfx}", f"dim_region{sfx}"], f"""
   SELECT CAST(coalesce(SUM(call_count), 0) AS BIGINT) AS total_calls,
          CAST(coalesce(SUM(sms_count), 0) AS BIGINT) AS total_sms,
          {r6('coalesce(SUM(internet_mb), 0.0)', 'total_internet_mb')},
          (SELECT list(hour ORDER BY u DESC, hour) FROM (
-            SELECT t.hour, SUM({_TOTAL}) AS u FROM fact f JOIN dim_time t ON f.time_id = t.time_id
+            SELECT t.hour, SUM({_TOTAL}) AS u FROM fact{sfx} f JOIN dim_time{sfx} t ON f.time_id = t.time_id
             GROUP BY t.hour ORDER BY u DESC, t.hour LIMIT 3)) AS top_peak_hours,
          (SELECT list(region_name ORDER BY u DESC, region_name) FROM (
-            SELECT r.region_name, SUM({_TOTAL}) AS u FROM fact f JOIN dim_region r ON f.region_id = r.region_id
+            SELECT r.region_name, SUM({_TOTAL}) AS u FROM fact{sfx} f JOIN dim_region{sfx} r
+              ON f.region_id = r.region_id
             GROUP BY r.region_name ORDER BY u DESC, r.region_name LIMIT 3)) AS top_busiest_regions
-  FROM fact""")
+  FROM fact{sfx}""")
+
+
+SQL["E1_usage_summary"] = _usage_summary_sql("")
+SQL["E1_usage_summary_lineitem"] = _usage_summary_sql("_li")
 
 SQL["E3_peak_traffic"] = with_ctes(["fact", "dim_time", "dim_region"], f"""
   SELECT * FROM (SELECT 'top_hours' AS kind, t.hour, CAST(NULL AS VARCHAR) AS region,
@@ -436,3 +471,12 @@ SQL["Q10_range_check"] = with_ctes(["features"], f"""SELECT region,
         FROM (SELECT region_name AS region, avg_usage - variability AS avg_usage, growth_rate, variability,
                      coalesce(CASE WHEN growth_rate >= 0 THEN peak_ratio END, 1.0) AS peak_ratio
               FROM features))""")
+
+SQL["A2_calls_per_hour_lineitem"] = with_ctes(["enriched_li"], f"""SELECT hour,
+  {r6('SUM(call_count)', 'total_calls')} FROM enriched_li GROUP BY hour""")
+SQL["A5_top_5_peak_hours_lineitem"] = with_ctes(["enriched_li"], f"""SELECT hour,
+  {r6('SUM(call_count + sms_count + internet_usage)', 'total_usage')} FROM enriched_li GROUP BY hour
+  ORDER BY SUM(call_count + sms_count + internet_usage) DESC, hour LIMIT 5""")
+SQL["T3_fact_usage_lineitem"] = with_ctes(["fact_li"], f"""SELECT usage_id, time_id, region_id, call_count,
+  sms_count, {r6('internet_mb', 'internet_mb')} FROM fact_li""")
+SQL["M1_features_lineitem"] = with_ctes(["features_li"], f"SELECT region_name, {_FEATURE_COLS} FROM features_li")

@@ -81,3 +81,29 @@ def test_clean_flat_missing_columns(spark):
     df = spark.createDataFrame([("a", "b")], "timestamp string, grid_id string")
     with pytest.raises(ValueError, match="call_count"):
         cleaning.clean_flat(df)
+
+
+def test_flat_time_formats(spark):
+    # D-7: explicit format list, first match wins; unknown layouts are null.
+    from cellsight.functions.columns import parse_with_formats
+    df = spark.createDataFrame([("2013-11-01 10:15:00",), ("2013-11-01 10:15",), ("2013-11-01T10:15:00",),
+                                ("2013-11-01",), ("01/11/2013",), (" 2013-11-01 10:15:00 ",)], "t string")
+    got = [r[0] for r in df.select(parse_with_formats(F.col("t")).cast("string")).collect()]
+    assert got == ["2013-11-01 10:15:00", "2013-11-01 10:15:00", "2013-11-01 10:15:00",
+                   "2013-11-01 00:00:00", None, "2013-11-01 10:15:00"]
+
+
+def test_missing_cleaned_path(spark, tmp_dir):
+    import pytest
+
+    from cellsight.sources.files import read_cleaned
+    with pytest.raises(FileNotFoundError):
+        read_cleaned(spark, os.path.join(tmp_dir, "nope"))
+
+
+def test_empty_input_rejected(spark):
+    import pytest
+
+    from cellsight.operators._util import require_nonempty
+    with pytest.raises(ValueError):
+        require_nonempty(spark.range(0), "usage data")
