@@ -32,6 +32,28 @@ def clean_raw(raw: DataFrame) -> DataFrame:
             .withColumn("hour", F.hour("event_timestamp")))
 
 
+def clean_flat_usage(flat: DataFrame, time_formats=None) -> DataFrame:
+    """Flat 5-column layout -> the same cleaned usage rows as :func:`clean_raw`.
+
+    The second input adapter of the ETL (SURVEY §1.2): headers normalised,
+    measures coerced with null and NaN read as 0.0, the timestamp parsed with
+    the format list (unparseable -> row dropped), rows without a grid dropped.
+    Extra columns are not carried.
+    """
+    df = standardize_headers(flat)
+    require_columns(df, FLAT_REQUIRED)
+    num = {c: measure(F.trim(F.col(c).cast("string")).try_cast("double")) for c in MEASURES}
+    return (df.where(F.col("grid_id").isNotNull())
+            .select(F.col("grid_id").cast("string").alias("grid_id"),
+                    num["call_count"].alias("call_count"),
+                    num["sms_count"].alias("sms_count"),
+                    num["internet_usage"].alias("internet_usage"),
+                    parse_with_formats(F.col("timestamp"), time_formats).alias("event_timestamp"))
+            .where(F.col("event_timestamp").isNotNull())
+            .withColumn("event_date", F.to_date("event_timestamp"))
+            .withColumn("hour", F.hour("event_timestamp")))
+
+
 def activity_long(cleaned: DataFrame) -> DataFrame:
     """Wide -> long: three rows (call, sms, internet) per cleaned row, zeros kept."""
     ids = ["grid_id", "event_timestamp", "event_date", "hour"]

@@ -194,6 +194,12 @@ def q_clean_raw(spark, d):
     return rounded(events_cleaned(spark, d))
 
 
+def q_clean_flat_usage(spark, d):
+    """The flat layout through the second ETL adapter, from CSV files."""
+    path = _csv_round_trip(spark, adapters.flat_usage_from_events(table(spark, d, "events")), "flat-usage")
+    return rounded(cleaning.clean_flat_usage(read_flat_csv(spark, path)))
+
+
 def q_activity_long(spark, d):
     return rounded(cleaning.activity_long(events_cleaned(spark, d)))
 
@@ -501,6 +507,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S8_A1_records_per_file": q_records_per_file,
     "P1_P7_clean_raw": q_clean_raw,
     "P9_activity_long": q_activity_long,
+    "S4_P1_P7_clean_flat_usage": q_clean_flat_usage,
     "P10_Q3_F4_F5_D2_clean_flat": q_clean_flat,
     "Q1_validate_files": q_validate_files,
     "Q2_route_files": q_route_files,

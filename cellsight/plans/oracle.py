@@ -267,6 +267,13 @@ SQL["S3_no_mapping"] = SQL["P1_P7_clean_raw"]
 SQL["K2_summaries_round_trip"] = with_ctes(["enriched"], f"""SELECT hour, {r6('SUM(call_count)', 'total_calls')}
   FROM enriched GROUP BY hour""")
 
+SQL["S4_P1_P7_clean_flat_usage"] = with_ctes(["flat"], f"""SELECT grid_id,
+  {rnd(_nan0('call_count'))} AS call_count, {rnd(_nan0('sms_count'))} AS sms_count,
+  {rnd(_nan0('internet_usage'))} AS internet_usage, event_timestamp,
+  CAST(event_timestamp AS DATE) AS event_date, CAST(hour(event_timestamp) AS INTEGER) AS hour
+  FROM (SELECT *, try_cast(timestamp AS TIMESTAMP) AS event_timestamp FROM flat WHERE grid_id IS NOT NULL)
+  WHERE event_timestamp IS NOT NULL""")
+
 SQL["P9_activity_long"] = with_ctes(["cleaned"], f"""
   SELECT grid_id, event_timestamp, event_date, hour, 'call' AS activity_type, {r6('call_count', 'activity_value')} FROM cleaned
   UNION ALL

@@ -41,3 +41,26 @@ def test_etl_warehouse_ml(spark, tmp_dir):
     pred = spark.read.option("header", True).option("inferSchema", True).csv(out)
     assert pred.count() == counts["dim_region"]
     assert {"region_name", "congestion_risk", "score", "anomaly_flag"} <= set(pred.columns)
+
+
+def test_ingest_accepts_valid_new_files(spark, tmp_dir):
+    from cellsight.plans.ingest import run_ingest
+    landing, raw = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "raw")
+    os.makedirs(landing)
+    os.makedirs(raw)
+    head = "timestamp,grid_id,call_count,sms_count,internet_usage\n"
+    files = {"a.csv": head + "2013-11-01 10:00:00,1,2,3,4.5\n2013-11-01 11:00:00,2,1,1,1\n",
+             "b.csv": head + "2013-11-01 12:00:00,1,NA,3,4\n",
+             "c.csv": head + "2013-11-02 09:00:00,3,1,1,1\n"}
+    for name, text in files.items():
+        with open(os.path.join(landing, name), "w") as fh:
+            fh.write(text)
+    with open(os.path.join(raw, "c.csv"), "w") as fh:
+        fh.write(files["c.csv"])
+    mapping = spark.createDataFrame([("1", "North", "Milan")], "grid_id string, region_name string, city string")
+    out = os.path.join(tmp_dir, "out")
+    counts = run_ingest(spark, f"{landing}/*.csv", f"{raw}/*.csv", mapping, out)
+    assert counts == {"accepted": 1, "rejected": 1, "duplicate": 1}
+    cleaned = spark.read.parquet(f"{out}/cleaned_usage")
+    assert cleaned.count() == 2
+    assert cleaned.where("grid_id = '1'").first()["region_name"] == "North"
