@@ -107,3 +107,15 @@ def test_empty_input_rejected(spark):
     from cellsight.operators._util import require_nonempty
     with pytest.raises(ValueError):
         require_nonempty(spark.range(0), "usage data")
+
+
+def test_hour_and_date_ignore_session_zone(spark, tmp_dir):
+    # H1: wall-clock timestamps (TIMESTAMP_NTZ) give the same hour and date in any session zone.
+    write(os.path.join(tmp_dir, "z.csv"), RAW_HEADER + "2013-11-01 00:30:00,1,39,1,1,1,1,1\n")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Rome")
+        row = cleaning.clean_raw(read_raw_activity(spark, os.path.join(tmp_dir, "z.csv"))).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert row["hour"] == 0 and str(row["event_date"]) == "2013-11-01"
