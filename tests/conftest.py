@@ -14,7 +14,9 @@ def spark():
     session = create_session("cellsight-tests", master="local[4]", shuffle_partitions=4,
                              extra={"spark.ui.enabled": "false"})
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellsight-test-ckpt-"))
+    # Use the configured checkpoint folder; set one only where none is configured.
+    from cellsight.session import checkpoint_root
+    checkpoint_root(session)
     yield session
     session.stop()
 
