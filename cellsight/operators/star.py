@@ -113,10 +113,13 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
     cols = [*group, "internet_mb"]
     small = counts.where(F.col("n") <= chunk_rows).select(
         *cols, F.explode(F.sequence(F.col("_off") + 1, F.col("_off") + F.col("n"))).alias("_ord"))
+    # The chunk table is tiny, so the partition count is given explicitly:
+    # AQE would otherwise coalesce it into one partition, i.e. one task.
+    spread = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = (counts.where(F.col("n") > chunk_rows)
               .select(*cols, "_off", "n",
                       F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk_rows))).alias("_k"))
-              .repartition(*cols, "_k"))
+              .repartition(spread, *cols, "_k"))
     first = F.col("_off") + F.col("_k") * chunk_rows + 1
     last = F.col("_off") + F.least(F.col("n"), (F.col("_k") + 1) * chunk_rows)
     large = chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_ord"))

@@ -65,3 +65,14 @@ def test_checks_detect_violations(spark):
     import pytest
     with pytest.raises(ValueError):
         star.assert_star_valid(broken)
+
+
+def test_hot_group_is_expanded_by_several_tasks(spark):
+    # A group of copies is cut into chunks; the chunks are spread before expansion.
+    rows = [("g1", 1.0, 2.0, 3.0, "2013-11-01 10:00:00", "A", "X")] * 40 + \
+           [("g2", 5.0, 2.0, 3.0, "2013-11-01 11:00:00", "A", "X")]
+    base = star.usage_counts(star.prepare_usage(cleaned(spark, rows)))
+    fact = star.fact_usage(base, chunk_rows=4).withColumn("task", F.spark_partition_id())
+    hot = fact.where("call_count = 1").collect()
+    assert len(hot) == 40 and len({r["usage_id"] for r in hot}) == 40
+    assert len({r["task"] for r in hot}) >= 2
