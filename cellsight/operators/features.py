@@ -88,3 +88,10 @@ def build_features(star: Star, region: str | None = None) -> DataFrame:
 def region_features(star: Star, region: str) -> DataFrame:
     """Features of one region, named as the report expects."""
     return build_features(star, region).withColumnRenamed("region_name", "region")
+
+
+def region_features_or_raise(star: Star, region: str) -> DataFrame:
+    """:func:`region_features`, raising ``LookupError`` for an unknown region."""
+    if star.dim_region.where(region_matches(region)).isEmpty():
+        raise LookupError(f"Region '{region}' not found")
+    return region_features(star, region)

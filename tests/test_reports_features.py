@@ -34,6 +34,8 @@ def test_region_match_ignores_case(spark):
     assert len(feats) == 1 and feats[0]["region"] == "milan"
     with pytest.raises(LookupError):
         reports.region_usage_or_raise(s, "rome")
+    with pytest.raises(LookupError):
+        features.region_features_or_raise(s, "rome")
 
 
 def test_empty_totals_are_zero(spark):
