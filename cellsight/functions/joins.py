@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Upper bound on rows of a lookup table shipped to every executor.
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
+# Verdicts of earlier checks, keyed by plan and input files (most recent last).
+_VERDICTS: OrderedDict = OrderedDict()
+_MAX_VERDICTS = 256
+
+
+def _snapshot_key(df: DataFrame, max_rows: int):
+    """(plan, input files, bound) for frames read from files; None otherwise.
+
+    Spark writes new part-file names on every write, so a rewritten table
+    gets a new key and is checked again.
+    """
+    try:
+        files = tuple(sorted(df.inputFiles()))
+        return (df.semanticHash(), files, max_rows) if files else None
+    except Exception:
+        return None
+
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after checking it has at most ``max_rows`` rows.
 
-    The check stops reading after ``max_rows + 1`` rows. Beyond the bound the
-    frame is returned unchanged and the join falls back to a shuffle join
-    (which AQE may still turn into a broadcast from measured sizes).
+    The check stops reading after ``max_rows + 1`` rows and is remembered for
+    the same plan over the same input files. Beyond the bound the frame is
+    returned unchanged and the join falls back to a shuffle join (which AQE
+    may still turn into a broadcast from measured sizes).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = _snapshot_key(df, max_rows)
+    if key is not None and key in _VERDICTS:
+        _VERDICTS.move_to_end(key)
+        small = _VERDICTS[key]
+    else:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _VERDICTS[key] = small
+            while len(_VERDICTS) > _MAX_VERDICTS:
+                _VERDICTS.popitem(last=False)
+    return F.broadcast(df) if small else df

@@ -36,3 +36,19 @@ def test_broadcast_check(spark, n):
     df = spark.range(n)
     assert "broadcast" in broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in broadcast_if_small(df, 2)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_broadcast_check_rechecks_rewritten_table(spark, tmp_dir):
+    import os
+
+    from cellsight.functions.joins import broadcast_if_small
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+    path = os.path.join(tmp_dir, "lookup")
+    spark.range(3).write.parquet(path)
+    assert hinted(broadcast_if_small(spark.read.parquet(path), 5))
+    assert hinted(broadcast_if_small(spark.read.parquet(path), 5))   # remembered
+    spark.range(10).write.mode("overwrite").parquet(path)
+    assert not hinted(broadcast_if_small(spark.read.parquet(path), 5))  # new files, new check
