@@ -16,21 +16,22 @@ def records_per_file(raw_with_lineage: DataFrame) -> DataFrame:
             .orderBy("source_file"))
 
 
-def calls_per_hour(df: DataFrame) -> DataFrame:
+def calls_per_hour(df: DataFrame, ordered: bool = True) -> DataFrame:
     """Sum of call_count by hour (A2)."""
-    return df.groupBy("hour").agg(F.sum("call_count").alias("total_calls")).orderBy("hour")
+    out = df.groupBy("hour").agg(F.sum("call_count").alias("total_calls"))
+    return out.orderBy("hour") if ordered else out
 
 
-def sms_per_region_day(df: DataFrame) -> DataFrame:
+def sms_per_region_day(df: DataFrame, ordered: bool = True) -> DataFrame:
     """Sum of sms_count by (event_date, grid_id) (A3)."""
-    return (df.groupBy("event_date", "grid_id").agg(F.sum("sms_count").alias("total_sms"))
-            .orderBy("event_date", "grid_id"))
+    out = df.groupBy("event_date", "grid_id").agg(F.sum("sms_count").alias("total_sms"))
+    return out.orderBy("event_date", "grid_id") if ordered else out
 
 
-def internet_per_day(df: DataFrame) -> DataFrame:
+def internet_per_day(df: DataFrame, ordered: bool = True) -> DataFrame:
     """Sum of internet_usage by event_date (A4)."""
-    return (df.groupBy("event_date").agg(F.sum("internet_usage").alias("total_internet_usage"))
-            .orderBy("event_date"))
+    out = df.groupBy("event_date").agg(F.sum("internet_usage").alias("total_internet_usage"))
+    return out.orderBy("event_date") if ordered else out
 
 
 def top_peak_hours(df: DataFrame, k: int = 5) -> DataFrame:
@@ -47,18 +48,21 @@ def hourly_grid_base(df: DataFrame) -> DataFrame:
         F.sum("internet_usage").alias("internet_usage"))
 
 
-def compute_summaries(df: DataFrame, shared_pass: bool = False) -> dict[str, DataFrame]:
-    """The four ETL summary tables.
+def compute_summaries(df: DataFrame, shared_pass: bool = False,
+                      ordered: bool = False) -> dict[str, DataFrame]:
+    """The four ETL summary tables, as written by the ETL (K2).
 
-    With ``shared_pass`` the rows are first reduced to (date, hour, grid)
-    grain, which the caller may persist so the four summaries read it instead
-    of the full table.
+    Not sorted by default: a global sort before a Parquet write costs a
+    range shuffle and the file order is not kept on read anyway; readers
+    sort (the per-summary functions sort by default). With ``shared_pass``
+    the rows are first reduced to (date, hour, grid) grain, which the caller
+    may persist so the four summaries read it instead of the full table.
     """
     src = hourly_grid_base(df) if shared_pass else df
     return {
-        "calls_per_hour": calls_per_hour(src),
-        "sms_per_region_day": sms_per_region_day(src),
-        "internet_per_day": internet_per_day(src),
+        "calls_per_hour": calls_per_hour(src, ordered),
+        "sms_per_region_day": sms_per_region_day(src, ordered),
+        "internet_per_day": internet_per_day(src, ordered),
         "top_5_peak_hours": top_peak_hours(src, 5),
     }
 
