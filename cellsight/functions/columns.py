@@ -20,7 +20,7 @@ def _col(c) -> Column:
 
 def measure(c) -> Column:
     """A raw measure with null and NaN read as 0.0 (P1-P3, D-11)."""
-    return F.coalesce(F.nanvl(_col(c), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(F.nanvl(_col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def total_usage(call="call_count", sms="sms_count", internet="internet_usage") -> Column:

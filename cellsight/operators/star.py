@@ -45,7 +45,7 @@ def prepare_usage(cleaned: DataFrame) -> DataFrame:
     city = F.coalesce(F.col("city"), F.lit("Unknown")) if "city" in df.columns else F.lit("Unknown")
 
     def count(c):
-        return F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).cast("int")
+        return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).cast("int")
 
     return df.select(
         F.col("event_date").cast("date").alias("date"),
@@ -54,7 +54,7 @@ def prepare_usage(cleaned: DataFrame) -> DataFrame:
         city.alias("city"),
         count("call_count").alias("call_count"),
         count("sms_count").alias("sms_count"),
-        F.coalesce(F.nanvl(F.col("internet_usage"), F.lit(0.0)), F.lit(0.0)).alias("internet_mb"))
+        F.coalesce(F.nanvl(F.col("internet_usage").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("internet_mb"))
 
 
 def usage_counts(usage: DataFrame) -> DataFrame:
