@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsight.functions.columns import decimal_text, surrogate_key, weekday_name
+from cellsight.functions.columns import surrogate_key, weekday_name
 from cellsight.session import materialize
 
 # Rows of one group of equal facts expanded by a single task.
@@ -105,7 +105,8 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
     count above ``chunk_rows`` is cut into chunks expanded by separate tasks.
     """
     keyed = base.select(time_key().alias("time_id"), region_key().alias("region_id"), "call_count",
-                        "sms_count", "internet_mb", decimal_text("internet_mb", 4).alias("_inet"), "n")
+                        "sms_count", "internet_mb", F.col("internet_mb").cast("decimal(18,4)").alias("_inet"),
+                        "n")
     group = ["time_id", "region_id", "call_count", "sms_count", "_inet"]
     before = Window.partitionBy(*group).orderBy("internet_mb").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.withColumn("_off", F.coalesce(F.sum("n").over(before), F.lit(0)))
