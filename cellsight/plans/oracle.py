@@ -487,3 +487,27 @@ SQL["A5_top_5_peak_hours_lineitem"] = with_ctes(["enriched_li"], f"""SELECT hour
 SQL["T3_fact_usage_lineitem"] = with_ctes(["fact_li"], f"""SELECT usage_id, time_id, region_id, call_count,
   sms_count, {r6('internet_mb', 'internet_mb')} FROM fact_li""")
 SQL["M1_features_lineitem"] = with_ctes(["features_li"], f"SELECT region_name, {_FEATURE_COLS} FROM features_li")
+
+
+def _profile_sql() -> str:
+    numeric = [("call_count", "double"), ("sms_count", "double"), ("internet_usage", "double"), ("hour", "int")]
+    other = [("timestamp", "timestamp_ntz"), ("grid_id", "string"), ("day", "date")]
+    parts = []
+    for name, dtype in numeric:
+        parts.append(f"""SELECT '{name}' AS "column", '{dtype}' AS dtype, COUNT({name}) AS count,
+  COUNT(*) - COUNT({name}) AS nulls, {rnd(f'AVG({name})')} AS mean, {rnd(f'stddev_samp({name})')} AS std,
+  {rnd(f'CAST(MIN({name}) AS DOUBLE)')} AS min, {rnd(f'quantile_cont({name}, 0.25)')} AS p25,
+  {rnd(f'quantile_cont({name}, 0.5)')} AS p50, {rnd(f'quantile_cont({name}, 0.75)')} AS p75,
+  {rnd(f'CAST(MAX({name}) AS DOUBLE)')} AS max, CAST(NULL AS BIGINT) AS "unique",
+  CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM flat_clean""")
+    for name, dtype in other:
+        top = f"""(SELECT CAST({name} AS VARCHAR) AS v, COUNT(*) AS c FROM flat_clean WHERE {name} IS NOT NULL
+             GROUP BY 1 ORDER BY c DESC, v LIMIT 1)"""
+        parts.append(f"""SELECT '{name}', '{dtype}', COUNT({name}), COUNT(*) - COUNT({name}),
+  CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+  CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), COUNT(DISTINCT {name}),
+  (SELECT v FROM {top}), (SELECT c FROM {top}) FROM flat_clean""")
+    return with_ctes(["flat_clean"], "\nUNION ALL\n".join(parts))
+
+
+SQL["Q6b_profile_columns"] = _profile_sql()

@@ -12,8 +12,7 @@ import __spark_entry__ as E  # noqa: E402
 from oracle_check import duck, normalise  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-FAST_ROWS_ONLY = {"M4_train_model", "M5_evaluate", "M6_K4_K5_score_batch", "M7_E5_predict_risk",
-                  "Q6b_profile_columns"}
+FAST_ROWS_ONLY = {"M4_train_model", "M5_evaluate", "M6_K4_K5_score_batch", "M7_E5_predict_risk"}
 
 
 def test_entry(spark):
