@@ -10,26 +10,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.operators.cleaning import clean_raw
+from pyspark.sql.types import StringType, StructField, StructType
+
+from cellsight.operators.cleaning import clean_flat_usage, clean_raw
 from cellsight.operators.enrich import enrich_region
-from cellsight.schemas import RAW_ACTIVITY
+from cellsight.schemas import FLAT_REQUIRED, RAW_ACTIVITY
+
+# The flat layout is read as text; types are fixed by the cleaning step.
+FLAT_TEXT = StructType([StructField(c, StringType(), True) for c in FLAT_REQUIRED])
 from cellsight.sinks import write_cleaned
 
 
 def start_landing_ingest(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_location: str,
                          mapping: DataFrame | None = None, max_files_per_trigger: int | None = None,
-                         available_now: bool = True):
+                         available_now: bool = True, layout: str = "raw"):
     """Start the ingest; returns the ``StreamingQuery``.
 
+    ``layout`` is ``"raw"`` (8-column activity files) or ``"flat"`` (the
+    5-column layout checked at the landing zone, columns in that order).
+
     Output: ``<out_dir>/batch=<id>/event_date=<date>/*.parquet``; reading
     ``out_dir`` as Parquet returns all cleaned rows (with ``batch`` and
     ``event_date`` partition columns). ``available_now`` processes what is
     there and stops; otherwise the query keeps watching the folder.
     """
-    reader = spark.readStream.schema(RAW_ACTIVITY).option("header", True)
+    if layout not in ("raw", "flat"):
+        raise ValueError(f"unknown layout: {layout}")
+    schema = RAW_ACTIVITY if layout == "raw" else FLAT_TEXT
+    reader = spark.readStream.schema(schema).option("header", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = enrich_region(clean_raw(reader.csv(landing_dir)), mapping)
+    stream = reader.csv(landing_dir)
+    cleaned = clean_raw(stream) if layout == "raw" else clean_flat_usage(stream)
+    rows = enrich_region(cleaned, mapping)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         write_cleaned(batch, f"{out_dir}/batch={batch_id}", mode="overwrite")

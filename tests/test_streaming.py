@@ -22,3 +22,14 @@ def test_incremental_ingest(spark, tmp_dir):
     rows = spark.read.parquet(out)
     assert rows.count() == 3  # a.csv was not read again
     assert rows.where("grid_id = '3'").first()["call_count"] == 4.0
+
+
+def test_flat_layout_ingest(spark, tmp_dir):
+    landing, out, ckpt = (os.path.join(tmp_dir, x) for x in ("landing", "out", "ckpt"))
+    os.makedirs(landing)
+    with open(os.path.join(landing, "f.csv"), "w") as fh:
+        fh.write("timestamp,grid_id,call_count,sms_count,internet_usage\n"
+                 "2013-11-01 10:00:00,7,2,3,4.5\nbad,7,1,1,1\n")
+    start_landing_ingest(spark, landing, out, ckpt, layout="flat").awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 1 and rows[0]["call_count"] == 2.0 and rows[0]["hour"] == 10
