@@ -33,19 +33,22 @@ def _first_lines(sample_rows: int):
     keep = sample_rows + 1  # header + sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
+        seen: dict[str, int] = {}  # lines kept so far per file (files arrive in order)
         for pdf in batches:
-            out_path, out_no, out_fields = [], [], []
-            for path, line in zip(pdf["path"], pdf["line"]):
-                n = seen.get(path, 0)
-                if n >= keep or line is None or not line.strip():
-                    continue  # blank lines are skipped, as a CSV reader does
-                seen[path] = n + 1
-                out_path.append(path)
-                out_no.append(n)
-                out_fields.append(next(csv.reader([line])))
-            if out_path:
-                yield pd.DataFrame({"path": out_path, "line_no": out_no, "fields": out_fields})
+            pdf = pdf[pdf["line"].notna() & (pdf["line"].str.strip() != "")]  # blank lines are skipped
+            if pdf.empty:
+                continue
+            offset = pdf["path"].map(seen).fillna(0).astype("int64")
+            line_no = pdf.groupby("path", sort=False).cumcount() + offset
+            kept = pdf[line_no < keep]
+            if kept.empty:
+                continue
+            kept_no = line_no[line_no < keep]
+            for path, n in kept.groupby("path", sort=False).size().items():
+                seen[path] = seen.get(path, 0) + int(n)
+            fields = [next(csv.reader([line])) for line in kept["line"]]
+            yield pd.DataFrame({"path": kept["path"].to_numpy(), "line_no": kept_no.astype("int32").to_numpy(),
+                                "fields": fields})
     return run
 
 
