@@ -138,42 +138,52 @@ def q_scan_cleaned(spark, d):
     return rounded(read_cleaned(spark, path))
 
 
-def _landing(spark, d):
-    """Flat folder of landing CSV files ``usage_<day>_<k>.csv`` derived from events.
+def _daily_csv_files(spark, df, day_text, prefix):
+    """Write ``df`` as CSV files named ``<prefix>_<day>_<k>.csv`` in one folder.
 
-    Written partitioned by day, then each part file is renamed into one
-    folder (metadata operations on the driver), as files arrive upstream.
+    Written partitioned by day (a rebalance on the day keeps a day's rows
+    together), then each part file is renamed into one folder (metadata
+    operations on the driver), as files arrive upstream. Returns a glob.
     """
-    flat = adapters.flat_usage_from_events(table(spark, d, "events"))
-    staged = scratch_path(spark, "landing-staged")
-    (flat.withColumn("day", F.substring("timestamp", 1, 10)).hint("rebalance", "day")
-     .write.mode("overwrite").option("header", True).partitionBy("day").csv(staged))
-    target = scratch_path(spark, "landing")
+    staged = scratch_path(spark, f"{prefix}-staged")
+    (df.withColumn("_day", day_text).hint("rebalance", "_day")
+     .write.mode("overwrite").option("header", True).partitionBy("_day").csv(staged))
+    target = scratch_path(spark, prefix)
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(staged)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = jvm.org.apache.hadoop.fs.Path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(target))
-    parts = sorted(st.getPath().toString() for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/day=*/*.csv")))
+    parts = sorted(st.getPath().toString()
+                   for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/_day=*/*.csv")))
     seen: dict[str, int] = {}
     for part in parts:
-        day = part.split("day=")[1].split("/")[0]
+        day = part.split("_day=")[1].split("/")[0]
         k = seen.get(day, 0)
         seen[day] = k + 1
-        fs.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(f"{target}/usage_{day}_{k}.csv"))
+        fs.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(f"{target}/{prefix}_{day}_{k}.csv"))
     return f"{target}/*.csv"
 
 
+def _landing(spark, d):
+    """Landing folder of flat CSV files ``usage_<day>_<k>.csv`` derived from events."""
+    flat = adapters.flat_usage_from_events(table(spark, d, "events"))
+    return _daily_csv_files(spark, flat, F.substring("timestamp", 1, 10), "usage")
+
+
 def q_list_landing(spark, d):
-    return list_landing(spark, _landing(spark, d)).select("file_name", "length")
+    # Paths and byte sizes depend on the scratch folder and the CSV writer; names do not.
+    return list_landing(spark, _landing(spark, d)).select("file_name")
 
 
 def q_records_per_file(spark, d):
-    path = _csv_round_trip(spark, events_raw(spark, d), "raw-activity")
-    return rollups.records_per_file(read_raw_activity(spark, path, with_lineage=True))
+    raw = events_raw(spark, d)
+    pattern = _daily_csv_files(spark, raw, F.substring("datetime", 1, 10), "activity")
+    per_file = rollups.records_per_file(read_raw_activity(spark, pattern, with_lineage=True))
+    # The folder is a fresh scratch path; the file names are what identify the files.
+    return per_file.select(F.regexp_extract("source_file", r"([^/]+)$", 1).alias("file_name"), "records")
 
 
 def q_validate_files(spark, d):
-    return quality.validate_files(spark, _landing(spark, d))
+    return quality.validate_files(spark, _landing(spark, d)).drop("path")
 
 
 def q_route_files(spark, d):
@@ -181,7 +191,7 @@ def q_route_files(spark, d):
     checked = quality.validate_files(spark, pattern)
     # Files of the first four days count as already ingested.
     ingested = list_landing(spark, pattern).where(F.col("file_name").rlike("^usage_2024-01-0[1-4]_"))
-    return quality.route_files(checked, ingested)
+    return quality.route_files(checked, ingested).drop("path")
 
 
 def q_ingest_status(spark, d):

