@@ -61,3 +61,17 @@ def test_growth_variability_peak(spark):
     assert f["Two"]["variability"] == pytest.approx(4.0)
     # hourly totals: hour1 = 4, hour2 = 8 -> max / mean = 8 / 6
     assert f["Two"]["peak_ratio"] == pytest.approx(8 / 6)
+
+
+def test_region_reports_add_up_to_totals(spark):
+    # SURVEY §5 invariant: E2 hourly sums over every region = A12 totals.
+    from cellsight.plans.catalog import events_star
+    s = events_star(spark, "/root/testdata/sf0.001")
+    totals = reports.summary_totals(s).first()
+    calls = sms = inet = 0.0
+    for r in s.dim_region.select("region_name").distinct().collect():
+        part = reports.region_usage(s, r["region_name"]).where("kind = 'hourly_distribution'")
+        agg = part.agg(F.sum("calls"), F.sum("sms"), F.sum("internet_mb")).first()
+        calls, sms, inet = calls + agg[0], sms + agg[1], inet + agg[2]
+    assert calls == totals["total_calls"] and sms == totals["total_sms"]
+    assert inet == pytest.approx(totals["total_internet_mb"], rel=1e-12)
