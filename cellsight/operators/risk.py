@@ -78,9 +78,11 @@ def risk_pipeline(num_trees: int = 200, seed: int = 42, max_depth: int = 30) ->
     """Feature vector in fixed order -> random forest -> predicted label name (M4)."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features_vec"),
+        # Deep trees: node ids are cached per row (checkpointed to the checkpoint
+        # folder every 10 iterations) instead of shipping all trees each level.
         RandomForestClassifier(labelCol="label_index", featuresCol="features_vec", numTrees=num_trees,
                                maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt",
-                               impurity="gini", bootstrap=True),
+                               impurity="gini", bootstrap=True, cacheNodeIds=True),
         IndexToString(inputCol="prediction", outputCol="congestion_risk", labels=RISK_LABELS),
     ])
 
