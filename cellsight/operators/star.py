@@ -95,15 +95,23 @@ def fact_measures(usage: DataFrame) -> DataFrame:
                         "call_count", "sms_count", "internet_mb")
 
 
-def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
+def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS, id_mode: str = "content") -> DataFrame:
     """Fact rows with a unique ``usage_id`` (T3, D-1), from :func:`usage_counts`.
 
-    usage_id = key(time_id|region_id|call|sms|internet to 4 places|n), where n
-    numbers rows equal on that text 1, 2, ... in order of the exact internet
-    value. Rows equal on every fact column are interchangeable, so the table
-    is fully determined by the data. Each count expands into its rows; a
-    count above ``chunk_rows`` is cut into chunks expanded by separate tasks.
+    ``id_mode="content"`` (default): usage_id = key(time_id|region_id|call|
+    sms|internet to 4 places|n), where n numbers rows equal on that text 1,
+    2, ... in order of the exact internet value. Rows equal on every fact
+    column are interchangeable, so the table is fully determined by the data
+    and reproducible in SQL. The key has 60 bits: beyond about 10^9 fact rows
+    the birthday bound makes collisions likely (the primary-key check reports
+    them), so very large loads should use ``id_mode="sequence"``: positional
+    64-bit ids, unique by construction but not reproducible in another engine.
+
+    Each count expands into its rows; a count above ``chunk_rows`` is cut into
+    chunks expanded by separate tasks.
     """
+    if id_mode not in ("content", "sequence"):
+        raise ValueError(f"unknown id_mode: {id_mode}")
     keyed = base.select(time_key().alias("time_id"), region_key().alias("region_id"), "call_count",
                         "sms_count", "internet_mb", F.col("internet_mb").cast("decimal(18,4)").alias("_inet"),
                         "n")
@@ -125,24 +133,28 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
     last = F.col("_off") + F.least(F.col("n"), (F.col("_k") + 1) * chunk_rows)
     large = chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_ord"))
 
-    return small.unionByName(large).select(
-        surrogate_key("time_id", "region_id", "call_count", "sms_count", "_inet", "_ord").alias("usage_id"),
-        "time_id", "region_id", "call_count", "sms_count", "internet_mb")
+    numbered = small.unionByName(large)
+    usage_id = (surrogate_key("time_id", "region_id", "call_count", "sms_count", "_inet", "_ord")
+                if id_mode == "content" else F.monotonically_increasing_id())
+    return numbered.select(usage_id.alias("usage_id"), "time_id", "region_id", "call_count", "sms_count",
+                           "internet_mb")
 
 
-def build_star(cleaned: DataFrame, with_usage_id: bool = True, reliable_base: bool = False) -> Star:
+def build_star(cleaned: DataFrame, with_usage_id: bool = True, reliable_base: bool = False,
+               id_mode: str = "content") -> Star:
     """Dimensions and fact from cleaned (optionally enriched) rows.
 
     ``reliable_base`` writes the base count table to the session's
     checkpoint folder (one pass over ``cleaned``, then three cheap reads);
     otherwise each table recomputes it. ``with_usage_id=False`` gives fact
-    rows without the numbering, for callers that only read measures.
+    rows without the numbering, for callers that only read measures;
+    ``id_mode`` is passed to :func:`fact_usage`.
     """
     usage = prepare_usage(cleaned)
     base = usage_counts(usage)
     if reliable_base:
         base = materialize(base, "star-base")
-    fact = fact_usage(base) if with_usage_id else fact_measures(usage)
+    fact = fact_usage(base, id_mode=id_mode) if with_usage_id else fact_measures(usage)
     return Star(dim_time(base), dim_region(base), fact)
 
 

@@ -76,3 +76,12 @@ def test_hot_group_is_expanded_by_several_tasks(spark):
     hot = fact.where("call_count = 1").collect()
     assert len(hot) == 40 and len({r["usage_id"] for r in hot}) == 40
     assert len({r["task"] for r in hot}) >= 2
+
+
+def test_sequence_ids_are_unique(spark):
+    rows = [("g1", 1.0, 1.0, 2.0, "2013-11-01 10:00:00", "A", "X")] * 7 + \
+           [("g2", 3.0, 1.0, 2.0, "2013-11-01 12:00:00", "B", "X")] * 3
+    s = star.build_star(cleaned(spark, rows), id_mode="sequence")
+    ids = [r["usage_id"] for r in s.fact.collect()]
+    assert len(ids) == 10 and len(set(ids)) == 10
+    assert all(r["violations"] == 0 for r in star.star_checks(s).collect())
