@@ -4,10 +4,11 @@ Each entry takes (spark, sf_dir) and returns a DataFrame built from the
 tables in ``sf_dir`` through the adapters in :mod:`cellsight.sources.adapters`.
 Double columns are rounded to 12 significant digits, but to no more than 10
 decimal places, at the very end so that results can be compared value by
-value with another engine (summation order moves the last bits of a double;
-a ratio of two near-equal sums keeps that noise at about 1e-15 absolute). Before rounding, values are moved away from
-zero by a relative 1e-13, so an exact tie rounds the same way whichever side
-of it a summation lands. The library functions return full precision.
+value with another engine: summation order moves the last bits of a double,
+and a ratio of two near-equal sums keeps that noise at about 1e-15 absolute.
+Before rounding, values are moved away from zero by a relative 1e-13, so an
+exact tie rounds the same way whichever side of it a summation lands. The
+library functions return full precision.
 """
 
 from __future__ import annotations
