@@ -28,6 +28,20 @@ def _snapshot_key(df: DataFrame, max_rows: int):
         return None
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows (remembered like the broadcast check)."""
+    key = _snapshot_key(df, max_rows)
+    if key is not None and key in _VERDICTS:
+        _VERDICTS.move_to_end(key)
+        return _VERDICTS[key]
+    small = df.limit(max_rows + 1).count() <= max_rows
+    if key is not None:
+        _VERDICTS[key] = small
+        while len(_VERDICTS) > _MAX_VERDICTS:
+            _VERDICTS.popitem(last=False)
+    return small
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after checking it has at most ``max_rows`` rows.
 
@@ -36,14 +50,4 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     returned unchanged and the join falls back to a shuffle join (which AQE
     may still turn into a broadcast from measured sizes).
     """
-    key = _snapshot_key(df, max_rows)
-    if key is not None and key in _VERDICTS:
-        _VERDICTS.move_to_end(key)
-        small = _VERDICTS[key]
-    else:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            _VERDICTS[key] = small
-            while len(_VERDICTS) > _MAX_VERDICTS:
-                _VERDICTS.popitem(last=False)
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
