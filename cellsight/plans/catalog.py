@@ -27,6 +27,7 @@ from cellsight.sinks import (load_model, save_model, write_cleaned, write_predic
 from cellsight.sources import adapters
 from cellsight.sources.files import (list_landing, read_cleaned, read_flat_csv, read_raw_activity,
                                      read_region_mapping, read_star)
+from cellsight.streaming import start_landing_ingest
 
 # Region used by the single-region reports; written in another case than the
 # data to exercise the case-insensitive match.
@@ -211,6 +212,19 @@ def q_clean_flat_usage(spark, d):
     return rounded(cleaning.clean_flat_usage(read_flat_csv(spark, path)))
 
 
+def q_streaming_ingest(spark, d):
+    """Raw activity files (one per day) through the streaming ingest, read back.
+
+    The batch folder is how the stream stores its micro-batches; the rows are
+    the cleaned, enriched usage rows.
+    """
+    pattern = _daily_csv_files(spark, events_raw(spark, d), F.substring("datetime", 1, 10), "stream")
+    landing = pattern.rsplit("/", 1)[0]
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    start_landing_ingest(spark, landing, out, ckpt, events_mapping(spark, d)).awaitTermination()
+    return rounded(spark.read.parquet(out).drop("batch"))
+
+
 def q_activity_long(spark, d):
     return rounded(cleaning.activity_long(events_cleaned(spark, d)))
 
@@ -518,6 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S8_A1_records_per_file": q_records_per_file,
     "P1_P7_clean_raw": q_clean_raw,
     "P9_activity_long": q_activity_long,
+    "S1_J1_K1_streaming_ingest": q_streaming_ingest,
     "S4_P1_P7_clean_flat_usage": q_clean_flat_usage,
     "P10_Q3_F4_F5_D2_clean_flat": q_clean_flat,
     "Q1_validate_files": q_validate_files,

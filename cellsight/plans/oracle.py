@@ -533,3 +533,5 @@ SQL["Q2b_ingest_status"] = with_ctes(["landing"], f"""SELECT status, CAST(COUNT(
 
 SQL["S8_A1_records_per_file"] = """SELECT 'activity_' || strftime(ts, '%Y-%m-%d') || '_0.csv' AS file_name,
   CAST(COUNT(*) AS BIGINT) AS records FROM events WHERE ts IS NOT NULL GROUP BY 1"""
+
+SQL["S1_J1_K1_streaming_ingest"] = SQL["J1_enrich_region"]
