@@ -408,6 +408,10 @@ def q_features_lineitem(spark, d):
     return rounded(features.build_features(lineitem_star(spark, d)))
 
 
+def q_label_risk_lineitem(spark, d):
+    return rounded(risk.label_risk(features.build_features(lineitem_star(spark, d))))
+
+
 def q_usage_summary(spark, d):
     return rounded(reports.usage_summary(events_star(spark, d, with_ids=False)))
 
@@ -571,6 +575,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "T3_fact_usage_lineitem": q_fact_usage_lineitem,
     "E1_usage_summary_lineitem": q_usage_summary_lineitem,
     "M1_features_lineitem": q_features_lineitem,
+    "M2_label_risk_lineitem": q_label_risk_lineitem,
     "E1_usage_summary": q_usage_summary,
     "E2_region_usage": q_region_usage,
     "E3_peak_traffic": q_peak_traffic,

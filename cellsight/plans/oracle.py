@@ -535,3 +535,11 @@ SQL["S8_A1_records_per_file"] = """SELECT 'activity_' || strftime(ts, '%Y-%m-%d'
   CAST(COUNT(*) AS BIGINT) AS records FROM events WHERE ts IS NOT NULL GROUP BY 1"""
 
 SQL["S1_J1_K1_streaming_ingest"] = SQL["J1_enrich_region"]
+
+CTE["labelled_li"] = """labelled_li AS (
+  SELECT f.*, CASE WHEN avg_usage >= q.p90 THEN 'HIGH' WHEN avg_usage >= q.p50 THEN 'MEDIUM'
+                   ELSE 'LOW' END AS label
+  FROM features_li f, (SELECT quantile_cont(avg_usage, 0.5) AS p50, quantile_cont(avg_usage, 0.9) AS p90
+                       FROM features_li) q)"""
+DEPENDS["labelled_li"] = ["features_li"]
+SQL["M2_label_risk_lineitem"] = with_ctes(["labelled_li"], f"SELECT region_name, {_FEATURE_COLS}, label FROM labelled_li")
