@@ -119,3 +119,12 @@ def test_hour_and_date_ignore_session_zone(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert row["hour"] == 0 and str(row["event_date"]) == "2013-11-01"
+
+
+def test_header_check_option(spark, tmp_dir):
+    # D-10: by default columns bind by position; check_header makes Spark verify the names.
+    import pytest
+    write(os.path.join(tmp_dir, "h.csv"), "when,cell,cc,a,b,c,d,e\n2013-11-01 10:00:00,1,39,1,1,1,1,1\n")
+    assert read_raw_activity(spark, os.path.join(tmp_dir, "h.csv")).count() == 1
+    with pytest.raises(Exception):
+        read_raw_activity(spark, os.path.join(tmp_dir, "h.csv"), check_header=True).collect()

@@ -52,3 +52,11 @@ def test_broadcast_check_rechecks_rewritten_table(spark, tmp_dir):
     assert hinted(broadcast_if_small(spark.read.parquet(path), 5))   # remembered
     spark.range(10).write.mode("overwrite").parquet(path)
     assert not hinted(broadcast_if_small(spark.read.parquet(path), 5))  # new files, new check
+
+
+def test_large_lookup_falls_back_to_shuffle_join(spark):
+    usage = spark.createDataFrame([("g1", 1.0), ("g2", 2.0), ("g3", 3.0)], "grid_id string, call_count double")
+    m = spark.createDataFrame([("g1", "A", "c"), ("g2", "B", "d")], "grid_id string, region_name string, city string")
+    small = sorted(tuple(r) for r in enrich.enrich_region(usage, m).collect())
+    large = sorted(tuple(r) for r in enrich.enrich_region(usage, m, max_broadcast_rows=1).collect())
+    assert small == large and len(large) == 3
