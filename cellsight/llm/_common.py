@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold(col: str, doc_id="doc_id", modulus: int = 5):
+def fold(id_col: str = "doc_id", modulus: int = 5):
     """crc32 of the id's text modulo ``modulus``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
 class HashCache(dict):
@@ -63,3 +64,23 @@ def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 16 << 20)
         step = max(1, int(rows * max_bytes / max(batch.nbytes, 1)))
         for start in range(0, rows, step):
             yield batch.slice(start, step)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet (compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """At most ``rows`` rows in a record batch while wide rows (packed blocks, sets) are written."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

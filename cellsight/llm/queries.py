@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import bpe, language_id, quality_resample
+from cellsight.llm import ann, bpe, exact_topk, language_id, line_dedup, near_dedup, quality_resample
 from cellsight.llm._common import read_table
 
 
@@ -14,15 +14,33 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_resample.resample(docs, labels)[0]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return bpe.digest(read_table(spark, sf_dir, "documents"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_language_id, op6_bpe)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components_by_document(read_table(spark, sf_dir, "documents"))
+
+
+def op10_approx_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_line_dedup, op4_language_id, op5_exact_topk, op6_bpe, op9_minhash_near_dedup,
+    op10_approx_nn)}
 SQL: dict[str, str] = {}
