@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import ann, bpe, exact_topk, language_id, line_dedup, near_dedup, quality_resample
+from cellsight.llm import (ann, bestfit_packing, bpe, exact_topk, html_extract, language_id, line_dedup, near_dedup,
+                           quality_resample)
 from cellsight.llm._common import read_table
 
 
@@ -18,6 +19,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: its bin, the bin's final length and the offset in it."""
+    return bestfit_packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -32,6 +38,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_by_document(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,6 @@ def op10_approx_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op2_line_dedup, op4_language_id, op5_exact_topk, op6_bpe, op9_minhash_near_dedup,
-    op10_approx_nn)}
+    op1_quality_classifier, op2_line_dedup, op3_best_fit_packing, op4_language_id, op5_exact_topk, op6_bpe,
+    op7_html_extraction, op9_minhash_near_dedup, op10_approx_nn)}
 SQL: dict[str, str] = {}
