@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import (ann, bestfit_packing, bpe, exact_topk, html_extract, language_id, line_dedup, near_dedup,
-                           quality_resample)
+from cellsight.llm import (ann, bestfit_packing, bpe, exact_topk, html_extract, language_id, line_dedup, lm_score,
+                           near_dedup, quality_resample)
 from cellsight.llm._common import read_table
 
 
@@ -42,6 +42,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_by_document(read_table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_approx_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_line_dedup, op3_best_fit_packing, op4_language_id, op5_exact_topk, op6_bpe,
-    op7_html_extraction, op9_minhash_near_dedup, op10_approx_nn)}
+    op7_html_extraction, op8_lm_scoring, op9_minhash_near_dedup, op10_approx_nn)}
 SQL: dict[str, str] = {}
