@@ -163,12 +163,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 length_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines gone from the text (and ``length_col``, if named, counted anew)."""
     joined, lost = _with_drops(docs, id_col, text_col)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             pairs = list(zip(texts_of(batch, text_col), texts_of(batch, lost), strict=True))
             new = [_keep(t, k)[0] if k else t for t, k in pairs]
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in docs.columns}
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
             cols[text_col] = pa.array(new, pa.string())
             if length_col:
                 old = texts_of(batch, length_col)
