@@ -3,12 +3,9 @@
 from cellsight.functions.columns import (decimal_text, measure, parse_event_time,
                                          parse_with_formats, surrogate_key, total_usage,
                                          weekday_name)
-from cellsight.functions.joins import broadcast_if_small, fits_broadcast
-from cellsight.functions.partitioning import ensure_parallelism
-from cellsight.functions.ranking import exact_percentiles, rank_within
+from cellsight.functions.ranking import column_percentiles, exact_percentiles, rank_within
 
 __all__ = [
     "decimal_text", "measure", "parse_event_time", "parse_with_formats", "surrogate_key",
-    "total_usage", "weekday_name", "broadcast_if_small", "fits_broadcast", "ensure_parallelism",
-    "exact_percentiles", "rank_within",
+    "total_usage", "weekday_name", "column_percentiles", "exact_percentiles", "rank_within",
 ]

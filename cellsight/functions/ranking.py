@@ -4,7 +4,9 @@ A window ``row_number() over (partition by g order by x)`` sends every row of
 a group to one task. Here rows are range-partitioned on (g, x, tie), so one
 large group spreads over many tasks; each task numbers its rows locally and a
 small table of per-(partition, group) counts turns local numbers into ranks.
-That table has at most (partitions + groups) rows.
+That table has at most (partitions + groups) rows. The numbered rows are
+written once and read by both: a range exchange planned twice samples its
+bounds twice, and numbers and offsets would then belong to two partitionings.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellsight.session import materialize
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row index
 
 
@@ -25,7 +29,8 @@ def rank_within(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequen
 
     Order is ascending with nulls last. Rows equal on every order column get
     distinct, adjacent ranks. ``few_groups`` broadcasts the per-partition count
-    table; set it only when the number of groups is small and known.
+    table; set it only when the number of groups is small and known. The rows
+    are written once to the checkpoint folder while this function runs.
     """
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -37,7 +42,8 @@ def rank_within(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequen
               .sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_loc", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
+              .withColumn("_loc", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)).drop("_mid", "_tie"))
+    placed = materialize(placed, "ranked-rows")
 
     gkeys = [f"_g{i}" for i in range(len(pcols))]
     runs = placed.groupBy(F.col("_pid").alias("_rpid"), *[F.col(c).alias(g) for c, g in zip(pcols, gkeys)]) \
@@ -62,22 +68,29 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
-    """Linear-interpolated percentiles of ``col`` (nulls and NaN ignored).
+    """Linear-interpolated percentiles of ``col`` (nulls and NaN ignored); see :func:`column_percentiles`."""
+    return column_percentiles(df, [col], probs)[col]
+
+
+def column_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Linear-interpolated percentiles of several columns, in one ranking of all their values.
 
-    Returns one float per probability (``nan`` when there are no values). Only
-    the values at the needed ranks reach the driver.
+    Returns one float per column and probability (``nan`` without values).
+    Only the values at the needed ranks reach the driver.
     """
-    values = df.select(F.col(col).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x"))
-    n = values.count()
-    if n == 0:
-        return [float("nan")] * len(probs)
-    positions = [p * (n - 1) for p in probs]
-    needed = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
-    ranked = rank_within(values, [], ["_x"], "_r", few_groups=True)
-    at = {r["_r"]: r["_x"] for r in ranked.where(F.col("_r").isin(needed)).collect()}
-    out = []
-    for pos in positions:
-        lo, hi = math.floor(pos), math.ceil(pos)
-        out.append(_lerp(at[lo], at[hi], pos - lo))
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(cols)])).alias("_v"))
+    values = values.select("_v._c", "_v._x").where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    ranked = rank_within(values, ["_c"], ["_x"], "_r", few_groups=True)
+    sizes = {r["_c"]: r["n"] for r in ranked.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    positions = {i: [p * (n - 1) for p in probs] for i, n in sizes.items()}
+    wanted = F.lit(False)
+    for i, at in positions.items():
+        ranks = sorted({r for pos in at for r in (math.floor(pos), math.ceil(pos))})
+        wanted = wanted | ((F.col("_c") == i) & F.col("_r").isin(ranks))
+    found = {(r["_c"], r["_r"]): r["_x"] for r in ranked.where(wanted).collect()}
+    out = {}
+    for i, c in enumerate(cols):
+        out[c] = [_lerp(found[i, math.floor(pos)], found[i, math.ceil(pos)], pos - math.floor(pos))
+                  for pos in positions[i]] if i in positions else [float("nan")] * len(probs)
     return out

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.functions.joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 
 def dedup_mapping(mapping: DataFrame) -> DataFrame:
@@ -20,17 +19,17 @@ def dedup_mapping(mapping: DataFrame) -> DataFrame:
             .select("grid_id", F.col("_best.r").alias("region_name"), F.col("_best.c").alias("city")))
 
 
-def enrich_region(cleaned: DataFrame, mapping: DataFrame | None,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def enrich_region(cleaned: DataFrame, mapping: DataFrame | None) -> DataFrame:
     """Left join of usage rows to the grid lookup.
 
     Unmatched grids keep null region_name and city; the lookup is made unique
     first, so the row count is preserved. Without a lookup (S3) the rows are
-    returned unchanged. The lookup is broadcast only after a size check.
+    returned unchanged. How the join runs is left to Spark, which measures
+    the lookup in bytes (``spark.sql.autoBroadcastJoinThreshold``, AQE).
     """
     if mapping is None:
         return cleaned
-    lookup = broadcast_if_small(dedup_mapping(mapping), max_broadcast_rows)
+    lookup = dedup_mapping(mapping)
     return cleaned.join(lookup, "grid_id", "left")
 
 
@@ -44,13 +43,18 @@ DEFAULT_PLAN = {
 }
 
 
-def enrich_plan(customers: DataFrame, plans: DataFrame | None = None,
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Attach plan attributes by customer_id, defaulting to :data:`DEFAULT_PLAN`."""
+def enrich_plan(customers: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """Attach plan attributes by customer_id, defaulting to :data:`DEFAULT_PLAN`.
+
+    A customer with several plans on record gets the smallest of them (by the
+    attributes in their order, nulls last), so each customer stays one row.
+    """
     attrs = list(DEFAULT_PLAN)
     if plans is None:
         return customers.select("*", *[F.lit(v).alias(k) for k, v in DEFAULT_PLAN.items()])
-    lookup = plans.select("customer_id", *[F.col(a).alias(f"_p_{a}") for a in attrs])
-    joined = customers.join(broadcast_if_small(lookup, max_broadcast_rows), "customer_id", "left")
+    key = [f for a in attrs for f in (F.col(a).isNull().alias(f"_n_{a}"), F.col(a).alias(f"_p_{a}"))]
+    lookup = (plans.groupBy("customer_id").agg(F.min(F.struct(*key)).alias("_best"))
+              .select("customer_id", *[F.col(f"_best._p_{a}").alias(f"_p_{a}") for a in attrs]))
+    joined = customers.join(lookup, "customer_id", "left")
     return joined.select(*customers.columns,
                          *[F.coalesce(F.col(f"_p_{a}"), F.lit(DEFAULT_PLAN[a])).alias(a) for a in attrs])

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsight.functions.joins import broadcast_if_small
 from cellsight.operators.reports import region_fact, region_matches
 from cellsight.operators.star import Star
 
@@ -27,7 +26,7 @@ def usage_rows(star: Star, region: str | None = None) -> DataFrame:
     if region is not None:
         dr = dr.where(region_matches(region))
     dt = star.dim_time.select("time_id", "date", "hour")
-    return (per_key.join(broadcast_if_small(dr), "region_id").join(broadcast_if_small(dt), "time_id")
+    return (per_key.join(dr, "region_id").join(dt, "time_id")
             .select("region_name", "date", "hour", "total_usage"))
 
 

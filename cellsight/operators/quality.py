@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsight.functions.columns import parse_with_formats
-from cellsight.functions.ranking import exact_percentiles
+from cellsight.functions.ranking import column_percentiles
 from cellsight.operators._util import single_row
 from cellsight.operators.cleaning import MEASURES, standardize_headers
 from cellsight.schemas import FLAT_REQUIRED
+from cellsight.session import materialize
 from cellsight.sources.files import list_landing
 
 # Fixed text values read as missing in a sampled field (the pandas defaults).
@@ -146,12 +147,15 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
     column, dtype, count, nulls, and for numbers mean, std, min, 25%, 50%,
     75%, max (exact); for other types unique, top, freq (top ties by value).
-    Counts and moments of all columns come from one aggregation; the exact
-    quartiles and the most frequent values need one job per column.
+    The input is written once. One aggregation gives the counts and moments
+    of all columns, one ranking the quartiles of all numeric ones, and one
+    count of values the distinct and most frequent values of the others.
     """
     spark = df.sparkSession
     numeric_types = {"double", "float", "int", "bigint", "smallint", "tinyint"}
     numeric = [n for n, t in df.dtypes if t in numeric_types or t.startswith("decimal")]
+    other = [n for n in df.columns if n not in numeric]
+    df = materialize(df, "profile-input")
     aggs = []
     for i, (name, _) in enumerate(df.dtypes):
         c = F.col(name)
@@ -159,22 +163,26 @@ def profile_columns(df: DataFrame) -> DataFrame:
         if name in numeric:
             aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
                      F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
-        else:
-            aggs += [F.count_distinct(c).alias(f"u{i}")]
     totals = df.agg(*aggs).first()
+    quartiles = column_percentiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
+    texts = {}
+    if other:
+        values = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in other])).alias("x"))
+        counted = (values.select("x.c", "x.v").where(F.col("v").isNotNull())
+                   .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+        best = counted.groupBy("c").agg(F.count(F.lit(1)).alias("u"),
+                                        F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("t"))
+        texts = {r["c"]: (r["u"], r["t"]["v"], -r["t"]["n"]) for r in best.collect()}
     rows = []
     for i, (name, dtype) in enumerate(df.dtypes):
         row = {"column": name, "dtype": dtype, "count": totals[f"c{i}"], "nulls": totals[f"n{i}"]}
         if name in numeric:
-            q25, q50, q75 = exact_percentiles(df, name, [0.25, 0.5, 0.75])
+            q25, q50, q75 = quartiles[name]
             row.update(mean=totals[f"m{i}"], std=totals[f"s{i}"], min=totals[f"lo{i}"], p25=q25, p50=q50,
                        p75=q75, max=totals[f"hi{i}"])
         else:
-            c = F.col(name)
-            top = (df.where(c.isNotNull()).groupBy(c.cast("string").alias("v")).count()
-                   .orderBy(F.desc("count"), F.asc("v")).limit(1).collect())
-            row.update(unique=totals[f"u{i}"], top=top[0]["v"] if top else None,
-                       freq=top[0]["count"] if top else None)
+            row.update(zip(("unique", "top", "freq"), texts.get(name, (0, None, None)), strict=True))
         rows.append(row)
     keys = ["column", "dtype", "count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max",
             "unique", "top", "freq"]

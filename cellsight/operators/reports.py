@@ -1,7 +1,7 @@
 """Usage reports over the star.
 
-Each report is a DataFrame. Dimensions are broadcast after a size check;
-the case-insensitive region filter runs on the region dimension before
+Each report is a DataFrame. Whether a dimension is broadcast is left to
+Spark, which goes by its size in bytes; the case-insensitive region filter runs on the region dimension before
 the join, so only that region's fact rows are joined.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.functions.joins import broadcast_if_small
 from cellsight.operators._util import single_row
 from cellsight.operators.star import Star
 
@@ -25,11 +24,11 @@ def _usage() -> Column:
 
 
 def _dims(star: Star, region: str | None = None):
-    dt = broadcast_if_small(star.dim_time.select("time_id", "date", "hour"))
+    dt = star.dim_time.select("time_id", "date", "hour")
     dr = star.dim_region.select("region_id", "region_name", "city")
     if region is not None:
         dr = dr.where(region_matches(region))
-    return dt, broadcast_if_small(dr)
+    return dt, dr
 
 
 def region_ids(star: Star, region: str) -> list[int]:

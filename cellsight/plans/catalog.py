@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cellsight.functions.joins import broadcast_if_small
 from cellsight.operators import cleaning, enrich, features, quality, reports, risk, rollups, star
 from cellsight.session import scratch_path
 from cellsight.sinks import (load_model, save_model, write_cleaned, write_predictions, write_star,
@@ -268,7 +267,7 @@ def q_dedup_mapping(spark, d):
     first = adapters.region_mapping_from_events(ev, nation, region)
     # A second candidate row per grid: the next nation, same region name.
     users = ev.select("user_id").distinct()
-    second = (users.join(broadcast_if_small(nation), nation.n_nationkey == F.pmod(users.user_id + 1, F.lit(25)))
+    second = (users.join(nation, nation.n_nationkey == F.pmod(users.user_id + 1, F.lit(25)))
               .select(adapters.grid_of_user().alias("grid_id"), F.col("n_name").alias("region_name"),
                       F.lit(None).cast("string").alias("city")))
     return enrich.dedup_mapping(first.unionByName(second))

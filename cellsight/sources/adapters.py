@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.functions.joins import broadcast_if_small
-from cellsight.functions.partitioning import ensure_parallelism
 
 # Fixed mapping of event types onto the five raw measures.
 EVENT_MEASURES = {
@@ -28,7 +26,6 @@ def grid_of_user(user_col="user_id"):
 
 def raw_activity_from_events(events: DataFrame) -> DataFrame:
     """events -> raw activity rows (datetime text, CellID, countrycode, 5 measures)."""
-    events = ensure_parallelism(events)
     cols = {name: F.when(F.col("event_type") == kind, F.col("value")).cast("double")
             for kind, name in EVENT_MEASURES.items()}
     return events.select(
@@ -45,7 +42,7 @@ def raw_activity_from_events(events: DataFrame) -> DataFrame:
 
 def nation_regions(nation: DataFrame, region: DataFrame) -> DataFrame:
     """nation_key -> (region_name = nation name, city = region name)."""
-    return (nation.join(broadcast_if_small(region), nation.n_regionkey == region.r_regionkey, "left")
+    return (nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
             .select(F.col("n_nationkey").alias("nation_key"),
                     F.col("n_name").alias("region_name"),
                     F.col("r_name").alias("city")))
@@ -62,14 +59,13 @@ def region_mapping_from_events(events: DataFrame, nation: DataFrame, region: Dat
     users = users.withColumn("nation_key", F.pmod(F.col("user_id"), F.lit(25)).cast("int"))
     if mapped_nations is not None:
         users = users.where(F.col("nation_key") < mapped_nations)
-    lookup = broadcast_if_small(nation_regions(nation, region))
+    lookup = nation_regions(nation, region)
     return (users.join(lookup, "nation_key", "left")
             .select(grid_of_user().alias("grid_id"), "region_name", "city"))
 
 
 def flat_usage_from_events(events: DataFrame) -> DataFrame:
     """events -> flat usage rows (timestamp text, grid_id, call, sms, internet)."""
-    events = ensure_parallelism(events)
     kind, value = F.col("event_type"), F.col("value")
     zero = F.lit(0.0)
     return events.select(
@@ -86,7 +82,6 @@ def usage_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
     event_timestamp = l_shipdate + (l_orderkey % 24) hours; grid = supplier.
     """
-    lineitem = ensure_parallelism(lineitem)
     ts = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.pmod("l_orderkey", F.lit(24)).cast("int"))
     return (lineitem.select(
         F.col("l_suppkey").cast("string").alias("grid_id"),
@@ -100,7 +95,7 @@ def usage_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 def region_mapping_from_suppliers(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """Supplier grid -> nation name and region name (benchmark lookup)."""
-    lookup = broadcast_if_small(nation_regions(nation, region))
+    lookup = nation_regions(nation, region)
     return (supplier.join(lookup, supplier.s_nationkey == lookup.nation_key, "left")
             .select(F.col("s_suppkey").cast("string").alias("grid_id"), "region_name", "city"))
 

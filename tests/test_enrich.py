@@ -30,33 +30,23 @@ def test_plan_defaults_and_lookup(spark):
     assert enrich.enrich_plan(customers).count() == 2
 
 
-@pytest.mark.parametrize("n", [3])
-def test_broadcast_check(spark, n):
-    from cellsight.functions.joins import broadcast_if_small
-    df = spark.range(n)
-    assert "broadcast" in broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in broadcast_if_small(df, 2)._jdf.queryExecution().analyzed().toString().lower()
-
-
-def test_broadcast_check_rechecks_rewritten_table(spark, tmp_dir):
-    import os
-
-    from cellsight.functions.joins import broadcast_if_small
-
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-
-    path = os.path.join(tmp_dir, "lookup")
-    spark.range(3).write.parquet(path)
-    assert hinted(broadcast_if_small(spark.read.parquet(path), 5))
-    assert hinted(broadcast_if_small(spark.read.parquet(path), 5))   # remembered
-    spark.range(10).write.mode("overwrite").parquet(path)
-    assert not hinted(broadcast_if_small(spark.read.parquet(path), 5))  # new files, new check
-
-
-def test_large_lookup_falls_back_to_shuffle_join(spark):
+def test_lookup_join_follows_the_session_threshold(spark):
     usage = spark.createDataFrame([("g1", 1.0), ("g2", 2.0), ("g3", 3.0)], "grid_id string, call_count double")
     m = spark.createDataFrame([("g1", "A", "c"), ("g2", "B", "d")], "grid_id string, region_name string, city string")
     small = sorted(tuple(r) for r in enrich.enrich_region(usage, m).collect())
-    large = sorted(tuple(r) for r in enrich.enrich_region(usage, m, max_broadcast_rows=1).collect())
-    assert small == large and len(large) == 3
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = sorted(tuple(r) for r in enrich.enrich_region(usage, m).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert small == shuffled and len(shuffled) == 3
+
+
+def test_several_plans_of_a_customer_are_one_row(spark):
+    customers = spark.createDataFrame([("c1",), ("c2",)], "customer_id string")
+    plans = spark.createDataFrame([("c1", "B", 1, 1, 1, "ACTIVE"), ("c1", "A", 2, 2, 2, "ACTIVE"), ("c1", None, 0, 0, 0, "X")],
+                                  "customer_id string, plan_name string, data_limit_mb int, "
+                                  "voice_limit_minutes int, sms_limit int, status string")
+    out = {r["customer_id"]: r["plan_name"] for r in enrich.enrich_plan(customers, plans).collect()}
+    assert out == {"c1": "A", "c2": "Premium Plus"}

@@ -25,6 +25,33 @@ def test_rank_within_skewed_group(spark):
         assert [x for _, x in got] == xs
 
 
+def test_ranks_of_many_rows_are_a_permutation(spark):
+    """450,000 rows, one group with nine tenths of them; whatever columns the caller keeps."""
+    df = (spark.range(450_000).withColumn("g", F.when(F.col("id") % 10 == 0, "A").otherwise("B"))
+          .withColumn("x", F.xxhash64("id") % 5000).withColumn("extra", F.md5(F.col("id").cast("string"))).repartition(8))
+    ranked = rank_within(df, ["g"], ["x"], "r", num_partitions=8)
+    seen = ranked.groupBy("g").agg(F.count("r").alias("n"), F.count_distinct("r").alias("d"), F.min("r").alias("lo"),
+                                   F.max("r").alias("hi")).collect()
+    for r in seen:
+        assert r["n"] == r["d"] == r["hi"] + 1 and r["lo"] == 0
+    ends = ranked.groupBy("g", "x").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("extra").alias("n"))
+    assert ends.where("hi - lo + 1 <> n").isEmpty()
+
+
+def test_split_of_many_rows_matches_row_number(spark, tmp_dir):
+    from pyspark.sql import Window
+    df = (spark.range(400_000).withColumn("region_name", F.concat(F.lit("r"), "id"))
+          .withColumn("label", F.when(F.col("id") % 10 == 0, "HIGH").when(F.col("id") % 10 < 5, "MEDIUM").otherwise("LOW"))
+          .repartition(8))
+    path = f"{tmp_dir}/split"
+    risk.stratified_split(df).write.parquet(path)
+    w = Window.partitionBy("label").orderBy(F.md5(F.concat(F.col("region_name"), F.lit("|42"))))
+    want = df.withColumn("n", F.row_number().over(w)).withColumn(
+        "want", F.when(F.col("n") <= F.round(F.count(F.lit(1)).over(Window.partitionBy("label")) * 0.2), "test").otherwise("train"))
+    both = spark.read.parquet(path).join(want.select("id", "want"), "id")
+    assert both.count() == 400_000 and both.where("split <> want").isEmpty()
+
+
 def test_labels_with_ties(spark):
     # M2: values equal to p50 / p90 take the higher label.
     feats = spark.createDataFrame([(f"r{i}", float(v)) for i, v in enumerate([1, 2, 2, 2, 3, 10, 10, 10, 10, 10])],
