@@ -29,12 +29,12 @@ def total_usage(call="call_count", sms="sms_count", internet="internet_usage") -
 
 
 def parse_event_time(c) -> Column:
-    """Wall-clock timestamp from text; unparseable text gives null (P5).
+    """Timestamp from text in UTC; unparseable text gives null (P5).
 
-    Casting to TIMESTAMP_NTZ keeps hour and date independent of the session
-    time zone (H1).
+    A UTC offset in the text is applied, so `00:30:00+01:00` is 23:30 of the
+    day before. The session's time zone is UTC (see ``apply_defaults``).
     """
-    return _col(c).try_cast("timestamp_ntz")
+    return F.try_to_timestamp(_col(c)).cast("timestamp_ntz")
 
 
 def parse_with_formats(c, formats=None) -> Column:
@@ -59,6 +59,15 @@ def surrogate_key(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def numeric_text(c) -> Column:
+    """Text as a double; anything but a plain number, NaN or infinity gives null (Q3).
+
+    A type suffix (`1d`, `2f`), which a cast alone would accept, is no number.
+    """
+    text = F.trim(_col(c).cast("string"))
+    return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
+
+
 def weekday_name(c) -> Column:
     """English day name, e.g. ``Friday``."""
     return F.date_format(_col(c), "EEEE")

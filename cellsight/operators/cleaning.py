@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.functions.columns import measure, parse_event_time, parse_with_formats
+from cellsight.functions.columns import measure, numeric_text, parse_event_time, parse_with_formats
 from cellsight.operators._util import require_columns, require_nonempty
 from cellsight.schemas import FLAT_REQUIRED
 
@@ -42,7 +42,7 @@ def clean_flat_usage(flat: DataFrame, time_formats=None) -> DataFrame:
     """
     df = standardize_headers(flat)
     require_columns(df, FLAT_REQUIRED)
-    num = {c: measure(F.trim(F.col(c).cast("string")).try_cast("double")) for c in MEASURES}
+    num = {c: measure(numeric_text(c)) for c in MEASURES}
     return (df.where(F.col("grid_id").isNotNull())
             .select(F.col("grid_id").cast("string").alias("grid_id"),
                     num["call_count"].alias("call_count"),
@@ -73,7 +73,7 @@ def coerce_flat(df: DataFrame, time_formats=None) -> DataFrame:
     """Type the flat layout: timestamp parsed, measures numeric; failures -> null (Q3)."""
     out = df.withColumn("timestamp", parse_with_formats(F.col("timestamp"), time_formats))
     for c in MEASURES:
-        out = out.withColumn(c, F.trim(F.col(c).cast("string")).try_cast("double"))
+        out = out.withColumn(c, numeric_text(c))
     return out
 
 

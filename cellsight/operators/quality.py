@@ -1,103 +1,96 @@
 """Landing-file checks and data-quality profiles.
 
-File validation reads each file's first block as text; a per-partition
-pass keeps the header and the first ``sample_rows`` data lines of every
-file (files are read in order within a split), so no file's lines are
-shuffled or gathered in one place.
+File validation keeps the header and the first ``sample_rows`` data lines of
+every file: lines are numbered by their place in the file and the rank limit
+is applied in each task before the lines are brought together by file. All
+of it runs on JVM-side expressions; a field Spark cannot make sense of only
+concerns its own file.
 """
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellsight.functions.columns import parse_with_formats
 from cellsight.functions.ranking import column_percentiles
 from cellsight.operators._util import single_row
-from cellsight.operators.cleaning import MEASURES, standardize_headers
+from cellsight.operators.cleaning import MEASURES, coerce_flat, standardize_headers
 from cellsight.schemas import FLAT_REQUIRED
 from cellsight.session import materialize
-from cellsight.sources.files import list_landing
+from cellsight.sources.files import file_uri, list_landing
 
 # Fixed text values read as missing in a sampled field (the pandas defaults).
 NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                 "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-SAMPLE_SCHEMA = "path string, line_no int, fields array<string>"
+# One CSV field with the comma before it: quoted (a doubled quote stands for one) or plain.
+_FIELD = r'(?:^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
+
 
+def csv_fields(line: Column) -> Column:
+    """The fields of one CSV line; quotes around a field are taken off."""
+    parts = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(0))
 
-def _first_lines(sample_rows: int):
-    keep = sample_rows + 1  # header + sample
+    def clean(part, i):
+        text = F.when(i > 0, F.substr(part, F.lit(2))).otherwise(part)
+        quoted = (F.length(text) >= 2) & text.startswith('"') & text.endswith('"')
+        return F.when(quoted, F.replace(F.substr(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))).otherwise(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}  # lines kept so far per file (files arrive in order)
-        for pdf in batches:
-            pdf = pdf[pdf["line"].notna() & (pdf["line"].str.strip() != "")]  # blank lines are skipped
-            if pdf.empty:
-                continue
-            offset = pdf["path"].map(seen).fillna(0).astype("int64")
-            line_no = pdf.groupby("path", sort=False).cumcount() + offset
-            kept = pdf[line_no < keep]
-            if kept.empty:
-                continue
-            kept_no = line_no[line_no < keep]
-            for path, n in kept.groupby("path", sort=False).size().items():
-                seen[path] = seen.get(path, 0) + int(n)
-            fields = [next(csv.reader([line])) for line in kept["line"]]
-            yield pd.DataFrame({"path": kept["path"].to_numpy(), "line_no": kept_no.astype("int32").to_numpy(),
-                                "fields": fields})
-    return run
+    return F.transform(parts, clean)
 
 
 def sample_files(spark: SparkSession, pattern: str, sample_rows: int = 200) -> DataFrame:
-    """Header (line_no 0) and first ``sample_rows`` data lines of each file, as CSV fields."""
+    """(uri, line_no, fields): header (line_no 0) and first ``sample_rows`` data lines of each file.
+
+    Blank lines are skipped. A record is one line, as in :func:`read_flat_csv`.
+    """
     lines = (spark.read.text(pattern)
-             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("block_start"))
-             .where(F.col("block_start") == 0)
-             .select("path", "line"))
-    return lines.mapInPandas(_first_lines(sample_rows), SAMPLE_SCHEMA)
+             .select(F.col("value").alias("line"), file_uri().alias("uri"),
+                     F.col("_metadata.file_block_start").alias("block"))
+             .where(F.trim("line") != "")
+             .withColumn("place", F.monotonically_increasing_id()))
+    # Rows of a split keep their order, and splits of a file start at rising offsets.
+    in_file = Window.partitionBy("uri").orderBy("block", "place")
+    first = lines.withColumn("line_no", F.row_number().over(in_file)).where(F.col("line_no") <= sample_rows + 1)
+    return first.select("uri", (F.col("line_no") - 1).alias("line_no"), csv_fields(F.col("line")).alias("fields"))
 
 
 def validate_files(spark: SparkSession, pattern: str, sample_rows: int = 200,
                    required=FLAT_REQUIRED) -> DataFrame:
-    """One row per landing file: path, file_name, valid, reason (Q1).
+    """One row per landing file: path, file_name, valid, reason, columns (Q1).
 
     Valid iff the header (trimmed, lower-cased, D-12) holds every required
     column and no sampled row has a missing value in one of them. A file
     with no lines (zero bytes) is invalid; a header-only file is valid; a
     sampled row with more fields than the header is a parse error.
+    ``columns`` is the file's own header, in its order.
     """
-    files = list_landing(spark, pattern).select("path", "file_name")
-    sample = sample_files(spark, pattern, sample_rows)
+    files = list_landing(spark, pattern).select("path", "file_name", "uri")
+    sample = materialize(sample_files(spark, pattern, sample_rows), "landing-sample")
     header = sample.where(F.col("line_no") == 0).select(
-        "path", F.transform("fields", lambda x: F.lower(F.trim(x))).alias("header"))
+        "uri", F.transform("fields", lambda x: F.lower(F.trim(x))).alias("header"))
     rows = sample.where(F.col("line_no") > 0)
     markers = F.array(*[F.lit(m) for m in NULL_MARKERS])
 
-    joined = rows.join(header, "path")
+    joined = rows.join(header, "uri")
     missing_any = F.lit(False)
     for name in required:
         pos = F.array_position(F.col("header"), F.lit(name)).cast("int")
-        value = F.when(pos > 0, F.element_at(F.col("fields"), pos))  # beyond the row -> null
-        value = F.when(pos <= F.size("fields"), value)
+        value = F.when((pos > 0) & (pos <= F.size("fields")), F.try_element_at(F.col("fields"), pos))
         missing_any = missing_any | value.isNull() | F.array_contains(markers, value)
-    per_file = joined.groupBy("path").agg(
+    per_file = joined.groupBy("uri").agg(
         F.max(missing_any.cast("int")).alias("_nulls"),
         F.max((F.size("fields") > F.size("header")).cast("int")).alias("_wide"))
 
     has_cols = F.forall(F.array(*[F.lit(c) for c in required]),
                         lambda c: F.array_contains(F.col("header"), c))
-    out = (files.join(header, "path", "left").join(per_file, "path", "left")
+    out = (files.join(header, "uri", "left").join(per_file, "uri", "left")
            .withColumn("reason", F.when(F.col("header").isNull(), "unreadable or empty file")
                        .when(~has_cols, "missing required columns")
                        .when(F.coalesce(F.col("_wide"), F.lit(0)) == 1, "row wider than header")
                        .when(F.coalesce(F.col("_nulls"), F.lit(0)) == 1, "null in required column")))
-    return out.select("path", "file_name", F.col("reason").isNull().alias("valid"), "reason")
+    return out.select("path", "file_name", F.col("reason").isNull().alias("valid"), "reason",
+                      F.col("header").alias("columns"))
 
 
 def route_files(validation: DataFrame, ingested_names: DataFrame) -> DataFrame:
@@ -113,8 +106,9 @@ def route_files(validation: DataFrame, ingested_names: DataFrame) -> DataFrame:
               .when(F.col("_seen"), "duplicate").otherwise("accepted"))
     target = (F.when(status == "duplicate", F.concat(F.lit("duplicate_"), F.col("file_name")))
               .otherwise(F.col("file_name")))
+    kept = ["columns"] if "columns" in validation.columns else []
     return out.select("path", "file_name", "valid", "reason", status.alias("status"),
-                      target.alias("target_name"))
+                      target.alias("target_name"), *kept)
 
 
 def ingest_status(routed: DataFrame) -> DataFrame:
@@ -127,16 +121,14 @@ def quality_profile(df: DataFrame, time_formats=None) -> DataFrame:
 
     Counted on the flat text layout after header normalisation: timestamps
     that do not parse, measures negative after numeric coercion, and rows
-    beyond the first of each group of equal rows (timestamp parsed, null
-    equals null).
+    beyond the first of each group of equal rows (timestamp and measures
+    typed, so `3` and `3.0` are equal; null equals null).
     """
-    flat = standardize_headers(df)
-    typed = flat.withColumn("timestamp", parse_with_formats(F.col("timestamp"), time_formats))
-    num = {c: F.trim(F.col(c).cast("string")).try_cast("double") for c in MEASURES}
+    typed = coerce_flat(standardize_headers(df), time_formats)
     counts = typed.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("timestamp").isNull()).alias("missing_timestamps"),
-        *[F.count_if(num[c] < 0).alias(f"negative_{c}") for c in MEASURES])
+        *[F.count_if(F.col(c) < 0).alias(f"negative_{c}") for c in MEASURES])
     groups = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("_n"))
     dups = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
     return single_row(counts, dups)

@@ -1,40 +1,72 @@
 """Landing-zone ingest as one job: check files, route them, run the ETL on accepted ones.
 
 The DAG's detect -> validate -> move -> ETL chain (SURVEY §3.4). Instead of
-moving files, a manifest records each file's status and target name; the
-ETL then reads exactly the accepted paths.
+moving files, an append-only manifest records each file's status and target
+name per run; names accepted by an earlier run are duplicates, so a second
+run over the same landing folder loads nothing again.
+
+Each run writes its rows to a folder of its own, named after the files it
+takes, and its manifest entry afterwards. A run that died in between leaves
+no entry: its rows are not read, and the next run overwrites or passes them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from cellsight.operators.cleaning import clean_flat_usage
 from cellsight.operators.enrich import enrich_region
 from cellsight.operators.quality import ingest_status, route_files, validate_files
+from cellsight.session import materialize
 from cellsight.sinks import write_cleaned
-from cellsight.sources.files import list_landing, read_flat_csv
+from cellsight.sources.files import list_landing, read_flat_groups
+
+MANIFEST_SCHEMA = ("path string, file_name string, valid boolean, reason string, status string, "
+                   "target_name string, columns array<string>, run_id string")
+
+
+def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All manifest entries so far; no rows before the first run."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out_dir}/manifest")
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return spark.createDataFrame([], MANIFEST_SCHEMA)
+        raise
+
+
+def read_ingested(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The cleaned rows of every finished run; None before there are any."""
+    runs = [r["run_id"] for r in read_manifest(spark, out_dir).where("status = 'accepted'")
+            .select("run_id").distinct().collect()]
+    if not runs:
+        return None
+    root = f"{out_dir}/cleaned_usage"
+    return spark.read.option("basePath", root).parquet(*[f"{root}/run_id={r}" for r in sorted(runs)]).drop("run_id")
 
 
 def run_ingest(spark: SparkSession, landing_pattern: str, ingested_pattern: str | None,
                mapping: DataFrame | None, out_dir: str) -> dict:
     """Validate and route the landing files, then clean and write the accepted ones.
 
-    ``ingested_pattern`` lists files already ingested (duplicates by name).
-    Writes ``<out_dir>/manifest`` and appends to ``<out_dir>/cleaned_usage``;
-    returns the status counts. Only the accepted paths (file metadata, one
-    string per file) pass through the driver.
+    Files already ingested are those that an earlier run accepted and, if
+    given, those listed by ``ingested_pattern`` (both by name). Every file is
+    read by its own header. Adds to ``<out_dir>/manifest`` and
+    ``<out_dir>/cleaned_usage``; returns this run's status counts. Only the
+    accepted paths (file metadata, one string per file) pass through the driver.
     """
-    checked = validate_files(spark, landing_pattern)
-    seen = (list_landing(spark, ingested_pattern).select("file_name") if ingested_pattern
-            else spark.createDataFrame([], "file_name string"))
-    manifest_path = f"{out_dir}/manifest"
-    route_files(checked, seen).write.mode("overwrite").parquet(manifest_path)
-    manifest = spark.read.parquet(manifest_path)
-
-    accepted = [r["path"] for r in manifest.where(F.col("status") == "accepted").select("path").collect()]
-    if accepted:
-        rows = enrich_region(clean_flat_usage(read_flat_csv(spark, accepted)), mapping)
-        write_cleaned(rows, f"{out_dir}/cleaned_usage", mode="append")
-    return {r["status"]: r["files"] for r in ingest_status(manifest).collect()}
+    seen = read_manifest(spark, out_dir).where("status = 'accepted'").select("file_name")
+    if ingested_pattern:
+        seen = seen.unionByName(list_landing(spark, ingested_pattern).select("file_name"))
+    routed = materialize(route_files(validate_files(spark, landing_pattern), seen), "routed-files")
+    accepted = routed.where("status = 'accepted'")
+    run_id = accepted.agg(F.md5(F.concat_ws("|", F.sort_array(F.collect_list("path"))))).first()[0]
+    groups = [(r["columns"], r["paths"]) for r in
+              accepted.groupBy("columns").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()]
+    if groups:
+        rows = enrich_region(clean_flat_usage(read_flat_groups(spark, groups)), mapping)
+        write_cleaned(rows, f"{out_dir}/cleaned_usage/run_id={run_id}")
+    routed.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{out_dir}/manifest")
+    return {r["status"]: r["files"] for r in ingest_status(routed).collect()}

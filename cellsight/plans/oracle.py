@@ -1,8 +1,8 @@
 """Reference SQL (DuckDB dialect) for the registered queries.
 
 Each statement recomputes a query of :mod:`cellsight.plans.catalog` from the
-raw tables, as an independent statement of its semantics; doubles are
-rounded to 6 places like the Spark side.
+raw tables, as an independent statement of its semantics; sums and ratios
+of doubles are brought to 12 significant digits like the Spark side.
 """
 
 from __future__ import annotations
@@ -512,30 +512,36 @@ def _profile_sql() -> str:
 
 SQL["Q6b_profile_columns"] = _profile_sql()
 
-# The landing fixture holds one flat CSV file per event day, usage_<day>_0.csv;
-# every file is valid, and the files of 2024-01-01..04 count as already ingested.
+# The landing fixture holds one flat CSV file per event day (part numbers left
+# out); the day of the month modulo 6 decides what a file is like, and every
+# fifth day counts as already ingested.
 CTE["landing"] = """landing AS (
-  SELECT 'usage_' || day || '_0.csv' AS file_name, day
-  FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts IS NOT NULL))"""
+  SELECT 'usage_' || strftime(day, '%Y-%m-%d') AS file_name, dayofmonth(day) AS n, dayofmonth(day) % 6 AS kind
+  FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE ts IS NOT NULL))"""
 DEPENDS["landing"] = []
 
+_VALID = "kind IN (0, 3, 4)"
+_REASON = """CASE kind WHEN 1 THEN 'missing required columns' WHEN 2 THEN 'null in required column'
+  WHEN 5 THEN 'unreadable or empty file' END"""
 SQL["S7_list_landing"] = with_ctes(["landing"], "SELECT file_name FROM landing")
-SQL["Q1_validate_files"] = with_ctes(["landing"], """SELECT file_name, true AS valid,
-  CAST(NULL AS VARCHAR) AS reason FROM landing""")
-_ROUTE = """SELECT file_name, true AS valid, CAST(NULL AS VARCHAR) AS reason,
-  CASE WHEN day <= '2024-01-04' AND day >= '2024-01-01' THEN 'duplicate' ELSE 'accepted' END AS status,
-  CASE WHEN day <= '2024-01-04' AND day >= '2024-01-01' THEN 'duplicate_' || file_name
-       ELSE file_name END AS target_name
+SQL["Q1_validate_files"] = with_ctes(["landing"], f"""SELECT file_name, {_VALID} AS valid,
+  {_REASON} AS reason FROM landing""")
+_ROUTE = f"""SELECT file_name, {_VALID} AS valid, {_REASON} AS reason,
+  CASE WHEN NOT {_VALID} THEN 'rejected' WHEN n % 5 = 0 THEN 'duplicate' ELSE 'accepted' END AS status,
+  CASE WHEN {_VALID} AND n % 5 = 0 THEN 'duplicate_' || file_name ELSE file_name END AS target_name
   FROM landing"""
 SQL["Q2_route_files"] = with_ctes(["landing"], _ROUTE)
 SQL["Q2b_ingest_status"] = with_ctes(["landing"], f"""SELECT status, CAST(COUNT(*) AS BIGINT) AS files
   FROM ({_ROUTE}) GROUP BY status""")
+SQL["Q2_J1_K1_ingest_twice"] = with_ctes(["flat", "mapping"], """SELECT f.grid_id, f.call_count, f.sms_count,
+  f.internet_usage, CAST(f.timestamp AS TIMESTAMP) AS event_timestamp, CAST(CAST(f.timestamp AS TIMESTAMP) AS DATE) AS event_date,
+  CAST(hour(CAST(f.timestamp AS TIMESTAMP)) AS INTEGER) AS hour, m.region_name, m.city
+  FROM flat f LEFT JOIN mapping m ON f.grid_id = m.grid_id
+  WHERE f.grid_id IS NOT NULL AND dayofmonth(CAST(f.timestamp AS TIMESTAMP)) % 6 IN (0, 3)""")
 
-SQL["S8_A1_records_per_file"] = """SELECT 'activity_' || strftime(ts, '%Y-%m-%d') || '_0.csv' AS file_name,
+SQL["S8_A1_records_per_file"] = """SELECT 'activity_' || strftime(ts, '%Y-%m-%d') AS file_name,
   CAST(COUNT(*) AS BIGINT) AS records FROM events WHERE ts IS NOT NULL GROUP BY 1"""
 
-SQL["S1_J1_K1_streaming_ingest"] = SQL["J1_enrich_region"]
-
 CTE["labelled_li"] = """labelled_li AS (
   SELECT f.*, CASE WHEN avg_usage >= q.p90 THEN 'HIGH' WHEN avg_usage >= q.p50 THEN 'MEDIUM'
                    ELSE 'LOW' END AS label

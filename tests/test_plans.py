@@ -61,6 +61,38 @@ def test_ingest_accepts_valid_new_files(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     counts = run_ingest(spark, f"{landing}/*.csv", f"{raw}/*.csv", mapping, out)
     assert counts == {"accepted": 1, "rejected": 1, "duplicate": 1}
-    cleaned = spark.read.parquet(f"{out}/cleaned_usage")
+    from cellsight.plans.ingest import read_ingested, read_manifest
+    cleaned = read_ingested(spark, out)
     assert cleaned.count() == 2
     assert cleaned.where("grid_id = '1'").first()["region_name"] == "North"
+    # The same folder again, then with a new file: accepted files are loaded once.
+    assert run_ingest(spark, f"{landing}/*.csv", f"{raw}/*.csv", mapping, out) == {"rejected": 1, "duplicate": 2}
+    assert read_ingested(spark, out).count() == 2
+    with open(os.path.join(landing, "d.csv"), "w") as fh:
+        fh.write(files["c.csv"])
+    assert run_ingest(spark, f"{landing}/*.csv", f"{raw}/*.csv", mapping, out)["accepted"] == 1
+    assert read_ingested(spark, out).count() == 3
+    assert read_manifest(spark, out).count() == 10
+
+
+def test_ingest_reads_each_file_by_its_header_and_name(spark, tmp_dir):
+    from cellsight.plans.ingest import read_ingested, run_ingest
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    long_text = "x" * 140_000
+    files = {"a.csv": "timestamp,grid_id,call_count,sms_count,internet_usage\n2013-11-01 10:00:00,1,2,3,4.5\n",
+             "b.csv": "grid_id,Timestamp,internet_usage,sms_count,call_count\n2,2013-11-02 10:00:00,5,6,7\n",
+             "c d.csv": "timestamp,grid_id,call_count,sms_count,internet_usage\n2013-11-03 10:00:00,3,1,1,1\n",
+             "p%41.csv": "timestamp,grid_id,call_count,sms_count,internet_usage,note\n2013-11-04 10:00:00,4,1,1,1,\"a,\"\"b\"\"\"\n",
+             "long.csv": "timestamp,grid_id,call_count,sms_count,internet_usage,note\n"
+                         f"2013-11-05 10:00:00,5,1,1,1,{long_text}\n"}
+    for name, text in files.items():
+        with open(os.path.join(landing, name), "w") as fh:
+            fh.write(text)
+    out = os.path.join(tmp_dir, "out")
+    assert run_ingest(spark, f"{landing}/*.csv", None, None, out) == {"accepted": 5}
+    rows = {r["grid_id"]: (r["call_count"], r["sms_count"], r["internet_usage"], str(r["event_date"]))
+            for r in read_ingested(spark, out).collect()}
+    assert rows == {"1": (2.0, 3.0, 4.5, "2013-11-01"), "2": (7.0, 6.0, 5.0, "2013-11-02"),
+                    "3": (1.0, 1.0, 1.0, "2013-11-03"), "4": (1.0, 1.0, 1.0, "2013-11-04"),
+                    "5": (1.0, 1.0, 1.0, "2013-11-05")}
