@@ -61,7 +61,7 @@ def summary_totals(star: Star) -> DataFrame:
 
 def usage_by_hour(star: Star, k: int | None = None) -> DataFrame:
     """Total usage by hour, largest first, ties by hour."""
-    dt, _ = _dims(star)
+    dt = star.dim_time.select("time_id", "hour")
     out = (star.fact.join(dt, "time_id").groupBy("hour").agg(F.sum(_usage()).alias("total_usage"))
            .orderBy(F.desc("total_usage"), F.asc("hour")))
     return out.limit(k) if k else out
@@ -69,7 +69,7 @@ def usage_by_hour(star: Star, k: int | None = None) -> DataFrame:
 
 def usage_by_region(star: Star, k: int | None = None) -> DataFrame:
     """Total usage by region name (cities of one name merge), largest first."""
-    _, dr = _dims(star)
+    dr = star.dim_region.select("region_id", "region_name")
     out = (star.fact.join(dr, "region_id").groupBy("region_name")
            .agg(F.sum(_usage()).alias("total_usage"))
            .orderBy(F.desc("total_usage"), F.asc("region_name")))
@@ -144,13 +144,19 @@ def usage_summary(star: Star, k: int = 3) -> DataFrame:
 def region_usage(star: Star, region: str) -> DataFrame:
     """Hourly sums and hourly means for one region, tagged by ``kind``.
 
-    Empty when the region is unknown; :func:`region_usage_or_raise` turns that
-    into ``LookupError``.
+    Both kinds derive from one aggregate by hour. Empty when the region is
+    unknown; :func:`region_usage_or_raise` turns that into ``LookupError``.
     """
-    hourly = region_hourly(star, region).withColumn("kind", F.lit("hourly_distribution"))
-    trend = region_trend(star, region).withColumn("kind", F.lit("trend"))
-    cols = ["kind", "hour", "calls", "sms", "internet_mb"]
-    return hourly.select(*cols).unionByName(trend.select(*cols))
+    base = star_rows(star, region).groupBy("hour").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("call_count").alias("c"), F.sum("sms_count").alias("s"),
+        F.sum("internet_mb").alias("i"))
+
+    def part(kind, per):
+        return F.struct(F.lit(kind).alias("kind"), "hour", *[
+            (F.col(x).cast("double") / per).alias(name) for x, name in (("c", "calls"), ("s", "sms"), ("i", "internet_mb"))])
+
+    both = F.array(part("hourly_distribution", F.lit(1.0)), part("trend", F.col("n")))
+    return base.select(F.explode(both).alias("x")).select("x.*")
 
 
 def region_usage_or_raise(star: Star, region: str) -> DataFrame:

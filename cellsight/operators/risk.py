@@ -97,12 +97,15 @@ def score_batch(model: PipelineModel, features: DataFrame) -> DataFrame:
 
     The flag uses the unrounded top probability (D-6).
     """
-    scored = model.transform(features)
-    top = F.array_max(vector_to_array(F.col("probability")))
-    return (scored.withColumn("_top", top)
-            .select(*features.columns, "congestion_risk",
-                    F.bround("_top", 4).alias("score"),
-                    ((F.col("congestion_risk") == "HIGH") & (F.col("_top") > ANOMALY_SCORE)).alias("anomaly_flag")))
+    scored = model.transform(features).withColumn("_p", vector_to_array(F.col("probability")))
+    return scored.select(*features.columns, "congestion_risk", *score_columns("_p", "congestion_risk"))
+
+
+def score_columns(probabilities: str, label: str) -> list:
+    """``score`` and ``anomaly_flag`` from an array of class probabilities and the predicted label."""
+    top = F.array_max(probabilities)
+    return [F.bround(top, 4).alias("score"),
+            ((F.col(label) == "HIGH") & (top > ANOMALY_SCORE)).alias("anomaly_flag")]
 
 
 def validate_scenarios(df: DataFrame) -> DataFrame:

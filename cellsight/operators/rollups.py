@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.functions.columns import total_usage
+from cellsight.functions.columns import numeric_text, total_usage
 
 
 # ---- ETL summaries over cleaned rows (untruncated doubles) -------------------
@@ -125,7 +125,7 @@ def grid_top_internet(df: DataFrame, k: int = 20) -> DataFrame:
     Numbers are coerced as in Q3 (non-numbers count as null); rows without
     a grid are left out.
     """
-    inet = F.trim(F.col("internet_usage").cast("string")).try_cast("double")
+    inet = numeric_text("internet_usage")
     return (df.where(F.col("grid_id").isNotNull())
             .groupBy("grid_id").agg(F.coalesce(F.sum(inet), F.lit(0.0)).alias("internet_usage"))
             .orderBy(F.desc("internet_usage"), F.asc("grid_id")).limit(k))

@@ -21,6 +21,8 @@ from cellsight.session import materialize
 # Rows of one group of equal facts expanded by a single task.
 FACT_CHUNK_ROWS = 1_000_000
 
+_MAX_LONG = float(1 << 63)
+
 # Columns that define a fact row's content, before keys are computed.
 CONTENT = ["date", "hour", "region_name", "city", "call_count", "sms_count", "internet_mb"]
 
@@ -34,7 +36,8 @@ class Star(NamedTuple):
 def prepare_usage(cleaned: DataFrame) -> DataFrame:
     """Warehouse form of cleaned rows (F3, P11, P7, P12/D-4).
 
-    Counts are truncated toward zero per row before any sum (P11, D-8);
+    Counts are truncated toward zero per row before any sum (P11, D-8) and
+    kept in 64 bits; beyond them they stop at the largest 64-bit number;
     hour is recomputed from the timestamp; a missing or null region falls
     back to the grid id and a missing or null city to ``Unknown`` (D-4).
     """
@@ -45,7 +48,9 @@ def prepare_usage(cleaned: DataFrame) -> DataFrame:
     city = F.coalesce(F.col("city"), F.lit("Unknown")) if "city" in df.columns else F.lit("Unknown")
 
     def count(c):
-        return F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).cast("int")
+        x = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+        return (F.when(x >= _MAX_LONG, F.lit((1 << 63) - 1)).when(x <= -_MAX_LONG, F.lit(-(1 << 63) + 1))
+                .otherwise(x.try_cast("bigint")))
 
     return df.select(
         F.col("event_date").cast("date").alias("date"),
@@ -95,25 +100,21 @@ def fact_measures(usage: DataFrame) -> DataFrame:
                         "call_count", "sms_count", "internet_mb")
 
 
-def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS, id_mode: str = "content") -> DataFrame:
-    """Fact rows with a unique ``usage_id`` (T3, D-1), from :func:`usage_counts`.
+def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
+    """Fact rows with a ``usage_id`` (T3, D-1), from :func:`usage_counts`.
 
-    ``id_mode="content"`` (default): usage_id = key(time_id|region_id|call|
-    sms|internet to 4 places|n), where n numbers rows equal on that text 1,
-    2, ... in order of the exact internet value. Rows equal on every fact
-    column are interchangeable, so the table is fully determined by the data
-    and reproducible in SQL. The key has 60 bits: beyond about 10^9 fact rows
-    the birthday bound makes collisions likely (the primary-key check reports
-    them), so very large loads should use ``id_mode="sequence"``: positional
-    64-bit ids, unique by construction but not reproducible in another engine.
+    usage_id = key(time_id|region_id|call|sms|internet to 4 places|n), where n
+    numbers rows equal on that text 1, 2, ... in order of the exact internet
+    value. Rows equal on every fact column are interchangeable, so the table
+    is fully determined by the data and reproducible in SQL. The key has 60
+    bits; rows of different content that share one are told apart by
+    :func:`resolve_key_collisions` when the star is loaded.
 
     Each count expands into its rows; a count above ``chunk_rows`` is cut into
     chunks expanded by separate tasks.
     """
-    if id_mode not in ("content", "sequence"):
-        raise ValueError(f"unknown id_mode: {id_mode}")
     keyed = base.select(time_key().alias("time_id"), region_key().alias("region_id"), "call_count",
-                        "sms_count", "internet_mb", F.col("internet_mb").cast("decimal(18,4)").alias("_inet"),
+                        "sms_count", "internet_mb", _internet_text().alias("_inet"),
                         "n")
     group = ["time_id", "region_id", "call_count", "sms_count", "_inet"]
     before = Window.partitionBy(*group).orderBy("internet_mb").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,70 +135,85 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS, id_mode: str
     large = chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_ord"))
 
     numbered = small.unionByName(large)
-    usage_id = (surrogate_key("time_id", "region_id", "call_count", "sms_count", "_inet", "_ord")
-                if id_mode == "content" else F.monotonically_increasing_id())
+    usage_id = surrogate_key("time_id", "region_id", "call_count", "sms_count", "_inet", "_ord")
     return numbered.select(usage_id.alias("usage_id"), "time_id", "region_id", "call_count", "sms_count",
                            "internet_mb")
 
 
-def build_star(cleaned: DataFrame, with_usage_id: bool = True, reliable_base: bool = False,
-               id_mode: str = "content") -> Star:
+def _internet_text():
+    """Internet usage to 4 places as text; values too large for a decimal keep the double's own text."""
+    x = F.col("internet_mb")
+    return F.coalesce(x.try_cast("decimal(38,4)").cast("string"), x.cast("string"))
+
+
+def resolve_key_collisions(fact: DataFrame) -> DataFrame:
+    """Give rows that share a ``usage_id`` different ids, by bits 60-62, which the key leaves free.
+
+    The first row by content keeps its id, the next ones get it with 1, 2, ...
+    in those bits; all other ids stay. Only the rows of shared ids are sorted.
+    """
+    shared = fact.groupBy("usage_id").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("usage_id")
+    shared = materialize(shared, "star-shared-ids")
+    rest = fact.join(shared, "usage_id", "left_anti")
+    order = Window.partitionBy("usage_id").orderBy(*[c for c in fact.columns if c != "usage_id"])
+    told = (fact.join(shared, "usage_id", "left_semi")
+            .withColumn("_n", F.row_number().over(order) - 1)
+            .withColumn("usage_id", F.col("usage_id") + F.col("_n").cast("bigint") * F.lit(1 << 60)).drop("_n"))
+    return rest.unionByName(told)
+
+
+def build_star(cleaned: DataFrame, with_usage_id: bool = True, reliable_base: bool = False) -> Star:
     """Dimensions and fact from cleaned (optionally enriched) rows.
 
     ``reliable_base`` writes the base count table to the session's
     checkpoint folder (one pass over ``cleaned``, then three cheap reads);
     otherwise each table recomputes it. ``with_usage_id=False`` gives fact
-    rows without the numbering, for callers that only read measures;
-    ``id_mode`` is passed to :func:`fact_usage`.
+    rows without the numbering, for callers that only read measures.
     """
     usage = prepare_usage(cleaned)
     base = usage_counts(usage)
     if reliable_base:
         base = materialize(base, "star-base")
-    fact = fact_usage(base, id_mode=id_mode) if with_usage_id else fact_measures(usage)
+    fact = fact_usage(base) if with_usage_id else fact_measures(usage)
     return Star(dim_time(base), dim_region(base), fact)
 
 
 # ---- constraint checks (Q7-Q9) ------------------------------------------------
 
-def _dupe_keys(df: DataFrame, key: str, table: str) -> DataFrame:
-    dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
-    return dup.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit("primary_key").alias("check_name"), F.lit(f"{table}.{key}").alias("target"), "violations")
+def _nulls(df: DataFrame):
+    return sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0)).cast("long")
 
 
-def _orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    missing = fact.select(key).join(dim.select(key), key, "left_anti")
-    return missing.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit("foreign_key").alias("check_name"), F.lit(f"fact_usage.{key}").alias("target"), "violations")
+def _check(name: str, target: str, violations):
+    return F.struct(F.lit(name).alias("check_name"), F.lit(target).alias("target"),
+                    violations.cast("long").alias("violations"))
 
 
-def _nulls(df: DataFrame, table: str) -> DataFrame:
-    total = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    return df.agg(total.cast("long").alias("violations")).select(
-        F.lit("not_null").alias("check_name"), F.lit(table).alias("target"), "violations")
+def _keyed_checks(df: DataFrame, key: str, table: str) -> DataFrame:
+    """Primary key (Q7) and nulls (Q9) of a table from one pass grouped by its key."""
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"), _nulls(df).alias("_n"))
+    found = per_key.agg(F.count_if(F.col("_c") > 1).alias("dup"), F.coalesce(F.sum("_n"), F.lit(0)).alias("nulls"))
+    return found.select(F.explode(F.array(_check("primary_key", f"{table}.{key}", F.col("dup")),
+                                          _check("not_null", table, F.col("nulls")))).alias("x")).select("x.*")
 
 
 def star_checks(star: Star) -> DataFrame:
     """One row per constraint: (check_name, target, violations); all zero when valid.
 
     Primary keys unique (Q7), fact keys present in the dimensions (Q8),
-    no nulls in any star column (Q9).
+    no nulls in any star column (Q9). The fact table is read twice: grouped
+    by its key, and joined to the keys of both dimensions.
     """
-    parts = [
-        _dupe_keys(star.dim_time, "time_id", "dim_time"),
-        _dupe_keys(star.dim_region, "region_id", "dim_region"),
-        _dupe_keys(star.fact, "usage_id", "fact_usage"),
-        _orphans(star.fact, star.dim_time, "time_id"),
-        _orphans(star.fact, star.dim_region, "region_id"),
-        _nulls(star.dim_time, "dim_time"),
-        _nulls(star.dim_region, "dim_region"),
-        _nulls(star.fact, "fact_usage"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    times = star.dim_time.select("time_id").distinct().withColumn("_t", F.lit(True))
+    regions = star.dim_region.select("region_id").distinct().withColumn("_r", F.lit(True))
+    known = star.fact.select("time_id", "region_id").join(times, "time_id", "left").join(regions, "region_id", "left")
+    orphans = known.agg(F.count_if(F.col("_t").isNull()).alias("t"), F.count_if(F.col("_r").isNull()).alias("r"))
+    foreign = orphans.select(F.explode(F.array(
+        _check("foreign_key", "fact_usage.time_id", F.col("t")),
+        _check("foreign_key", "fact_usage.region_id", F.col("r")))).alias("x")).select("x.*")
+    return (_keyed_checks(star.dim_time, "time_id", "dim_time")
+            .unionByName(_keyed_checks(star.dim_region, "region_id", "dim_region"))
+            .unionByName(_keyed_checks(star.fact, "usage_id", "fact_usage")).unionByName(foreign))
 
 
 def assert_star_valid(star: Star) -> None:

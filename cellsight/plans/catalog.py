@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cellsight.operators import cleaning, enrich, features, quality, reports, risk, rollups, star
+from cellsight.operators import cleaning, enrich, extensions, features, quality, reports, risk, rollups, star
+from cellsight.operators._util import require_columns, require_nonempty
 from cellsight.plans.ingest import read_ingested, run_ingest
+from cellsight.plans.warehouse import load_star
 from cellsight.session import scratch_path
 from cellsight.sinks import (load_model, save_model, write_cleaned, write_predictions, write_star,
                              write_summaries)
@@ -78,7 +80,7 @@ def events_enriched(spark, d, mapped_nations=None):
 _STORED_STARS: dict[tuple, str] = {}
 
 
-def events_star(spark, d, with_ids=True, mapped_nations=None):
+def events_star(spark, d, mapped_nations=None):
     """The star built from events, written once per session and read back.
 
     Reports run over stored tables, as they would over a loaded warehouse;
@@ -279,16 +281,97 @@ def q_enrich_region(spark, d):
     return rounded(events_enriched(spark, d))
 
 
-def q_no_mapping(spark, d):
-    """S3: without a lookup the cleaned rows come back unchanged."""
-    return rounded(enrich.enrich_region(events_cleaned(spark, d), None))
-
-
 def q_summaries_round_trip(spark, d):
-    """K2: summaries written as Parquet folders and read back (calls per hour)."""
+    """K2: the four summaries written as Parquet folders and read back, as (summary, key, value) rows."""
     root = scratch_path(spark, "summary")
     paths = write_summaries(rollups.compute_summaries(events_enriched(spark, d)), root)
-    return rounded(spark.read.parquet(paths["calls_per_hour"]))
+    out = None
+    for name, path in paths.items():
+        df = spark.read.parquet(path)
+        value = [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns if c not in value]
+        part = df.select(F.lit(name).alias("summary"), F.concat_ws("|", *keys).alias("key"), F.col(value[0]).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+def q_kpis(spark, d):
+    """The KPI bundle as (kpi, key, value) rows."""
+    kpis = rollups.compute_kpis(flat_clean(spark, d))
+    rows = kpis["total_rows"].select(F.lit("total_rows").alias("kpi"), F.lit("").alias("key"),
+                                     F.col("total_rows").cast("double").alias("value"))
+    peak = kpis["peak_usage_hour"]
+    rows = rows.unionByName(peak.select(F.lit("peak_usage_hour").alias("kpi"), F.col("peak_usage_hour").cast("string").alias("key"),
+                                        F.col("total_usage").alias("value")))
+    for name, key, measures in (("usage_per_region", "grid_id", ["call_count", "sms_count", "internet_usage"]),
+                                ("avg_usage_per_hour", "hour", ["avg_calls", "avg_sms", "avg_internet_usage"])):
+        long = kpis[name].select(F.col(key).cast("string").alias("key"), *measures).unpivot(["key"], measures, "m", "value")
+        rows = rows.unionByName(long.select(F.concat(F.lit(f"{name}."), "m").alias("kpi"), "key", "value"))
+    return rounded(rows)
+
+
+def _error_of(check, *args):
+    try:
+        check(*args)
+    except ValueError as exc:
+        return str(exc)
+    return None
+
+
+def q_required(spark, d):
+    """Q4, Q5: the messages of the column and emptiness checks, beside the rows that passed them."""
+    flat = flat_text(spark, d)
+    found = [("columns", _error_of(require_columns, flat, flat.columns)),
+             ("missing column", _error_of(require_columns, flat.drop("sms_count"), flat.columns)),
+             ("rows", _error_of(require_nonempty, flat, "usage data")),
+             ("no rows", _error_of(require_nonempty, flat.where("grid_id IS NULL"), "usage data"))]
+    checks = F.array(*[F.struct(F.lit(a).alias("check"), F.lit(b).cast("string").alias("message")) for a, b in found])
+    return flat.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(checks).alias("x"), "rows").select("x.*", "rows")
+
+
+def q_load_star(spark, d):
+    """T4: rows of each table after a checked load from stored cleaned usage."""
+    path = scratch_path(spark, "cleaned")
+    write_cleaned(events_enriched(spark, d), path)
+    target = scratch_path(spark, "loaded-star")
+    load_star(spark, path, target)
+    out = None
+    stored = read_star(spark, target)
+    for name, df in (("dim_time", stored.dim_time), ("dim_region", stored.dim_region), ("fact_usage", stored.fact)):
+        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# ---- extensions --------------------------------------------------------------------
+
+def q_rolling_averages(spark, d):
+    return rounded(extensions.rolling_averages(events_star(spark, d)))
+
+
+def q_peak_hour_flags(spark, d):
+    return rounded(extensions.peak_hour_flags(events_star(spark, d)))
+
+
+def q_weekend(spark, d):
+    return extensions.with_weekend(events_star(spark, d).dim_time)
+
+
+def q_usage_between(spark, d):
+    path = scratch_path(spark, "cleaned-usage")
+    write_cleaned(events_enriched(spark, d), path)
+    return extensions.usage_between(read_cleaned(spark, path), "2024-01-10", "2024-01-16")
+
+
+def q_flag_high_risk(spark, d):
+    scored = _probabilities(spark, d)
+    return rounded(extensions.flag_high_risk(scored.withColumn("congestion_risk", _likeliest()), 0.3)
+                   .select("region_name", "p_high", "congestion_risk"))
+
+
+def q_usage_drift(spark, d):
+    rows = table(spark, d, "events").where(F.col("value").isNotNull() & F.col("ts").isNotNull())
+    return rounded(extensions.usage_drift(rows, "value", F.dayofmonth("ts") > 15, [float(e) for e in range(10, 100, 10)]))
 
 
 def q_enrich_region_partial(spark, d):
@@ -307,11 +390,19 @@ def q_dedup_mapping(spark, d):
 
 
 def q_enrich_plan(spark, d):
-    return enrich.enrich_plan(adapters.customers_from_table(table(spark, d, "customer")))
+    """Customers with plans on record for two thirds of them, one third of those twice."""
+    customers = adapters.customers_from_table(table(spark, d, "customer"))
+    n = F.col("customer_id").cast("long")
+    first = customers.where(n % 3 != 0).select(
+        "customer_id", F.concat(F.lit("Plan "), (n % 7).cast("string")).alias("plan_name"),
+        (1000 * (n % 5)).cast("int").alias("data_limit_mb"), F.lit(100).alias("voice_limit_minutes"),
+        F.when(n % 2 == 0, F.lit(50)).alias("sms_limit"), F.lit("ACTIVE").alias("status"))
+    second = first.where(n % 3 == 1).withColumn("plan_name", F.lit("Plan 9"))
+    return enrich.enrich_plan(customers, first.unionByName(second))
 
 
 def q_star_rows(spark, d):
-    return rounded(reports.star_rows(events_star(spark, d, with_ids=False)))
+    return rounded(reports.star_rows(events_star(spark, d)))
 
 
 # ---- ETL rollups -----------------------------------------------------------------
@@ -361,15 +452,15 @@ def q_grid_top20(spark, d):
 # ---- star ----------------------------------------------------------------------------
 
 def q_dim_time(spark, d):
-    return events_star(spark, d, with_ids=False).dim_time
+    return events_star(spark, d).dim_time
 
 
 def q_dim_region(spark, d):
-    return events_star(spark, d, with_ids=False).dim_region
+    return events_star(spark, d).dim_region
 
 
 def q_dim_region_partial(spark, d):
-    return events_star(spark, d, with_ids=False, mapped_nations=20).dim_region
+    return events_star(spark, d, mapped_nations=20).dim_region
 
 
 def q_fact_usage(spark, d):
@@ -383,27 +474,27 @@ def q_star_checks(spark, d):
 # ---- reports ---------------------------------------------------------------------------
 
 def q_summary_totals(spark, d):
-    return rounded(reports.summary_totals(events_star(spark, d, with_ids=False)))
+    return rounded(reports.summary_totals(events_star(spark, d)))
 
 
 def q_usage_by_hour(spark, d):
-    return rounded(reports.usage_by_hour(events_star(spark, d, with_ids=False)))
+    return rounded(reports.usage_by_hour(events_star(spark, d)))
 
 
 def q_usage_by_region(spark, d):
-    return rounded(reports.usage_by_region(events_star(spark, d, with_ids=False)))
+    return rounded(reports.usage_by_region(events_star(spark, d)))
 
 
 def q_region_hourly(spark, d):
-    return rounded(reports.region_hourly(events_star(spark, d, with_ids=False), REPORT_REGION))
+    return rounded(reports.region_hourly(events_star(spark, d), REPORT_REGION))
 
 
 def q_region_trend(spark, d):
-    return rounded(reports.region_trend(events_star(spark, d, with_ids=False), REPORT_REGION))
+    return rounded(reports.region_trend(events_star(spark, d), REPORT_REGION))
 
 
 def q_region_hour_calls(spark, d):
-    return reports.region_hour_calls(events_star(spark, d, with_ids=False), 10)
+    return reports.region_hour_calls(events_star(spark, d), 10)
 
 
 def lineitem_star(spark, d):
@@ -445,25 +536,25 @@ def q_label_risk_lineitem(spark, d):
 
 
 def q_usage_summary(spark, d):
-    return rounded(reports.usage_summary(events_star(spark, d, with_ids=False)))
+    return rounded(reports.usage_summary(events_star(spark, d)))
 
 
 def q_region_usage(spark, d):
-    return rounded(reports.region_usage(events_star(spark, d, with_ids=False), REPORT_REGION))
+    return rounded(reports.region_usage(events_star(spark, d), REPORT_REGION))
 
 
 def q_peak_traffic(spark, d):
-    return rounded(reports.peak_traffic(events_star(spark, d, with_ids=False)))
+    return rounded(reports.peak_traffic(events_star(spark, d)))
 
 
 def q_region_features(spark, d):
-    return rounded(features.region_features(events_star(spark, d, with_ids=False), REPORT_REGION))
+    return rounded(features.region_features(events_star(spark, d), REPORT_REGION))
 
 
 # ---- features ----------------------------------------------------------------------------
 
 def _rows(spark, d):
-    return features.usage_rows(events_star(spark, d, with_ids=False))
+    return features.usage_rows(events_star(spark, d))
 
 
 def q_daily_region_usage(spark, d):
@@ -487,7 +578,7 @@ def q_peak_ratio(spark, d):
 
 
 def events_features(spark, d):
-    return features.build_features(events_star(spark, d, with_ids=False))
+    return features.build_features(events_star(spark, d))
 
 
 def q_features(spark, d):
@@ -513,25 +604,69 @@ def _trained(spark, d, num_trees=200):
 
 
 def q_train_model(spark, d):
-    model, _ = _trained(spark, d)
+    """M4: trees, labels and training rows of the fitted forest, one row per feature in order."""
+    model, split = _trained(spark, d)
     forest = model.stages[1]
-    rows = [(name, float(w)) for name, w in zip(risk.FEATURE_COLUMNS, forest.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    rows = split.where(F.col("split") == "train").agg(F.count(F.lit(1)).alias("train_rows"))
+    features_ = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"))
+                          for i, c in enumerate(model.stages[0].getInputCols())])
+    return rows.select(F.explode(features_).alias("x"), F.lit(forest.getNumTrees).alias("trees"),
+                       F.lit("|".join(model.stages[2].getLabels())).alias("labels"), "train_rows").select(
+        "x.*", "trees", "labels", "train_rows")
 
 
 def q_evaluate(spark, d):
-    model, split = _trained(spark, d)
-    return risk.classification_report(model.transform(split.where(F.col("split") == "test")))
+    """M5: report of labels by variability, read as predictions of the labels by average usage."""
+    labelled = risk.label_risk(events_features(spark, d))
+    other = risk.label_risk(events_features(spark, d), "variability").select(
+        "region_name", F.col("label").alias("congestion_risk"))
+    return rounded(risk.classification_report(labelled.join(other, "region_name")))
+
+
+def q_confusion(spark, d):
+    labelled = risk.label_risk(events_features(spark, d))
+    other = risk.label_risk(events_features(spark, d), "variability").select(
+        "region_name", F.col("label").alias("congestion_risk"))
+    return risk.confusion_matrix(labelled.join(other, "region_name"))
+
+
+def _probabilities(spark, d):
+    """Shares of three feature columns, standing for class probabilities."""
+    feats = events_features(spark, d)
+    total = F.col("avg_usage") + F.col("variability") + F.col("peak_ratio")
+    return feats.select("region_name", (F.col("variability") / total).alias("p_low"),
+                        (F.col("peak_ratio") / total).alias("p_medium"), (F.col("avg_usage") / total).alias("p_high"))
+
+
+def _likeliest():
+    top = F.greatest("p_low", "p_medium", "p_high")
+    return F.when(F.col("p_low") == top, "LOW").when(F.col("p_medium") == top, "MEDIUM").otherwise("HIGH")
+
+
+def q_score_columns(spark, d):
+    scored = _probabilities(spark, d).withColumn("congestion_risk", _likeliest()).withColumn(
+        "p", F.array("p_low", "p_medium", "p_high"))
+    return rounded(scored.select("region_name", "congestion_risk", *risk.score_columns("p", "congestion_risk")))
+
+
+def _row_checks(scored, name):
+    """What holds for every scored row, whatever the model: known class, possible score, flag by its rule."""
+    rule = (F.col("congestion_risk") == "HIGH") & (F.col("score") > risk.ANOMALY_SCORE)
+    return scored.select(name, F.col("congestion_risk").isin(risk.RISK_LABELS).alias("class_ok"),
+                         F.col("score").between(0.3333, 1.0).alias("score_ok"),
+                         # Rounding can move a score onto the limit, but not over it.
+                         ((F.col("anomaly_flag").cast("boolean") == rule) | (F.col("score") == risk.ANOMALY_SCORE)).alias("flag_ok"))
 
 
 def q_score_batch(spark, d):
+    """The model saved and loaded, all regions scored, written as CSV and read back."""
     model, _ = _trained(spark, d)
     path = scratch_path(spark, "risk-model")
     save_model(model, path)
     scored = risk.score_batch(load_model(path), events_features(spark, d))
     out = scratch_path(spark, "predictions")
     write_predictions(scored, out)
-    return spark.read.option("header", True).option("inferSchema", True).csv(out)
+    return _row_checks(spark.read.option("header", True).option("inferSchema", True).csv(out), "region_name")
 
 
 def scenarios(spark, d):
@@ -548,19 +683,47 @@ def q_range_check(spark, d):
 
 
 def q_predict_risk(spark, d):
+    """M7, E5: accepted scenarios are scored, rejected ones come back with status 422 and the reason."""
     model, _ = _trained(spark, d)
     scored, rejects = risk.predict_risk(model, scenarios(spark, d))
-    return scored.select("region", "congestion_risk", "score", "anomaly_flag").unionByName(
-        rejects.select("region", F.lit(None).cast("string").alias("congestion_risk"),
-                       F.lit(None).cast("double").alias("score"),
-                       F.lit(None).cast("boolean").alias("anomaly_flag")))
+    ok = _row_checks(scored, "region").select("region", F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("detail"),
+                                              (F.col("class_ok") & F.col("score_ok") & F.col("flag_ok")).alias("ok"))
+    return ok.unionByName(rejects.select("region", "status_code", "detail", F.lit(None).cast("boolean").alias("ok")))
+
+
+def flat_dirty(spark, d):
+    """The flat text with bad rows, by event id modulo 11: 1 no time, 2 negative calls, 3 a suffixed number,
+    4 the row twice, as `3` and as `3.0`, 5 not a number, 6 no grid."""
+    events = table(spark, d, "events")
+    base = adapters.flat_usage_from_events(events.withColumn("k", F.pmod("event_id", F.lit(11))), keep=["k"])
+    base = base.select(*[F.col(c).cast("string").alias(c) if c != "k" else F.col(c) for c in base.columns])
+    k = F.col("k")
+    bad = base.select(
+        F.when(k == 1, "no time").otherwise(F.col("timestamp")).alias("timestamp"),
+        F.when(k != 6, F.col("grid_id")).alias("grid_id"),
+        F.when(k == 2, "-2.5").when(k == 4, "3").otherwise(F.col("call_count")).alias("call_count"),
+        F.when(k == 3, "1d").when(k == 4, "3").otherwise(F.col("sms_count")).alias("sms_count"),
+        F.when(k == 5, "NaN").when(k == 4, "3").otherwise(F.col("internet_usage")).alias("internet_usage"), "k")
+    again = bad.where(k == 4).withColumns({c: F.lit("3.0") for c in cleaning.MEASURES})
+    return bad.unionByName(again).drop("k")
+
+
+def q_quality_profile_dirty(spark, d):
+    return quality.quality_profile(flat_dirty(spark, d))
+
+
+def q_clean_flat_dirty(spark, d):
+    return cleaning.clean_flat(flat_dirty(spark, d))
+
+
+def q_clean_flat_usage_dirty(spark, d):
+    return cleaning.clean_flat_usage(flat_dirty(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S1_scan_raw_csv": q_scan_raw_csv,
     "S2_scan_region_mapping": q_scan_region_mapping,
     "S4_scan_flat_csv": q_scan_flat_csv,
-    "S3_no_mapping": q_no_mapping,
     "S5_K1_scan_cleaned": q_scan_cleaned,
     "K2_summaries_round_trip": q_summaries_round_trip,
     "S6_J2_J3_star_rows": q_star_rows,
@@ -575,7 +738,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "Q2b_ingest_status": q_ingest_status,
     "Q2_J1_K1_ingest_twice": q_ingest_twice,
     "Q6_quality_profile": q_quality_profile,
+    "Q6_quality_profile_dirty": q_quality_profile_dirty,
+    "P10_Q3_F4_F5_D2_clean_flat_dirty": q_clean_flat_dirty,
+    "F1_F2_Q3_clean_flat_usage_dirty": q_clean_flat_usage_dirty,
     "Q6b_profile_columns": q_profile_columns,
+    "Q4_Q5_required": q_required,
+    "A11_kpis": q_kpis,
+    "T4_load_star": q_load_star,
     "J1_enrich_region": q_enrich_region,
     "J1_enrich_region_partial": q_enrich_region_partial,
     "D1_dedup_mapping": q_dedup_mapping,
@@ -622,7 +791,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "M3_split": q_split,
     "M4_train_model": q_train_model,
     "M5_evaluate": q_evaluate,
+    "M5_confusion_matrix": q_confusion,
+    "M6_score_columns": q_score_columns,
     "M6_K4_K5_score_batch": q_score_batch,
     "Q10_range_check": q_range_check,
     "M7_E5_predict_risk": q_predict_risk,
+    "X1_X2_rolling_averages": q_rolling_averages,
+    "X3_peak_hour_flags": q_peak_hour_flags,
+    "X4_weekend": q_weekend,
+    "X5_usage_between": q_usage_between,
+    "X6_flag_high_risk": q_flag_high_risk,
+    "X7_usage_drift": q_usage_drift,
 }

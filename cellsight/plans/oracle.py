@@ -79,8 +79,8 @@ def _usage_cte(name: str, source: str) -> str:
          {_key('region_name', 'city')} AS region_id
   FROM (SELECT event_date AS date, CAST(hour(event_timestamp) AS INTEGER) AS hour,
                coalesce(region_name, grid_id) AS region_name, coalesce(city, 'Unknown') AS city,
-               CAST(trunc({_nan0('call_count')}) AS INTEGER) AS call_count,
-               CAST(trunc({_nan0('sms_count')}) AS INTEGER) AS sms_count,
+               CAST(trunc({_nan0('call_count')}) AS BIGINT) AS call_count,
+               CAST(trunc({_nan0('sms_count')}) AS BIGINT) AS sms_count,
                {_nan0('internet_usage')} AS internet_mb
         FROM {source}
         WHERE event_timestamp IS NOT NULL AND event_date IS NOT NULL AND grid_id IS NOT NULL))"""
@@ -262,10 +262,16 @@ SQL["P1_P7_clean_raw"] = with_ctes(["cleaned"], f"""SELECT grid_id, {r6('call_co
   {r6('sms_count', 'sms_count')}, {r6('internet_usage', 'internet_usage')}, event_timestamp, event_date, hour
   FROM cleaned""")
 
-SQL["S3_no_mapping"] = SQL["P1_P7_clean_raw"]
+SQL["P1_P7_clean_raw"]
 
-SQL["K2_summaries_round_trip"] = with_ctes(["enriched"], f"""SELECT hour, {r6('SUM(call_count)', 'total_calls')}
-  FROM enriched GROUP BY hour""")
+_DAY = "coalesce(CAST(event_date AS VARCHAR), '')"
+SQL["K2_summaries_round_trip"] = with_ctes(["enriched"], f"""
+  SELECT 'calls_per_hour' AS summary, CAST(hour AS VARCHAR) AS key, {r6('SUM(call_count)', 'value')} FROM enriched GROUP BY hour
+  UNION ALL SELECT 'sms_per_region_day', {_DAY} || '|' || grid_id, {rnd('SUM(sms_count)')} FROM enriched GROUP BY event_date, grid_id
+  UNION ALL SELECT 'internet_per_day', {_DAY}, {rnd('SUM(internet_usage)')} FROM enriched GROUP BY event_date
+  UNION ALL SELECT * FROM (SELECT 'top_5_peak_hours', CAST(hour AS VARCHAR),
+    {rnd('SUM(call_count + sms_count + internet_usage)')} FROM enriched GROUP BY hour
+    ORDER BY SUM(call_count + sms_count + internet_usage) DESC, hour LIMIT 5)""")
 
 SQL["S4_P1_P7_clean_flat_usage"] = with_ctes(["flat"], f"""SELECT grid_id,
   {rnd(_nan0('call_count'))} AS call_count, {rnd(_nan0('sms_count'))} AS sms_count,
@@ -308,8 +314,12 @@ SQL["D1_dedup_mapping"] = with_ctes(["mapping"], """SELECT grid_id, region_name,
         JOIN nation n ON n.n_nationkey = (u.user_id + 1) % 25))
   WHERE rn = 1""")
 
-SQL["J7_enrich_plan"] = """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, 'Premium Plus' AS plan_name,
-  25000 AS data_limit_mb, 1200 AS voice_limit_minutes, 1000 AS sms_limit, 'ACTIVE' AS status FROM customer"""
+SQL["J7_enrich_plan"] = """SELECT CAST(c_custkey AS VARCHAR) AS customer_id,
+  CASE WHEN c_custkey % 3 <> 0 THEN 'Plan ' || (c_custkey % 7) ELSE 'Premium Plus' END AS plan_name,
+  CAST(CASE WHEN c_custkey % 3 <> 0 THEN 1000 * (c_custkey % 5) ELSE 25000 END AS INTEGER) AS data_limit_mb,
+  CAST(CASE WHEN c_custkey % 3 <> 0 THEN 100 ELSE 1200 END AS INTEGER) AS voice_limit_minutes,
+  CAST(CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 50 ELSE 1000 END AS INTEGER) AS sms_limit,
+  'ACTIVE' AS status FROM customer"""
 
 SQL["A2_calls_per_hour"] = with_ctes(["enriched"], f"""SELECT hour, {r6('SUM(call_count)', 'total_calls')}
   FROM enriched GROUP BY hour""")
@@ -549,3 +559,142 @@ CTE["labelled_li"] = """labelled_li AS (
                        FROM features_li) q)"""
 DEPENDS["labelled_li"] = ["features_li"]
 SQL["M2_label_risk_lineitem"] = with_ctes(["labelled_li"], f"SELECT region_name, {_FEATURE_COLS}, label FROM labelled_li")
+
+# ---- bad rows -------------------------------------------------------------------------
+
+CTE["flat_dirty"] = """flat_dirty AS (
+  SELECT CASE WHEN k = 1 THEN NULL ELSE CAST(timestamp AS TIMESTAMP) END AS timestamp,
+         CASE WHEN k <> 6 THEN grid_id END AS grid_id,
+         CASE k WHEN 2 THEN -2.5 WHEN 4 THEN 3.0 ELSE call_count END AS call_count,
+         CASE k WHEN 3 THEN NULL WHEN 4 THEN 3.0 ELSE sms_count END AS sms_count,
+         CASE k WHEN 5 THEN CAST('NaN' AS DOUBLE) WHEN 4 THEN 3.0 ELSE internet_usage END AS internet_usage
+  FROM (SELECT event_id % 11 AS k, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS timestamp,
+               'R' || CAST(user_id AS VARCHAR) AS grid_id,
+               CASE WHEN event_type IN ('click', 'view') THEN value ELSE 0.0 END AS call_count,
+               CASE WHEN event_type IN ('signup', 'purchase') THEN value ELSE 0.0 END AS sms_count,
+               CASE WHEN event_type = 'error' THEN value ELSE 0.0 END AS internet_usage
+        FROM events) CROSS JOIN (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR k = 4)"""
+DEPENDS["flat_dirty"] = []
+SQL["Q6_quality_profile_dirty"] = with_ctes(["flat_dirty"], """SELECT
+  CAST(COUNT(*) AS BIGINT) AS rows, CAST(COUNT(*) FILTER (WHERE timestamp IS NULL) AS BIGINT) AS missing_timestamps,
+  CAST(COUNT(*) FILTER (WHERE call_count < 0) AS BIGINT) AS negative_call_count,
+  CAST(COUNT(*) FILTER (WHERE sms_count < 0) AS BIGINT) AS negative_sms_count,
+  CAST(COUNT(*) FILTER (WHERE internet_usage < 0) AS BIGINT) AS negative_internet_usage,
+  CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM flat_dirty)) AS BIGINT) AS duplicate_rows
+  FROM flat_dirty""")
+SQL["P10_Q3_F4_F5_D2_clean_flat_dirty"] = with_ctes(["flat_dirty"], """SELECT DISTINCT *,
+  CAST(hour(timestamp) AS INTEGER) AS hour, CAST(timestamp AS DATE) AS day FROM flat_dirty
+  WHERE timestamp IS NOT NULL AND grid_id IS NOT NULL AND call_count >= 0 AND sms_count >= 0
+    AND internet_usage >= 0 AND NOT isnan(internet_usage) AND NOT isnan(call_count) AND NOT isnan(sms_count)""")
+SQL["F1_F2_Q3_clean_flat_usage_dirty"] = with_ctes(["flat_dirty"], f"""SELECT grid_id, {_nan0('call_count')} AS call_count,
+  {_nan0('sms_count')} AS sms_count, {_nan0('internet_usage')} AS internet_usage, timestamp AS event_timestamp,
+  CAST(timestamp AS DATE) AS event_date, CAST(hour(timestamp) AS INTEGER) AS hour
+  FROM flat_dirty WHERE timestamp IS NOT NULL AND grid_id IS NOT NULL""")
+
+_REQUIRED = "['timestamp', 'grid_id', 'call_count', 'sms_count', 'internet_usage']"
+SQL["Q4_Q5_required"] = """SELECT c.name AS "check", c.message, CAST(n AS BIGINT) AS rows
+  FROM (VALUES ('columns', NULL), ('missing column', 'Missing required columns: [''sms_count'']'),
+               ('rows', NULL), ('no rows', 'usage data is empty')) c(name, message),
+       (SELECT COUNT(*) AS n FROM events)"""
+SQL["A11_kpis"] = with_ctes(["flat_clean"], f"""
+  SELECT 'total_rows' AS kpi, '' AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM flat_clean
+  UNION ALL SELECT * FROM (SELECT 'peak_usage_hour', CAST(hour AS VARCHAR),
+    {rnd('SUM(call_count + sms_count + internet_usage)')} FROM flat_clean WHERE hour IS NOT NULL GROUP BY hour
+    ORDER BY SUM(call_count + sms_count + internet_usage) DESC, hour LIMIT 1)
+  UNION ALL SELECT 'usage_per_region.' || m, key, {rnd('v')} FROM (
+    SELECT grid_id AS key, unnest(['call_count', 'sms_count', 'internet_usage']) AS m,
+           unnest([SUM(call_count), SUM(sms_count), SUM(internet_usage)]) AS v
+    FROM flat_clean WHERE grid_id IS NOT NULL GROUP BY grid_id)
+  UNION ALL SELECT 'avg_usage_per_hour.' || m, key, {rnd('v')} FROM (
+    SELECT CAST(hour AS VARCHAR) AS key, unnest(['avg_calls', 'avg_sms', 'avg_internet_usage']) AS m,
+           unnest([AVG(call_count), AVG(sms_count), AVG(internet_usage)]) AS v
+    FROM flat_clean WHERE hour IS NOT NULL GROUP BY hour)""")
+SQL["T4_load_star"] = with_ctes(["fact", "dim_time", "dim_region"], """
+  SELECT 'dim_time' AS table_name, CAST(COUNT(*) AS BIGINT) AS rows FROM dim_time
+  UNION ALL SELECT 'dim_region', CAST(COUNT(*) AS BIGINT) FROM dim_region
+  UNION ALL SELECT 'fact_usage', CAST(COUNT(*) AS BIGINT) FROM fact""")
+
+# ---- risk model --------------------------------------------------------------------------
+
+SQL["M4_train_model"] = with_ctes(["labelled"], """SELECT f.position, f.feature, 200 AS trees,
+  'LOW|MEDIUM|HIGH' AS labels, t.train_rows
+  FROM (VALUES (0, 'avg_usage'), (1, 'growth_rate'), (2, 'variability'), (3, 'peak_ratio')) f(position, feature),
+       (SELECT CAST(SUM(n - CAST(round(n * 0.2) AS BIGINT)) AS BIGINT) AS train_rows
+        FROM (SELECT COUNT(*) AS n FROM labelled GROUP BY label)) t""")
+CTE["judged"] = """judged AS (
+  SELECT l.region_name, l.label, CASE WHEN l.variability >= q.p90 THEN 'HIGH' WHEN l.variability >= q.p50 THEN 'MEDIUM'
+         ELSE 'LOW' END AS predicted
+  FROM labelled l, (SELECT quantile_cont(variability, 0.5) AS p50, quantile_cont(variability, 0.9) AS p90 FROM features) q)"""
+DEPENDS["judged"] = ["labelled", "features"]
+CTE["per_class"] = """per_class AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score
+  FROM (SELECT c.cls, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+               CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support, tp
+        FROM (SELECT cls, CAST(SUM(CASE WHEN label = cls THEN 1 ELSE 0 END) AS DOUBLE) AS support,
+                     CAST(SUM(CASE WHEN predicted = cls THEN 1 ELSE 0 END) AS DOUBLE) AS n_pred,
+                     CAST(SUM(CASE WHEN label = cls AND predicted = cls THEN 1 ELSE 0 END) AS DOUBLE) AS tp
+              FROM judged, (SELECT DISTINCT cls FROM (SELECT label AS cls FROM judged UNION SELECT predicted FROM judged))
+              GROUP BY cls) c))"""
+DEPENDS["per_class"] = ["judged"]
+
+
+def _report_row(label: str, precision: str, recall: str, f1: str, support: str) -> str:
+    return (f"SELECT {label} AS label, {rnd(precision)} AS precision, {rnd(recall)} AS recall, {rnd(f1)} AS f1_score, "
+            f"CAST({support} AS BIGINT) AS support FROM per_class")
+
+
+def _weighted(x: str) -> str:
+    return f"SUM({x} * support) / SUM(support)"
+
+
+SQL["M5_evaluate"] = with_ctes(["per_class"], "\nUNION ALL ".join([
+    _report_row("cls", "precision", "recall", "f1_score", "support"),
+    _report_row("'accuracy'", *["SUM(tp) / SUM(support)"] * 3, "SUM(support)"),
+    _report_row("'macro avg'", "AVG(precision)", "AVG(recall)", "AVG(f1_score)", "SUM(support)"),
+    _report_row("'weighted avg'", _weighted("precision"), _weighted("recall"), _weighted("f1_score"), "SUM(support)")]))
+SQL["M5_confusion_matrix"] = with_ctes(["judged"], """SELECT c.cls AS actual,
+  CAST(COUNT(*) FILTER (WHERE label = cls AND predicted = 'HIGH') AS BIGINT) AS "HIGH",
+  CAST(COUNT(*) FILTER (WHERE label = cls AND predicted = 'LOW') AS BIGINT) AS "LOW",
+  CAST(COUNT(*) FILTER (WHERE label = cls AND predicted = 'MEDIUM') AS BIGINT) AS "MEDIUM"
+  FROM judged, (SELECT label AS cls FROM judged UNION SELECT predicted FROM judged) c GROUP BY c.cls""")
+CTE["probabilities"] = """probabilities AS (
+  SELECT region_name, p_low, p_medium, p_high, greatest(p_low, p_medium, p_high) AS top,
+         CASE WHEN p_low >= greatest(p_medium, p_high) THEN 'LOW' WHEN p_medium >= greatest(p_low, p_high) THEN 'MEDIUM'
+              ELSE 'HIGH' END AS congestion_risk
+  FROM (SELECT region_name, variability / (avg_usage + variability + peak_ratio) AS p_low,
+               peak_ratio / (avg_usage + variability + peak_ratio) AS p_medium,
+               avg_usage / (avg_usage + variability + peak_ratio) AS p_high FROM features))"""
+DEPENDS["probabilities"] = ["features"]
+SQL["M6_score_columns"] = with_ctes(["probabilities"], f"""SELECT region_name, congestion_risk,
+  {r6('round_even(top, 4)', 'score')}, congestion_risk = 'HIGH' AND top > 0.75 AS anomaly_flag FROM probabilities""")
+SQL["M6_K4_K5_score_batch"] = with_ctes(["features"], """SELECT region_name, true AS class_ok, true AS score_ok,
+  true AS flag_ok FROM features""")
+SQL["M7_E5_predict_risk"] = f"""SELECT region, CASE WHEN error IS NULL THEN 200 ELSE 422 END AS status_code,
+  error AS detail, CASE WHEN error IS NULL THEN true END AS ok FROM ({SQL["Q10_range_check"]})"""
+
+# ---- extensions ---------------------------------------------------------------------------
+
+CTE["hourly"] = """hourly AS (SELECT region_name, date, hour, SUM(call_count) AS calls, SUM(internet_mb) AS internet_mb
+  FROM star_rows GROUP BY region_name, date, hour)"""
+DEPENDS["hourly"] = ["star_rows"]
+_LAST_DAY = "OVER (PARTITION BY region_name ORDER BY date, hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
+SQL["X1_X2_rolling_averages"] = with_ctes(["hourly"], f"""SELECT region_name, date, hour,
+  {r6('a', 'avg_call_count')}, {r6('b', 'avg_internet_usage')}
+  FROM (SELECT *, AVG(calls) {_LAST_DAY} AS a, AVG(internet_mb) {_LAST_DAY} AS b FROM hourly)""")
+SQL["X3_peak_hour_flags"] = with_ctes(["star_rows"], f"""SELECT region_name, hour, {r6('u', 'total_usage')},
+  row_number() OVER (PARTITION BY region_name ORDER BY u DESC, hour) <= 3 AS peak_hour_flag
+  FROM (SELECT region_name, hour, SUM(call_count + sms_count + internet_mb) AS u FROM star_rows GROUP BY region_name, hour)""")
+SQL["X4_weekend"] = with_ctes(["dim_time"], "SELECT *, isodow(date) IN (6, 7) AS is_weekend FROM dim_time")
+SQL["X5_usage_between"] = with_ctes(["enriched"], f"""SELECT grid_id, call_count, sms_count, internet_usage, event_timestamp, event_date, hour, region_name, city FROM enriched
+  WHERE event_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'""")
+SQL["X6_flag_high_risk"] = with_ctes(["probabilities"], f"""SELECT region_name, {r6('p_high', 'p_high')},
+  CASE WHEN p_high >= 0.3 THEN 'HIGH' ELSE congestion_risk END AS congestion_risk FROM probabilities""")
+SQL["X7_usage_drift"] = f"""WITH rows AS (
+    SELECT CAST(least(greatest(floor(value / 10), 0), 9) AS INTEGER) AS bin, dayofmonth(ts) > 15 AS later
+    FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+  counted AS (SELECT b.bin, COUNT(*) FILTER (WHERE NOT later) AS a, COUNT(*) FILTER (WHERE later) AS b
+    FROM range(10) b(bin) LEFT JOIN rows r ON r.bin = b.bin GROUP BY b.bin),
+  total AS (SELECT SUM(a) AS na, SUM(b) AS nb FROM counted)
+  SELECT CAST(na AS BIGINT) AS n_before, CAST(nb AS BIGINT) AS n_after, {rnd('s')} AS psi
+  FROM (SELECT na, nb, SUM(((b + 0.5) / (nb + 5.0) - (a + 0.5) / (na + 5.0))
+        * ln(((b + 0.5) / (nb + 5.0)) / ((a + 0.5) / (na + 5.0)))) AS s FROM counted, total GROUP BY na, nb)"""

@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from cellsight.operators._util import require_nonempty
-from cellsight.operators.star import assert_star_valid, build_star
+from cellsight.operators.star import Star, assert_star_valid, build_star, resolve_key_collisions
 from cellsight.sinks import write_star
 from cellsight.sources.files import read_cleaned, read_star
 
 
-def load_star(spark: SparkSession, cleaned_path: str, star_dir: str, id_mode: str = "content") -> dict[str, int]:
-    """Build, write and check the star; returns row counts per table.
+def _publish(spark: SparkSession, staged: str, star_dir: str) -> None:
+    """Put the staged tables in the place of the old ones (renames; dimensions first, fact last)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(star_dir))
+    for table in ("dim_time", "dim_region", "fact_usage"):
+        fs.delete(path(f"{star_dir}/{table}"), True)
+        fs.rename(path(f"{staged}/{table}"), path(f"{star_dir}/{table}"))
+    fs.delete(path(staged), True)
+
+
+def load_star(spark: SparkSession, cleaned_path: str, star_dir: str) -> dict[str, int]:
+    """Build, write, check and publish the star; returns row counts per table.
 
-    The tables are written first (dimensions, then fact) and the
-    constraints (Q7-Q9) are checked on the written tables, which are then
-    cheap to read; a violation raises ``ValueError``. ``id_mode="sequence"``
-    gives collision-free fact ids for loads beyond about 10^9 rows (see
-    :func:`cellsight.operators.star.fact_usage`).
+    The tables are written beside their final place, where the constraints
+    (Q7-Q9) are checked on them; a violation raises ``ValueError`` and leaves
+    the old star as it was. Fact ids that different rows share are told apart
+    before the check.
     """
     cleaned = read_cleaned(spark, cleaned_path)
     require_nonempty(cleaned, "processed dataset")
-    write_star(build_star(cleaned, reliable_base=True, id_mode=id_mode), star_dir)
-    stored = read_star(spark, star_dir)
+    staged = f"{star_dir.rstrip('/')}_staged_{uuid.uuid4().hex[:12]}"
+    write_star(build_star(cleaned, reliable_base=True), staged)
+    stored = read_star(spark, staged)
+    per_id = stored.fact.groupBy("usage_id").count().where("count > 1")
+    if not per_id.isEmpty():
+        final = Star(stored.dim_time, stored.dim_region, resolve_key_collisions(stored.fact))
+        write_star(final, f"{staged}_told")
+        staged = f"{staged}_told"
+        stored = read_star(spark, staged)
     assert_star_valid(stored)
+    _publish(spark, staged, star_dir)
+    stored = read_star(spark, star_dir)
     return {"dim_time": stored.dim_time.count(), "dim_region": stored.dim_region.count(),
             "fact_usage": stored.fact.count()}

@@ -53,8 +53,8 @@ FACT_USAGE = StructType([
     StructField("usage_id", LongType(), False),
     StructField("time_id", LongType(), False),
     StructField("region_id", LongType(), False),
-    StructField("call_count", IntegerType(), False),
-    StructField("sms_count", IntegerType(), False),
+    StructField("call_count", LongType(), False),
+    StructField("sms_count", LongType(), False),
     StructField("internet_mb", DoubleType(), False),
 ])
 

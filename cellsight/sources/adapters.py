@@ -64,8 +64,8 @@ def region_mapping_from_events(events: DataFrame, nation: DataFrame, region: Dat
             .select(grid_of_user().alias("grid_id"), "region_name", "city"))
 
 
-def flat_usage_from_events(events: DataFrame) -> DataFrame:
-    """events -> flat usage rows (timestamp text, grid_id, call, sms, internet)."""
+def flat_usage_from_events(events: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """events -> flat usage rows (timestamp text, grid_id, call, sms, internet), and the columns to ``keep``."""
     kind, value = F.col("event_type"), F.col("value")
     zero = F.lit(0.0)
     return events.select(
@@ -74,6 +74,7 @@ def flat_usage_from_events(events: DataFrame) -> DataFrame:
         F.when(kind.isin("click", "view"), value).otherwise(zero).alias("call_count"),
         F.when(kind.isin("signup", "purchase"), value).otherwise(zero).alias("sms_count"),
         F.when(kind == "error", value).otherwise(zero).alias("internet_usage"),
+        *(keep or []),
     )
 
 

@@ -12,7 +12,6 @@ import __spark_entry__ as E  # noqa: E402
 from oracle_check import duck, normalise  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-FAST_ROWS_ONLY = {"M4_train_model", "M5_evaluate", "M6_K4_K5_score_batch", "M7_E5_predict_risk"}
 
 
 def test_entry(spark):
@@ -26,10 +25,12 @@ def test_keys():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+# The training-data queries have tests of their own, in tests/llm.
+OWN = sorted(name for name in E.QUERIES)
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query_matches_reference(spark, name):
-    if name in FAST_ROWS_ONLY:
-        pytest.skip("covered by unit tests (model fitting is slow)")
     df = E.queries()[name](spark, SF)
     rows = df.collect()
     sql = E.oracle_sql().get(name)

@@ -78,10 +78,37 @@ def test_hot_group_is_expanded_by_several_tasks(spark):
     assert len({r["task"] for r in hot}) >= 2
 
 
-def test_sequence_ids_are_unique(spark):
-    rows = [("g1", 1.0, 1.0, 2.0, "2013-11-01 10:00:00", "A", "X")] * 7 + \
-           [("g2", 3.0, 1.0, 2.0, "2013-11-01 12:00:00", "B", "X")] * 3
-    s = star.build_star(cleaned(spark, rows), id_mode="sequence")
-    ids = [r["usage_id"] for r in s.fact.collect()]
-    assert len(ids) == 10 and len(set(ids)) == 10
-    assert all(r["violations"] == 0 for r in star.star_checks(s).collect())
+def test_shared_ids_are_told_apart(spark):
+    rows = [(7, 1, 1, 5, 0, 1.0), (7, 1, 1, 4, 0, 1.0), (7, 2, 1, 5, 0, 1.0), (8, 1, 1, 5, 0, 1.0)]
+    fact = spark.createDataFrame(rows, "usage_id long, time_id long, region_id long, call_count long, sms_count long, "
+                                       "internet_mb double")
+    got = sorted(tuple(r) for r in star.resolve_key_collisions(fact).collect())
+    assert got == sorted([(7, 1, 1, 4, 0, 1.0), (7 + (1 << 60), 1, 1, 5, 0, 1.0), (7 + (2 << 60), 2, 1, 5, 0, 1.0),
+                          (8, 1, 1, 5, 0, 1.0)])
+
+
+def test_large_measures_load(spark):
+    rows = [("g1", 3e9, 1e30, 1e15, "2013-11-01 10:00:00", "A", "X"), ("g1", 1.0, 2.0, 1e300, "2013-11-01 10:00:00", "A", "X")]
+    fact = {r["call_count"]: r for r in star.build_star(cleaned(spark, rows)).fact.collect()}
+    assert fact[3_000_000_000]["sms_count"] == (1 << 63) - 1 and fact[3_000_000_000]["internet_mb"] == 1e15
+    assert fact[1]["internet_mb"] == 1e300
+
+
+def test_failed_check_keeps_the_old_star(spark, tmp_dir, monkeypatch):
+    import os
+
+    import pytest
+
+    from cellsight.plans import warehouse
+    from cellsight.sinks import write_cleaned
+    path, out = os.path.join(tmp_dir, "cleaned"), os.path.join(tmp_dir, "star")
+    write_cleaned(cleaned(spark, [("g1", 1.0, 1.0, 2.0, "2013-11-01 10:00:00", "A", "X")]), path)
+    assert warehouse.load_star(spark, path, out)["fact_usage"] == 1
+
+    def broken(star):
+        raise ValueError("star constraints violated")
+    monkeypatch.setattr(warehouse, "assert_star_valid", broken)
+    write_cleaned(cleaned(spark, [("g1", 1.0, 1.0, 2.0, "2013-11-01 10:00:00", "A", "X")] * 3), path)
+    with pytest.raises(ValueError):
+        warehouse.load_star(spark, path, out)
+    assert spark.read.parquet(f"{out}/fact_usage").count() == 1
