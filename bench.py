@@ -37,7 +37,7 @@ def main() -> None:
 
     from pyspark.sql import functions as F
 
-    from cellsight.operators import features, reports, risk, rollups, star
+    from cellsight.operators import features, quality, reports, risk, rollups, star
     from cellsight.plans.catalog import events_enriched, lineitem_cleaned
     from cellsight.sinks import write_star
     from cellsight.sources.files import read_star
@@ -79,6 +79,12 @@ def main() -> None:
     def summary_e1():
         noop(reports.usage_summary(stored))
 
+    def region_e2():
+        noop(reports.region_usage(stored, "nation_3"))
+
+    def profile_q6b():
+        noop(quality.profile_columns(usage))
+
     def features_m1():
         noop(features.build_features(stored))
 
@@ -94,6 +100,8 @@ def main() -> None:
         "star_build_T1_T3": star_t1_t3,
         "flagship_A17": flagship_a17,
         "summary_E1": summary_e1,
+        "region_usage_E2": region_e2,
+        "profile_Q6b": profile_q6b,
         "features_M1": features_m1,
         "train_M4": train_m4,
         "score_M6": score_m6,

@@ -674,13 +674,13 @@ SQL["M7_E5_predict_risk"] = f"""SELECT region, CASE WHEN error IS NULL THEN 200
 
 # ---- extensions ---------------------------------------------------------------------------
 
-CTE["hourly"] = """hourly AS (SELECT region_name, date, hour, SUM(call_count) AS calls, SUM(internet_mb) AS internet_mb
+CTE["hourly_series"] = """hourly_series AS (SELECT region_name, date, hour, SUM(call_count) AS calls, SUM(internet_mb) AS internet_mb
   FROM star_rows GROUP BY region_name, date, hour)"""
-DEPENDS["hourly"] = ["star_rows"]
+DEPENDS["hourly_series"] = ["star_rows"]
 _LAST_DAY = "OVER (PARTITION BY region_name ORDER BY date, hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
-SQL["X1_X2_rolling_averages"] = with_ctes(["hourly"], f"""SELECT region_name, date, hour,
+SQL["X1_X2_rolling_averages"] = with_ctes(["hourly_series"], f"""SELECT region_name, date, hour,
   {r6('a', 'avg_call_count')}, {r6('b', 'avg_internet_usage')}
-  FROM (SELECT *, AVG(calls) {_LAST_DAY} AS a, AVG(internet_mb) {_LAST_DAY} AS b FROM hourly)""")
+  FROM (SELECT *, AVG(calls) {_LAST_DAY} AS a, AVG(internet_mb) {_LAST_DAY} AS b FROM hourly_series)""")
 SQL["X3_peak_hour_flags"] = with_ctes(["star_rows"], f"""SELECT region_name, hour, {r6('u', 'total_usage')},
   row_number() OVER (PARTITION BY region_name ORDER BY u DESC, hour) <= 3 AS peak_hour_flag
   FROM (SELECT region_name, hour, SUM(call_count + sms_count + internet_mb) AS u FROM star_rows GROUP BY region_name, hour)""")
