@@ -62,9 +62,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or conf_dir).rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the checkpoint root for intermediate tables."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far; call it once results are written. Returns their number.
+
+    Results are lazy and may still read them, so nothing is deleted before.
+    """
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _SCRATCH:
+        path = hpath(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialize(df, name: str):

@@ -96,3 +96,13 @@ def test_ingest_reads_each_file_by_its_header_and_name(spark, tmp_dir):
     assert rows == {"1": (2.0, 3.0, 4.5, "2013-11-01"), "2": (7.0, 6.0, 5.0, "2013-11-02"),
                     "3": (1.0, 1.0, 1.0, "2013-11-03"), "4": (1.0, 1.0, 1.0, "2013-11-04"),
                     "5": (1.0, 1.0, 1.0, "2013-11-05")}
+
+
+def test_scratch_tables_are_cleared(spark, monkeypatch):
+    from cellsight import session
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    df = session.materialize(spark.range(3), "scratch-test")
+    path = session._SCRATCH[0]
+    assert df.count() == 3 and session.clear_scratch(spark) == 1
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
