@@ -34,6 +34,7 @@ section summary table tbody td tfoot th thead title tr ul""".split())
 CONTAINERS = frozenset("article body div main section td".split())
 BOILERPLATE = frozenset("""applet aside button canvas datalist dialog embed fieldset footer form head iframe input label
 math menu nav noframes noscript object option script select style svg template textarea title video audio""".split())
+REPEATED = frozenset("dd dt li option p td th tr".split())   # closed by the next one of their kind
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("""alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search
 toolbar""".split())
@@ -77,6 +78,10 @@ class _Lines(HTMLParser):
             self._text.append(data)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        last = self.open[-1][0] if self.open else ""
+        if (last in REPEATED and tag == last) or (last == "p" and tag in BLOCKS and tag != "br"):
+            self._cut()
+            self.open.pop()  # its end tag was left out
         container, junk = self.open[-1][1:] if self.open else (0, False)
         if tag in ("article", "main", "body"):
             junk = False  # whatever boilerplate was left unclosed before
@@ -120,8 +125,11 @@ def _is_boilerplate(tag: str, attrs: list, in_article: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and value and any(NAMES.match(w.lower()) for w in WORD.findall(value)):
-            return True
+        if name in ("class", "id") and value:
+            words = [w.lower() for w in WORD.findall(value)]
+            # An article's own header holds its title.
+            if any(NAMES.match(w) and not (in_article and w == "header") for w in words):
+                return True
     return False
 
 

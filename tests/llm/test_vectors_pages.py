@@ -112,6 +112,8 @@ PARA = "This paragraph holds a fair amount of running text, as the body of an ar
     (f"<article><script>var a='<p>no</p>';</script><style>p{{}}</style><p>{PARA}</p><table><tr><td>cell one</td>"
      f"<td>cell two</td></tr></table></article>", f"{PARA.strip()}\ncell one\ncell two"),
     (f"<div class=ad><p>Buy</p><article><p>{PARA}</p></article>", PARA.strip()),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p class=notice>Read our terms<p>{PARA}<ul><li class=promo>x"
+     f"<li>Point</ul><section id=userComments><p>{PARA}</p></section></article>", f"Title\n{PARA.strip()}\nPoint"),
 ])
 def test_pages(page, want):
     assert html_extract.extract(page) == want
