@@ -1,4 +1,3 @@
-import pytest
 
 from cellsight.operators import enrich
 
