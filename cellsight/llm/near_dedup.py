@@ -9,7 +9,7 @@ Documents with equal shingle sets are one class from the start. In every
 bucket one member is the centre and only the edges of that star are
 candidates, so their number stays below buckets times members. Star rounds
 with other centres follow for buckets that still hold several components;
-what is then left is compared across components only. Every candidate is
+what is then left is compared across components only, in packed chunks. Every candidate is
 confirmed on the full shingle sets, and components follow by spreading the
 smallest label.
 
@@ -38,6 +38,7 @@ BANDS = 40                 # buckets of a document
 ROWS = 6                   # bins that must agree in a bucket
 PERCENT = 80               # least intersection in per cent of the union
 STAR_ROUNDS = 2
+PACK_TOKENS = 40_000       # shingles of the documents that are compared together
 NULL_ID = (1 << 63) - 1
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -114,30 +115,24 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
     return rows.mapInArrow(run, "doc long, n long, f1 long, f2 long, bands array<long>")
 
 
-def _candidate_sets(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, known: DataFrame | None,
-                    words: int, reps: DataFrame) -> DataFrame:
-    """(rep, hashes): full shingle sets of the candidates in ``pairs`` that are not ``known`` yet."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    if known is not None:
-        wanted = wanted.join(known.select("rep"), "rep", "left_anti")
-    rows = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rep"), F.col(text_col).alias("body"))
-            .join(wanted, "rep"))
+def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, hashes): full shingle sets of the documents in ``wanted`` (rep, f1); the texts move once."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rep"), F.col(text_col).alias("body"))
+    rows = rows.hint("merge").join(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache(_word_hash)
         for batch in small_batches(batches):
             sets = [shingles(t, cache, words) for t in texts_of(batch, "body")]
-            prints = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]
+            prints = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) for s in sets]
+            # Rows sharing an id: the one whose set is the class's own.
+            own = pa.array([a == b for a, b in zip(prints, texts_of(batch, "f1"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("rep")), pa.array([int(p[0]) for p in prints], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "f1", "hashes"])
+                [batch.column(batch.schema.get_field_index("rep")), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["rep", "hashes"]).filter(own)
 
-    found = rows.mapInArrow(run, "rep long, f1 long, hashes binary")
-    # Rows sharing an id: the one whose set is the class's own.
-    found = found.join(reps.select("rep", "f1"), ["rep", "f1"], "left_semi").dropDuplicates(["rep"]).select("rep", "hashes")
     with arrow_rows(docs.sparkSession, 1000):
-        found = materialize(found, "near-sets")
-    return found if known is None else known.unionByName(found)
+        return materialize(rows.mapInArrow(run, "rep long, hashes binary").dropDuplicates(["rep"]), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,9 +170,9 @@ def components(edges: DataFrame) -> DataFrame | None:
     if labels.isEmpty():
         return None
     while True:
-        heard = (both.join(labels.withColumnRenamed("v", "dst"), "dst").groupBy(F.col("src").alias("v"))
-                 .agg(F.min("label").alias("heard")))
-        told = labels.join(heard, "v").select("v", "label", F.least("label", "heard").alias("next"))
+        heard = both.join(labels.withColumnRenamed("v", "dst"), "dst").select(F.col("src").alias("v"), "label", F.lit(None).cast("long").alias("own"))
+        told = (heard.unionByName(labels.select("v", "label", F.col("label").alias("own"))).groupBy("v")
+                .agg(F.max("own").alias("label"), F.min("label").alias("next")))
         step = labels.select(F.col("v").alias("next"), F.col("label").alias("jump"))
         new = materialize(told.join(step, "next", "left").select(
             "v", F.least("next", "jump").alias("label"), (F.least("next", "jump") < F.col("label")).alias("moved")), "near-labels")
@@ -212,25 +207,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     members = materialize(members.join(materialize(shared.select("band", "bucket"), "near-buckets"), ["band", "bucket"]),
                           "near-members")
     comps = reps.select("rep", "n", F.col("rep").alias("comp"))
-    sets, tried = None, None
-    for turn in range(star_rounds + 1):
+    wanted = members.select("rep").distinct().join(reps.select("rep", "f1"), "rep")
+    sets = _full_sets(docs, id_col, text_col, wanted, words)
+    tried = None
+    for turn in range(star_rounds):
         open_ = members.withColumn("comp", F.col("rep")) if turn == 0 else _mixed(members, comps)
-        pairs = _star(open_, turn) if turn < star_rounds else _across(open_)
         small, large = F.least("na", "nb"), F.greatest("na", "nb")
-        pairs = (pairs.where((F.col("ca") != F.col("cb")) & (100 * small >= percent * large))
+        pairs = (_star(open_, turn).where((F.col("ca") != F.col("cb")) & (100 * small >= percent * large))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if turn < star_rounds and not open_.isEmpty():
-                continue
-            break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        sets = _candidate_sets(docs, id_col, text_col, pairs, sets, words, reps)
         with arrow_rows(docs.sparkSession, 500):
             links = materialize(_confirmed(pairs, sets, percent), "near-links")
         comps = _relabel(comps, links)
+    comps = _relabel(comps, _across(_mixed(members, comps), sets, percent))
     by_set = reps.select("f1", "f2", "rep").join(comps.select("rep", "comp"), "rep").select("f1", "f2", "comp")
     by_set = materialize(by_set, "near-classes")
     prints = sketches.where("n > 0").groupBy("doc").agg(F.min(F.struct("f1", "f2")).alias("s")).select("doc", "s.*")
@@ -257,16 +249,55 @@ def _star(open_: DataFrame, turn: int) -> DataFrame:
     return spokes.join(centres, ["band", "bucket"])
 
 
-def _across(open_: DataFrame) -> DataFrame:
-    """What the stars left: members outside their bucket's largest component, against all members of other components."""
-    sizes = open_.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("band", "bucket").agg(F.max(F.struct("size", "comp")).alias("m"))
-    main = materialize(main.select("band", "bucket", F.col("m.comp").alias("main")), "near-main")
-    rest = open_.join(main, ["band", "bucket"]).where(F.col("comp") != F.col("main"))
-    rest = materialize(rest.select("band", "bucket", F.col("rep").alias("b"), F.col("n").alias("nb"),
-                                   F.col("comp").alias("cb")), "near-rest")
-    every = open_.select("band", "bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    return every.join(rest, ["band", "bucket"])
+def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that the stars left: between members outside a bucket's largest component and all other members.
+
+    Members and their sets are packed into chunks of bounded size, a large
+    bucket into many; a pair of chunks is one row, and only links come out.
+    """
+    sizes = open_.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    main = sizes.groupBy("band", "bucket").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("tokens").alias("tokens"))
+    main = materialize(main.select("band", "bucket", F.col("m.comp").alias("main"),
+                                   F.ceil(F.col("tokens") / F.lit(PACK_TOKENS)).alias("chunks")), "near-main")
+    placed = materialize(open_.join(main, ["band", "bucket"]), "near-placed").join(sets, "rep")
+    packed = (placed.groupBy("band", "bucket", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"))
+              .agg(F.collect_list(F.struct("rep", "comp", "hashes", (F.col("comp") != F.col("main")).alias("rest"))).alias("all")))
+    packed = materialize(packed, "near-packed")
+    rest = packed.select("band", "bucket", F.filter("all", lambda x: x["rest"]).alias("some")).where(F.size("some") > 0)
+    rows = rest.join(packed.select("band", "bucket", "all"), ["band", "bucket"]).select("some", "all")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                some, every = batch.column(0).slice(row, 1).flatten(), batch.column(1).slice(row, 1).flatten()
+                a, b = _links(_unpacked(some), _unpacked(every), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    with arrow_rows(open_.sparkSession, 4):
+        return materialize(rows.mapInArrow(run, "a long, b long"), "near-links")
+
+
+def _unpacked(members: pa.StructArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return (members.field("rep").to_numpy(), members.field("comp").to_numpy(),
+            [np.frombuffer(x, np.uint64) for x in members.field("hashes").to_pylist()])
+
+
+def _links(some: tuple, every: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links of the first to the second members; one for each component reached."""
+    rep, comp, sets = some
+    rep2, comp2, sets2 = every
+    size, size2 = (np.array([len(x) for x in y], np.int64) for y in (sets, sets2))
+    # Tokens that only one side has cannot be common.
+    tokens = np.intersect1d(np.concatenate(sets), np.concatenate(sets2))
+    common = np.zeros((len(sets), len(sets2)), np.float32)
+    for at in range(0, len(tokens), 4096):  # in bands of tokens, so that the matrices stay small
+        band = tokens[at:at + 4096]
+        x, y = (np.array([np.isin(band, s, assume_unique=True) for s in group], np.float32) for group in (sets, sets2))
+        common += x @ y.T
+    linked = 100 * common >= percent * (size[:, None] + size2 - common)
+    i, j = np.nonzero(linked & (comp[:, None] != comp2))
+    _, first = np.unique(np.stack([rep[i], comp2[j]]), axis=1, return_index=True)
+    return rep[i[first]], rep2[j[first]]
 
 
 def components_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
