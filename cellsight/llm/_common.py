@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -74,6 +75,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now.
+
+    It does so once the driver has collected their plans, which may otherwise
+    be long after their results were written, and disks fill up meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """At most ``rows`` rows in a record batch while wide rows (packed blocks, sets) are written."""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.llm._common import HashCache, arrow_rows, fresh, mix64, small_batches, texts_of
+from cellsight.llm._common import HashCache, arrow_rows, fresh, mix64, release_shuffles, small_batches, texts_of
 from cellsight.session import materialize
 
 SHINGLE_WORDS = 2
@@ -206,9 +206,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     shared = members.groupBy("band", "bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = materialize(members.join(materialize(shared.select("band", "bucket"), "near-buckets"), ["band", "bucket"]),
                           "near-members")
+    release_shuffles(docs.sparkSession)
     comps = reps.select("rep", "n", F.col("rep").alias("comp"))
     wanted = members.select("rep").distinct().join(reps.select("rep", "f1"), "rep")
     sets = _full_sets(docs, id_col, text_col, wanted, words)
+    release_shuffles(docs.sparkSession)
     tried = None
     for turn in range(star_rounds):
         open_ = members.withColumn("comp", F.col("rep")) if turn == 0 else _mixed(members, comps)
@@ -222,7 +224,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         with arrow_rows(docs.sparkSession, 500):
             links = materialize(_confirmed(pairs, sets, percent), "near-links")
         comps = _relabel(comps, links)
+        release_shuffles(docs.sparkSession)
     comps = _relabel(comps, _across(_mixed(members, comps), sets, percent))
+    release_shuffles(docs.sparkSession)
     by_set = reps.select("f1", "f2", "rep").join(comps.select("rep", "comp"), "rep").select("f1", "f2", "comp")
     by_set = materialize(by_set, "near-classes")
     prints = sketches.where("n > 0").groupBy("doc").agg(F.min(F.struct("f1", "f2")).alias("s")).select("doc", "s.*")
@@ -263,6 +267,7 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     packed = (placed.groupBy("band", "bucket", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"))
               .agg(F.collect_list(F.struct("rep", "comp", "hashes", (F.col("comp") != F.col("main")).alias("rest"))).alias("all")))
     packed = materialize(packed, "near-packed")
+    release_shuffles(open_.sparkSession)
     rest = packed.select("band", "bucket", F.filter("all", lambda x: x["rest"]).alias("some")).where(F.size("some") > 0)
     rows = rest.join(packed.select("band", "bucket", "all"), ["band", "bucket"]).select("some", "all")
 
