@@ -5,8 +5,10 @@ its text into lines; every line has a length of text and a number of tags.
 Text inside boilerplate elements (by tag, role, or a word of class or id)
 counts as none. The ratios of text to tags are smoothed with a Gaussian over
 neighbouring lines, and lines above a threshold are selected. The content
-region is the deepest container that holds nearly all of the selected text;
-all its lines outside boilerplate are returned, the short ones too.
+region is the outermost article or main element (or several) if it holds
+nearly all of the selected text, else the whole page without the lines of
+links outside the container that does; all its lines outside boilerplate are
+returned, the short ones too.
 
 Defined results: null or empty html gives the empty text; a page without any
 text outside boilerplate gives the empty text; unclosed and stray tags are
@@ -31,6 +33,7 @@ from cellsight.llm._common import small_batches, texts_of
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre
 section summary table tbody td tfoot th thead title tr ul""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body div main section td".split())
 BOILERPLATE = frozenset("""applet aside button canvas datalist dialog embed fieldset footer form head iframe input label
 math menu nav noframes noscript object option script select style svg template textarea title video audio""".split())
@@ -60,6 +63,10 @@ class _Lines(HTMLParser):
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.place: list[int] = []
+        self.kinds: list[str] = [""]                     # container -> its tag
+        self.links: list[int] = []                       # line -> characters inside links
+        self.heading: list[bool] = []                    # line -> whether it is a heading's
+        self._link, self._linked, self._heading = False, 0, False
         self._text: list[str] = []
         self._tags = 0
 
@@ -71,11 +78,15 @@ class _Lines(HTMLParser):
             self.texts.append("" if junk else text)
             self.tags.append(self._tags)
             self.place.append(container)
-        self._text, self._tags = [], 0
+            self.links.append(self._linked)
+            self.heading.append(self._heading)
+        self._text, self._tags, self._linked, self._heading = [], 0, 0, False
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
             self._text.append(data)
+            if self._link:
+                self._linked += len(" ".join(data.split()))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         last = self.open[-1][0] if self.open else ""
@@ -89,10 +100,13 @@ class _Lines(HTMLParser):
         if tag in BLOCKS or own_junk:
             self._cut()
         self._tags += 1
+        self._heading |= tag in HEADINGS
+        self._link = tag == "a" or (self._link and tag not in BLOCKS)
         if tag in VOID:
             return
         if tag in CONTAINERS:
             self.parents.append(container)
+            self.kinds.append(tag)
             container = len(self.parents) - 1
         if tag in CONTAINERS or tag in BOILERPLATE or own_junk or tag == "header":
             self.open.append((tag, container, junk or own_junk))
@@ -107,6 +121,7 @@ class _Lines(HTMLParser):
         if tag in BLOCKS or depth is not None:
             self._cut()
         self._tags += 1
+        self._link = self._link and tag != "a" and tag not in BLOCKS
         if depth is not None:
             del self.open[depth:]
 
@@ -159,17 +174,39 @@ def extract(html: str | None) -> str:
     np.add.at(mass, parser.place, np.where(selected, sizes, 0))
     for c in range(len(mass) - 1, 0, -1):  # a container also holds what its inner containers hold
         mass[parser.parents[c]] += mass[c]
-    total, region = mass[0], 0
+    inside = _region(parser, sizes, mass)
+    return "\n".join(t for t, own in zip(parser.texts, inside, strict=True) if t and own)
+
+
+def _region(parser: _Lines, sizes: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Which lines belong to the content region; ``mass`` is the selected text of each container.
+
+    These are the outermost articles and main elements with more than links, if they hold nearly all of the
+    selected text. Otherwise nothing is left out but lines of links outside the innermost container that does.
+    """
+    place, links = np.array(parser.place), np.array(parser.links, np.float64)
+    parents, total = parser.parents, mass[0]
+    home = np.full(len(parents), -1)  # the outermost article or main around a container
+    for c in range(1, len(parents)):
+        home[c] = home[parents[c]] if home[parents[c]] >= 0 else c if parser.kinds[c] in ("article", "main") else -1
+    text, linked = np.zeros(len(parents)), np.zeros(len(parents))
+    at = home[place]
+    np.add.at(text, at[at >= 0], sizes[at >= 0])
+    np.add.at(linked, at[at >= 0], np.minimum(links, sizes)[at >= 0])
+    content = (text > 0) & (2 * linked <= text)
+    if mass[content].sum() >= REGION_SHARE * total:
+        return (at >= 0) & content[at]
+    region = 0
     while True:
-        inner = [c for c in range(region + 1, len(mass)) if parser.parents[c] == region and mass[c] >= REGION_SHARE * total]
+        inner = [c for c in range(region + 1, len(mass)) if parents[c] == region and mass[c] >= REGION_SHARE * total]
         if not inner:
             break
         region = inner[0]
     inside = np.zeros(len(mass), bool)
     inside[region] = True
     for c in range(region + 1, len(mass)):
-        inside[c] = inside[parser.parents[c]]
-    return "\n".join(t for t, c in zip(parser.texts, parser.place, strict=True) if t and inside[c])
+        inside[c] = inside[parents[c]]
+    return inside[place] | (2 * links <= sizes) | np.array(parser.heading)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",

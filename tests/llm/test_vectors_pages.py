@@ -119,6 +119,24 @@ def test_pages(page, want):
     assert html_extract.extract(page) == want
 
 
+TEXT = PARA.strip()
+LONG_TEXT = (PARA * 20).strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><h1>Title</h1><p>Lead.</p><div class=body><p>{PARA * 20}</p></div></article>", f"Title\nLead.\n{LONG_TEXT}"),
+    (f"<article><header><h1>Title</h1></header><div>{PARA * 20}</div></article>", f"Title\n{LONG_TEXT}"),
+    (f"<main><h1>Title</h1><article><p>{PARA * 20}</p></article><article><p>{PARA}</p></article></main>",
+     f"Title\n{LONG_TEXT}\n{TEXT}"),
+    (f"<body><section><p>{PARA * 20}</p></section><section><p>Short one.</p></section></body>", f"{LONG_TEXT}\nShort one."),
+    (f"<body><article><p>{PARA * 20}</p></article><article><p>{PARA}</p></article></body>", f"{LONG_TEXT}\n{TEXT}"),
+    (f"<body><h1><a href=x>Title</a></h1><div><a href=1>One link</a> <a href=2>Two</a></div><p>Lead.</p>"
+     f"<div><p>{PARA * 20}</p></div></body>", f"Title\nLead.\n{LONG_TEXT}"),
+])
+def test_pages_keep_what_stands_beside_the_body(page, want):
+    assert html_extract.extract(page) == want
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>text of a page</p>"), (1, "u", None),
             (3, "w", "<article><p>" + "word " * 200_000 + "</p></article>")]
