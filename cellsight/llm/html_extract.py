@@ -2,8 +2,9 @@
 
 The page is fed to the standard library's event parser. Block-level tags cut
 its text into lines; every line has a length of text and a number of tags.
-Text inside boilerplate elements (by tag, role, or a word of class or id)
-counts as none. The ratios of text to tags are smoothed with a Gaussian over
+Text inside boilerplate elements (by tag, role, or a name as class or id)
+counts as none; an element closed off by its name alone stays if it holds
+nearly all of the page's text. The ratios of text to tags are smoothed with a Gaussian over
 neighbouring lines, and lines above a threshold are selected. The content
 region is the outermost article or main element (or several) if it holds
 nearly all of the selected text, else the whole page without the lines of
@@ -46,6 +47,16 @@ NAMES = re.compile(
     r"^(ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disqus|footer|"
     r"gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|outbrain|pagination|popup|promo|related|"
     r"replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|taboola|toolbar|widget)$")
+# Words that may stand beside one of them; with any other word (related-work, share-prices) a name says something else.
+BESIDE = frozenset("""actions area article articles author bar bars blog block blocks body bottom box button buttons column
+container content cookie cookies desktop email entry fixed float floating form global google group holder icon icons
+inner item items left link links list main mobile module panel page pane policy popular post posts primary privacy
+reader readers region right row secondary section site sticky stories sub tertiary thread tool tools top unit user users
+view wrap wrapper zone""".split())
+# Words that make a class the state of a layout (has-sidebar, comments-open).
+STATE_FIRST = frozenset("has have no not with without is are show hide hidden".split())
+STATE_LAST = frozenset("open opened closed close active inactive enabled disabled on off visible collapsed expanded".split())
+REPLIES = frozenset("comment comments disqus replies respond".split())   # never main text, however long
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 CHUNK = 1 << 16            # characters fed to the parser at a time
@@ -58,7 +69,10 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []      # (tag, container, boilerplate) of open structural elements
+        self.open: list[tuple[str, int, bool, int]] = []  # (tag, container, boilerplate, named) of open structural elements
+        self.around: list[int] = [-1]                    # named element -> the named element around it
+        self.replies: list[bool] = [False]               # named element -> whether it is named after reader comments
+        self.named: list[int] = []                       # line -> the element closed off by its name that it stands in
         self.parents: list[int] = [-1]                   # container -> the container around it
         self.texts: list[str] = []
         self.tags: list[int] = []
@@ -74,10 +88,11 @@ class _Lines(HTMLParser):
         """End the line; its text counts for nothing inside boilerplate."""
         text = " ".join("".join(self._text).split())
         if text or self._tags:
-            container, junk = self.open[-1][1:] if self.open else (0, False)
+            container, junk, named = self.open[-1][1:] if self.open else (0, False, 0)
             self.texts.append("" if junk else text)
             self.tags.append(self._tags)
             self.place.append(container)
+            self.named.append(named)
             self.links.append(self._linked)
             self.heading.append(self._heading)
         self._text, self._tags, self._linked, self._heading = [], 0, 0, False
@@ -93,11 +108,13 @@ class _Lines(HTMLParser):
         if (last in REPEATED and tag == last) or (last == "p" and tag in BLOCKS and tag != "br"):
             self._cut()
             self.open.pop()  # its end tag was left out
-        container, junk = self.open[-1][1:] if self.open else (0, False)
+        container, junk, named = self.open[-1][1:] if self.open else (0, False, 0)
         if tag in ("article", "main", "body"):
-            junk = False  # whatever boilerplate was left unclosed before
-        own_junk = _is_boilerplate(tag, attrs, any(t == "article" for t, *_ in self.open))
-        if tag in BLOCKS or own_junk:
+            junk, named = False, 0  # whatever boilerplate was left unclosed before
+        in_article = any(t == "article" for t, *_ in self.open)
+        own_junk = _is_boilerplate(tag, attrs, in_article)
+        name = "" if own_junk else _name(tag, attrs, in_article)
+        if tag in BLOCKS or own_junk or name:
             self._cut()
         self._tags += 1
         self._heading |= tag in HEADINGS
@@ -108,8 +125,12 @@ class _Lines(HTMLParser):
             self.parents.append(container)
             self.kinds.append(tag)
             container = len(self.parents) - 1
-        if tag in CONTAINERS or tag in BOILERPLATE or own_junk or tag == "header":
-            self.open.append((tag, container, junk or own_junk))
+        if name:
+            self.around.append(named)
+            self.replies.append(name in REPLIES)
+            named = len(self.around) - 1
+        if tag in CONTAINERS or tag in BOILERPLATE or own_junk or name or tag == "header":
+            self.open.append((tag, container, junk or own_junk, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -140,14 +161,26 @@ def _is_boilerplate(tag: str, attrs: list, in_article: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and value:
-            words = [w.lower() for w in WORD.findall(value)]
-            # An article's own header holds its title.
-            if any(NAMES.match(w) and not (in_article and w == "header") for w in words):
-                return True
     return False
 
 
+def _name(tag: str, attrs: list, in_article: bool) -> str:
+    """The word of a class or id that names the element boilerplate, or nothing."""
+    if tag in ("html", "body", "main", "article") or tag in HEADINGS:
+        return ""
+    found = ""
+    for attr, value in attrs:
+        for token in value.split() if attr in ("class", "id") and value else ():
+            words = [w.lower() for w in WORD.findall(token) if len(w) > 1]
+            if not words or words[0] in STATE_FIRST or (len(words) > 1 and words[-1] in STATE_LAST):
+                continue
+            # An article's own header holds its title.
+            names = [w for w in words if NAMES.match(w) and not (in_article and w == "header")]
+            if names and all(w in BESIDE or NAMES.match(w) for w in words):
+                found = next((w for w in names if w in REPLIES), found or names[0])
+    return found
+
+
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines (zeros beyond both ends)."""
     reach = max(1, int(np.ceil(2 * sigma)))
@@ -164,7 +197,8 @@ def extract(html: str | None) -> str:
     for at in range(0, len(html), CHUNK):
         parser.feed(html[at:at + CHUNK])
     parser.close()
-    sizes = np.array([len(t) for t in parser.texts], np.float64)
+    texts = _without_named(parser)
+    sizes = np.array([len(t) for t in texts], np.float64)
     if not sizes.any():
         return ""
     ratio = smooth(sizes / np.maximum(1, parser.tags))
@@ -175,7 +209,19 @@ def extract(html: str | None) -> str:
     for c in range(len(mass) - 1, 0, -1):  # a container also holds what its inner containers hold
         mass[parser.parents[c]] += mass[c]
     inside = _region(parser, sizes, mass)
-    return "\n".join(t for t, own in zip(parser.texts, inside, strict=True) if t and own)
+    return "\n".join(t for t, own in zip(texts, inside, strict=True) if t and own)
+
+
+def _without_named(parser: _Lines) -> list[str]:
+    """The lines' texts, empty inside elements that are closed off by their names."""
+    mass = np.zeros(len(parser.around))
+    np.add.at(mass, parser.named, [len(t) for t in parser.texts])
+    for e in range(len(mass) - 1, 0, -1):
+        mass[parser.around[e]] += mass[e]
+    closed = [False] * len(mass)
+    for e in range(1, len(mass)):
+        closed[e] = closed[parser.around[e]] or parser.replies[e] or mass[e] < REGION_SHARE * mass[0]
+    return ["" if closed[e] else t for t, e in zip(parser.texts, parser.named, strict=True)]
 
 
 def _region(parser: _Lines, sizes: np.ndarray, mass: np.ndarray) -> np.ndarray:

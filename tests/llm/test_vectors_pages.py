@@ -137,6 +137,21 @@ def test_pages_keep_what_stands_beside_the_body(page, want):
     assert html_extract.extract(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<article><h2 id=related-work>Related work</h2><p>{PARA}</p><h2 id=share>Share</h2><section id=comments-on-the-treaty>"
+     f"<p>{PARA}</p></section><p id=notice-of-appeal>Notice.</p><p id=share-prices>Prices.</p></article>",
+     f"Related work\n{TEXT}\nShare\n{TEXT}\nNotice.\nPrices."),
+    (f"<body><div class='page has-sidebar'><p>{PARA}</p></div></body>", TEXT),
+    (f"<body><div class='post comments-open'><p>{PARA}</p></div></body>", TEXT),
+    (f"<body><div class=widget><p>{PARA * 20}</p><div class=share-buttons>Tweet</div></div><p>End.</p></body>",
+     f"{LONG_TEXT}\nEnd."),
+    (f"<body><p>{PARA}</p><div class=comment-list><p>{PARA * 20}</p></div><ul class=related-posts><li>{PARA}</ul>"
+     f"<div id=left-sidebar>{PARA}</div></body>", TEXT),
+])
+def test_pages_take_names_as_hints(page, want):
+    assert html_extract.extract(page) == want
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>text of a page</p>"), (1, "u", None),
             (3, "w", "<article><p>" + "word " * 200_000 + "</p></article>")]
