@@ -38,6 +38,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body div main section td".split())
 BOILERPLATE = frozenset("""applet aside button canvas datalist dialog embed fieldset footer form head iframe input label
 math menu nav noframes noscript object option script select style svg template textarea title video audio""".split())
+SECTIONS = frozenset("aside dialog footer header menu nav".split())   # an article inside belongs to them
 REPEATED = frozenset("dd dt li option p td th tr".split())   # closed by the next one of their kind
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("""alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search
@@ -70,9 +71,11 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, int]] = []  # (tag, container, boilerplate, named) of open structural elements
-        self.around: list[int] = [-1]                    # named element -> the named element around it
-        self.replies: list[bool] = [False]               # named element -> whether it is named after reader comments
-        self.named: list[int] = []                       # line -> the element closed off by its name that it stands in
+        # Elements that may be closed off, also with the articles inside, and such articles; "" is the page.
+        self.around: list[int] = [-1]                    # element -> the element around it
+        self.why: list[str] = [""]                       # element -> its name, "section" for a tag or role, or "article"
+        self.ended: list[bool] = [False]                 # element -> whether its end tag came
+        self.named: list[int] = []                       # line -> the element it stands in
         self.parents: list[int] = [-1]                   # container -> the container around it
         self.texts: list[str] = []
         self.tags: list[int] = []
@@ -84,6 +87,12 @@ class _Lines(HTMLParser):
         self._text: list[str] = []
         self._tags = 0
 
+    def _element(self, why: str, around: int) -> int:
+        self.around.append(around)
+        self.why.append(why)
+        self.ended.append(False)
+        return len(self.around) - 1
+
     def _cut(self) -> None:
         """End the line; its text counts for nothing inside boilerplate."""
         text = " ".join("".join(self._text).split())
@@ -109,11 +118,14 @@ class _Lines(HTMLParser):
             self._cut()
             self.open.pop()  # its end tag was left out
         container, junk, named = self.open[-1][1:] if self.open else (0, False, 0)
-        if tag in ("article", "main", "body"):
-            junk, named = False, 0  # whatever boilerplate was left unclosed before
         in_article = any(t == "article" for t, *_ in self.open)
-        own_junk = _is_boilerplate(tag, attrs, in_article)
-        name = "" if own_junk else _name(tag, attrs, in_article)
+        nested = in_article or any(t == "main" for t, *_ in self.open)
+        if tag in ("main", "body"):
+            junk, named = False, 0  # whatever boilerplate was left unclosed before
+        elif tag == "article" and (junk or named):
+            junk, named = False, self._element("article", named)  # the same, unless its end tag still comes
+        own_junk = _is_boilerplate(tag, attrs, in_article, nested)
+        name = "" if own_junk else _name(tag, attrs, in_article, nested)
         if tag in BLOCKS or own_junk or name:
             self._cut()
         self._tags += 1
@@ -126,9 +138,9 @@ class _Lines(HTMLParser):
             self.kinds.append(tag)
             container = len(self.parents) - 1
         if name:
-            self.around.append(named)
-            self.replies.append(name in REPLIES)
-            named = len(self.around) - 1
+            named = self._element(name, named)
+        elif own_junk and (tag in SECTIONS or tag not in BOILERPLATE):
+            named = self._element("section", named)
         if tag in CONTAINERS or tag in BOILERPLATE or own_junk or name or tag == "header":
             self.open.append((tag, container, junk or own_junk, named))
 
@@ -144,6 +156,8 @@ class _Lines(HTMLParser):
         self._tags += 1
         self._link = self._link and tag != "a" and tag not in BLOCKS
         if depth is not None:
+            if named := self.open[depth][3]:
+                self.ended[named] |= not depth or self.open[depth - 1][3] != named
             del self.open[depth:]
 
     def close(self) -> None:
@@ -151,10 +165,10 @@ class _Lines(HTMLParser):
         self._cut()
 
 
-def _is_boilerplate(tag: str, attrs: list, in_article: bool) -> bool:
+def _is_boilerplate(tag: str, attrs: list, in_article: bool, nested: bool) -> bool:
     if tag in BOILERPLATE or (tag == "header" and not in_article):
         return True
-    if tag in ("html", "body", "main", "article") or not attrs:
+    if tag in ("html", "body", "main") or (tag == "article" and not nested) or not attrs:
         return False
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -164,9 +178,9 @@ def _is_boilerplate(tag: str, attrs: list, in_article: bool) -> bool:
     return False
 
 
-def _name(tag: str, attrs: list, in_article: bool) -> str:
+def _name(tag: str, attrs: list, in_article: bool, nested: bool) -> str:
     """The word of a class or id that names the element boilerplate, or nothing."""
-    if tag in ("html", "body", "main", "article") or tag in HEADINGS:
+    if tag in ("html", "body", "main") or tag in HEADINGS:
         return ""
     found = ""
     for attr, value in attrs:
@@ -178,7 +192,7 @@ def _name(tag: str, attrs: list, in_article: bool) -> str:
             names = [w for w in words if NAMES.match(w) and not (in_article and w == "header")]
             if names and all(w in BESIDE or NAMES.match(w) for w in words):
                 found = next((w for w in names if w in REPLIES), found or names[0])
-    return found
+    return found if tag != "article" or nested or found in REPLIES else ""
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -213,14 +227,21 @@ def extract(html: str | None) -> str:
 
 
 def _without_named(parser: _Lines) -> list[str]:
-    """The lines' texts, empty inside elements that are closed off by their names."""
-    mass = np.zeros(len(parser.around))
-    np.add.at(mass, parser.named, [len(t) for t in parser.texts])
-    for e in range(len(mass) - 1, 0, -1):
-        mass[parser.around[e]] += mass[e]
-    closed = [False] * len(mass)
-    for e in range(1, len(mass)):
-        closed[e] = closed[parser.around[e]] or parser.replies[e] or mass[e] < REGION_SHARE * mass[0]
+    """The lines' texts, empty inside elements that are closed off by their names, and in articles inside
+    closed-off sections whose end tag was not left out."""
+    around, why, n = parser.around, parser.why, len(parser.around)
+    section = [False] * n
+    for e in range(1, n):
+        section[e] = section[around[e]] or (why[e] == "section" and parser.ended[e])
+    mass = np.zeros(n)
+    np.add.at(mass, parser.named, [0 if section[e] else len(t) for t, e in zip(parser.texts, parser.named, strict=True)])
+    for e in range(n - 1, 0, -1):
+        mass[around[e]] += mass[e]
+    closed, firm = section[:], section[:]
+    for e in range(1, n):
+        own = why[e] in REPLIES or (why[e] not in ("section", "article") and mass[e] < REGION_SHARE * mass[0])
+        firm[e] = firm[e] or firm[around[e]] or (own and parser.ended[e])
+        closed[e] = firm[e] if why[e] == "article" else closed[e] or closed[around[e]] or own
     return ["" if closed[e] else t for t, e in zip(parser.texts, parser.named, strict=True)]
 
 

@@ -152,6 +152,20 @@ def test_pages_take_names_as_hints(page, want):
     assert html_extract.extract(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body><article><p>{PARA}</p></article><section class=comments><article class=comment><p>{PARA * 9}</p></article>"
+     "</section></body>", TEXT),
+    (f"<body><main><p>{PARA}</p><article class=comment><p>{PARA * 9}</p></article></main></body>", TEXT),
+    (f"<body><article><p>{PARA}</p><article class='user-comment'>{PARA * 9}</article></article></body>", TEXT),
+    (f"<body><article><p>{PARA}</p></article><aside><article><p>{PARA}</p></article></aside>"
+     f"<footer><article><p>{PARA}</p></article></footer><div role=complementary><article>{PARA}</article></div></body>", TEXT),
+    (f"<body><nav><a href=x>Menu</a><article><p>{PARA}</p></article></body>", TEXT),
+    (f"<body><form id=all><article><p>{PARA}</p></article></form></body>", TEXT),
+])
+def test_pages_leave_out_articles_of_closed_sections(page, want):
+    assert html_extract.extract(page) == want
+
+
 def test_pages_edge_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>text of a page</p>"), (1, "u", None),
             (3, "w", "<article><p>" + "word " * 200_000 + "</p></article>")]
