@@ -15,9 +15,10 @@ smallest label.
 
 Defined results: a document without words (null or blank text) has an empty
 set, no link, and is kept; fewer words than a shingle count as one shingle;
-a null id sorts last, and rows with a null id are one document; rows sharing
-an id are one document, compared by the text with the smallest fingerprint;
-an empty table gives an empty result.
+a null id sorts last; rows with a null or shared id are one document only if
+their sets are equal, and all others are compared on their own; a component
+goes by its smallest id, and its first document (by id, then fingerprint) is
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,9 +98,15 @@ class OnePermutation:
         return out.view(np.int64)
 
 
+def _keyed(id_col: str, text_col: str) -> tuple:
+    """Columns doc (the id) and print (of the text), which tell apart texts under a null or shared id."""
+    return (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"),
+            F.xxhash64(F.col(text_col)).alias("print"))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc, n, f1, f2, bands): set size, 128-bit fingerprint of the set, and band hashes of every row."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("body"))
+    """(doc, print, n, f1, f2, bands): set size, 128-bit fingerprint of the set, and band hashes of every row."""
+    rows = docs.select(*_keyed(id_col, text_col), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, oph = HashCache(_word_hash), OnePermutation()
@@ -107,25 +114,25 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
             sets = [shingles(t, cache, words) for t in texts_of(batch, "body")]
             prints = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]),
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]),
                  pa.array(prints[:, 1]),
                  pa.array([oph.band_hashes(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                ["doc", "n", "f1", "f2", "bands"])
+                ["doc", "print", "n", "f1", "f2", "bands"])
 
-    return rows.mapInArrow(run, "doc long, n long, f1 long, f2 long, bands array<long>")
+    return rows.mapInArrow(run, "doc long, print long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, hashes): full shingle sets of the documents in ``wanted`` (rep, f1); the texts move once."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rep"), F.col(text_col).alias("body"))
-    rows = rows.hint("merge").join(wanted, "rep")
+    """(rep, hashes): full shingle sets of the documents in ``wanted`` (rep, doc, print, f1); the texts move once."""
+    rows = docs.select(*_keyed(id_col, text_col), F.col(text_col).alias("body"))
+    rows = rows.hint("merge").join(wanted, ["doc", "print"]).select("rep", "body", "f1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache(_word_hash)
         for batch in small_batches(batches):
             sets = [shingles(t, cache, words) for t in texts_of(batch, "body")]
             prints = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) for s in sets]
-            # Rows sharing an id: the one whose set is the class's own.
+            # Texts sharing an id and a print: the one whose set is the class's own.
             own = pa.array([a == b for a, b in zip(prints, texts_of(batch, "f1"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("rep")), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -195,20 +202,21 @@ def _relabel(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
             percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(doc, n_shingles, component) of every row; ids as long, null ids as the largest."""
+    """(doc, print, f1, f2, n_shingles, component, first) of every row: the smallest id of its component, and whether
+    the row is the component's first document; ids as long, null ids as the largest."""
     sketches = materialize(sketch(docs, id_col, text_col, words), "near-sketches")
-    by_doc = (sketches.where("n > 0").groupBy("doc").agg(F.min(F.struct("f1", "f2", "n", "bands")).alias("s"))
-              .select("doc", "s.*"))
-    # Equal sets are one class, represented by its smallest id.
-    reps = materialize(by_doc.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"),
-                                                     F.first("bands").alias("bands")), "near-reps")
+    # Equal sets are one class, represented by its first document and numbered on its own: ids may be shared.
+    reps = (sketches.where("n > 0").groupBy("f1", "f2")
+            .agg(F.min(F.struct("doc", "print")).alias("d"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+            .select(F.monotonically_increasing_id().alias("rep"), "f1", "f2", "d.doc", "d.print", "n", "bands"))
+    reps = materialize(reps, "near-reps")
     members = reps.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("band", "bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = materialize(members.join(materialize(shared.select("band", "bucket"), "near-buckets"), ["band", "bucket"]),
                           "near-members")
     release_shuffles(docs.sparkSession)
     comps = reps.select("rep", "n", F.col("rep").alias("comp"))
-    wanted = members.select("rep").distinct().join(reps.select("rep", "f1"), "rep")
+    wanted = members.select("rep").distinct().join(reps.select("rep", "doc", "print", "f1"), "rep")
     sets = _full_sets(docs, id_col, text_col, wanted, words)
     release_shuffles(docs.sparkSession)
     tried = None
@@ -227,12 +235,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         release_shuffles(docs.sparkSession)
     comps = _relabel(comps, _across(_mixed(members, comps), sets, percent))
     release_shuffles(docs.sparkSession)
-    by_set = reps.select("f1", "f2", "rep").join(comps.select("rep", "comp"), "rep").select("f1", "f2", "comp")
-    by_set = materialize(by_set, "near-classes")
-    prints = sketches.where("n > 0").groupBy("doc").agg(F.min(F.struct("f1", "f2")).alias("s")).select("doc", "s.*")
-    found = materialize(prints.join(by_set, ["f1", "f2"]).select("doc", "comp"), "near-found")
-    out = sketches.join(found, "doc", "left")
-    return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component"))
+    by_set = materialize(reps.select("f1", "f2", "rep", "doc").join(comps.select("rep", "comp"), "rep"), "near-labelled")
+    heads = by_set.groupBy("comp").agg(F.min(F.struct("doc", "f1", "f2")).alias("h"))
+    by_set = materialize(by_set.join(heads, "comp").select("f1", "f2", "h"), "near-classes")
+    out = sketches.select("doc", "print", "n", "f1", "f2").join(by_set, ["f1", "f2"], "left")
+    return materialize(out.select(
+        "doc", "print", "f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("h.doc", "doc").alias("component"),
+        F.coalesce(F.struct("doc", "f1", "f2") == F.col("h"), F.lit(True)).alias("first")), "near-found")
 
 
 def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -310,12 +319,13 @@ def components_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: st
     found = classes(docs, id_col, text_col, **options)
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return found.select(back("doc").alias("doc_id"), "n_shingles", back("component").alias("component_id"),
-                        (F.col("doc") == F.col("component")).alias("kept"))
+                        F.col("first").alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with all their columns; one row of each id."""
-    key = fresh(docs, "kept_doc")
-    kept = classes(docs, id_col, text_col, **options).where("doc = component").select(F.col("doc").alias(key)).distinct()
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    """The rows of ``docs`` that are the first document of their component, with all their columns; one of equal rows."""
+    keys = [fresh(docs, "kept_doc"), fresh(docs, "kept_print")]
+    kept = (classes(docs, id_col, text_col, **options).where("first").groupBy("doc", "f1", "f2")
+            .agg(F.min("print").alias("print")).select(F.col("doc").alias(keys[0]), F.col("print").alias(keys[1])))
+    keyed = docs.withColumns(dict(zip(keys, _keyed(id_col, text_col), strict=True)))
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -91,6 +91,25 @@ def test_near_edge_rows(edge_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, None, 7, 8]))
 
 
+def test_near_keeps_different_texts_of_null_and_shared_ids(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join(f"w{rnd.randrange(10_000)}" for _ in range(60))
+    own, shared, other = [text() for _ in range(20)], [text() for _ in range(5)], text()
+    rows = [(None, t) for t in own] + [(7, t) for t in shared] + [(3, other)]
+    copies = [(None, own[0]), (None, own[1] + " end"), (7, shared[0].upper()), (7, shared[1] + " end"), (9, own[2]),
+              (8, shared[2] + " end"), (None, other)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(5)
+    kept = near_dedup.keep_first(docs, words=2).collect()
+    want = rows[:2] + rows[3:] + [(9, own[2])]   # a copy with an id comes before one without
+    family = {t: i for i, (_, t) in enumerate(rows)} | {own[1] + " end": 1, shared[0].upper(): 20, shared[1] + " end": 21,
+                                                        shared[2] + " end": 22}
+    assert sorted((str(r["doc_id"]), family[r["text"]]) for r in kept) == sorted((str(i), family[t]) for i, t in want)
+    got = near_dedup.components_by_document(docs).collect()
+    assert len(got) == len(rows) + len(copies)
+    assert sum(r["kept"] for r in got) == len(want) + 2   # equal sets under one id are one document
+    assert {r["component_id"] for r in got if r["doc_id"] == 9} == {9}
+
+
 def test_components_by_spreading_labels(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + \
