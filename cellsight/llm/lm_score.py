@@ -1,8 +1,7 @@
 """Language-model scores from a hierarchical Pitman-Yor model of word pairs.
 
-Every context (the word before, if it is one of the ``CONTEXTS`` most
-frequent; else a common context for rare words, or the start of the text) is
-a restaurant whose customers are the words that follow it. All context
+Every context (the word before, or the start of the text) is a restaurant
+whose customers are the words that follow it. All context
 restaurants share one parent, whose customers are their tables, over a
 uniform base of all known words and one unknown. The seating is sampled by
 Gibbs sweeps: each word's customers in a restaurant are seated anew given
@@ -10,11 +9,14 @@ the parent's probability of the word and the restaurant's number of tables,
 both as of the sweep before. A text's probability is the product of its
 tokens' predictive probabilities, averaged over the sweeps after burn-in.
 
-How it is spread: tokens are grouped by word into shards by a hash (the most
-frequent words by word and context, so that none fills a shard), as packed
-arrays; a shard holds all counts of its words, which documents they occur in,
-and can replay the sweeps on its own. Only vectors of bounded size (tables of
-each context, customers of each frequent word) are summed up between sweeps.
+How it is spread: tokens are grouped into shards by a hash of the word, as
+packed arrays; of the ``CONTEXTS`` most frequent words, by context instead,
+or by word and context if both are frequent. A shard holds the counts of its
+pairs and can replay the sweeps on its own. Between sweeps, sums go two ways:
+the frequent words' and contexts' as vectors of bounded size, all other
+contexts' tables to the home shard of the context, which adds them up and
+answers every shard that has the context. Which documents a pair occurs in is
+kept apart, in pieces of a shard by chunk; the pairs' values are sent there.
 All draws are hashes of word, context and sweep, so a lost task repeats them.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and one end.
@@ -40,10 +42,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.llm._common import arrow_rows, fold, mix64, small_batches, texts_of
+from cellsight.llm._common import arrow_rows, fold, mix64, release_shuffles, small_batches, texts_of
 from cellsight.session import materialize
 
-CONTEXTS = 4096            # most frequent training words that have a restaurant of their own
+CONTEXTS = 4096            # most frequent training words, whose sums go through the driver
 SWEEPS = 3
 BURN_IN = 1
 DISCOUNT, STRENGTH = 0.75, 1.0              # of the context restaurants
@@ -51,10 +53,11 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 CHUNK_BYTES = 8 << 20      # text of the documents that are packed together
 SHARD_TOKENS = 4_000_000   # training tokens a shard is meant to hold
 MIN_SHARDS = 64
+PIECE_TOKENS = 16_000_000  # training tokens of the chunks whose documents stand in one piece of a shard
 EXACT_SEATS = 1000         # customers of one word seated one by one; the rest in blocks of 1 %
 
 END = xxhash.xxh3_64_intdigest(b"")
-RARE, START = 0, 1         # the two common contexts; the frequent words' follow
+START = 1                  # the start of a text; the frequent words' contexts follow, then a shard's others
 
 
 def _pack(**arrays) -> bytes:
@@ -157,20 +160,30 @@ def _parent_tables(customers: np.ndarray, key: np.ndarray, sweep: int, seating:
     return seat(customers.astype(np.int64), np.full(len(customers), open_new), PARENT_DISCOUNT, key, sweep)
 
 
+def _context_hashes(seating: Seating, far: dict | None) -> np.ndarray:
+    near = np.arange(len(seating.head) + 2, dtype=np.uint64)
+    return near if far is None else np.concatenate([near, far["hashes"]])
+
+
+def _all(near: np.ndarray, far: dict | None, key) -> np.ndarray:
+    """A sum of each context of a shard: those that all shards know, then its others."""
+    return near if far is None else np.concatenate([near, far[key]])
+
+
 def replay(words: np.ndarray, pair_word: np.ndarray, pair_ctx: np.ndarray, counts: np.ndarray,
-           seating: Seating) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """State of a shard after each sweep whose sums are known, and one more: tables of the pairs, customers that
+           seating: Seating, far: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """State of a shard (``far``: what is known of its own contexts) after each sweep whose sums are known, and one more: tables of the pairs, customers that
     each word sends to the parent from here, and which words stand in this shard alone."""
     slot = seating.slot(words)
     own = slot < 0
     key = mix64(words)
     with np.errstate(over="ignore"):
-        pair_key = mix64(key[pair_word] + pair_ctx.astype(np.uint64) + np.uint64(1))
+        pair_key = mix64(key[pair_word] + _context_hashes(seating, far)[pair_ctx] + np.uint64(1))
     tables = np.minimum(counts, 1).astype(np.float64)
     for sweep in range(len(seating.parent) + 1):
         if sweep:
             p = word_probability(slot, own, key, customers, sweep - 1, seating)
-            new = (STRENGTH + DISCOUNT * seating.tables[sweep - 1][pair_ctx]) * p[pair_word]
+            new = (STRENGTH + DISCOUNT * _all(seating.tables[sweep - 1], far, sweep - 1)[pair_ctx]) * p[pair_word]
             tables = seat(counts, new, DISCOUNT, pair_key, sweep)
         customers = np.bincount(pair_word, weights=tables, minlength=len(words))
         yield tables, customers, own
@@ -187,13 +200,33 @@ def word_probability(slot: np.ndarray, own: np.ndarray, key: np.ndarray, custome
     return (np.maximum(customers - PARENT_DISCOUNT * tables, 0) + base) / (PARENT_STRENGTH + all_customers)
 
 
-def shard_tokens(rows: DataFrame, seating: Seating, shards: int) -> DataFrame:
-    """Packed tokens, one row per shard (shard >= 0), and the documents of each chunk (shard < 0).
+def _union(parts: list[dict], near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and other contexts (hashes) of all parts, and the word and context number of their pairs in turn."""
+    words, place = np.unique(np.concatenate([p["words"] for p in parts]), return_inverse=True)
+    far, seat_of = np.unique(np.concatenate([p["far"] for p in parts]), return_inverse=True)
+    word, ctx, w, f = [], [], 0, 0
+    for p in parts:
+        word.append(place[w + p["word"].astype(np.int64)])
+        c = p["ctx"].astype(np.int64)
+        other = c >= near
+        c[other] = near + seat_of[f + c[other] - near]
+        ctx.append(c)
+        w, f = w + len(p["words"]), f + len(p["far"])
+    return words, far, np.concatenate(word), np.concatenate(ctx)
+
+
+def _home(far: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(far) % np.uint64(shards)).astype(np.int64)
+
+
+def shard_tokens(rows: DataFrame, seating: Seating, shards: int, pieces: int) -> tuple[DataFrame, DataFrame]:
+    """Packed counts, one row per shard; and packed documents, one row per piece of a shard, with the list of the
+    documents of each chunk (shard -1).
 
     ``rows`` are (doc_id, held_out, body).
     """
     shared = rows.sparkSession.sparkContext.broadcast(seating)
-    wide = CONTEXTS + 2
+    near = len(seating.head) + 2
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -201,90 +234,221 @@ def shard_tokens(rows: DataFrame, seating: Seating, shards: int) -> DataFrame:
             chunk = task << 24 | n
             h, word, doc = _tokens(texts_of(batch, "body"))
             slot = shared.value.slot(h)
-            ctx_of = np.where(slot >= 0, slot + 2, RARE)
+            wide, docs = len(h) + 1, batch.num_rows
             ctx = np.empty(len(word), np.int64)
-            ctx[1:] = ctx_of[word[:-1]]
-            ctx[np.flatnonzero(np.diff(doc, prepend=-1))] = START
-            entry, times = np.unique((word * wide + ctx) << 16 | doc, return_counts=True)
-            doc, pair = entry & 0xFFFF, entry >> 16
+            ctx[1:] = word[:-1] + 1
+            ctx[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
+            entry, times = np.unique((word * wide + ctx) * docs + doc, return_counts=True)
+            doc, pair = entry % docs, entry // docs
             word, ctx = pair // wide, pair % wide
+            known = np.concatenate([[START], np.where(slot >= 0, slot + 2, -1)])[ctx]
+            spread = mix64(h)[word]
+            often = slot[word] >= 0
             with np.errstate(over="ignore"):
-                spread = np.where(slot[word] >= 0, mix64(h[word] + ctx.astype(np.uint64)), mix64(h[word]))
+                both = often & (known >= 0)
+                spread[both] = mix64(h[word[both]] + known[both].astype(np.uint64))
+            apart = often & (known < 0)
+            spread[apart] = mix64(h[ctx[apart] - 1])
             shard = (spread % np.uint64(shards)).astype(np.int64)
             train = ~np.array(texts_of(batch, "held_out"), bool)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = [(-1 - n % 16, _pack(chunk=chunk, docs=texts_of(batch, "doc_id"), train=train,
-                                       n=np.bincount(doc, weights=times, minlength=batch.num_rows).astype(np.int64)))]
+            piece = int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(pieces))
+            out = [(-1, chunk, _pack(chunk=chunk, docs=texts_of(batch, "doc_id"), train=train,
+                                     n=np.bincount(doc, weights=times, minlength=docs).astype(np.int64)))]
             for s in range(shards):
                 at = order[ends[s]:ends[s + 1]]
                 if len(at):
                     own, local = np.unique(word[at], return_inverse=True)
-                    out.append((s, _pack(chunk=chunk, train=train, words=h[own],
-                                         per_word=np.bincount(local).astype(np.uint32), ctx=ctx[at].astype(np.uint16),
-                                         doc=doc[at].astype(np.uint16), times=times[at].astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()),
-                                              pa.array([b for _, b in out], pa.binary())], ["shard", "blob"])
+                    c, other = known[at], known[at] < 0
+                    far, place = np.unique(ctx[at][other] - 1, return_inverse=True)
+                    c[other] = near + place
+                    out.append((s, piece, _pack(chunk=chunk, train=train, words=h[own], far=h[far],
+                                                word=np.bincount(local).astype(np.uint32), ctx=c.astype(np.uint32),
+                                                doc=doc[at].astype(np.uint16), times=times[at].astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in out], pa.int32()),
+                                              pa.array([p for _, p, _ in out], pa.int64()),
+                                              pa.array([b for _, _, b in out], pa.binary())], ["shard", "piece", "blob"])
 
     def merge(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
+        """Distinct pairs of a piece, and its documents by pair."""
+        shard, piece = table["shard"][0].as_py(), table["piece"][0].as_py()
         blobs = sorted(table["blob"].to_pylist())
         if shard < 0:
-            return pa.table({"shard": pa.array([shard] * len(blobs), pa.int32()), "pairs": pa.array([None] * len(blobs), pa.binary()),
-                             "entries": pa.array(blobs, pa.binary())})
-        parts = [_unpack(b) for b in blobs]
-        words, place = np.unique(np.concatenate([p["words"] for p in parts]), return_inverse=True)
-        word = np.repeat(place, np.concatenate([p["per_word"] for p in parts]))
-        ctx = np.concatenate([p["ctx"] for p in parts]).astype(np.int64)
-        times = np.concatenate([p["times"] for p in parts])
-        train = np.concatenate([p["train"][p["doc"]] for p in parts])
+            pairs, entries = None, blobs[0]
+        else:
+            parts = [_unpack(b) for b in blobs]
+            for p in parts:
+                p["word"] = np.repeat(np.arange(len(p["words"])), p["word"])
+            words, far, word, ctx = _union(parts, near)
+            wide = near + len(far)
+            pair, index = np.unique(word * wide + ctx, return_inverse=True)
+            times = np.concatenate([p["times"] for p in parts])
+            train = np.concatenate([p["train"][p["doc"]] for p in parts])
+            counts = np.bincount(index, weights=times * train, minlength=len(pair)).astype(np.int64)
+            at, docs = 0, []
+            for p in parts:
+                end = at + len(p["doc"])
+                docs.append((p["chunk"], index[at:end].astype(np.uint32), p["doc"], p["times"]))
+                at = end
+            pairs = _pack(words=words, far=far, word=(pair // wide).astype(np.uint32), ctx=(pair % wide).astype(np.uint32),
+                          counts=counts)
+            entries = _pack(docs=docs, word=np.bincount(pair // wide).astype(np.uint32))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "piece": pa.array([piece], pa.int64()),
+                         "pairs": pa.array([pairs], pa.binary()), "entries": pa.array([entries], pa.binary())})
+
+    def add_up(table: pa.Table) -> pa.Table:
+        """Pairs of a shard, and where those of each piece stand among them."""
+        rows = sorted(zip(table["piece"].to_pylist(), table["pairs"].to_pylist(), strict=True))
+        parts = [_unpack(b) for _, b in rows]
+        words, far, word, ctx = _union(parts, near)
+        order = np.argsort(_home(far, shards), kind="stable")   # those of one home stand together
+        rank = np.empty(len(far), np.int64)
+        rank[order] = np.arange(len(far))
+        other = ctx >= near
+        ctx[other] = near + rank[ctx[other] - near]
+        wide = near + len(far)
         pair, index = np.unique(word * wide + ctx, return_inverse=True)
-        counts = np.bincount(index, weights=times * train, minlength=len(pair)).astype(np.int64)
-        kind = np.uint32 if len(pair) < 1 << 32 else np.uint64
-        at, docs = 0, []
-        for p in parts:
-            end = at + len(p["doc"])
-            docs.append((p["chunk"], index[at:end].astype(kind), p["doc"], p["times"]))
-            at = end
-        return pa.table({"shard": pa.array([shard], pa.int32()),
-                         "pairs": pa.array([_pack(words=words, word=(pair // wide).astype(np.uint32),
-                                                  ctx=(pair % wide).astype(np.uint16), counts=counts)], pa.binary()),
-                         "entries": pa.array([_pack(docs=docs)], pa.binary())})
+        counts = np.bincount(index, weights=np.concatenate([p["counts"] for p in parts]), minlength=len(pair))
+        ends = np.cumsum([len(p["word"]) for p in parts])
+        at = [(piece, x.astype(np.uint32)) for (piece, _), x in zip(rows, np.split(index, ends[:-1]), strict=True)]
+        return pa.table({"shard": table["shard"][:1].cast(pa.int32()),
+                         "pairs": pa.array([_pack(words=words, far=far[order], word=(pair // wide).astype(np.uint32),
+                                                  ctx=(pair % wide).astype(np.uint32), counts=counts.astype(np.int64))], pa.binary()),
+                         "at": pa.array([_pack(at=at)], pa.binary())})
 
     with arrow_rows(rows.sparkSession, 10_000):
-        packed = rows.mapInArrow(split, "shard int, blob binary")
-        merged = packed.groupBy("shard").applyInArrow(merge, "shard int, pairs binary, entries binary")
-        return materialize(merged, "lm-shards")
-
-
-def _sum_up(shards: DataFrame, seating: Seating) -> None:
-    """One more sweep in every shard; its sums (vectors of bounded size) are added to ``seating``."""
+        packed = rows.mapInArrow(split, "shard int, piece long, blob binary")
+        documents = materialize(packed.groupBy("shard", "piece").applyInArrow(
+            merge, "shard int, piece long, pairs binary, entries binary"), "lm-pieces")
+        release_shuffles(rows.sparkSession)
+        counts = documents.where("shard >= 0").select("shard", "piece", "pairs")
+        counts = materialize(counts.groupBy("shard").applyInArrow(add_up, "shard int, pairs binary, at binary"), "lm-shards")
+    release_shuffles(rows.sparkSession)
+    return counts, documents
+
+
+class _Exchange:
+    """Sums of the contexts that only their home shard knows in full."""
+
+    def __init__(self, shards: DataFrame, count: int):
+        self.shards, self.count, self.answers = shards, count, None
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, blob in zip(texts_of(batch, "shard"), texts_of(batch, "pairs"), strict=True):
+                    yield from _by_home(shard, count, _unpack(blob)["far"], lambda part: {"far": part[0]})
+
+        def route(table: pa.Table) -> pa.Table:
+            rows = sorted(zip(table["shard"].to_pylist(), table["blob"].to_pylist(), strict=True))
+            parts = [_unpack(b)["far"] for _, b in rows]
+            far, index = np.unique(np.concatenate(parts), return_inverse=True)
+            index = np.split(index.astype(np.uint32), np.cumsum([len(x) for x in parts])[:-1])
+            blob = _pack(n=len(far), parts=[(s, i) for (s, _), i in zip(rows, index, strict=True)])
+            return pa.table({"home": table["home"][:1].cast(pa.int32()), "routes": pa.array([blob], pa.binary())})
+
+        with arrow_rows(shards.sparkSession, 1):
+            asked = shards.select("shard", "pairs").mapInArrow(ask, "home int, shard int, blob binary")
+            self.routes = materialize(asked.groupBy("home").applyInArrow(route, "home int, routes binary"), "lm-routes")
+        release_shuffles(shards.sparkSession)
+
+    def rows(self, *columns: str) -> DataFrame:
+        """The shards' rows with all answers so far."""
+        own = self.shards.select("shard", *columns)
+        if self.answers is None:
+            return own.withColumn("answers", F.lit(None).cast("array<struct<sweep:int,home:int,blob:binary>>"))
+        told = self.answers.groupBy("shard").agg(F.collect_list(F.struct("sweep", "home", "blob")).alias("answers"))
+        return own.hint("merge").join(told, "shard", "left")
+
+    def add(self, sums: DataFrame, sweep: int) -> None:
+        def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            routes = _unpack(right["routes"][0].as_py())
+            total = None
+            parts = {s: _unpack(b) for s, b in zip(left["shard"].to_pylist(), left["blob"].to_pylist(), strict=True)}
+            for s, index in routes["parts"]:
+                total = np.zeros((len(parts[s]["sums"]), routes["n"])) if total is None else total
+                total[:, index] += parts[s]["sums"]
+            n = len(routes["parts"])
+            return pa.table({"sweep": pa.array([sweep] * n, pa.int32()), "shard": pa.array([s for s, _ in routes["parts"]], pa.int32()),
+                             "home": pa.array([key[0].as_py()] * n, pa.int32()),
+                             "blob": pa.array([_pack(sums=total[:, i].astype(np.uint32 if total.max(initial=0) < 1 << 32 else float))
+                                               for _, i in routes["parts"]], pa.binary())})
+
+        with arrow_rows(sums.sparkSession, 1000):
+            told = materialize(sums.groupBy("home").cogroup(self.routes.groupBy("home")).applyInArrow(
+                answer, "sweep int, shard int, home int, blob binary"), "lm-answers")
+        self.answers = told if self.answers is None else self.answers.unionByName(told)
+        release_shuffles(sums.sparkSession)
+
+
+def _by_home(shard: int, count: int, far: np.ndarray, pack_up, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row (home, shard, blob) for each home of a shard's contexts, which stand in order of their homes."""
+    homes, starts = np.unique(_home(far, count), return_index=True)
+    parts = [[x[a:b] for x in (far, *values)] for a, b in zip(starts, [*starts[1:], len(far)], strict=True)]
+    if len(homes):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(homes, pa.int32()), pa.array([shard] * len(homes), pa.int32()),
+             pa.array([_pack(**pack_up(p)) for p in parts], pa.binary())], ["home", "shard", "blob"])
+
+
+def _far(p: dict, answers: list | None) -> dict | None:
+    """What a shard knows of its own contexts: per sweep their tables, and their customers."""
+    if "far" not in p:
+        return None
+    found: dict = {"hashes": p["far"], "totals": np.zeros(len(p["far"]))}
+    for a in sorted(answers or [], key=lambda a: (a["sweep"], a["home"])):
+        found.setdefault(a["sweep"], []).append(_unpack(a["blob"])["sums"].astype(np.float64))
+    for sweep in [k for k in found if isinstance(k, int)]:
+        sums = found[sweep]
+        found[sweep] = np.concatenate([x[0] for x in sums])
+        if not sweep:
+            found["totals"] = np.concatenate([x[1] for x in sums])
+    if 0 not in found:   # a shard without contexts of its own
+        found |= {sweep: np.zeros(len(p["far"])) for sweep in range(SWEEPS + 1)}
+    return found
+
+
+def _sum_up(shards: DataFrame, seating: Seating, exchange: _Exchange | None = None) -> None:
+    """One more sweep in every shard; its sums are added to ``seating`` (vectors of bounded size) and ``exchange``."""
     shared = shards.sparkSession.sparkContext.broadcast(seating)
     contexts, heads = len(seating.head) + 2, len(seating.head)
+    count = exchange.count if exchange else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        # Contexts' tables and customers, frequent words' customers, and the parent's two sums.
+        # Known contexts' tables and customers, frequent words' customers, and the parent's two sums.
         total = np.zeros(2 * contexts + heads + 2)
         sweep = len(own.parent)
         for batch in batches:
-            for blob in texts_of(batch, "pairs"):
+            answers = texts_of(batch, "answers") if count else [None] * batch.num_rows
+            for shard, blob, told in zip(texts_of(batch, "shard"), texts_of(batch, "pairs"), answers, strict=True):
                 p = _unpack(blob)
                 words, word, ctx, counts = p["words"], p["word"].astype(np.int64), p["ctx"].astype(np.int64), p["counts"]
-                for state in replay(words, word, ctx, counts, own):
+                for state in replay(words, word, ctx, counts, own, _far(p, told)):
                     tables, customers, rare = state
-                total[:contexts] += np.bincount(ctx, weights=tables, minlength=contexts)
-                total[contexts:2 * contexts] += np.bincount(ctx, weights=counts, minlength=contexts)
+                sums = [np.bincount(ctx, weights=x, minlength=contexts) for x in (tables, counts)]
+                total[:contexts] += sums[0][:contexts]
+                total[contexts:2 * contexts] += sums[1][:contexts]
                 slot = own.slot(words)
                 total[2 * contexts:-2] += np.bincount(slot[~rare], weights=customers[~rare], minlength=heads)
                 total[-2] += customers[rare].sum()
                 total[-1] += _parent_tables(customers[rare], mix64(words[rare]), sweep, own).sum()
+                if count:
+                    for out in _by_home(shard, count, p["far"], lambda x: {"sums": np.array(x[1:2] if sweep else x[1:])},
+                                        *(x[contexts:] for x in sums)):
+                        n = out.num_rows
+                        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), *out.columns],
+                                                         ["place", "value", *out.schema.names])
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"place": used, "value": total[used]})
+        n = len(used)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used]), pa.nulls(n, pa.int32()),
+                                          pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                                         ["place", "value", "home", "shard", "blob"])
 
     with arrow_rows(shards.sparkSession, 1):
-        sums = (shards.where("shard >= 0").select("pairs").mapInArrow(run, "place long, value double")
-                .groupBy("place").agg(F.sum("value").alias("value")).collect())
+        rows = exchange.rows("pairs") if exchange else shards.where("shard >= 0").select("shard", "pairs")
+        out = materialize(rows.mapInArrow(run, "place long, value double, home int, shard int, blob binary"), "lm-sweep")
+    sums = out.where("place IS NOT NULL").groupBy("place").agg(F.sum("value").alias("value")).collect()
     total = np.zeros(2 * contexts + heads + 2)
     for r in sums:
         total[r["place"]] = r["value"]
@@ -295,18 +459,21 @@ def _sum_up(shards: DataFrame, seating: Seating) -> None:
     seating.totals = total[contexts:2 * contexts]
     seating.customers.append(customers)
     seating.parent.append((float(customers.sum() + total[-2]), float(tables)))
+    if exchange:
+        exchange.add(out.where("home IS NOT NULL").select("home", "shard", "blob"), sweep)
 
 
-def _values(p: dict, seating: Seating) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _values(p: dict, seating: Seating, far: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each pair of a shard: log10 of its averaged probability, of its base probability, and whether its word is known."""
     words, word, ctx, counts = p["words"], p["word"].astype(np.int64), p["ctx"].astype(np.int64), p["counts"]
     slot, key = seating.slot(words), mix64(words)
     total = np.zeros(len(word))
-    for sweep, (tables, customers, own) in enumerate(replay(words, word, ctx, counts, seating)):
+    for sweep, (tables, customers, own) in enumerate(replay(words, word, ctx, counts, seating, far)):
         if sweep > BURN_IN:
             at_parent = word_probability(slot, own, key, customers, sweep, seating)[word]
-            rest = STRENGTH + DISCOUNT * seating.tables[sweep][ctx]
-            total += (np.maximum(counts - DISCOUNT * tables, 0) + rest * at_parent) / (STRENGTH + seating.totals[ctx])
+            rest = STRENGTH + DISCOUNT * _all(seating.tables[sweep], far, sweep)[ctx]
+            customers_of = _all(seating.totals, far, "totals")[ctx]
+            total += (np.maximum(counts - DISCOUNT * tables, 0) + rest * at_parent) / (STRENGTH + customers_of)
         if sweep == SWEEPS:
             break
     total /= SWEEPS - BURN_IN
@@ -328,21 +495,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   counts.orderBy(F.col("c").desc(), "h").limit(CONTEXTS).collect())
     seating = Seating(size["n"] or 0, size["v"], np.array([h for h, _ in head], np.uint64),
                       np.array([c for _, c in head], np.int64))
-    shards = shard_tokens(rows, seating, max(MIN_SHARDS, ceil(seating.tokens / SHARD_TOKENS)))
+    count = max(MIN_SHARDS, ceil(seating.tokens / SHARD_TOKENS))
+    shards, documents = shard_tokens(rows, seating, count, max(1, ceil(seating.tokens / PIECE_TOKENS)))
+    exchange = _Exchange(shards, count)
     for _ in range(SWEEPS + 1):
-        _sum_up(shards, seating)
+        _sum_up(shards, seating, exchange)
     shared = spark.sparkContext.broadcast(seating)
 
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, pairs, at, told in zip(*(texts_of(batch, c) for c in ("shard", "pairs", "at", "answers")), strict=True):
+                p = _unpack(pairs)
+                values, base, known = _values(p, shared.value, _far(p, told))
+                for piece, index in _unpack(at)["at"]:
+                    first = np.flatnonzero(np.diff(p["word"][index].astype(np.int64), prepend=-1))
+                    blob = _pack(value=values[index], base=base[index][first], known=known[index][first])
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([piece], pa.int64()),
+                                                      pa.array([blob], pa.binary())], ["shard", "piece", "values"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, pairs, entries in zip(*(texts_of(batch, c) for c in ("shard", "pairs", "entries")), strict=True):
-                if shard < 0:
-                    meta = _unpack(entries)
-                    yield _row(meta["chunk"], entries)
-                    continue
-                value, base, known = _values(_unpack(pairs), shared.value)
-                for chunk, pair, doc, times in _unpack(entries)["docs"]:
-                    sums = [np.bincount(doc, weights=times * x[pair]) for x in (value, base, known)]
+            for entries, values in zip(texts_of(batch, "entries"), texts_of(batch, "values"), strict=True):
+                p, v = _unpack(entries), _unpack(values)
+                per_pair = v["value"], np.repeat(v["base"], p["word"]), np.repeat(v["known"], p["word"])
+                for chunk, pair, doc, times in p["docs"]:
+                    sums = [np.bincount(doc, weights=times * x[pair]) for x in per_pair]
                     at = np.unique(doc)
                     yield _row(chunk, _pack(at=at, value=sums[0][at], base=sums[1][at], known=sums[2][at].astype(np.uint32)))
 
@@ -364,7 +541,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          "score": pa.array(sums[0])})
 
     with arrow_rows(spark, 1):
-        partial = materialize(shards.mapInArrow(score, "chunk long, blob binary"), "lm-partial")
+        found = exchange.rows("pairs", "at").mapInArrow(value, "shard int, piece long, values binary")
+        placed = documents.where("shard >= 0").select("shard", "piece", "entries").hint("merge").join(found, ["shard", "piece"])
+        partial = materialize(placed.mapInArrow(score, "chunk long, blob binary"), "lm-partial")
+    release_shuffles(spark)
+    partial = partial.unionByName(documents.where("shard < 0").select(F.col("piece").alias("chunk"), F.col("entries").alias("blob")))
     return partial.groupBy("chunk").applyInArrow(
         finish, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double")
