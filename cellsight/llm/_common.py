@@ -85,6 +85,12 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """At most ``rows`` rows in a record batch while wide rows (packed blocks, sets) are written."""

@@ -42,8 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsight.llm._common import arrow_rows, fold, mix64, release_shuffles, small_batches, texts_of
-from cellsight.session import materialize
+from cellsight.llm._common import arrow_rows, delete, fold, mix64, release_shuffles, small_batches, texts_of
+from cellsight.session import materialize, scratch_path
 
 CONTEXTS = 4096            # most frequent training words, whose sums go through the driver
 SWEEPS = 3
@@ -135,10 +135,12 @@ def seat(counts: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray,
     """Tables after seating ``counts`` customers of one dish each: a customer joins tables with weight
     (seated - discount * tables) and opens one with weight ``new``."""
     tables = np.minimum(counts, 1).astype(np.float64)
-    order = np.argsort(-counts, kind="stable")
+    order = np.flatnonzero(counts > 1)
+    order = order[np.argsort(-counts[order], kind="stable")]
     left = counts[order]
+    falling = -left
     t, w, k = tables[order], new[order], key[order]
-    seated, live = 1, int(np.searchsorted(-left, -1, "left"))  # rows with more than one customer
+    seated, live = 1, len(left)  # rows with more than one customer
     while live:
         step = 1 if seated < EXACT_SEATS else max(1, seated // 100)
         size = np.minimum(step, left[:live] - seated)
@@ -147,7 +149,7 @@ def seat(counts: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray,
         # One customer: a coin; a block: its expected number of tables, rounded at random.
         t[:live] += np.floor(p * size + u)
         seated += step
-        live = int(np.searchsorted(-left, -seated, "left"))
+        live = int(np.searchsorted(falling, -seated, "left"))
     tables[order] = t
     return tables
 
@@ -271,7 +273,7 @@ def shard_tokens(rows: DataFrame, seating: Seating, shards: int, pieces: int) ->
                                               pa.array([b for _, _, b in out], pa.binary())], ["shard", "piece", "blob"])
 
     def merge(table: pa.Table) -> pa.Table:
-        """Distinct pairs of a piece, and its documents by pair."""
+        """Distinct pairs of a piece, and its documents by pair: two rows."""
         shard, piece = table["shard"][0].as_py(), table["piece"][0].as_py()
         blobs = sorted(table["blob"].to_pylist())
         if shard < 0:
@@ -294,12 +296,13 @@ def shard_tokens(rows: DataFrame, seating: Seating, shards: int, pieces: int) ->
             pairs = _pack(words=words, far=far, word=(pair // wide).astype(np.uint32), ctx=(pair % wide).astype(np.uint32),
                           counts=counts)
             entries = _pack(docs=docs, word=np.bincount(pair // wide).astype(np.uint32))
-        return pa.table({"shard": pa.array([shard], pa.int32()), "piece": pa.array([piece], pa.int64()),
-                         "pairs": pa.array([pairs], pa.binary()), "entries": pa.array([entries], pa.binary())})
+        kinds = ["entries"] if shard < 0 else ["entries", "pairs"]
+        return pa.table({"shard": pa.array([shard] * len(kinds), pa.int32()), "piece": pa.array([piece] * len(kinds), pa.int64()),
+                         "blob": pa.array([entries, pairs][:len(kinds)], pa.binary()), "kind": kinds})
 
     def add_up(table: pa.Table) -> pa.Table:
         """Pairs of a shard, and where those of each piece stand among them."""
-        rows = sorted(zip(table["piece"].to_pylist(), table["pairs"].to_pylist(), strict=True))
+        rows = sorted(zip(table["piece"].to_pylist(), table["blob"].to_pylist(), strict=True))
         parts = [_unpack(b) for _, b in rows]
         words, far, word, ctx = _union(parts, near)
         order = np.argsort(_home(far, shards), kind="stable")   # those of one home stand together
@@ -319,11 +322,13 @@ def shard_tokens(rows: DataFrame, seating: Seating, shards: int, pieces: int) ->
 
     with arrow_rows(rows.sparkSession, 10_000):
         packed = rows.mapInArrow(split, "shard int, piece long, blob binary")
-        documents = materialize(packed.groupBy("shard", "piece").applyInArrow(
-            merge, "shard int, piece long, pairs binary, entries binary"), "lm-pieces")
-        release_shuffles(rows.sparkSession)
-        counts = documents.where("shard >= 0").select("shard", "piece", "pairs")
+        spark, path, kind = rows.sparkSession, scratch_path(rows.sparkSession, "lm-pieces"), "shard int, piece long, blob binary, kind string"
+        packed.groupBy("shard", "piece").applyInArrow(merge, kind).write.partitionBy("kind").parquet(path)
+        release_shuffles(spark)
+        counts = spark.read.schema(kind).parquet(path).where("kind = 'pairs'").drop("kind")
         counts = materialize(counts.groupBy("shard").applyInArrow(add_up, "shard int, pairs binary, at binary"), "lm-shards")
+    delete(spark, f"{path}/kind=pairs")  # their counts are in the shards now
+    documents = spark.read.schema(kind).parquet(path).where("kind = 'entries'").select("shard", "piece", F.col("blob").alias("entries"))
     release_shuffles(rows.sparkSession)
     return counts, documents
 
@@ -383,12 +388,13 @@ class _Exchange:
 
 def _by_home(shard: int, count: int, far: np.ndarray, pack_up, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row (home, shard, blob) for each home of a shard's contexts, which stand in order of their homes."""
+    if not len(far):
+        return
     homes, starts = np.unique(_home(far, count), return_index=True)
     parts = [[x[a:b] for x in (far, *values)] for a, b in zip(starts, [*starts[1:], len(far)], strict=True)]
-    if len(homes):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(homes, pa.int32()), pa.array([shard] * len(homes), pa.int32()),
-             pa.array([_pack(**pack_up(p)) for p in parts], pa.binary())], ["home", "shard", "blob"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(homes, pa.int32()), pa.array([shard] * len(homes), pa.int32()),
+         pa.array([_pack(**pack_up(p)) for p in parts], pa.binary())], ["home", "shard", "blob"])
 
 
 def _far(p: dict, answers: list | None) -> dict | None:
@@ -447,7 +453,9 @@ def _sum_up(shards: DataFrame, seating: Seating, exchange: _Exchange | None = No
 
     with arrow_rows(shards.sparkSession, 1):
         rows = exchange.rows("pairs") if exchange else shards.where("shard >= 0").select("shard", "pairs")
-        out = materialize(rows.mapInArrow(run, "place long, value double, home int, shard int, blob binary"), "lm-sweep")
+        path = scratch_path(shards.sparkSession, "lm-sweep")
+        rows.mapInArrow(run, "place long, value double, home int, shard int, blob binary").write.parquet(path)
+    out = shards.sparkSession.read.parquet(path)
     sums = out.where("place IS NOT NULL").groupBy("place").agg(F.sum("value").alias("value")).collect()
     total = np.zeros(2 * contexts + heads + 2)
     for r in sums:
@@ -461,6 +469,7 @@ def _sum_up(shards: DataFrame, seating: Seating, exchange: _Exchange | None = No
     seating.parent.append((float(customers.sum() + total[-2]), float(tables)))
     if exchange:
         exchange.add(out.where("home IS NOT NULL").select("home", "shard", "blob"), sweep)
+    delete(shards.sparkSession, path)
 
 
 def _values(p: dict, seating: Seating, far: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -385,6 +385,39 @@ def test_lm_probabilities_sum_to_one(spark, heads):
     assert (known.reshape(counts.shape)[:, 0] == (own > 0)).all()
 
 
+def test_lm_rare_words_have_restaurants(spark, monkeypatch):
+    """Words outside the most frequent keep what follows them, whatever goes through the driver."""
+    rows = [(i, f"first{i % 50} second{i % 50}") for i in range(1500)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mean = {}
+    for limit in (4096, 2):
+        monkeypatch.setattr(lm_score, "CONTEXTS", limit)
+        got = [r["score"] for r in lm_score.score_documents(docs).collect() if r["doc_id"] in held]
+        mean[limit] = sum(got) / len(got)
+    assert mean[2] > -2.3 and abs(mean[2] - mean[4096]) < 0.1
+
+
+def test_lm_documents_of_a_hot_pair_stand_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "same text") for i in range(600)], "doc_id long, text string").repartition(12)
+    seen, shard_tokens = [], lm_score.shard_tokens
+
+    def watched(*args):
+        seen.append(shard_tokens(*args))
+        return seen[-1]
+    monkeypatch.setattr(lm_score, "shard_tokens", watched)
+    scores = []
+    for size in (10_000, 150):
+        monkeypatch.setattr(lm_score, "PIECE_TOKENS", size)
+        scores.append(sorted((r["doc_id"], round(r["score"], 9)) for r in lm_score.score_documents(docs).collect()))
+    assert scores[0] == scores[1] and len(scores[0]) == 600
+    shards, pieces = seen[1]
+    assert pieces.where("shard < 0").count() >= 12     # one list a chunk
+    found = pieces.where("shard >= 0").groupBy("shard").count().collect()
+    assert found and all(r["count"] >= 5 for r in found)
+    assert shards.columns == ["shard", "pairs", "at"]  # no documents
+
+
 def test_seating_follows_the_restaurant():
     """Mean number of tables over many draws against a plain simulation."""
     counts, new, d, rnd = 40, 1.7, 0.6, np.random.default_rng(2)
