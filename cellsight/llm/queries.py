@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellsight.llm import (ann, bestfit_packing, bpe, exact_topk, html_extract, language_id, line_dedup, lm_score,
-                           near_dedup, quality_resample)
+from cellsight.llm import (ann, bestfit_packing, bpe, collocations, exact_topk, html_extract, language_id, line_dedup,
+                           lm_score, near_dedup, quality_resample, simhash_dedup, whitening)
 from cellsight.llm._common import read_table
 
 
@@ -54,13 +54,27 @@ def op10_approx_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_by_component(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.components_by_document(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_line_dedup, op3_best_fit_packing, op4_language_id, op5_exact_topk, op6_bpe,
-    op7_html_extraction, op8_lm_scoring, op9_minhash_near_dedup, op10_approx_nn)}
+    op7_html_extraction, op8_lm_scoring, op9_minhash_near_dedup, op10_approx_nn, op11_phrase_collocations,
+    op12_embedding_whitening, op13_simhash_near_dedup)}
 
 # DuckDB SQL of the queries that SQL can express. The others learn a model,
-# follow a tokenizer's merges or read html; tests/llm compares those with
-# brute-force versions, round trips and held-out figures.
+# follow a tokenizer's merges, read html, take eigenvectors or need XXH64;
+# tests/llm compares those with brute-force versions, round trips and held-out
+# figures.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -94,4 +108,27 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM sets s JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id""",
+    "op11_phrase_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM said GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM said),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM starts, (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM cand),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_spans AS (SELECT lang, k, a, w, unnest(range(1, k)) AS b FROM cand),
+parts AS (SELECT lang, k, a, w, b, unnest(range(b + 1, k + 1)) AS e FROM inner_spans),
+gone AS (SELECT DISTINCT s.lang, s.phrase FROM cand s JOIN (SELECT lang, array_to_string(w[b:e], ' ') AS phrase, a
+  FROM parts WHERE e - b + 1 < k) p ON p.lang = s.lang AND p.phrase = s.phrase AND 100::HUGEINT * p.a >= 80::HUGEINT * s.a)
+SELECT x.lang, CAST(row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS BIGINT) AS rank,
+  x.phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score
+FROM lowest x JOIN totals t ON t.lang = x.lang ANTI JOIN gone g ON g.lang = x.lang AND g.phrase = x.phrase
+QUALIFY rank <= 2000""",
 }
