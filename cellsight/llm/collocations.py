@@ -49,6 +49,8 @@ TOP = 2000                 # phrases of a language
 SCALE = 2_000_000
 FILTER_BITS = 27           # 2^27 bits (16 MB) mark the frequent phrases of one length
 RANGE_BYTES = 32 << 20     # text whose phrases share a hash range
+BATCH_BYTES = 4 << 20      # text whose phrases are sorted together in a task (one long text stays whole)
+CACHED_WORDS = 200_000
 _CUT = b"\xff"             # stands for a piece's end: no UTF-8 text holds this byte
 _SEPARATORS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _CUT * 10)
 
@@ -103,9 +105,9 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 def hash_runs(rows: DataFrame, lengths: list[int], marks, range_bits: int) -> DataFrame:
     """(words, range, hashes, counts): each batch's phrases as sorted 32-bit hashes within their range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache(_word_hash)
+        cache = HashCache(_word_hash, CACHED_WORDS)
         with np.errstate(over="ignore"):
-            for batch in small_batches(batches):
+            for batch in small_batches(batches, BATCH_BYTES):
                 for words, here, h in _Words(batch, cache).phrases(marks.value, max(lengths)):
                     if words not in lengths:
                         continue
@@ -163,9 +165,9 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         {n: marks.get(n, np.zeros((1 << FILTER_BITS) // 8, np.uint8)) for n in range(1, longest + 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache(_word_hash)
+        cache = HashCache(_word_hash, CACHED_WORDS)
         with np.errstate(over="ignore"):
-            for batch in small_batches(batches):
+            for batch in small_batches(batches, BATCH_BYTES):
                 words = _Words(batch, cache)
                 number: dict = {}
                 ids = np.fromiter((number.setdefault(t, len(number)) for t in words.tokens), np.int64, len(words.tokens))
