@@ -139,15 +139,16 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
     column, dtype, count, nulls, and for numbers mean, std, min, 25%, 50%,
     75%, max (exact); for other types unique, top, freq (top ties by value).
-    The input is written once. One aggregation gives the counts and moments
-    of all columns, one ranking the quartiles of all numeric ones, and one
-    count of values the distinct and most frequent values of the others.
+    One aggregation gives the counts and moments of all columns, a selection
+    by digits the quartiles of all numeric ones (at most four scans), and one
+    count of values the distinct and most frequent values of the others. The
+    input is neither written nor sorted; an input that is costly to compute
+    should be stored before.
     """
     spark = df.sparkSession
     numeric_types = {"double", "float", "int", "bigint", "smallint", "tinyint"}
     numeric = [n for n, t in df.dtypes if t in numeric_types or t.startswith("decimal")]
     other = [n for n in df.columns if n not in numeric]
-    df = materialize(df, "profile-input")
     aggs = []
     for i, (name, _) in enumerate(df.dtypes):
         c = F.col(name)

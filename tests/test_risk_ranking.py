@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellsight.functions.ranking import exact_percentiles, rank_within
+from cellsight.functions.ranking import column_percentiles, exact_percentiles, key_value, order_keys, rank_within
 from cellsight.operators import risk
 
 
@@ -13,6 +13,40 @@ def test_exact_percentiles_match_numpy(spark):
     assert got == pytest.approx(list(np.percentile(vals, [0, 25, 50, 90, 100])))
 
 
+def _special_doubles():
+    rnd = np.random.default_rng(0)
+    powers = [2.0 ** k for k in range(-1074, 1024, 3)]
+    return ([0.0, -0.0, 5e-324, -5e-324, float("inf"), -float("inf"), np.finfo(float).max, -np.finfo(float).max]
+            + powers + [float(np.nextafter(p, 0)) for p in powers] + [-p for p in powers]
+            + (rnd.normal(size=500) * 10.0 ** rnd.integers(-300, 300, 500)).tolist())
+
+
+def test_order_keys_sort_as_doubles_and_turn_back():
+    x = np.array(_special_doubles())
+    keys = order_keys(x)
+    by_key, by_value = x[np.argsort(keys, kind="stable")], np.sort(x)
+    assert (by_key == by_value).all() and [key_value(k) for k in keys.tolist()] == x.tolist()
+    assert (np.diff(keys[np.argsort(x, kind="stable")]) >= 0).all() and order_keys(np.array([-0.0, 0.0])).tolist() == [0, 0]
+
+
+def test_percentiles_of_columns_equal_sorted_values(spark):
+    """Special values, one value holding a third of the rows, nulls, NaN, integers, an empty column; exactly equal."""
+    rnd = np.random.default_rng(1)
+    special = [float(v) for v in _special_doubles() if np.isfinite(v)]
+    n = len(special)
+    near = (1.0 + rnd.integers(0, 1 << 20, n) * 2.0 ** -52).tolist()              # equal up to the last digit
+    hot = [7.25 if i % 3 == 0 else float(v) for i, v in enumerate(rnd.normal(size=n))]
+    holes = [None if i % 4 == 0 else float("nan") if i % 4 == 1 else float(i) for i in range(n)]
+    rows = list(zip(special, near, hot, holes, rnd.integers(-5, 5, n).tolist(), [None] * n, strict=True))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e int, f double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    got = column_percentiles(df, list("abcdef"), probs)
+    for name, column in zip("abcde", zip(*rows, strict=True), strict=False):
+        values = np.array([v for v in column if v is not None and v == v], float)
+        assert got[name] == np.quantile(values, probs).tolist()
+    assert np.isnan(got["f"]).all()
+
+
 def test_rank_within_skewed_group(spark):
     # One group holds most rows, including many equal values.
     rows = [("hot", i % 7) for i in range(500)] + [("cold", i) for i in range(5)] + [(None, 1)]
