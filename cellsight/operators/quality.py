@@ -1,15 +1,12 @@
 """Landing-file checks and data-quality profiles.
 
-File validation keeps the header and the first ``sample_rows`` data lines of
-every file: lines are numbered by their place in the file and the rank limit
-is applied in each task before the lines are brought together by file. All
-of it runs on JVM-side expressions; a field Spark cannot make sense of only
-concerns its own file.
+File validation reads the header and the first ``sample_rows`` records of
+every file and no more; the checks on them are column expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsight.functions.ranking import column_percentiles
@@ -17,56 +14,40 @@ from cellsight.operators._util import single_row
 from cellsight.operators.cleaning import MEASURES, coerce_flat, standardize_headers
 from cellsight.schemas import FLAT_REQUIRED
 from cellsight.session import materialize
-from cellsight.sources.files import file_uri, list_landing
+from cellsight.sources.landing import list_landing, read_heads
 
 # Fixed text values read as missing in a sampled field (the pandas defaults).
 NULL_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                 "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# One CSV field with the comma before it: quoted (a doubled quote stands for one) or plain.
-_FIELD = r'(?:^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 
+def sample_files(files: DataFrame, sample_rows: int = 200) -> DataFrame:
+    """(uri, line_no, fields): header (line_no 0) and first ``sample_rows`` records of each file of a listing.
 
-def csv_fields(line: Column) -> Column:
-    """The fields of one CSV line; quotes around a field are taken off."""
-    parts = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(0))
-
-    def clean(part, i):
-        text = F.when(i > 0, F.substr(part, F.lit(2))).otherwise(part)
-        quoted = (F.length(text) >= 2) & text.startswith('"') & text.endswith('"')
-        return F.when(quoted, F.replace(F.substr(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))).otherwise(text)
-
-    return F.transform(parts, clean)
-
-
-def sample_files(spark: SparkSession, pattern: str, sample_rows: int = 200) -> DataFrame:
-    """(uri, line_no, fields): header (line_no 0) and first ``sample_rows`` data lines of each file.
-
-    Blank lines are skipped. A record is one line, as in :func:`read_flat_csv`.
+    Files are read no further than that. Blank lines are skipped; a quoted
+    field may hold line breaks. A file that cannot be read gives no rows.
     """
-    lines = (spark.read.text(pattern)
-             .select(F.col("value").alias("line"), file_uri().alias("uri"),
-                     F.col("_metadata.file_block_start").alias("block"))
-             .where(F.trim("line") != "")
-             .withColumn("place", F.monotonically_increasing_id()))
-    # Rows of a split keep their order, and splits of a file start at rising offsets.
-    in_file = Window.partitionBy("uri").orderBy("block", "place")
-    first = lines.withColumn("line_no", F.row_number().over(in_file)).where(F.col("line_no") <= sample_rows + 1)
-    return first.select("uri", (F.col("line_no") - 1).alias("line_no"), csv_fields(F.col("line")).alias("fields"))
+    return read_heads(files, sample_rows + 1)
 
 
 def validate_files(spark: SparkSession, pattern: str, sample_rows: int = 200,
                    required=FLAT_REQUIRED) -> DataFrame:
-    """One row per landing file: path, file_name, valid, reason, columns (Q1).
+    """The checks of :func:`check_files` on the files matching ``pattern`` (Q1)."""
+    return check_files(materialize(list_landing(spark, pattern), "landing-files"), sample_rows, required)
+
+
+def check_files(listing: DataFrame, sample_rows: int = 200, required=FLAT_REQUIRED) -> DataFrame:
+    """One row per file of a listing: path, file_name, valid, reason, columns (Q1).
 
     Valid iff the header (trimmed, lower-cased, D-12) holds every required
     column and no sampled row has a missing value in one of them. A file
-    with no lines (zero bytes) is invalid; a header-only file is valid; a
-    sampled row with more fields than the header is a parse error.
+    with no lines (zero bytes) or that is no CSV text is invalid; a
+    header-only file is valid; a sampled row with more fields than the header
+    is a parse error.
     ``columns`` is the file's own header, in its order.
     """
-    files = list_landing(spark, pattern).select("path", "file_name", "uri")
-    sample = materialize(sample_files(spark, pattern, sample_rows), "landing-sample")
+    files = listing.select("path", "file_name", "uri")
+    sample = materialize(sample_files(listing, sample_rows), "landing-sample")
     header = sample.where(F.col("line_no") == 0).select(
         "uri", F.transform("fields", lambda x: F.lower(F.trim(x))).alias("header"))
     rows = sample.where(F.col("line_no") > 0)

@@ -27,8 +27,8 @@ from cellsight.session import scratch_path
 from cellsight.sinks import (load_model, save_model, write_cleaned, write_predictions, write_star,
                              write_summaries)
 from cellsight.sources import adapters
-from cellsight.sources.files import (list_landing, read_cleaned, read_flat_csv, read_raw_activity,
-                                     read_region_mapping, read_star)
+from cellsight.sources.files import read_cleaned, read_flat_csv, read_raw_activity, read_region_mapping, read_star
+from cellsight.sources.landing import list_landing
 
 # Region used by the single-region reports; written in another case than the
 # data to exercise the case-insensitive match.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -43,25 +40,21 @@ def read_region_mapping(spark: SparkSession, path: str | None) -> DataFrame | No
     return spark.read.schema(REGION_MAPPING).option("header", True).csv(path)
 
 
-def read_flat_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
+def read_flat_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None,
+                  quoted_newlines: bool = False) -> DataFrame:
     """Flat usage CSV, every column as text; types are fixed later.
 
     Files read together must share one header; ``columns`` gives it, in the
-    files' own order, and is otherwise taken from one of them. For files of
-    different headers use :func:`read_flat_groups`.
+    files' own order, and is otherwise taken from one of them. With
+    ``quoted_newlines`` a quoted field may hold line breaks; each file is then
+    read by one task, because only its start shows where records begin.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("multiLine", quoted_newlines)
     if columns is None:
         return reader.option("inferSchema", False).csv(path)
     return reader.schema(StructType([StructField(c, StringType()) for c in columns])).csv(path)
 
 
-def read_flat_groups(spark: SparkSession, groups: list[tuple[list[str], list[str]]]) -> DataFrame:
-    """Flat files with their own headers, as (columns, paths) groups, put together by column name."""
-    frames = [read_flat_csv(spark, paths, columns) for columns, paths in groups]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
     """Date-partitioned cleaned Parquet (S5); filters on event_date prune folders.
 
@@ -75,30 +68,6 @@ def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def file_uri(c="_metadata.file_path"):
-    """A file's encoded path with one form of the local scheme (`file:/x` and `file:///x` are the same file)."""
-    return F.regexp_replace(c, "^file:/+", "file:/")
-
-
-def list_landing(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per landing file matching ``pattern`` (S7), without reading contents.
-
-    Columns: path, file_name, length, modification_time, and uri, the path in
-    the encoded form that ``_metadata.file_path`` has. Listed through the
-    Hadoop file system of the path (metadata only, as Spark lists its own
-    inputs), so zero-byte files, which Spark's file sources skip, are
-    listed too.
-    """
-    schema = "path string, file_name string, length long, modification_time timestamp, uri string"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = [(st.getPath().toString(), st.getPath().getName(), int(st.getLen()),
-             datetime.fromtimestamp(st.getModificationTime() / 1000.0), st.getPath().toUri().toString())
-            for st in fs.globStatus(hpath) or [] if st.isFile()]
-    return spark.createDataFrame(rows, schema).withColumn("uri", file_uri("uri"))
-
-
 def read_star(spark: SparkSession, root: str) -> Star:
     """The three star tables written by :func:`cellsight.sinks.write_star`."""
     return Star(dim_time=spark.read.parquet(f"{root}/dim_time"),

@@ -98,6 +98,52 @@ def test_ingest_reads_each_file_by_its_header_and_name(spark, tmp_dir):
                     "5": (1.0, 1.0, 1.0, "2013-11-05")}
 
 
+def test_ingest_takes_any_name_and_quoted_line_breaks(spark, tmp_dir, monkeypatch):
+    from cellsight.plans import ingest
+    monkeypatch.setattr(ingest, "PATHS_AT_ONCE", 2)
+    head = "timestamp,grid_id,call_count,sms_count,internet_usage,note\n"
+    for i, name in enumerate(["[a].csv", "{b,c}.csv", "d*.csv", "e\\f.csv", "g?.csv"]):
+        with open(os.path.join(tmp_dir, name), "w") as fh:
+            fh.write(head + f'2013-11-01 10:00:00,{i},1,2,3,"two\nlines"\n2013-11-01 11:00:00,{i},1,2,3,\n')
+    out = os.path.join(tmp_dir, "out")
+    assert ingest.run_ingest(spark, f"{tmp_dir}/*.csv", None, None, out, quoted_newlines=True) == {"accepted": 5}
+    got = sorted((r["grid_id"], r["hour"]) for r in ingest.read_ingested(spark, out).collect())
+    assert got == [(str(i), h) for i in range(5) for h in (10, 11)]
+
+
+def test_runs_are_compacted_without_a_change_for_readers(spark, tmp_dir):
+    from cellsight.plans import ingest
+    head = "timestamp,grid_id,call_count,sms_count,internet_usage\n"
+    out, landing = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+
+    def run(i):
+        with open(f"{landing}/f{i}.csv", "w") as fh:
+            fh.write(head + "".join(f"2013-11-0{d} 10:00:00,{i},1,2,3\n" for d in (1, 2)))
+        ingest.run_ingest(spark, f"{landing}/*.csv", None, None, out)
+
+    rows = lambda: sorted(map(str, ingest.read_ingested(spark, out).collect()))
+    folders = lambda: [r["run_id"] for r in ingest.current_runs(spark, out).collect()]
+    for i in range(4):
+        run(i)
+    before = rows()
+    assert len(before) == 8 and len(folders()) == 4
+    # A merged folder without its entry, as after a crash, changes nothing.
+    merged_only = ingest.read_ingested(spark, out)
+    ingest.write_cleaned(merged_only, f"{out}/cleaned_usage/run_id=c-crashed")
+    assert rows() == before
+    merged = ingest.compact_runs(spark, out)
+    assert folders() == [merged] and rows() == before and ingest.compact_runs(spark, out) is None
+    days = {os.path.dirname(f) for f in ingest.read_ingested(spark, out).inputFiles() if merged in f}
+    assert len(days) == 2
+    # Names taken before the compaction stay taken; later runs add to it, and it is merged again.
+    run(4)
+    assert len(rows()) == 10 and sorted(folders()) == sorted([merged, *[f for f in folders() if f != merged]])
+    ingest.compact_runs(spark, out)
+    assert len(rows()) == 10 and len(folders()) == 1
+    assert ingest.remove_replaced(spark, out) == 6 and len(rows()) == 10
+
+
 def test_scratch_tables_are_cleared(spark, monkeypatch):
     from cellsight import session
     monkeypatch.setattr(session, "_SCRATCH", [])
