@@ -14,7 +14,7 @@ corpus are that rare. They are left out length by length without ever
 building a set of them in one place: tasks send the sorted hashes of the
 phrases they hold to hash ranges (as many as the text is long), where they are
 added up; each range marks the hashes that reach ``MIN_COUNT`` in its slice of
-a bit map of ``FILTER_BITS`` bits in all, whatever the size of the corpus. A
+a bit map of 2^``FILTER_BITS`` bits in all, whatever the size of the corpus. A
 phrase is only sent if the two shorter phrases in it were marked. A wrong mark
 (two hashes on one bit) costs a row that is dropped by its exact count later;
 a frequent phrase is always marked, so the result is exact. Phrases as words
@@ -31,6 +31,7 @@ id; phrases are compared by their bytes; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ WORDS = 4                  # words of the longest phrase
 SHARE = 80                 # per cent of a phrase's count that makes a longer one replace it
 TOP = 2000                 # phrases of a language
 SCALE = 2_000_000
-FILTER_BITS = 27           # 2^27 bits (16 MB) mark the frequent phrases of one length
+FILTER_BITS = 26           # 2^26 bits (8 MB) mark the frequent phrases of one length
 RANGE_BYTES = 32 << 20     # text whose phrases share a hash range
 BATCH_BYTES = 4 << 20      # text whose phrases are sorted together in a task (one long text stays whole)
 CACHED_WORDS = 200_000
@@ -105,10 +106,10 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 def hash_runs(rows: DataFrame, lengths: list[int], marks, range_bits: int) -> DataFrame:
     """(words, range, hashes, counts): each batch's phrases as sorted 32-bit hashes within their range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache(_word_hash, CACHED_WORDS)
+        cache, known = HashCache(_word_hash, CACHED_WORDS), _received(marks)
         with np.errstate(over="ignore"):
             for batch in small_batches(batches, BATCH_BYTES):
-                for words, here, h in _Words(batch, cache).phrases(marks.value, max(lengths)):
+                for words, here, h in _Words(batch, cache).phrases(known, max(lengths)):
                     if words not in lengths:
                         continue
                     found, counts = np.unique(h[here] >> np.uint64(32 - range_bits), return_counts=True)
@@ -149,6 +150,15 @@ def mark_frequent(runs: DataFrame, range_bits: int, least: int) -> dict[int, np.
     return marks
 
 
+def _sent(docs: DataFrame, marks: dict[int, np.ndarray]):
+    """The bit maps, mostly zeros, packed for the tasks."""
+    return docs.sparkSession.sparkContext.broadcast({n: zlib.compress(bits.tobytes(), 1) for n, bits in marks.items()})
+
+
+def _received(marks) -> dict[int, np.ndarray]:
+    return {n: np.frombuffer(zlib.decompress(bits), np.uint8) for n, bits in marks.value.items()}
+
+
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = MIN_COUNT,
                   longest: int = WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(lang, words, phrase, f) of every phrase that occurs ``least`` times; words 0 has the number of all words."""
@@ -158,14 +168,14 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     range_bits = min(FILTER_BITS - 3, max(2, math.ceil(math.log2(max(size / range_bytes, 1)))))
     marks: dict[int, np.ndarray] = {}
     for lengths in [[1, 2], *([n] for n in range(3, longest + 1))]:
-        shared = docs.sparkSession.sparkContext.broadcast(marks)
+        shared = _sent(docs, marks)
         marks = marks | mark_frequent(hash_runs(rows, lengths, shared, range_bits), range_bits, least)
+        shared.unpersist()
         release_shuffles(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        {n: marks.get(n, np.zeros((1 << FILTER_BITS) // 8, np.uint8)) for n in range(1, longest + 1)})
+    shared = _sent(docs, {n: marks.get(n, np.zeros((1 << FILTER_BITS) // 8, np.uint8)) for n in range(1, longest + 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache(_word_hash, CACHED_WORDS)
+        cache, known = HashCache(_word_hash, CACHED_WORDS), _received(shared)
         with np.errstate(over="ignore"):
             for batch in small_batches(batches, BATCH_BYTES):
                 words = _Words(batch, cache)
@@ -173,7 +183,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
                 ids = np.fromiter((number.setdefault(t, len(number)) for t in words.tokens), np.int64, len(words.tokens))
                 total = np.bincount(words.lang[words.hashes != 0], minlength=len(words.langs))
                 yield _counted(words.langs, 0, [b""] * len(words.langs), total)
-                for n, here, _ in words.phrases(shared.value, longest):
+                for n, here, _ in words.phrases(known, longest):
                     at = np.flatnonzero(here)
                     key = words.lang[at]
                     for k in range(n):  # numbers of the phrases so far, extended by the next word's
@@ -186,6 +196,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     runs = rows.mapInArrow(run, "lang string, words int, phrase string, c long")
     counts = runs.groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f"))
     counts = materialize(counts.where((F.col("f") >= least) | (F.col("words") == 0)), "phrase-counts")
+    shared.unpersist()
     release_shuffles(docs.sparkSession)
     return counts
 
