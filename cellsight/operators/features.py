@@ -1,6 +1,6 @@
 """Per-region features for the risk model.
 
-The fact table is first reduced to (region, date, hour) totals, so the
+All of it derives from the star's (date, hour, region) rollup, so the
 lag window runs over one row per region and day: its partitions hold as
 many rows as there are days, whatever the data volume.
 """
@@ -10,24 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsight.operators.reports import region_fact, region_matches
+from cellsight.operators.reports import hourly_rows, region_matches
 from cellsight.operators.star import Star
 
 
 def usage_rows(star: Star, region: str | None = None) -> DataFrame:
-    """Total usage at (region_name, date, hour) grain (S6 + P8).
-
-    Totals are summed per (region_id, time_id) before the dimensions are
-    joined, so the joins see a reduced table.
-    """
-    per_key = region_fact(star, region).groupBy("region_id", "time_id").agg(
-        F.sum(F.col("call_count") + F.col("sms_count") + F.col("internet_mb")).alias("total_usage"))
-    dr = star.dim_region.select("region_id", "region_name")
-    if region is not None:
-        dr = dr.where(region_matches(region))
-    dt = star.dim_time.select("time_id", "date", "hour")
-    return (per_key.join(dr, "region_id").join(dt, "time_id")
-            .select("region_name", "date", "hour", "total_usage"))
+    """Total usage at (region_name, city, date, hour) grain (S6 + P8)."""
+    return hourly_rows(star, region).select(
+        "region_name", "date", "hour", (F.col("calls") + F.col("sms") + F.col("internet_mb")).alias("total_usage"))
 
 
 def daily_region_usage(rows: DataFrame) -> DataFrame:

@@ -28,9 +28,11 @@ CONTENT = ["date", "hour", "region_name", "city", "call_count", "sms_count", "in
 
 
 class Star(NamedTuple):
+    """The three star tables, and the rollup that reports read instead of the fact table, if there is one."""
     dim_time: DataFrame
     dim_region: DataFrame
     fact: DataFrame
+    hourly: DataFrame | None = None
 
 
 def prepare_usage(cleaned: DataFrame) -> DataFrame:
@@ -94,13 +96,23 @@ def dim_region(base: DataFrame) -> DataFrame:
         .select(region_key().alias("region_id"), "region_name", "city")
 
 
+def hourly_usage(base: DataFrame) -> DataFrame:
+    """Sums and row counts by (date, hour, region_name, city), the grain of the reports, from :func:`usage_counts`."""
+    rows = F.col("n")
+    # Counts may be as large as 64 bits hold, their sums larger.
+    total = lambda c: F.sum(F.col(c).cast("decimal(19,0)") * rows.cast("decimal(18,0)")).cast("decimal(38,0)")
+    return base.groupBy("date", "hour", "region_name", "city").agg(
+        total("call_count").alias("calls"), total("sms_count").alias("sms"),
+        F.sum(F.col("internet_mb") * rows).alias("internet_mb"), F.sum(rows).alias("n"))
+
+
 def fact_measures(usage: DataFrame) -> DataFrame:
     """Fact rows with keys but without ``usage_id``, one per usage row."""
     return usage.select(time_key().alias("time_id"), region_key().alias("region_id"),
                         "call_count", "sms_count", "internet_mb")
 
 
-def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
+def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS, with_date: bool = False) -> DataFrame:
     """Fact rows with a ``usage_id`` (T3, D-1), from :func:`usage_counts`.
 
     usage_id = key(time_id|region_id|call|sms|internet to 4 places|n), where n
@@ -111,12 +123,14 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
     :func:`resolve_key_collisions` when the star is loaded.
 
     Each count expands into its rows; a count above ``chunk_rows`` is cut into
-    chunks expanded by separate tasks.
+    chunks expanded by separate tasks. ``with_date`` keeps the day, which
+    ``time_id`` implies, as a column: rows of a day depend on that day alone.
     """
-    keyed = base.select(time_key().alias("time_id"), region_key().alias("region_id"), "call_count",
+    day = ["date"] if with_date else []
+    keyed = base.select(*day, time_key().alias("time_id"), region_key().alias("region_id"), "call_count",
                         "sms_count", "internet_mb", _internet_text().alias("_inet"),
                         "n")
-    group = ["time_id", "region_id", "call_count", "sms_count", "_inet"]
+    group = [*day, "time_id", "region_id", "call_count", "sms_count", "_inet"]
     before = Window.partitionBy(*group).orderBy("internet_mb").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.withColumn("_off", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
@@ -137,7 +151,7 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS) -> DataFrame:
     numbered = small.unionByName(large)
     usage_id = surrogate_key("time_id", "region_id", "call_count", "sms_count", "_inet", "_ord")
     return numbered.select(usage_id.alias("usage_id"), "time_id", "region_id", "call_count", "sms_count",
-                           "internet_mb")
+                           "internet_mb", *day)
 
 
 def _internet_text():
@@ -152,10 +166,11 @@ def resolve_key_collisions(fact: DataFrame) -> DataFrame:
     The first row by content keeps its id, the next ones get it with 1, 2, ...
     in those bits; all other ids stay. Only the rows of shared ids are sorted.
     """
+    content = ["time_id", "region_id", "call_count", "sms_count", "internet_mb"]
     shared = fact.groupBy("usage_id").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("usage_id")
     shared = materialize(shared, "star-shared-ids")
     rest = fact.join(shared, "usage_id", "left_anti")
-    order = Window.partitionBy("usage_id").orderBy(*[c for c in fact.columns if c != "usage_id"])
+    order = Window.partitionBy("usage_id").orderBy(*content)
     told = (fact.join(shared, "usage_id", "left_semi")
             .withColumn("_n", F.row_number().over(order) - 1)
             .withColumn("usage_id", F.col("usage_id") + F.col("_n").cast("bigint") * F.lit(1 << 60)).drop("_n"))
@@ -175,7 +190,7 @@ def build_star(cleaned: DataFrame, with_usage_id: bool = True, reliable_base: bo
     if reliable_base:
         base = materialize(base, "star-base")
     fact = fact_usage(base) if with_usage_id else fact_measures(usage)
-    return Star(dim_time(base), dim_region(base), fact)
+    return Star(dim_time(base), dim_region(base), fact, hourly_usage(base))
 
 
 # ---- constraint checks (Q7-Q9) ------------------------------------------------

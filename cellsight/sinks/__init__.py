@@ -28,18 +28,27 @@ def write_summaries(summaries: dict[str, DataFrame], root: str, mode: str = "ove
 
 
 def write_star(star: Star, root: str) -> None:
-    """Full refresh of the three star tables (K3): dimensions first, fact last.
+    """The star tables and the rollup in one folder each (K3): dimensions first, fact last.
 
-    Fact files are sorted by (region_id, time_id) within each task (no
-    shuffle), so Parquet row-group statistics let a one-region report skip
-    the row groups of other regions.
+    For tables that nobody reads yet; :func:`cellsight.plans.warehouse.load_star`
+    refreshes tables in use. Fact files are sorted by (region_id, time_id)
+    within each task (no shuffle), so Parquet row-group statistics let a
+    one-region report skip the row groups of other regions.
     """
     star.dim_time.write.mode("overwrite").parquet(f"{root}/dim_time")
     star.dim_region.write.mode("overwrite").parquet(f"{root}/dim_region")
+    if star.hourly is not None:
+        star.hourly.write.mode("overwrite").parquet(f"{root}/hourly")
     (star.fact.sortWithinPartitions("region_id", "time_id")
      .write.mode("overwrite").parquet(f"{root}/fact_usage"))
 
 
+def write_days(df: DataFrame, path: str, order: list[str]) -> None:
+    """Rows with a ``date`` as Parquet, a folder per day; a large day is written by several tasks."""
+    (df.hint("rebalance", "date").sortWithinPartitions("date", *order)
+     .write.mode("errorifexists").partitionBy("date").parquet(path))
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Scored rows as CSV with a header line (K4); a folder of part files."""
     df.write.mode("overwrite").option("header", True).csv(path)

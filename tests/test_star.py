@@ -1,6 +1,12 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from cellsight.operators import star
+from cellsight.operators import features, reports, star
+from cellsight.plans import warehouse
+from cellsight.sinks import snapshots, write_cleaned
+from cellsight.sources.files import read_star
 
 CLEANED = ("grid_id string, call_count double, sms_count double, internet_usage double, "
            "event_timestamp timestamp_ntz, event_date date, hour int, region_name string, city string")
@@ -62,7 +68,6 @@ def test_checks_detect_violations(spark):
     res = {(r["check_name"], r["target"]): r["violations"] for r in star.star_checks(broken).collect()}
     assert res[("foreign_key", "fact_usage.time_id")] == 1
     assert res[("primary_key", "dim_region.region_id")] == 1
-    import pytest
     with pytest.raises(ValueError):
         star.assert_star_valid(broken)
 
@@ -95,12 +100,6 @@ def test_large_measures_load(spark):
 
 
 def test_failed_check_keeps_the_old_star(spark, tmp_dir, monkeypatch):
-    import os
-
-    import pytest
-
-    from cellsight.plans import warehouse
-    from cellsight.sinks import write_cleaned
     path, out = os.path.join(tmp_dir, "cleaned"), os.path.join(tmp_dir, "star")
     write_cleaned(cleaned(spark, [("g1", 1.0, 1.0, 2.0, "2013-11-01 10:00:00", "A", "X")]), path)
     assert warehouse.load_star(spark, path, out)["fact_usage"] == 1
@@ -111,4 +110,125 @@ def test_failed_check_keeps_the_old_star(spark, tmp_dir, monkeypatch):
     write_cleaned(cleaned(spark, [("g1", 1.0, 1.0, 2.0, "2013-11-01 10:00:00", "A", "X")] * 3), path)
     with pytest.raises(ValueError):
         warehouse.load_star(spark, path, out)
-    assert spark.read.parquet(f"{out}/fact_usage").count() == 1
+    assert read_star(spark, out).fact.count() == 1
+
+
+def _published(spark, out):
+    """Everything a reader of the star sees, as comparable rows."""
+    return [sorted(map(repr, df.select(*sorted(df.columns)).collect())) for df in read_star(spark, out)]
+
+
+def _days(spark, path, rows):
+    write_cleaned(cleaned(spark, rows), path)
+
+
+DAY1 = [("g1", 1.0, 1.0, 2.0, "2013-11-01 10:00:00", "A", "X")] * 3 + [("g2", 4.0, 0.0, 1.5, "2013-11-01 11:00:00", "B", "X")]
+DAY2 = [("g1", 2.0, 1.0, 2.0, "2013-11-02 10:00:00", "A", "X"), ("g3", 2.0, 1.0, 2.0, "2013-11-02 10:00:00", "C", None)]
+DAY3 = [("g1", 7.0, 1.0, 2.0, "2013-11-03 23:00:00", "A", "Y")]
+
+
+def test_a_day_loaded_alone_gives_the_star_of_a_full_load(spark, tmp_dir):
+    path, out = os.path.join(tmp_dir, "cleaned"), os.path.join(tmp_dir, "star")
+    _days(spark, path, DAY1 + DAY2)
+    warehouse.load_star(spark, path, out, days=["2013-11-01"])          # the first load takes all days
+    assert read_star(spark, out).fact.count() == 6
+    # The second day changes, the third comes.
+    changed = [DAY2[0], ("g9", 1.0, 1.0, 1.0, "2013-11-02 10:00:00", "D", "Z")]
+    _days(spark, path, DAY1 + changed + DAY3)
+    first_day = [f for f in read_star(spark, out, ("2013-11-01", "2013-11-01")).fact.inputFiles()]
+    counts = warehouse.load_star(spark, path, out, days=["2013-11-02", "2013-11-03"])
+    assert counts == {"dim_time": 4, "dim_region": 4, "fact_usage": 7}
+    by_day = _published(spark, out)
+    assert first_day == [f for f in read_star(spark, out, ("2013-11-01", "2013-11-01")).fact.inputFiles()]
+    warehouse.load_star(spark, path, f"{out}_full")
+    assert by_day == _published(spark, f"{out}_full")
+    # The first day goes, and its regions with it.
+    _days(spark, path, changed + DAY3)
+    warehouse.load_star(spark, path, out, days=["2013-11-01"])
+    warehouse.load_star(spark, path, f"{out}_full")
+    assert _published(spark, out) == _published(spark, f"{out}_full")
+    assert {r["region_name"] for r in read_star(spark, out).dim_region.collect()} == {"A", "D"}
+    before = _published(spark, out)
+    assert warehouse.remove_old_loads(spark, out) > 0 and _published(spark, out) == before
+
+
+def test_keys_shared_by_days_are_told_apart_as_in_a_full_load(spark, tmp_dir, monkeypatch):
+    """With keys of two values almost all rows of all days share one."""
+    monkeypatch.setattr(star, "surrogate_key", lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(2)))
+    monkeypatch.setattr(star, "time_key", lambda: F.xxhash64("date", "hour"))
+    monkeypatch.setattr(star, "region_key", lambda: F.xxhash64("region_name", "city"))
+    monkeypatch.setattr(warehouse, "region_key", star.region_key)
+    path, out = os.path.join(tmp_dir, "cleaned"), os.path.join(tmp_dir, "star")
+    _days(spark, path, DAY1[2:] + DAY3)
+    warehouse.load_star(spark, path, out)
+    _days(spark, path, DAY1[2:] + DAY2 + DAY3)
+    warehouse.load_star(spark, path, out, days=["2013-11-02"])
+    warehouse.load_star(spark, path, f"{out}_full")
+    assert _published(spark, out) == _published(spark, f"{out}_full")
+    ids = [r["usage_id"] for r in read_star(spark, out).fact.collect()]
+    assert len(set(ids)) == 5 and any(i >> 60 for i in ids)
+
+
+def test_a_load_that_dies_leaves_the_old_star_whole(spark, tmp_dir, monkeypatch):
+    """The load is stopped before each of its writes in turn, the pointer file included."""
+    path, out = os.path.join(tmp_dir, "cleaned"), os.path.join(tmp_dir, "star")
+    _days(spark, path, DAY1)
+    warehouse.load_star(spark, path, out)
+    before = _published(spark, out)
+    _days(spark, path, DAY1 + DAY2)
+    writers = ["materialize", "materialize", "write_days", "write_days", "write_days", "write_days", "assert_star_valid", "publish"]
+    for last in range(len(writers)):
+        done = []
+
+        def stopping(name, step, last=last, done=done):
+            def run(*args, **kwargs):
+                if len(done) == last:
+                    raise InterruptedError
+                done.append(name)
+                return step(*args, **kwargs)
+            return run
+
+        with monkeypatch.context() as m:
+            for name in set(writers[:-1]):
+                m.setattr(warehouse, name, stopping(name, getattr(warehouse, name)))
+            m.setattr(snapshots, "publish", stopping("publish", snapshots.publish))
+            with pytest.raises(InterruptedError):
+                warehouse.load_star(spark, path, out, days=["2013-11-02"])
+        assert done == writers[:last]
+        if last % 3 == 1:
+            assert _published(spark, out) == before
+    # A pointer file that was not written to its end is passed over, and the next load takes the next number.
+    with open(f"{out}/_versions/{2:012d}", "w") as fh:
+        fh.write('{"days": {}, "loads"')
+    assert _published(spark, out) == before
+    warehouse.load_star(spark, path, out, days=["2013-11-02"])
+    assert read_star(spark, out).fact.count() == 6 and len(snapshots.current(spark, out)["loads"]) == 2
+
+
+def test_a_reader_keeps_its_version_and_two_loads_cannot_take_one_number(spark, tmp_dir, monkeypatch):
+    path, out = os.path.join(tmp_dir, "cleaned"), os.path.join(tmp_dir, "star")
+    _days(spark, path, DAY1)
+    warehouse.load_star(spark, path, out)
+    reader = read_star(spark, out)
+    _days(spark, path, DAY1 + DAY2)
+    warehouse.load_star(spark, path, out)
+    assert reader.fact.count() == 4 and reader.dim_region.count() == 2 and read_star(spark, out).fact.count() == 6
+    stale = snapshots._pointers(spark, out)[1:]
+    monkeypatch.setattr(snapshots, "_pointers", lambda *_: stale)
+    with pytest.raises(Exception, match="already exists"):
+        snapshots.publish(spark, out, {"days": {}, "loads": {}})
+
+
+def test_reports_read_the_rollup_and_equal_those_from_the_fact_table(spark, tmp_dir):
+    path, out = os.path.join(tmp_dir, "cleaned"), os.path.join(tmp_dir, "star")
+    _days(spark, path, DAY1 + DAY2 + DAY3)
+    warehouse.load_star(spark, path, out)
+    stored = read_star(spark, out)
+    plain = stored._replace(hourly=None)
+    for report in (reports.summary_totals, reports.usage_by_hour, reports.usage_by_region, reports.region_hour_calls,
+                   reports.usage_summary, reports.peak_traffic, features.build_features,
+                   lambda s: reports.region_usage(s, "a"), lambda s: reports.region_trend(s, "a"),
+                   lambda s: reports.region_hourly(s, "A"), lambda s: features.region_features(s, "a")):
+        got, want = report(stored), report(plain)
+        assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert not any("fact_usage" in f for f in got.inputFiles())
