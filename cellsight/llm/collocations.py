@@ -18,7 +18,8 @@ a bit map of 2^``FILTER_BITS`` bits in all, whatever the size of the corpus. A
 phrase is only sent if the two shorter phrases in it were marked. A wrong mark
 (two hashes on one bit) costs a row that is dropped by its exact count later;
 a frequent phrase is always marked, so the result is exact. Phrases as words
-are counted once, after the marks of all lengths are known.
+are counted once, after the marks of the shorter lengths are known; the longest
+have none of their own.
 
 Words are split as the contract says: A-Z in lower case, pieces cut at
 ``[.,;:!?\\x0A-\\x0D]``, words at space and tab. Phrases stay within pieces.
@@ -167,12 +168,13 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     # A bit map's slice has whole bytes, hence at most FILTER_BITS - 3.
     range_bits = min(FILTER_BITS - 3, max(2, math.ceil(math.log2(max(size / range_bytes, 1)))))
     marks: dict[int, np.ndarray] = {}
-    for lengths in [[1, 2], *([n] for n in range(3, longest + 1))]:
+    for lengths in [[1, 2], *([n] for n in range(3, longest))]:
         shared = _sent(docs, marks)
         marks = marks | mark_frequent(hash_runs(rows, lengths, shared, range_bits), range_bits, least)
         shared.unpersist()
         release_shuffles(docs.sparkSession)
-    shared = _sent(docs, {n: marks.get(n, np.zeros((1 << FILTER_BITS) // 8, np.uint8)) for n in range(1, longest + 1)})
+    none = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    shared = _sent(docs, {n: marks.get(n, none) for n in range(1, max(longest, 3))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, known = HashCache(_word_hash, CACHED_WORDS), _received(shared)
