@@ -74,31 +74,45 @@ def label_index(label_col: str = "label"):
     return (F.array_position(F.array(*[F.lit(x) for x in RISK_LABELS]), F.col(label_col)) - 1).cast("double")
 
 
-def risk_pipeline(num_trees: int = 200, seed: int = 42, max_depth: int = 30) -> Pipeline:
+def risk_pipeline(num_trees: int = 200, seed: int = 42, max_depth: int = 30, weight_col: str | None = None) -> Pipeline:
     """Feature vector in fixed order -> random forest -> predicted label name (M4)."""
+    weights = {"weightCol": weight_col} if weight_col else {}
     return Pipeline(stages=[
         VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="features_vec"),
         # Deep trees: node ids are cached per row (checkpointed to the checkpoint
         # folder every 10 iterations) instead of shipping all trees each level.
         RandomForestClassifier(labelCol="label_index", featuresCol="features_vec", numTrees=num_trees,
                                maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt",
-                               impurity="gini", bootstrap=True, cacheNodeIds=True),
+                               impurity="gini", bootstrap=True, cacheNodeIds=True, **weights),
         IndexToString(inputCol="prediction", outputCol="congestion_risk", labels=RISK_LABELS),
     ])
 
 
-def train_risk_model(train: DataFrame, num_trees: int = 200, seed: int = 42) -> PipelineModel:
-    """Fit the pipeline on labelled rows (M4)."""
-    return risk_pipeline(num_trees, seed).fit(train.withColumn("label_index", label_index()))
+def train_risk_model(train: DataFrame, num_trees: int = 200, seed: int = 42,
+                     class_weights: dict[str, float] | None = None) -> PipelineModel:
+    """Fit the pipeline on labelled rows (M4).
+
+    ``class_weights`` (label -> weight, 1 if missing) lets rows of a label
+    count more; a larger weight of HIGH gives its recall priority (X6).
+    """
+    rows = train.withColumn("label_index", label_index())
+    if class_weights is None:
+        return risk_pipeline(num_trees, seed).fit(rows)
+    weight = F.lit(1.0)
+    for label, w in class_weights.items():
+        weight = F.when(F.col("label") == label, F.lit(float(w))).otherwise(weight)
+    return risk_pipeline(num_trees, seed, weight_col="class_weight").fit(rows.withColumn("class_weight", weight))
 
 
-def score_batch(model: PipelineModel, features: DataFrame) -> DataFrame:
+def score_batch(model: PipelineModel, features: DataFrame, with_p_high: bool = False) -> DataFrame:
     """All feature columns + congestion_risk, score (4 places, half-even), anomaly_flag (M6).
 
-    The flag uses the unrounded top probability (D-6).
+    The flag uses the unrounded top probability (D-6). ``with_p_high`` adds the
+    model's probability of HIGH as ``p_high``.
     """
     scored = model.transform(features).withColumn("_p", vector_to_array(F.col("probability")))
-    return scored.select(*features.columns, "congestion_risk", *score_columns("_p", "congestion_risk"))
+    high = [F.get("_p", F.lit(RISK_LABELS.index("HIGH"))).alias("p_high")] if with_p_high else []
+    return scored.select(*features.columns, "congestion_risk", *score_columns("_p", "congestion_risk"), *high)
 
 
 def score_columns(probabilities: str, label: str) -> list:

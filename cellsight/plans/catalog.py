@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cellsight.operators import cleaning, enrich, extensions, features, quality, reports, risk, rollups, star
+from cellsight.operators import cleaning, enrich, extensions, features, forest, quality, reports, risk, rollups, star
 from cellsight.operators._util import require_columns, require_nonempty
 from cellsight.plans.ingest import read_ingested, run_ingest
 from cellsight.plans.warehouse import load_star
-from cellsight.session import scratch_path
+from cellsight.session import materialize, scratch_path
 from cellsight.sinks import (load_model, save_model, write_cleaned, write_predictions, write_star,
                              write_summaries)
 from cellsight.sources import adapters
@@ -385,6 +385,23 @@ def q_usage_drift(spark, d):
     return rounded(extensions.usage_drift(rows, "value", F.dayofmonth("ts") > 15, [float(e) for e in range(10, 100, 10)]))
 
 
+def q_sketch_drift(spark, d):
+    """X7 without edges: from stored day sketches of the events' values, first half of the month against the second."""
+    rows = table(spark, d, "events").where(F.col("ts").isNotNull())
+    sketches = materialize(extensions.day_sketches(rows, "value", "ts"), "day-sketches")
+    return rounded(extensions.sketch_drift(sketches, ("2024-01-01", "2024-01-15"), ("2024-01-16", "2024-01-31")))
+
+
+def q_missing_mapping(spark, d):
+    """S3: without a lookup the cleaned rows pass as they are."""
+    return rounded(enrich.enrich_region(events_cleaned(spark, d), read_region_mapping(spark, None)))
+
+
+def q_preview(spark, d):
+    """The first rows of the features by region name."""
+    return rounded(events_features(spark, d).orderBy("region_name").limit(5))
+
+
 def q_enrich_region_partial(spark, d):
     return rounded(events_enriched(spark, d, mapped_nations=20))
 
@@ -660,24 +677,31 @@ def q_score_columns(spark, d):
     return rounded(scored.select("region_name", "congestion_risk", *risk.score_columns("p", "congestion_risk")))
 
 
-def _row_checks(scored, name):
-    """What holds for every scored row, whatever the model: known class, possible score, flag by its rule."""
-    rule = (F.col("congestion_risk") == "HIGH") & (F.col("score") > risk.ANOMALY_SCORE)
-    return scored.select(name, F.col("congestion_risk").isin(risk.RISK_LABELS).alias("class_ok"),
-                         F.col("score").between(0.3333, 1.0).alias("score_ok"),
-                         # Rounding can move a score onto the limit, but not over it.
-                         ((F.col("anomaly_flag").cast("boolean") == rule) | (F.col("score") == risk.ANOMALY_SCORE)).alias("flag_ok"))
+def _saved(spark, model):
+    path = scratch_path(spark, "risk-model")
+    save_model(model, path)
+    return path
 
 
 def q_score_batch(spark, d):
-    """The model saved and loaded, all regions scored, written as CSV and read back."""
+    """The model saved and loaded, all regions scored, written as CSV and read back; every row
+    is compared with what the saved forest's node table gives."""
     model, _ = _trained(spark, d)
-    path = scratch_path(spark, "risk-model")
-    save_model(model, path)
-    scored = risk.score_batch(load_model(path), events_features(spark, d))
+    path, feats = _saved(spark, model), materialize(events_features(spark, d), "risk-features")
     out = scratch_path(spark, "predictions")
-    write_predictions(scored, out)
-    return _row_checks(spark.read.option("header", True).option("inferSchema", True).csv(out), "region_name")
+    write_predictions(risk.score_batch(load_model(path), feats), out)
+    scored = spark.read.option("header", True).option("inferSchema", True).csv(out)
+    shares = forest.node_probabilities(forest.forest_nodes(spark, path), feats, "region_name")
+    return forest.score_differences(scored, shares, "region_name", risk.ANOMALY_SCORE)
+
+
+def q_recall_priority(spark, d):
+    """X6 on the model: HIGH trained with four times the weight, and by its probability; beside the plain model's label."""
+    labelled = risk.label_risk(events_features(spark, d))
+    train = risk.stratified_split(labelled).where(F.col("split") == "train")
+    model = risk.train_risk_model(train, 50, class_weights={"HIGH": 4.0})
+    scored = extensions.score_with_recall(model, labelled.drop("label"), 0.3)
+    return rounded(scored.select("region_name", "congestion_risk", "p_high"))
 
 
 def scenarios(spark, d):
@@ -694,10 +718,14 @@ def q_range_check(spark, d):
 
 
 def q_predict_risk(spark, d):
-    """M7, E5: accepted scenarios are scored, rejected ones come back with status 422 and the reason."""
+    """M7, E5: accepted scenarios are scored, and compared with the forest's node table; rejected ones come back
+    with status 422 and the reason."""
     model, _ = _trained(spark, d)
-    scored, rejects = risk.predict_risk(model, scenarios(spark, d))
-    ok = _row_checks(scored, "region").select("region", F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("detail"),
+    asked = materialize(scenarios(spark, d), "scenarios")
+    scored, rejects = risk.predict_risk(model, asked)
+    valid = risk.validate_scenarios(asked).where("error is null")
+    shares = forest.node_probabilities(forest.forest_nodes(spark, _saved(spark, model)), valid, "region")
+    ok = forest.score_differences(scored, shares, "region", risk.ANOMALY_SCORE).select("region", F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("detail"),
                                               (F.col("class_ok") & F.col("score_ok") & F.col("flag_ok")).alias("ok"))
     return ok.unionByName(rejects.select("region", "status_code", "detail", F.lit(None).cast("boolean").alias("ok")))
 
@@ -812,5 +840,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "X4_weekend": q_weekend,
     "X5_usage_between": q_usage_between,
     "X6_flag_high_risk": q_flag_high_risk,
+    "X6_recall_priority": q_recall_priority,
     "X7_usage_drift": q_usage_drift,
+    "X7_sketch_drift": q_sketch_drift,
+    "S3_missing_mapping": q_missing_mapping,
+    "O9_preview": q_preview,
 }

@@ -262,7 +262,7 @@ SQL["P1_P7_clean_raw"] = with_ctes(["cleaned"], f"""SELECT grid_id, {r6('call_co
   {r6('sms_count', 'sms_count')}, {r6('internet_usage', 'internet_usage')}, event_timestamp, event_date, hour
   FROM cleaned""")
 
-SQL["P1_P7_clean_raw"]
+SQL["S3_missing_mapping"] = SQL["P1_P7_clean_raw"]
 
 _DAY = "coalesce(CAST(event_date AS VARCHAR), '')"
 SQL["K2_summaries_round_trip"] = with_ctes(["enriched"], f"""
@@ -466,6 +466,7 @@ SQL["A20_hour_region_usage"] = with_ctes(["hourly"], f"""SELECT region_name, hou
   {r6('total_usage', 'total_usage')} FROM hourly""")
 SQL["A21_peak_ratio"] = with_ctes(["ratio"], f"SELECT region_name, {r6('peak_ratio', 'peak_ratio')} FROM ratio")
 SQL["M1_features"] = with_ctes(["features"], f"SELECT region_name, {_FEATURE_COLS} FROM features")
+SQL["O9_preview"] = SQL["M1_features"] + " ORDER BY region_name LIMIT 5"
 SQL["M2_label_risk"] = with_ctes(["labelled"], f"SELECT region_name, {_FEATURE_COLS}, label FROM labelled")
 SQL["M3_split"] = with_ctes(["labelled"], """SELECT region_name, label,
   CASE WHEN rk <= n_test THEN 'test' ELSE 'train' END AS split
