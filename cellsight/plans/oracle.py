@@ -240,9 +240,9 @@ REGION = "nation_3"
 
 SQL: dict[str, str] = {}
 
-SQL["S1_scan_raw_csv"] = with_ctes(["raw"], f"""SELECT datetime, CellID, countrycode,
-  {r6('smsin', 'smsin')}, {r6('smsout', 'smsout')}, {r6('callin', 'callin')},
-  {r6('callout', 'callout')}, {r6('internet', 'internet')} FROM raw""")
+SQL["S1_scan_raw_csv"] = with_ctes(["raw"], """SELECT datetime, CellID, countrycode,
+  smsin, smsout, callin,
+  callout, internet FROM raw""")
 
 SQL["S2_scan_region_mapping"] = with_ctes(["mapping"], "SELECT grid_id, region_name, city FROM mapping")
 
@@ -250,16 +250,15 @@ SQL["S4_scan_flat_csv"] = with_ctes(["flat"], """SELECT timestamp, grid_id,
   CAST(call_count AS VARCHAR) AS call_count, CAST(sms_count AS VARCHAR) AS sms_count,
   CAST(internet_usage AS VARCHAR) AS internet_usage FROM flat""")
 
-_ENRICHED_COLS = f"""grid_id, {r6('call_count', 'call_count')}, {r6('sms_count', 'sms_count')},
-  {r6('internet_usage', 'internet_usage')}, event_timestamp, event_date, hour, region_name, city"""
+_ENRICHED_COLS = """grid_id, call_count, sms_count, internet_usage, event_timestamp, event_date, hour, region_name, city"""
 
 SQL["S5_K1_scan_cleaned"] = with_ctes(["enriched"], f"SELECT {_ENRICHED_COLS} FROM enriched")
 
-SQL["S6_J2_J3_star_rows"] = with_ctes(["star_rows"], f"""SELECT region_name, city, date, hour,
-  call_count, sms_count, {r6('internet_mb', 'internet_mb')} FROM star_rows""")
+SQL["S6_J2_J3_star_rows"] = with_ctes(["star_rows"], """SELECT region_name, city, date, hour,
+  call_count, sms_count, internet_mb FROM star_rows""")
 
-SQL["P1_P7_clean_raw"] = with_ctes(["cleaned"], f"""SELECT grid_id, {r6('call_count', 'call_count')},
-  {r6('sms_count', 'sms_count')}, {r6('internet_usage', 'internet_usage')}, event_timestamp, event_date, hour
+SQL["P1_P7_clean_raw"] = with_ctes(["cleaned"], """SELECT grid_id, call_count,
+  sms_count, internet_usage, event_timestamp, event_date, hour
   FROM cleaned""")
 
 SQL["S3_missing_mapping"] = SQL["P1_P7_clean_raw"]
@@ -280,12 +279,12 @@ SQL["S4_P1_P7_clean_flat_usage"] = with_ctes(["flat"], f"""SELECT grid_id,
   FROM (SELECT *, try_cast(timestamp AS TIMESTAMP) AS event_timestamp FROM flat WHERE grid_id IS NOT NULL)
   WHERE event_timestamp IS NOT NULL""")
 
-SQL["P9_activity_long"] = with_ctes(["cleaned"], f"""
-  SELECT grid_id, event_timestamp, event_date, hour, 'call' AS activity_type, {r6('call_count', 'activity_value')} FROM cleaned
+SQL["P9_activity_long"] = with_ctes(["cleaned"], """
+  SELECT grid_id, event_timestamp, event_date, hour, 'call' AS activity_type, call_count AS activity_value FROM cleaned
   UNION ALL
-  SELECT grid_id, event_timestamp, event_date, hour, 'sms', {rnd('sms_count')} FROM cleaned
+  SELECT grid_id, event_timestamp, event_date, hour, 'sms', sms_count FROM cleaned
   UNION ALL
-  SELECT grid_id, event_timestamp, event_date, hour, 'internet', {rnd('internet_usage')} FROM cleaned""")
+  SELECT grid_id, event_timestamp, event_date, hour, 'internet', internet_usage FROM cleaned""")
 
 SQL["P10_Q3_F4_F5_D2_clean_flat"] = with_ctes(["flat_clean"], f"""SELECT timestamp, grid_id,
   {r6('call_count', 'call_count')}, {r6('sms_count', 'sms_count')}, {r6('internet_usage', 'internet_usage')},
@@ -352,8 +351,9 @@ SQL["T1_dim_time"] = with_ctes(["dim_time"], "SELECT * FROM dim_time")
 SQL["T2_dim_region"] = with_ctes(["dim_region"], "SELECT * FROM dim_region")
 SQL["T2_dim_region_partial"] = with_ctes(["usage_partial"],
                                          "SELECT DISTINCT region_id, region_name, city FROM usage_partial")
-SQL["T3_fact_usage"] = with_ctes(["fact"], f"""SELECT usage_id, time_id, region_id, call_count, sms_count,
-  {r6('internet_mb', 'internet_mb')} FROM fact""")
+SQL["T3_fact_usage"] = with_ctes(["fact"], """SELECT usage_id, time_id, region_id, call_count, sms_count,
+  internet_mb FROM fact""")
+SQL["T1_T4_star_by_day"] = SQL["T3_fact_usage"]
 SQL["Q7_Q8_Q9_star_checks"] = with_ctes(["fact", "dim_time", "dim_region"], """
   SELECT 'primary_key' AS check_name, 'dim_time.time_id' AS target,
          CAST((SELECT COUNT(*) FROM (SELECT time_id FROM dim_time GROUP BY time_id HAVING COUNT(*) > 1)) AS BIGINT) AS violations
@@ -403,7 +403,7 @@ SQL["A17_region_hour_calls"] = with_ctes(["fact", "dim_time", "dim_region"], """
   FROM fact f JOIN dim_time t ON f.time_id = t.time_id JOIN dim_region r ON f.region_id = r.region_id
   GROUP BY r.region_name, t.hour ORDER BY total_calls DESC, r.region_name, t.hour LIMIT 10""")
 
-SQL["A17_region_hour_calls_lineitem"] = f"""WITH li AS (
+SQL["A17_region_hour_calls_lineitem"] = """WITH li AS (
   SELECT CAST(l.l_suppkey AS VARCHAR) AS grid_id, l.l_quantity AS call_count,
          l.l_shipdate + to_hours(CAST(l.l_orderkey % 24 AS INTEGER)) AS ts,
          n.n_name AS region_name, r.r_name AS city
@@ -495,8 +495,8 @@ SQL["A2_calls_per_hour_lineitem"] = with_ctes(["enriched_li"], f"""SELECT hour,
 SQL["A5_top_5_peak_hours_lineitem"] = with_ctes(["enriched_li"], f"""SELECT hour,
   {r6('SUM(call_count + sms_count + internet_usage)', 'total_usage')} FROM enriched_li GROUP BY hour
   ORDER BY SUM(call_count + sms_count + internet_usage) DESC, hour LIMIT 5""")
-SQL["T3_fact_usage_lineitem"] = with_ctes(["fact_li"], f"""SELECT usage_id, time_id, region_id, call_count,
-  sms_count, {r6('internet_mb', 'internet_mb')} FROM fact_li""")
+SQL["T3_fact_usage_lineitem"] = with_ctes(["fact_li"], """SELECT usage_id, time_id, region_id, call_count,
+  sms_count, internet_mb FROM fact_li""")
 SQL["M1_features_lineitem"] = with_ctes(["features_li"], f"SELECT region_name, {_FEATURE_COLS} FROM features_li")
 
 
@@ -686,7 +686,7 @@ SQL["X3_peak_hour_flags"] = with_ctes(["star_rows"], f"""SELECT region_name, hou
   row_number() OVER (PARTITION BY region_name ORDER BY u DESC, hour) <= 3 AS peak_hour_flag
   FROM (SELECT region_name, hour, SUM(call_count + sms_count + internet_mb) AS u FROM star_rows GROUP BY region_name, hour)""")
 SQL["X4_weekend"] = with_ctes(["dim_time"], "SELECT *, isodow(date) IN (6, 7) AS is_weekend FROM dim_time")
-SQL["X5_usage_between"] = with_ctes(["enriched"], f"""SELECT grid_id, call_count, sms_count, internet_usage, event_timestamp, event_date, hour, region_name, city FROM enriched
+SQL["X5_usage_between"] = with_ctes(["enriched"], """SELECT grid_id, call_count, sms_count, internet_usage, event_timestamp, event_date, hour, region_name, city FROM enriched
   WHERE event_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'""")
 SQL["X6_flag_high_risk"] = with_ctes(["probabilities"], f"""SELECT region_name, {r6('p_high', 'p_high')},
   CASE WHEN p_high >= 0.3 THEN 'HIGH' ELSE congestion_risk END AS congestion_risk FROM probabilities""")
