@@ -3,8 +3,12 @@
 A document longer than the largest length is cut into pieces of that length
 and a rest. Pieces are spread by a hash over groups of bounded size; each
 group is packed on its own, longest piece first: a piece goes into the open
-bin with the least room that still fits, and where none fits a bin of the
-length with the least cost per token it can still receive is opened. At the
+bin with the least room that still fits, and where none fits a bin is opened.
+Its length is the one with the least cost per token, given what is still to
+come: the piece and, up to the room beside it, the remaining pieces short
+enough for that room. A sequence costs its length, padding included, an
+attention part that grows with the square of the length, and a fixed part, so
+short pieces fill short sequences and only long pieces open long ones. At the
 end each bin is downsized to the smallest permitted length that holds its
 contents.
 
@@ -28,7 +32,8 @@ from cellsight.llm._common import small_batches, texts_of
 from cellsight.session import materialize
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)   # permitted sequence lengths, in tokens
-BIN_COST = 16.0            # cost of any bin beside its tokens, in tokens
+BIN_COST = 16.0            # fixed cost of a sequence, in tokens
+ATTENTION = 16_384         # length at which the attention part costs as much as the tokens
 GROUP_PIECES = 16_384      # pieces packed together
 
 
@@ -37,15 +42,37 @@ def word_count(text: str | None) -> int:
     return len(text.encode("utf-8", "surrogatepass").split()) if text else 0
 
 
-def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS,
-         bin_cost: float = BIN_COST) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Bin and offset of each size (taken in the given order, which should descend), and the length of each bin."""
+def sequence_cost(length: int) -> float:
+    """Cost of a sequence of a permitted length, in tokens, however full it is."""
+    return BIN_COST + length + length * length / ATTENTION
+
+
+def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, cost=sequence_cost) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Bin and offset of each size, and the final length of each bin; ``sizes`` must descend.
+
+    Bins of all lengths are opened jointly. Where one length for all bins comes out cheaper after downsizing
+    (long pieces of much the same size), that is taken, so no single length is ever better.
+    """
     lengths = sorted(lengths)
+    plans = [lengths, *([c] for c in lengths if not len(sizes) or c >= sizes[0])]
+    found = [_pack(sizes, opened, lengths, cost) for opened in plans]
+    return min(found, key=lambda plan: sum(map(cost, plan[2])))
+
+
+def _pack(sizes: Sequence[int], opened: list[int], lengths: list[int], cost) -> tuple[np.ndarray, np.ndarray, list[int]]:
     bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     used: list[int] = []
     size_of: list[int] = []
     room: list[tuple[int, int]] = []      # (room left, bin), sorted
-    left = int(np.sum(sizes))             # tokens not packed yet
+    rising = -np.asarray(sizes, np.int64)
+    after = np.concatenate([np.cumsum(-rising[::-1])[::-1], [0]])   # tokens from each place on
+
+    def cost_per_token(at: int, length: int) -> tuple[float, int]:
+        beside = length - sizes[at]
+        come = after[max(at + 1, int(np.searchsorted(rising, -beside, "left")))]
+        fill = sizes[at] + min(beside, int(come))
+        return cost(lengths[bisect_left(lengths, fill)]) / fill, length
+
     for i, size in enumerate(sizes):
         at = bisect_left(room, (size, -1))
         if at < len(room):
@@ -53,11 +80,9 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS,
         else:
             b = len(used)
             used.append(0)
-            # Cost per token the bin can receive at best: its length, or all that is left.
-            size_of.append(min((c for c in lengths if c >= size), key=lambda c: ((c + bin_cost) / min(c, left), c)))
+            size_of.append(min(cost_per_token(i, c) for c in opened if c >= size)[1])
         bins[i], offsets[i] = b, used[b]
         used[b] += size
-        left -= size
         if used[b] < size_of[b]:
             insort(room, (size_of[b] - used[b], b))
     return bins, offsets, [lengths[bisect_left(lengths, u)] for u in used]
