@@ -116,7 +116,11 @@ def _digit_counts(values: DataFrame, shift: int, wanted: dict[int, list[int]] |
                 if wanted is not None:
                     keys = keys[np.isin(keys >> (shift + _DIGIT), wanted[c])]
                 if len(keys):
-                    held.setdefault(c, []).append((keys >> shift, np.ones(len(keys), np.int64), keys, keys))
+                    keys = np.sort(keys)
+                    d = keys >> shift
+                    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                    last = np.append(first[1:], len(d)) - 1
+                    held.setdefault(c, []).append((d[first], last - first + 1, keys[first], keys[last]))
                     if len(held[c]) > 100:
                         merge(c)
         for c in held:

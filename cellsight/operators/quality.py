@@ -6,6 +6,8 @@ every file and no more; the checks on them are column expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,16 +137,19 @@ def profile_columns(df: DataFrame) -> DataFrame:
         c = F.col(name)
         aggs += [F.count(c).alias(f"c{i}"), F.count_if(c.isNull()).alias(f"n{i}")]
         if name in numeric:
-            aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
-                     F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
+            x = c.cast("double")
+            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                     F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     totals = df.agg(*aggs).first()
     quartiles = column_percentiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
     texts = {}
     if other:
-        values = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in other])).alias("x"))
-        counted = (values.select("x.c", "x.v").where(F.col("v").isNotNull())
-                   .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+        # Counted as they are; only distinct values become text (maps, which have no order, before).
+        types = dict(df.dtypes)
+        value = lambda c: F.col(c).cast("string") if "map<" in types[c] or types[c] == "variant" else F.col(c)
+        counted = reduce(DataFrame.unionByName, [
+            df.where(F.col(c).isNotNull()).groupBy(value(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(c).alias("c"), F.col("v").cast("string").alias("v"), "n") for c in other])
         best = counted.groupBy("c").agg(F.count(F.lit(1)).alias("u"),
                                         F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("t"))
         texts = {r["c"]: (r["u"], r["t"]["v"], -r["t"]["n"]) for r in best.collect()}

@@ -139,3 +139,14 @@ def test_profile_columns(spark):
     prof = {r["column"]: r for r in quality.profile_columns(df).collect()}
     assert prof["x"]["count"] == 3 and prof["x"]["nulls"] == 1 and prof["x"]["p50"] == 2.0
     assert prof["s"]["top"] == "b" and prof["s"]["freq"] == 2 and prof["s"]["unique"] == 2
+
+
+def test_profile_of_any_type(spark):
+    df = spark.sql("""SELECT map('k', id % 2) AS m, array(id % 3) AS a, struct(id % 2 AS f) AS s, id % 2 = 0 AS b,
+        date_add(date'2024-01-01', cast(id % 2 AS int)) AS d, cast(id AS decimal(10, 2)) AS x, cast(null AS string) AS nothing
+        FROM range(9)""")
+    prof = {r["column"]: r for r in quality.profile_columns(df).collect()}
+    assert [(prof[c]["unique"], prof[c]["top"], prof[c]["freq"]) for c in "msbd"] == [
+        (2, "{k -> 0}", 5), (2, "{0}", 5), (2, "true", 5), (2, "2024-01-01", 5)]
+    assert prof["a"]["unique"] == 3 and prof["a"]["top"] == "[0]" and prof["x"]["p25"] == 2.0
+    assert (prof["nothing"]["unique"], prof["nothing"]["top"], prof["nothing"]["nulls"]) == (0, None, 9)
