@@ -1,25 +1,30 @@
 """Language-model scores from a hierarchical Pitman-Yor model of word pairs.
 
 Every context (the word before, or the start of the text) is a restaurant
-whose customers are the words that follow it. All context
-restaurants share one parent, whose customers are their tables, over a
-uniform base of all known words and one unknown. The seating is sampled by
-Gibbs sweeps: each word's customers in a restaurant are seated anew given
-the parent's probability of the word and the restaurant's number of tables,
-both as of the sweep before. A text's probability is the product of its
-tokens' predictive probabilities, averaged over the sweeps after burn-in.
-
-How it is spread: tokens are grouped into shards by a hash of the word, as
-packed arrays; of the ``CONTEXTS`` most frequent words, by context instead,
-or by word and context if both are frequent. A shard holds the counts of its
-pairs and can replay the sweeps on its own. Between sweeps, sums go two ways:
-the frequent words' and contexts' as vectors of bounded size, all other
-contexts' tables to the home shard of the context, which adds them up and
-answers every shard that has the context. Which documents a pair occurs in is
-kept apart, in pieces of a shard by chunk; the pairs' values are sent there.
-All draws are hashes of word, context and sweep, so a lost task repeats them.
-
-Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and one end.
+whose customers are the words that follow it. All context restaurants share
+one parent, whose customers are their tables, over a uniform base of all
+known words and one unknown. The seating is sampled by Gibbs sweeps: the
+customers of one word in one restaurant leave it, their tables leave the
+parent, and they are seated again one by one given everybody else; the
+parent's customers likewise. Within a sweep all words of all restaurants do
+so at once, given the others as of the sweep before. From the 256th customer
+of a word on, customers come in groups of 1/128 of those seated, and a
+binomial draw says how many of a group open tables. A text's probability is
+the product of its tokens' predictive probabilities, each averaged over the
+sweeps after burn-in.
+
+How it is spread: documents stand in chunks of bounded size, as the word
+numbers of their tokens, and stay there. Each chunk sends its distinct pairs
+to shards, by a hash of the word (of the ``CONTEXTS`` most frequent words, by
+word and context), which add up their counts. A pair that occurs once always
+has one table, and a word that occurs once one customer at the parent, so
+only the other pairs and words are rows of the sweeps: one aggregate by word
+and context, two joins and a seating per sweep. In the end every chunk gets
+one record for each of its words and one number for each of its pairs. All
+draws are hashes of word, context and sweep, so a lost task repeats them.
+
+Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and one end. The
+start of a text, as a context, has the end's key: an end is no other context.
 
 Defined results: null or empty text has the end token only; a null id counts
 as the empty text for the fold; without training documents every probability
@@ -35,6 +40,7 @@ from dataclasses import dataclass, field
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -45,19 +51,16 @@ from pyspark.sql import functions as F
 from cellsight.llm._common import arrow_rows, delete, fold, mix64, release_shuffles, small_batches, texts_of
 from cellsight.session import materialize, scratch_path
 
-CONTEXTS = 4096            # most frequent training words, whose sums go through the driver
-SWEEPS = 3
-BURN_IN = 1
+CONTEXTS = 4096            # most frequent training words, whose pairs are spread by their context too
+SWEEPS = 12
+BURN_IN = 2
 DISCOUNT, STRENGTH = 0.75, 1.0              # of the context restaurants
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
-CHUNK_BYTES = 8 << 20      # text of the documents that are packed together
+CHUNK_BYTES = 12 << 20     # text of the documents that are packed together
 SHARD_TOKENS = 4_000_000   # training tokens a shard is meant to hold
 MIN_SHARDS = 64
-PIECE_TOKENS = 16_000_000  # training tokens of the chunks whose documents stand in one piece of a shard
-EXACT_SEATS = 1000         # customers of one word seated one by one; the rest in blocks of 1 %
-
-END = xxhash.xxh3_64_intdigest(b"")
-START = 1                  # the start of a text; the frequent words' contexts follow, then a shard's others
+GROUP = 128                # customers of a word come in groups of this part of those seated, one at least
+SEAT_ROWS = 100_000        # rows seated together
 
 
 def _pack(**arrays) -> bytes:
@@ -68,6 +71,16 @@ def _unpack(blob) -> dict:
     return pickle.loads(zstandard.decompress(blob))
 
 
+def _row(**columns: pa.Array) -> pa.RecordBatch:
+    """One row; every column is an array of one value, or of the items of one list."""
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) if isinstance(v, pa.Array) else pa.array([v])
+             for v in columns.values()]
+    return pa.RecordBatch.from_arrays(lists, list(columns))
+
+
+# ---- chunks -----------------------------------------------------------------
+
+
 class _Vocabulary(dict):
     """Word -> running number within one chunk."""
 
@@ -80,49 +93,129 @@ class _Vocabulary(dict):
 
 
 def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a chunk's vocabulary, and the word and document number of every token, ends included."""
+    """Hashes of a chunk's words, the word number of every token (ends are number 0), and each text's tokens."""
     vocabulary = _Vocabulary()
-    vocabulary[b""]  # the end is number 0
+    vocabulary[b""]
     words, lengths = [], []
     for text in texts:
         found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        words.append(np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)))
-        words.append(np.zeros(1, np.int64))
+        words += [np.fromiter(map(vocabulary.__getitem__, found), np.uint32, len(found)), np.zeros(1, np.uint32)]
         lengths.append(len(found) + 1)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    return vocabulary.hashes(), np.concatenate(words) if words else np.empty(0, np.int64), doc
+    return vocabulary.hashes(), np.concatenate(words), np.array(lengths, np.int64)
+
 
+def chunk_tokens(rows: DataFrame) -> DataFrame:
+    """One row per chunk of documents: ids, fold, tokens, and the chunk's words with their training counts.
+
+    ``rows`` are (doc_id, held_out, body).
+    """
+    def pack(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        held = table["held_out"].combine_chunks()
+        h, word, lengths = _tokens(table["body"].to_pylist())
+        train = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), lengths)
+        counts = np.bincount(word[train], minlength=len(h))
+        return _row(chunk=number, ids=table["doc_id"].combine_chunks(), held=held, tokens=_pack(word=word, lengths=lengths),
+                    words=pa.array(h.view(np.int64)), counts=pa.array(counts, pa.int64()))
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(h, c): training count of every word's hash; ``rows`` are (held_out, body)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in small_batches(batches, CHUNK_BYTES):
-            h, word, _ = _tokens([t for t, out in zip(texts_of(batch, "body"), texts_of(batch, "held_out"), strict=True)
-                                  if not out])
-            c = np.bincount(word, minlength=len(h))
-            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64)[c > 0], "c": c[c > 0]})
+            parts.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield pack(number, parts)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield pack(number, parts)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, tokens binary, "
+                                "words array<long>, counts array<long>")
+
+
+def _pairs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and context number of a chunk's distinct pairs, and the pair of every token."""
+    ctx = np.zeros(len(word), np.int64)
+    ctx[1:] = word[:-1]  # after an end, which is number 0, a text starts
+    pair, index = np.unique(word.astype(np.int64) << 32 | ctx, return_inverse=True)
+    return pair >> 32, pair & 0xFFFFFFFF, index
+
+
+def _shards(h: np.ndarray, word: np.ndarray, ctx: np.ndarray, head: np.ndarray, shards: int) -> np.ndarray:
+    spread = mix64(h)[word]
+    often = np.isin(h, head)[word]
+    with np.errstate(over="ignore"):
+        spread[often] = mix64(h[word[often]] + mix64(h[ctx[often]]))
+    return (spread % np.uint64(shards)).astype(np.int64)
 
-    return rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+# ---- pair counts ------------------------------------------------------------
 
-@dataclass
-class Seating:
-    """What every shard must know: sizes, the frequent words, and the sums after each sweep so far."""
+SHARD_SCHEMA = ("shard int, codes array<struct<chunk:long,blob:binary>>, w array<long>, c array<long>, n array<long>, "
+                "one_h array<long>, one_w array<long>, one_c array<long>")
 
-    tokens: int                 # training tokens
-    words: int                  # distinct training tokens
-    head: np.ndarray            # hashes of the frequent words, ascending
-    head_counts: np.ndarray
-    tables: list[np.ndarray] = field(default_factory=list)      # per sweep: tables of each context
-    customers: list[np.ndarray] = field(default_factory=list)   # per sweep: parent's customers of each frequent word
-    parent: list[tuple[float, float]] = field(default_factory=list)  # per sweep: all customers and tables of the parent
-    totals: np.ndarray | None = None                            # customers of each context
 
-    def slot(self, h: np.ndarray) -> np.ndarray:
-        """Position among the frequent words, -1 for all others."""
-        at = np.searchsorted(self.head, h)
-        at[at == len(self.head)] = 0
-        return np.where(self.head[at] == h, at, -1) if len(self.head) else np.full(len(h), -1)
+def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
+    """Pairs (word w, context c, training count n) that occur more than once, one row per shard of pairs.
+
+    Beside them: how many pairs occur once, by word (one_w) and context (one_c), and for the pairs of each chunk
+    a code each: 0 not in training, 1 once, 2 + position among the shard's pairs.
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast(head)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, held, blob, words = (batch.column(i)[row] for i in range(4))
+                p = _unpack(blob.as_py())
+                h = words.values.to_numpy().view(np.uint64)
+                word, ctx, index = _pairs(p["word"])
+                train = np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), p["lengths"])
+                n = np.bincount(index[train], minlength=len(word)).astype(np.uint32)
+                shard = _shards(h, word, ctx, shared.value, shards)
+                order = np.argsort(shard, kind="stable")
+                ends = np.searchsorted(shard[order], np.arange(shards + 1))
+                found = np.flatnonzero(np.diff(ends))
+                blobs = []
+                for s in found:
+                    at = order[ends[s]:ends[s + 1]]
+                    first = np.flatnonzero(np.diff(word[at], prepend=-1))
+                    blobs.append(_pack(w=h[word[at[first]]], runs=np.diff(first, append=len(at)).astype(np.uint32),
+                                       c=h[ctx[at]], n=n[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([chunk.as_py()] * len(found), pa.int64()),
+                                                  pa.array(blobs, pa.binary())], ["shard", "chunk", "blob"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True))
+        parts = [_unpack(b) for _, b in rows]
+        words, w = np.unique(np.concatenate([np.repeat(p["w"], p["runs"]) for p in parts]), return_inverse=True)
+        contexts, c = np.unique(np.concatenate([p["c"] for p in parts]), return_inverse=True)
+        pair, index = np.unique(w * len(contexts) + c, return_inverse=True)
+        w, c = pair // len(contexts), pair % len(contexts)
+        n = np.bincount(index, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
+        often, once = np.flatnonzero(n > 1), n == 1
+        code = np.minimum(n, 1).astype(np.uint32)
+        code[often] = 2 + np.arange(len(often))
+        ends = np.cumsum([len(p["c"]) for p in parts])
+        codes = [_pack(code=x) for x in np.split(code[index], ends[:-1])]
+        sums = np.bincount(w[once], minlength=len(words)), np.bincount(c[once], minlength=len(contexts))
+        at = [np.flatnonzero(x) for x in sums]
+        none = [np.zeros(len(x), np.int64) for x in at]
+        lists = dict(w=words[w[often]].view(np.int64), c=contexts[c[often]].view(np.int64), n=n[often],
+                     one_h=np.concatenate([words[at[0]], contexts[at[1]]]).view(np.int64),
+                     one_w=np.concatenate([sums[0][at[0]], none[1]]), one_c=np.concatenate([none[0], sums[1][at[1]]]))
+        both = pa.StructArray.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(codes, pa.binary())],
+                                          ["chunk", "blob"])
+        out = _row(shard=table["shard"][0].as_py(), codes=both, **{k: pa.array(v, pa.int64()) for k, v in lists.items()})
+        return pa.Table.from_batches([out.set_column(0, "shard", out.column(0).cast(pa.int32()))])
+
+    with arrow_rows(chunks.sparkSession, 1):
+        sent = chunks.select("chunk", "held", "tokens", "words").mapInArrow(split, "shard int, chunk long, blob binary")
+        return materialize(sent.groupBy("shard").applyInArrow(add_up, SHARD_SCHEMA), "lm-shards")
+
+
+# ---- seating ----------------------------------------------------------------
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
@@ -131,434 +224,265 @@ def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def seat(counts: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
+def _binomial(size: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Binomial draws from two uniforms each: the quantile, or beyond a mean of 32 on both sides the normal one."""
+    q = np.minimum(p, 1 - p)
+    mean = size * q
+    z = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v)
+    wide = np.clip(np.floor(mean + np.sqrt(mean * (1 - q)) * z + 0.5), 0, size)
+    few = mean <= 32
+    pmf = np.where(few, (1 - q) ** size, 1.0)
+    x, total, more = np.zeros(len(q)), pmf.copy(), few & (u > pmf) & (size > 0)
+    while more.any():
+        pmf = pmf * (size - x) / (x + 1) * (q / (1 - q))
+        x += more
+        total += pmf
+        more &= (u > total) & (x < size)
+    drawn = np.where(few, x, wide)
+    return np.where(p > 0.5, size - drawn, drawn)
+
+
+def seat(counts: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray, sweep: int,
+         grow: np.ndarray | float = 0.0) -> np.ndarray:
     """Tables after seating ``counts`` customers of one dish each: a customer joins tables with weight
-    (seated - discount * tables) and opens one with weight ``new``."""
+    (seated - discount * tables) and opens one with weight (new + grow * tables)."""
     tables = np.minimum(counts, 1).astype(np.float64)
     order = np.flatnonzero(counts > 1)
     order = order[np.argsort(-counts[order], kind="stable")]
     left = counts[order]
     falling = -left
-    t, w, k = tables[order], new[order], key[order]
+    t, w, k, g = tables[order], new[order], key[order], np.broadcast_to(grow, len(counts))[order]
     seated, live = 1, len(left)  # rows with more than one customer
     while live:
-        step = 1 if seated < EXACT_SEATS else max(1, seated // 100)
-        size = np.minimum(step, left[:live] - seated)
-        p = w[:live] / (w[:live] + seated - discount * t[:live])
-        u = _uniform(k[:live], sweep << 32 | seated)
-        # One customer: a coin; a block: its expected number of tables, rounded at random.
-        t[:live] += np.floor(p * size + u)
+        step = max(1, seated // GROUP)
+        weight = w[:live] + g[:live] * t[:live]
+        p = weight / (weight + seated - discount * t[:live])
+        u = _uniform(k[:live], sweep << 48 | seated << 1)
+        if step == 1:
+            t[:live] += u < p
+        else:
+            t[:live] += _binomial(np.minimum(step, left[:live] - seated), p, u, _uniform(k[:live], sweep << 48 | seated << 1 | 1))
         seated += step
         live = int(np.searchsorted(falling, -seated, "left"))
     tables[order] = t
     return tables
 
 
-def _parent_tables(customers: np.ndarray, key: np.ndarray, sweep: int, seating: Seating) -> np.ndarray:
-    """Tables of words at the parent, given its sums after the sweep before; at first each word has one."""
-    if not sweep:
-        return np.minimum(customers, 1)
-    open_new = (PARENT_STRENGTH + PARENT_DISCOUNT * seating.parent[sweep - 1][1]) / (seating.words + 1)
-    return seat(customers.astype(np.int64), np.full(len(customers), open_new), PARENT_DISCOUNT, key, sweep)
-
+@dataclass
+class Sums:
+    """What holds for all words: sizes, and the parent's customers and tables after each sweep."""
 
-def _context_hashes(seating: Seating, far: dict | None) -> np.ndarray:
-    near = np.arange(len(seating.head) + 2, dtype=np.uint64)
-    return near if far is None else np.concatenate([near, far["hashes"]])
+    tokens: int                 # training tokens
+    words: int                  # distinct training tokens
+    once: int                   # those that occur once
+    customers: list[int] = field(default_factory=list)
+    tables: list[int] = field(default_factory=list)
 
+    def base(self, sweep: int) -> float:
+        """Weight of a word that has no customer at the parent."""
+        return (PARENT_STRENGTH + PARENT_DISCOUNT * self.tables[sweep]) / (self.words + 1)
 
-def _all(near: np.ndarray, far: dict | None, key) -> np.ndarray:
-    """A sum of each context of a shard: those that all shards know, then its others."""
-    return near if far is None else np.concatenate([near, far[key]])
+    def at_parent(self, customers: np.ndarray, tables: np.ndarray, sweep: int, gone: np.ndarray | int = 0) -> np.ndarray:
+        """Probability of words with these customers and tables at the parent, without ``gone`` of its customers."""
+        taken = np.maximum(customers - gone - PARENT_DISCOUNT * np.minimum(tables, customers - gone), 0)
+        return (taken + self.base(sweep)) / (PARENT_STRENGTH + self.customers[sweep] - gone)
 
 
-def replay(words: np.ndarray, pair_word: np.ndarray, pair_ctx: np.ndarray, counts: np.ndarray,
-           seating: Seating, far: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """State of a shard (``far``: what is known of its own contexts) after each sweep whose sums are known, and one more: tables of the pairs, customers that
-    each word sends to the parent from here, and which words stand in this shard alone."""
-    slot = seating.slot(words)
-    own = slot < 0
-    key = mix64(words)
+def _pair_key(w: np.ndarray, c: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        pair_key = mix64(key[pair_word] + _context_hashes(seating, far)[pair_ctx] + np.uint64(1))
-    tables = np.minimum(counts, 1).astype(np.float64)
-    for sweep in range(len(seating.parent) + 1):
-        if sweep:
-            p = word_probability(slot, own, key, customers, sweep - 1, seating)
-            new = (STRENGTH + DISCOUNT * _all(seating.tables[sweep - 1], far, sweep - 1)[pair_ctx]) * p[pair_word]
-            tables = seat(counts, new, DISCOUNT, pair_key, sweep)
-        customers = np.bincount(pair_word, weights=tables, minlength=len(words))
-        yield tables, customers, own
-
-
-def word_probability(slot: np.ndarray, own: np.ndarray, key: np.ndarray, customers: np.ndarray, sweep: int,
-                     seating: Seating) -> np.ndarray:
-    """Probability of each of a shard's words at the parent after ``sweep``."""
-    if len(seating.head):
-        customers = np.where(own, customers, seating.customers[sweep][np.maximum(slot, 0)])
-    tables = _parent_tables(customers, key, sweep, seating)
-    all_customers, all_tables = seating.parent[sweep]
-    base = (PARENT_STRENGTH + PARENT_DISCOUNT * all_tables) / (seating.words + 1)
-    return (np.maximum(customers - PARENT_DISCOUNT * tables, 0) + base) / (PARENT_STRENGTH + all_customers)
-
-
-def _union(parts: list[dict], near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words and other contexts (hashes) of all parts, and the word and context number of their pairs in turn."""
-    words, place = np.unique(np.concatenate([p["words"] for p in parts]), return_inverse=True)
-    far, seat_of = np.unique(np.concatenate([p["far"] for p in parts]), return_inverse=True)
-    word, ctx, w, f = [], [], 0, 0
-    for p in parts:
-        word.append(place[w + p["word"].astype(np.int64)])
-        c = p["ctx"].astype(np.int64)
-        other = c >= near
-        c[other] = near + seat_of[f + c[other] - near]
-        ctx.append(c)
-        w, f = w + len(p["words"]), f + len(p["far"])
-    return words, far, np.concatenate(word), np.concatenate(ctx)
-
-
-def _home(far: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(far) % np.uint64(shards)).astype(np.int64)
-
-
-def shard_tokens(rows: DataFrame, seating: Seating, shards: int, pieces: int) -> tuple[DataFrame, DataFrame]:
-    """Packed counts, one row per shard; and packed documents, one row per piece of a shard, with the list of the
-    documents of each chunk (shard -1).
-
-    ``rows`` are (doc_id, held_out, body).
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(seating)
-    near = len(seating.head) + 2
+        return mix64(mix64(w.view(np.uint64)) + c.view(np.uint64))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for n, batch in enumerate(small_batches(batches, CHUNK_BYTES)):
-            chunk = task << 24 | n
-            h, word, doc = _tokens(texts_of(batch, "body"))
-            slot = shared.value.slot(h)
-            wide, docs = len(h) + 1, batch.num_rows
-            ctx = np.empty(len(word), np.int64)
-            ctx[1:] = word[:-1] + 1
-            ctx[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
-            entry, times = np.unique((word * wide + ctx) * docs + doc, return_counts=True)
-            doc, pair = entry % docs, entry // docs
-            word, ctx = pair // wide, pair % wide
-            known = np.concatenate([[START], np.where(slot >= 0, slot + 2, -1)])[ctx]
-            spread = mix64(h)[word]
-            often = slot[word] >= 0
-            with np.errstate(over="ignore"):
-                both = often & (known >= 0)
-                spread[both] = mix64(h[word[both]] + known[both].astype(np.uint64))
-            apart = often & (known < 0)
-            spread[apart] = mix64(h[ctx[apart] - 1])
-            shard = (spread % np.uint64(shards)).astype(np.int64)
-            train = ~np.array(texts_of(batch, "held_out"), bool)
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            piece = int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(pieces))
-            out = [(-1, chunk, _pack(chunk=chunk, docs=texts_of(batch, "doc_id"), train=train,
-                                     n=np.bincount(doc, weights=times, minlength=docs).astype(np.int64)))]
-            for s in range(shards):
-                at = order[ends[s]:ends[s + 1]]
-                if len(at):
-                    own, local = np.unique(word[at], return_inverse=True)
-                    c, other = known[at], known[at] < 0
-                    far, place = np.unique(ctx[at][other] - 1, return_inverse=True)
-                    c[other] = near + place
-                    out.append((s, piece, _pack(chunk=chunk, train=train, words=h[own], far=h[far],
-                                                word=np.bincount(local).astype(np.uint32), ctx=c.astype(np.uint32),
-                                                doc=doc[at].astype(np.uint16), times=times[at].astype(np.uint32))))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in out], pa.int32()),
-                                              pa.array([p for _, p, _ in out], pa.int64()),
-                                              pa.array([b for _, _, b in out], pa.binary())], ["shard", "piece", "blob"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        """Distinct pairs of a piece, and its documents by pair: two rows."""
-        shard, piece = table["shard"][0].as_py(), table["piece"][0].as_py()
-        blobs = sorted(table["blob"].to_pylist())
-        if shard < 0:
-            pairs, entries = None, blobs[0]
-        else:
-            parts = [_unpack(b) for b in blobs]
-            for p in parts:
-                p["word"] = np.repeat(np.arange(len(p["words"])), p["word"])
-            words, far, word, ctx = _union(parts, near)
-            wide = near + len(far)
-            pair, index = np.unique(word * wide + ctx, return_inverse=True)
-            times = np.concatenate([p["times"] for p in parts])
-            train = np.concatenate([p["train"][p["doc"]] for p in parts])
-            counts = np.bincount(index, weights=times * train, minlength=len(pair)).astype(np.int64)
-            at, docs = 0, []
-            for p in parts:
-                end = at + len(p["doc"])
-                docs.append((p["chunk"], index[at:end].astype(np.uint32), p["doc"], p["times"]))
-                at = end
-            pairs = _pack(words=words, far=far, word=(pair // wide).astype(np.uint32), ctx=(pair % wide).astype(np.uint32),
-                          counts=counts)
-            entries = _pack(docs=docs, word=np.bincount(pair // wide).astype(np.uint32))
-        kinds = ["entries"] if shard < 0 else ["entries", "pairs"]
-        return pa.table({"shard": pa.array([shard] * len(kinds), pa.int32()), "piece": pa.array([piece] * len(kinds), pa.int64()),
-                         "blob": pa.array([entries, pairs][:len(kinds)], pa.binary()), "kind": kinds})
 
-    def add_up(table: pa.Table) -> pa.Table:
-        """Pairs of a shard, and where those of each piece stand among them."""
-        rows = sorted(zip(table["piece"].to_pylist(), table["blob"].to_pylist(), strict=True))
-        parts = [_unpack(b) for _, b in rows]
-        words, far, word, ctx = _union(parts, near)
-        order = np.argsort(_home(far, shards), kind="stable")   # those of one home stand together
-        rank = np.empty(len(far), np.int64)
-        rank[order] = np.arange(len(far))
-        other = ctx >= near
-        ctx[other] = near + rank[ctx[other] - near]
-        wide = near + len(far)
-        pair, index = np.unique(word * wide + ctx, return_inverse=True)
-        counts = np.bincount(index, weights=np.concatenate([p["counts"] for p in parts]), minlength=len(pair))
-        ends = np.cumsum([len(p["word"]) for p in parts])
-        at = [(piece, x.astype(np.uint32)) for (piece, _), x in zip(rows, np.split(index, ends[:-1]), strict=True)]
-        return pa.table({"shard": table["shard"][:1].cast(pa.int32()),
-                         "pairs": pa.array([_pack(words=words, far=far[order], word=(pair // wide).astype(np.uint32),
-                                                  ctx=(pair % wide).astype(np.uint32), counts=counts.astype(np.int64))], pa.binary()),
-                         "at": pa.array([_pack(at=at)], pa.binary())})
-
-    with arrow_rows(rows.sparkSession, 10_000):
-        packed = rows.mapInArrow(split, "shard int, piece long, blob binary")
-        spark, path, kind = rows.sparkSession, scratch_path(rows.sparkSession, "lm-pieces"), "shard int, piece long, blob binary, kind string"
-        packed.groupBy("shard", "piece").applyInArrow(merge, kind).write.partitionBy("kind").parquet(path)
-        release_shuffles(spark)
-        counts = spark.read.schema(kind).parquet(path).where("kind = 'pairs'").drop("kind")
-        counts = materialize(counts.groupBy("shard").applyInArrow(add_up, "shard int, pairs binary, at binary"), "lm-shards")
-    delete(spark, f"{path}/kind=pairs")  # their counts are in the shards now
-    documents = spark.read.schema(kind).parquet(path).where("kind = 'entries'").select("shard", "piece", F.col("blob").alias("entries"))
-    release_shuffles(rows.sparkSession)
-    return counts, documents
-
-
-class _Exchange:
-    """Sums of the contexts that only their home shard knows in full."""
-
-    def __init__(self, shards: DataFrame, count: int):
-        self.shards, self.count, self.answers = shards, count, None
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for shard, blob in zip(texts_of(batch, "shard"), texts_of(batch, "pairs"), strict=True):
-                    yield from _by_home(shard, count, _unpack(blob)["far"], lambda part: {"far": part[0]})
-
-        def route(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table["shard"].to_pylist(), table["blob"].to_pylist(), strict=True))
-            parts = [_unpack(b)["far"] for _, b in rows]
-            far, index = np.unique(np.concatenate(parts), return_inverse=True)
-            index = np.split(index.astype(np.uint32), np.cumsum([len(x) for x in parts])[:-1])
-            blob = _pack(n=len(far), parts=[(s, i) for (s, _), i in zip(rows, index, strict=True)])
-            return pa.table({"home": table["home"][:1].cast(pa.int32()), "routes": pa.array([blob], pa.binary())})
-
-        with arrow_rows(shards.sparkSession, 1):
-            asked = shards.select("shard", "pairs").mapInArrow(ask, "home int, shard int, blob binary")
-            self.routes = materialize(asked.groupBy("home").applyInArrow(route, "home int, routes binary"), "lm-routes")
-        release_shuffles(shards.sparkSession)
-
-    def rows(self, *columns: str) -> DataFrame:
-        """The shards' rows with all answers so far."""
-        own = self.shards.select("shard", *columns)
-        if self.answers is None:
-            return own.withColumn("answers", F.lit(None).cast("array<struct<sweep:int,home:int,blob:binary>>"))
-        told = self.answers.groupBy("shard").agg(F.collect_list(F.struct("sweep", "home", "blob")).alias("answers"))
-        return own.hint("merge").join(told, "shard", "left")
-
-    def add(self, sums: DataFrame, sweep: int) -> None:
-        def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            routes = _unpack(right["routes"][0].as_py())
-            total = None
-            parts = {s: _unpack(b) for s, b in zip(left["shard"].to_pylist(), left["blob"].to_pylist(), strict=True)}
-            for s, index in routes["parts"]:
-                total = np.zeros((len(parts[s]["sums"]), routes["n"])) if total is None else total
-                total[:, index] += parts[s]["sums"]
-            n = len(routes["parts"])
-            return pa.table({"sweep": pa.array([sweep] * n, pa.int32()), "shard": pa.array([s for s, _ in routes["parts"]], pa.int32()),
-                             "home": pa.array([key[0].as_py()] * n, pa.int32()),
-                             "blob": pa.array([_pack(sums=total[:, i].astype(np.uint32 if total.max(initial=0) < 1 << 32 else float))
-                                               for _, i in routes["parts"]], pa.binary())})
-
-        with arrow_rows(sums.sparkSession, 1000):
-            told = materialize(sums.groupBy("home").cogroup(self.routes.groupBy("home")).applyInArrow(
-                answer, "sweep int, shard int, home int, blob binary"), "lm-answers")
-        self.answers = told if self.answers is None else self.answers.unionByName(told)
-        release_shuffles(sums.sparkSession)
-
-
-def _by_home(shard: int, count: int, far: np.ndarray, pack_up, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row (home, shard, blob) for each home of a shard's contexts, which stand in order of their homes."""
-    if not len(far):
-        return
-    homes, starts = np.unique(_home(far, count), return_index=True)
-    parts = [[x[a:b] for x in (far, *values)] for a, b in zip(starts, [*starts[1:], len(far)], strict=True)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(homes, pa.int32()), pa.array([shard] * len(homes), pa.int32()),
-         pa.array([_pack(**pack_up(p)) for p in parts], pa.binary())], ["home", "shard", "blob"])
-
-
-def _far(p: dict, answers: list | None) -> dict | None:
-    """What a shard knows of its own contexts: per sweep their tables, and their customers."""
-    if "far" not in p:
-        return None
-    found: dict = {"hashes": p["far"], "totals": np.zeros(len(p["far"]))}
-    for a in sorted(answers or [], key=lambda a: (a["sweep"], a["home"])):
-        found.setdefault(a["sweep"], []).append(_unpack(a["blob"])["sums"].astype(np.float64))
-    for sweep in [k for k in found if isinstance(k, int)]:
-        sums = found[sweep]
-        found[sweep] = np.concatenate([x[0] for x in sums])
+def _reseat_parent(sums: Sums, sweep: int):
+    """Column function (h, customers, tables before) -> tables of the words at the parent."""
+    @F.pandas_udf("long")
+    def tables(h: pd.Series, customers: pd.Series, before: pd.Series) -> pd.Series:
+        n, key = customers.to_numpy(np.int64), mix64(h.to_numpy(np.int64).view(np.uint64))
         if not sweep:
-            found["totals"] = np.concatenate([x[1] for x in sums])
-    if 0 not in found:   # a shard without contexts of its own
-        found |= {sweep: np.zeros(len(p["far"])) for sweep in range(SWEEPS + 1)}
-    return found
+            return pd.Series(np.minimum(n, 1))
+        grow = PARENT_DISCOUNT / (sums.words + 1)
+        new = sums.base(sweep - 1) - grow * before.to_numpy(np.float64)
+        return pd.Series(seat(n, new, PARENT_DISCOUNT, key, sweep, grow).astype(np.int64))
+    return tables
 
 
-def _sum_up(shards: DataFrame, seating: Seating, exchange: _Exchange | None = None) -> None:
-    """One more sweep in every shard; its sums are added to ``seating`` (vectors of bounded size) and ``exchange``."""
-    shared = shards.sparkSession.sparkContext.broadcast(seating)
-    contexts, heads = len(seating.head) + 2, len(seating.head)
-    count = exchange.count if exchange else 0
+def _reseat(sums: Sums, sweep: int):
+    """Column function of pairs -> their tables after ``sweep``, given all others after the sweep before."""
+    @F.pandas_udf("long")
+    def tables(w: pd.Series, c: pd.Series, n: pd.Series, t: pd.Series, customers: pd.Series, parent: pd.Series,
+               room: pd.Series) -> pd.Series:
+        own = t.to_numpy(np.float64)
+        p = sums.at_parent(customers.to_numpy(np.float64), parent.to_numpy(np.float64), sweep - 1, own)
+        new = (STRENGTH + DISCOUNT * (room.to_numpy(np.float64) - own)) * p
+        key = _pair_key(w.to_numpy(np.int64), c.to_numpy(np.int64))
+        return pd.Series(seat(n.to_numpy(np.int64), new, DISCOUNT, key, sweep, DISCOUNT * p).astype(np.int64))
+    return tables
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        # Known contexts' tables and customers, frequent words' customers, and the parent's two sums.
-        total = np.zeros(2 * contexts + heads + 2)
-        sweep = len(own.parent)
-        for batch in batches:
-            answers = texts_of(batch, "answers") if count else [None] * batch.num_rows
-            for shard, blob, told in zip(texts_of(batch, "shard"), texts_of(batch, "pairs"), answers, strict=True):
-                p = _unpack(blob)
-                words, word, ctx, counts = p["words"], p["word"].astype(np.int64), p["ctx"].astype(np.int64), p["counts"]
-                for state in replay(words, word, ctx, counts, own, _far(p, told)):
-                    tables, customers, rare = state
-                sums = [np.bincount(ctx, weights=x, minlength=contexts) for x in (tables, counts)]
-                total[:contexts] += sums[0][:contexts]
-                total[contexts:2 * contexts] += sums[1][:contexts]
-                slot = own.slot(words)
-                total[2 * contexts:-2] += np.bincount(slot[~rare], weights=customers[~rare], minlength=heads)
-                total[-2] += customers[rare].sum()
-                total[-1] += _parent_tables(customers[rare], mix64(words[rare]), sweep, own).sum()
-                if count:
-                    for out in _by_home(shard, count, p["far"], lambda x: {"sums": np.array(x[1:2] if sweep else x[1:])},
-                                        *(x[contexts:] for x in sums)):
-                        n = out.num_rows
-                        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), *out.columns],
-                                                         ["place", "value", *out.schema.names])
-        used = np.flatnonzero(total)
-        n = len(used)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used]), pa.nulls(n, pa.int32()),
-                                          pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                                         ["place", "value", "home", "shard", "blob"])
-
-    with arrow_rows(shards.sparkSession, 1):
-        rows = exchange.rows("pairs") if exchange else shards.where("shard >= 0").select("shard", "pairs")
-        path = scratch_path(shards.sparkSession, "lm-sweep")
-        rows.mapInArrow(run, "place long, value double, home int, shard int, blob binary").write.parquet(path)
-    out = shards.sparkSession.read.parquet(path)
-    sums = out.where("place IS NOT NULL").groupBy("place").agg(F.sum("value").alias("value")).collect()
-    total = np.zeros(2 * contexts + heads + 2)
-    for r in sums:
-        total[r["place"]] = r["value"]
-    sweep = len(seating.parent)
-    customers = total[2 * contexts:-2]
-    tables = _parent_tables(customers, mix64(seating.head), sweep, seating).sum() + total[-1]
-    seating.tables.append(total[:contexts])
-    seating.totals = total[contexts:2 * contexts]
-    seating.customers.append(customers)
-    seating.parent.append((float(customers.sum() + total[-2]), float(tables)))
-    if exchange:
-        exchange.add(out.where("home IS NOT NULL").select("home", "shard", "blob"), sweep)
-    delete(shards.sparkSession, path)
-
-
-def _values(p: dict, seating: Seating, far: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair of a shard: log10 of its averaged probability, of its base probability, and whether its word is known."""
-    words, word, ctx, counts = p["words"], p["word"].astype(np.int64), p["ctx"].astype(np.int64), p["counts"]
-    slot, key = seating.slot(words), mix64(words)
-    total = np.zeros(len(word))
-    for sweep, (tables, customers, own) in enumerate(replay(words, word, ctx, counts, seating, far)):
+
+def sample(shards: DataFrame, counts: DataFrame, sums: Sums) -> tuple[DataFrame, DataFrame]:
+    """Run the sweeps; ``counts`` are (h, c), the words' training counts.
+
+    Returns the pairs (shard, k, n, total: their tables added up over the sweeps after burn-in) and the words
+    (h, c, hist): customers and tables at the parent and tables as a context, after each of those sweeps.
+    Words that occur once have no ``hist``: it is all ones.
+    """
+    spark = shards.sparkSession
+    once = (shards.select(F.explode(F.arrays_zip("one_h", "one_w", "one_c")).alias("x"))
+            .groupBy(F.col("x.one_h").alias("h")).agg(F.sum("x.one_w").alias("one_w"), F.sum("x.one_c").alias("one_c")))
+    zero = F.lit(0).cast("long")
+    words = counts.where("c > 1").join(once, "h", "left").select(
+        "h", "c", *(F.coalesce(x, zero).alias(x) for x in ("one_w", "one_c")), zero.alias("tables"),
+        F.array().cast("array<long>").alias("hist"))
+    pairs = shards.select("shard", F.posexplode(F.arrays_zip("w", "c", "n")).alias("k", "x")).select(
+        "shard", "k", "x.w", "x.c", "x.n", F.lit(1).cast("long").alias("t"), zero.alias("total"))
+    old: list[str] = []
+    for sweep in range(SWEEPS + 1):
+        seats = (pairs.select(F.col("w").alias("h"), F.col("t").alias("by_w"), zero.alias("by_c"))
+                 .unionByName(pairs.select(F.col("c").alias("h"), zero.alias("by_w"), F.col("t").alias("by_c")))
+                 .groupBy("h").agg(F.sum("by_w").alias("by_w"), F.sum("by_c").alias("by_c")))
+        now = words.join(seats, "h", "left").select(
+            "h", "c", "one_w", "one_c", "hist", F.col("tables").alias("before"),
+            (F.col("one_w") + F.coalesce("by_w", zero)).alias("customers"),
+            (F.col("one_c") + F.coalesce("by_c", zero)).alias("room"))
+        now = now.withColumn("tables", _reseat_parent(sums, sweep)("h", "customers", "before")).drop("before")
         if sweep > BURN_IN:
-            at_parent = word_probability(slot, own, key, customers, sweep, seating)[word]
-            rest = STRENGTH + DISCOUNT * _all(seating.tables[sweep], far, sweep)[ctx]
-            customers_of = _all(seating.totals, far, "totals")[ctx]
-            total += (np.maximum(counts - DISCOUNT * tables, 0) + rest * at_parent) / (STRENGTH + customers_of)
-        if sweep == SWEEPS:
-            break
-    total /= SWEEPS - BURN_IN
-    c = np.bincount(word, weights=counts, minlength=len(words))
-    if len(seating.head):
-        c = np.where(slot >= 0, seating.head_counts[np.maximum(slot, 0)], c)
-    base = np.log10((c + 0.5) / (seating.tokens + 0.5 * (seating.words + 1)))
-    return np.log10(total), base[word], (c > 0)[word]
+            now = now.withColumn("hist", F.concat("hist", F.array("customers", "tables", "room")))
+        with arrow_rows(spark, SEAT_ROWS):
+            words, word_path = _keep(now, "lm-words")
+        total = words.agg(F.sum("customers").alias("k"), F.sum("tables").alias("t")).first()
+        sums.customers.append((total["k"] or 0) + sums.once)
+        sums.tables.append((total["t"] or 0) + sums.once)
+        if sweep < SWEEPS:
+            after = (pairs.join(words.select(F.col("h").alias("w"), "customers", "tables"), "w")
+                     .join(words.select(F.col("h").alias("c"), "room"), "c"))
+            t = _reseat(sums, sweep + 1)("w", "c", "n", "t", "customers", "tables", "room")
+            after = after.select("shard", "k", "w", "c", "n", t.alias("t"), "total")
+            if sweep + 1 > BURN_IN:
+                after = after.withColumn("total", F.col("total") + F.col("t"))
+            with arrow_rows(spark, SEAT_ROWS):
+                pairs, pair_path = _keep(after, "lm-pairs")
+            for path in old:
+                delete(spark, path)
+            old = [word_path, pair_path]
+            release_shuffles(spark)
+    return pairs.select("shard", "k", "n", "total"), words.select("h", "c", "hist").unionByName(
+        counts.where("c = 1").select("h", "c", F.lit(None).cast("array<long>").alias("hist")))
+
+
+def _keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table written to a folder of its own and read back, and the folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+# ---- scores -----------------------------------------------------------------
+
+
+def seated_mass(pairs: DataFrame, shards: DataFrame) -> DataFrame:
+    """(chunk, shard, blob): for the pairs that a chunk has in a shard, n - discount * tables, averaged."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        k, n, total = (left[c].to_numpy() for c in ("k", "n", "total"))
+        mass = np.zeros(2 + len(k))
+        mass[1] = 1 - DISCOUNT
+        mass[2 + k] = n - DISCOUNT * total / (SWEEPS - BURN_IN)
+        codes = [x for row in right["codes"].to_pylist() for x in row]
+        blobs = [_pack(mass=mass[_unpack(x["blob"])["code"]]) for x in codes]
+        shard = right["shard"][0].as_py() if codes else 0
+        return pa.table({"chunk": pa.array([x["chunk"] for x in codes], pa.int64()),
+                         "shard": pa.array([shard] * len(codes), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    return pairs.groupBy("shard").cogroup(shards.select("shard", "codes").groupBy("shard")).applyInArrow(
+        run, "chunk long, shard int, blob binary")
+
+
+def predictive(word: np.ndarray, ctx: np.ndarray, mass: np.ndarray, counts: np.ndarray, hist: np.ndarray,
+               sums: Sums) -> np.ndarray:
+    """Probability of words after contexts, averaged over the sweeps after burn-in.
+
+    ``counts`` and ``hist`` (sweep, 3, word) belong to the words that ``word`` and ``ctx`` number.
+    """
+    total = np.zeros(len(word))
+    for i, (customers, tables, room) in enumerate(hist):
+        p = sums.at_parent(customers, tables, BURN_IN + 1 + i)
+        total += (STRENGTH + DISCOUNT * room)[ctx] * p[word]
+    return (mass + total / len(hist)) / (STRENGTH + counts)[ctx]
+
+
+def histories(counts: np.ndarray, hist: pa.Array) -> np.ndarray:
+    """(sweep, 3, word) from the words' ``hist`` lists; all ones for a word without one, zeros if it is not known."""
+    kept = SWEEPS - BURN_IN
+    out = np.repeat((counts > 0).astype(np.float64)[:, None], 3 * kept, axis=1)
+    own = hist.is_valid().to_numpy(zero_copy_only=False)
+    out[own] = hist.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3 * kept)
+    return np.ascontiguousarray(out.T).reshape(kept, 3, -1)
+
+
+def score_chunks(chunks: DataFrame, words: DataFrame, masses: DataFrame, head: np.ndarray, shards: int,
+                 sums: Sums) -> DataFrame:
+    """The scores of every document, from its chunk, the chunk's word records and its pairs' masses."""
+    shared = chunks.sparkSession.sparkContext.broadcast(head)
+    kind = chunks.schema["ids"].dataType.elementType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = left.filter(left["tokens"].is_valid())
+        ids, held = (own[c].combine_chunks().flatten() for c in ("ids", "held"))
+        p = _unpack(own["tokens"][0].as_py())
+        right = right.sort_by("i").combine_chunks()
+        h = right["h"].to_numpy().view(np.uint64)
+        counts = right["c"].to_numpy()
+        hist = right["hist"].combine_chunks()
+        word, ctx, index = _pairs(p["word"])
+        rows = left.filter(left["blob"].is_valid())
+        blobs = sorted(zip(rows["shard"].to_pylist(), rows["blob"].to_pylist(), strict=True))
+        mass = np.empty(len(word))
+        mass[np.argsort(_shards(h, word, ctx, shared.value, shards), kind="stable")] = np.concatenate(
+            [_unpack(b)["mass"] for _, b in blobs])
+        value = np.log10(predictive(word, ctx, mass, counts, histories(counts, hist), sums))
+        base = np.log10((counts + 0.5) / (sums.tokens + 0.5 * (sums.words + 1)))
+        starts = np.cumsum(p["lengths"]) - p["lengths"]
+        n = len(starts)
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(p["lengths"]),
+                         "n_known": pa.array(np.add.reduceat((counts > 0)[p["word"]].astype(np.int64), starts)),
+                         "train_tokens": pa.array(np.full(n, sums.tokens, np.int64)),
+                         "base_score": pa.array(np.add.reduceat(base[p["word"]], starts)),
+                         "score": pa.array(np.add.reduceat(value[index], starts))})
+
+    records = (chunks.select(F.col("chunk").alias("place"), F.posexplode("words").alias("i", "h")).join(words, "h", "left")
+               .select("place", "i", "h", F.coalesce("c", F.lit(0)).alias("c"), "hist"))
+    left = chunks.select("chunk", "ids", "held", "tokens").unionByName(masses, allowMissingColumns=True)
+    return left.groupBy("chunk").cogroup(records.groupBy("place")).applyInArrow(
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+             "score double")
+
+
+def count_words(chunks: DataFrame) -> tuple[DataFrame, Sums, np.ndarray]:
+    """Training counts (h, c) of the words, their sums, and the hashes of the most frequent ones, ascending."""
+    counts = materialize(
+        chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where("x.counts > 0")
+        .groupBy(F.col("x.words").alias("h")).agg(F.sum("x.counts").alias("c")), "lm-counts")
+    size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    head = [r["h"] & 0xFFFFFFFFFFFFFFFF for r in counts.orderBy(F.col("c").desc(), "h").limit(CONTEXTS).collect()]
+    return counts, Sums(size["n"] or 0, size["v"], size["once"]), np.sort(np.array(head, np.uint64))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", test_fold: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == test_fold).alias("held_out"),
                        F.col(text_col).alias("body"))
-    counts = materialize(count_words(rows.select("held_out", "body")), "lm-counts")
-    size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    head = sorted((r["h"] & 0xFFFFFFFFFFFFFFFF, r["c"]) for r in
-                  counts.orderBy(F.col("c").desc(), "h").limit(CONTEXTS).collect())
-    seating = Seating(size["n"] or 0, size["v"], np.array([h for h, _ in head], np.uint64),
-                      np.array([c for _, c in head], np.int64))
-    count = max(MIN_SHARDS, ceil(seating.tokens / SHARD_TOKENS))
-    shards, documents = shard_tokens(rows, seating, count, max(1, ceil(seating.tokens / PIECE_TOKENS)))
-    exchange = _Exchange(shards, count)
-    for _ in range(SWEEPS + 1):
-        _sum_up(shards, seating, exchange)
-    shared = spark.sparkContext.broadcast(seating)
-
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, pairs, at, told in zip(*(texts_of(batch, c) for c in ("shard", "pairs", "at", "answers")), strict=True):
-                p = _unpack(pairs)
-                values, base, known = _values(p, shared.value, _far(p, told))
-                for piece, index in _unpack(at)["at"]:
-                    first = np.flatnonzero(np.diff(p["word"][index].astype(np.int64), prepend=-1))
-                    blob = _pack(value=values[index], base=base[index][first], known=known[index][first])
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([piece], pa.int64()),
-                                                      pa.array([blob], pa.binary())], ["shard", "piece", "values"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for entries, values in zip(texts_of(batch, "entries"), texts_of(batch, "values"), strict=True):
-                p, v = _unpack(entries), _unpack(values)
-                per_pair = v["value"], np.repeat(v["base"], p["word"]), np.repeat(v["known"], p["word"])
-                for chunk, pair, doc, times in p["docs"]:
-                    sums = [np.bincount(doc, weights=times * x[pair]) for x in per_pair]
-                    at = np.unique(doc)
-                    yield _row(chunk, _pack(at=at, value=sums[0][at], base=sums[1][at], known=sums[2][at].astype(np.uint32)))
-
-    kind = rows.schema["doc_id"].dataType
-    n_train, arrow_id = seating.tokens, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(
-        kind.simpleString(), pa.int64())
-
-    def finish(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b) for b in sorted(table["blob"].to_pylist())]
-        meta = next(p for p in parts if "docs" in p)
-        sums = np.zeros((3, len(meta["docs"])))
-        for p in parts:
-            if "at" in p:
-                sums[:, p["at"]] += p["value"], p["base"], p["known"]
-        n = len(meta["docs"])
-        return pa.table({"doc_id": pa.array(meta["docs"], arrow_id), "held_out": pa.array(~meta["train"]),
-                         "n_tokens": pa.array(meta["n"]), "n_known": pa.array(sums[2].astype(np.int64)),
-                         "train_tokens": pa.array(np.full(n, n_train, np.int64)), "base_score": pa.array(sums[1]),
-                         "score": pa.array(sums[0])})
-
-    with arrow_rows(spark, 1):
-        found = exchange.rows("pairs", "at").mapInArrow(value, "shard int, piece long, values binary")
-        placed = documents.where("shard >= 0").select("shard", "piece", "entries").hint("merge").join(found, ["shard", "piece"])
-        partial = materialize(placed.mapInArrow(score, "chunk long, blob binary"), "lm-partial")
-    release_shuffles(spark)
-    partial = partial.unionByName(documents.where("shard < 0").select(F.col("piece").alias("chunk"), F.col("entries").alias("blob")))
-    return partial.groupBy("chunk").applyInArrow(
-        finish, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                "base_score double, score double")
-
-
-def _row(chunk: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "blob"])
+    chunks = materialize(chunk_tokens(rows), "lm-chunks")
+    counts, sums, head = count_words(chunks)
+    shard_count = max(MIN_SHARDS, ceil(sums.tokens / SHARD_TOKENS))
+    shards = count_pairs(chunks, head, shard_count)
+    release_shuffles(docs.sparkSession)
+    pairs, words = sample(shards, counts, sums)
+    with arrow_rows(docs.sparkSession, SEAT_ROWS):
+        masses = materialize(seated_mass(pairs, shards), "lm-masses")
+    release_shuffles(docs.sparkSession)
+    return score_chunks(chunks, words, masses, head, shard_count, sums)
+
+
+def perplexity(scores: DataFrame) -> DataFrame:
+    """(held_out, perplexity, base_perplexity) of scored documents, per token."""
+    per_token = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scores.groupBy("held_out").agg(per_token("score").alias("perplexity"), per_token("base_score").alias("base_perplexity"))

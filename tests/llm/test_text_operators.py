@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import LONG, SF
 from pyspark.sql import functions as F
@@ -395,27 +396,122 @@ def test_lm_base_matches_brute_force(name, request):
         assert per_token(6) > per_token(5)  # held-out perplexity below the base's
 
 
-@pytest.mark.parametrize("heads", [0, 5])
-def test_lm_probabilities_sum_to_one(spark, heads):
-    """All known words and one unknown after each context, over random pair counts."""
-    rnd = np.random.default_rng(6)
-    words = np.sort(rnd.integers(1, 1 << 63, 41).astype(np.uint64))     # the last stands for an unknown word
-    head = np.sort(words[:40:8][:heads])
-    contexts = heads + 2
-    counts = rnd.poisson(3, (41, contexts)) * (rnd.random((41, contexts)) < 0.4)
-    counts[0], counts[-1] = 1, 0
-    counts = counts.astype(np.int64)
-    counts[(counts.sum(1) == 0) & (np.arange(41) < 40), 0] = 1
-    word, ctx = (x.ravel() for x in np.indices(counts.shape))
-    pairs = {"words": words, "word": word.astype(np.uint32), "ctx": ctx.astype(np.uint16), "counts": counts.ravel()}
-    shards = spark.createDataFrame([(0, bytearray(lm_score._pack(**pairs)))], "shard int, pairs binary")
-    own = counts.sum(1)
-    seating = lm_score.Seating(int(own.sum()), 40, head, own[np.searchsorted(words, head)])
-    for _ in range(lm_score.SWEEPS + 1):
-        lm_score._sum_up(shards, seating)
-    value, base, known = lm_score._values(pairs, seating)
-    assert np.allclose((10.0 ** value).reshape(counts.shape).sum(0), 1)
-    assert (known.reshape(counts.shape)[:, 0] == (own > 0)).all()
+def small_texts(n=400, seed=5):
+    """Texts whose words follow one another in habits, some words rare."""
+    rnd = np.random.default_rng(seed)
+    words, texts = [f"w{i}" for i in range(40)], []
+    for _ in range(n):
+        at, text = int(rnd.integers(40)), []
+        for _ in range(int(rnd.integers(0, 14))):
+            text.append(words[at])
+            at = (at * 7 + 3) % 40 if rnd.random() < 0.6 else min(39, int(rnd.zipf(1.4)) - 1)
+        texts.append(" ".join(text))
+    return list(enumerate(texts))
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """All known words and one unknown after each context, from the model's own records."""
+    rows = small_texts()
+    docs = spark.createDataFrame([(i, zlib.crc32(str(i).encode()) % 5 == 1, t) for i, t in rows],
+                                 "doc_id long, held_out boolean, body string").repartition(3)
+    chunks = docs.sparkSession.createDataFrame(lm_score.chunk_tokens(docs).collect(), lm_score.chunk_tokens(docs).schema)
+    counts, sums, head = lm_score.count_words(chunks)
+    shards = lm_score.count_pairs(chunks, head, 8)
+    pairs, words = lm_score.sample(shards, counts, sums)
+    records = words.orderBy("h").toPandas()
+    c = np.append(records["c"].to_numpy(), 0)                      # the last stands for an unknown word
+    hist = lm_score.histories(c, pa.array([None if x is None else list(x) for x in records["hist"]] + [None],
+                                          pa.list_(pa.int64())))
+    place = {h: i for i, h in enumerate(records["h"])}
+    key = {w: place[np.uint64(lm_score.xxhash.xxh3_64_intdigest((w or "").encode())).view(np.int64)]
+           for w in [None, *{w for _, t in rows for w in t.split()}] if w is None or any(
+               w in t.split() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)}
+    n = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            said = [None, *t.split(), None]
+            n.update((key[b], key[a]) for a, b in zip(said, said[1:], strict=False))
+    mass = np.zeros((len(c), len(c)))
+    for (w, ctx), times in n.items():
+        mass[w, ctx] = 1 - lm_score.DISCOUNT if times == 1 else 0
+    seated = shards.selectExpr("shard", "posexplode(arrays_zip(w, c)) AS (k, x)").join(pairs, ["shard", "k"]).collect()
+    assert len(seated) == sum(x > 1 for x in n.values())
+    for r in seated:
+        w, ctx = place[r["x"]["w"]], place[r["x"]["c"]]
+        assert r["n"] == n[w, ctx]
+        mass[w, ctx] = r["n"] - lm_score.DISCOUNT * r["total"] / (lm_score.SWEEPS - lm_score.BURN_IN)
+    word, ctx = (x.ravel() for x in np.indices(mass.shape))
+    p = lm_score.predictive(word, ctx, mass.ravel(), c, hist, sums).reshape(mass.shape)
+    assert p.min() > 0 and np.allclose(p.sum(0), 1)
+
+
+def plain_sampler(train, test, sweeps, burn_in, rnd):
+    """Per-token log10 probabilities of ``test`` texts, from seating customer by customer."""
+    d, s, d0, s0 = lm_score.DISCOUNT, lm_score.STRENGTH, lm_score.PARENT_DISCOUNT, lm_score.PARENT_STRENGTH
+    steps = lambda t: list(zip(["", *t], [*t, ""], strict=True))  # noqa: E731  (context, word); "" is start and end
+    customers = [p for t in train for p in steps(t)]
+    v = len({w for _, w in customers})
+    tables, rooms, parent = collections.defaultdict(list), collections.Counter(), collections.defaultdict(list)
+    size = collections.Counter(c for c, _ in customers)
+
+    def at_parent(w):
+        k, t = sum(map(sum, parent.values())), sum(map(len, parent.values()))
+        return (sum(parent[w]) - d0 * len(parent[w]) + (s0 + d0 * t) / (v + 1)) / (s0 + k)
+
+    def sit(there, new, discount):
+        weights = [x - discount for x in there] + [new]
+        at = int(np.searchsorted(np.cumsum(weights), rnd.random() * sum(weights)))
+        if at >= len(there):
+            there.append(1)
+            return True
+        there[at] += 1
+        return False
+
+    def leave(there):
+        at = int(np.searchsorted(np.cumsum(there), rnd.random() * sum(there), "right"))
+        there[at] -= 1
+        if there[at]:
+            return False
+        del there[at]
+        return True
+
+    total = np.zeros(sum(len(t) + 1 for t in test))
+    for sweep in range(sweeps):
+        for c, w in customers:
+            if sweep and leave(tables[c, w]):
+                rooms[c] -= 1
+                leave(parent[w])
+            if sit(tables[c, w], (s + d * rooms[c]) * at_parent(w), d):
+                rooms[c] += 1
+                sit(parent[w], (s0 + d0 * sum(map(len, parent.values()))) / (v + 1), d0)
+        if sweep >= burn_in:
+            total += [(sum(tables[c, w]) - d * len(tables[c, w]) + (s + d * rooms[c]) * at_parent(w)) / (s + size[c])
+                      for t in test for c, w in steps(t)]
+    return np.log10(total / (sweeps - burn_in))
+
+
+def test_lm_scores_match_a_plain_sampler(spark):
+    rows = small_texts()
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    test = [(i, t.split()) for i, t in rows if out(i)]
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in
+           lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    each = plain_sampler([t.split() for i, t in rows if not out(i)], [t for _, t in test], 25, 5, np.random.default_rng(3))
+    ends = np.cumsum([len(t) + 1 for _, t in test])
+    want = np.array([x.sum() for x in np.split(each, ends[:-1])])
+    own, base = (np.array([got[i][k] for i, _ in test]) for k in (0, 1))
+    per_token = np.abs(own - want) / np.diff(ends, prepend=0)
+    assert abs(own.sum() - want.sum()) / ends[-1] < 0.01     # perplexity within 2 %
+    assert per_token.max() < 0.08 and own.sum() > base.sum()
+
+
+@pytest.mark.parametrize("size,p", [(1, 0.3), (5, 0.9), (40, 0.02), (3000, 0.004), (5000, 0.4), (900, 0.98)])
+def test_binomial_draws(size, p):
+    rnd = np.random.default_rng(1)
+    got = lm_score._binomial(np.full(20_000, size), np.full(20_000, p), rnd.random(20_000), rnd.random(20_000))
+    assert got.min() >= 0 and got.max() <= size
+    assert abs(got.mean() - size * p) < 5 * math.sqrt(size * p * (1 - p) / 20_000) + 1e-9
+    assert abs(got.var() / (size * p * (1 - p)) - 1) < 0.06
 
 
 def test_lm_rare_words_have_restaurants(spark, monkeypatch):
@@ -431,24 +527,25 @@ def test_lm_rare_words_have_restaurants(spark, monkeypatch):
     assert mean[2] > -2.3 and abs(mean[2] - mean[4096]) < 0.1
 
 
-def test_lm_documents_of_a_hot_pair_stand_in_pieces(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, "same text") for i in range(600)], "doc_id long, text string").repartition(12)
-    seen, shard_tokens = [], lm_score.shard_tokens
+def test_lm_scores_do_not_depend_on_chunks_or_shards(spark, monkeypatch):
+    """A hot pair is one entry a chunk; its documents stay in their chunks."""
+    docs = spark.createDataFrame([(i, f"same text tail{i % 90}") for i in range(600)], "doc_id long, text string").repartition(6)
+    scores, seen, count_pairs = [], [], lm_score.count_pairs
 
     def watched(*args):
-        seen.append(shard_tokens(*args))
-        return seen[-1]
-    monkeypatch.setattr(lm_score, "shard_tokens", watched)
-    scores = []
-    for size in (10_000, 150):
-        monkeypatch.setattr(lm_score, "PIECE_TOKENS", size)
+        seen.append((args[0], count_pairs(*args)))
+        return seen[-1][1]
+    monkeypatch.setattr(lm_score, "count_pairs", watched)
+    for chunk, shards in ((1 << 20, 64), (300, 5)):
+        monkeypatch.setattr(lm_score, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(lm_score, "MIN_SHARDS", shards)
         scores.append(sorted((r["doc_id"], round(r["score"], 9)) for r in lm_score.score_documents(docs).collect()))
     assert scores[0] == scores[1] and len(scores[0]) == 600
-    shards, pieces = seen[1]
-    assert pieces.where("shard < 0").count() >= 12     # one list a chunk
-    found = pieces.where("shard >= 0").groupBy("shard").count().collect()
-    assert found and all(r["count"] >= 5 for r in found)
-    assert shards.columns == ["shard", "pairs", "at"]  # no documents
+    assert seen[0][0].count() == 6 and seen[1][0].count() >= 30
+    chunks, shards = seen[1]
+    sent = shards.selectExpr("explode(codes) AS x").groupBy("x.chunk").count()
+    assert sent.count() == chunks.count()
+    assert shards.selectExpr("sum(size(n)) AS n").first()["n"] <= 3 + 2 * 90   # distinct pairs, no documents
 
 
 def test_seating_follows_the_restaurant():
