@@ -15,13 +15,14 @@ sweeps after burn-in.
 
 How it is spread: documents stand in chunks of bounded size, as the word
 numbers of their tokens, and stay there. Each chunk sends its distinct pairs
-to shards, by a hash of the word (of the ``CONTEXTS`` most frequent words, by
-word and context), which add up their counts. A pair that occurs once always
-has one table, and a word that occurs once one customer at the parent, so
-only the other pairs and words are rows of the sweeps: one aggregate by word
-and context, two joins and a seating per sweep. In the end every chunk gets
-one record for each of its words and one number for each of its pairs. All
-draws are hashes of word, context and sweep, so a lost task repeats them.
+to shards, by a hash of the context (of the ``CONTEXTS`` most frequent words,
+by context and word), which add up their counts. A pair that occurs once
+always has one table, and a word that occurs once one customer at the parent,
+so only the other pairs and words take part in the sweeps. Per sweep, shards
+tell the tables of each of their words and contexts, one aggregate adds them
+up, and one join brings the sums back to the shards. In the end every chunk
+gets one record for each of its words and one number for each of its pairs.
+All draws are hashes of word, context and sweep, so a lost task repeats them.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and one end. The
 start of a text, as a context, has the end's key: an end is no other context.
@@ -51,14 +52,14 @@ from pyspark.sql import functions as F
 from cellsight.llm._common import arrow_rows, delete, fold, mix64, release_shuffles, small_batches, texts_of
 from cellsight.session import materialize, scratch_path
 
-CONTEXTS = 4096            # most frequent training words, whose pairs are spread by their context too
+CONTEXTS = 4096            # most frequent training words, whose followers are spread over the shards
 SWEEPS = 12
 BURN_IN = 2
 DISCOUNT, STRENGTH = 0.75, 1.0              # of the context restaurants
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
 CHUNK_BYTES = 12 << 20     # text of the documents that are packed together
 SHARD_TOKENS = 4_000_000   # training tokens a shard is meant to hold
-MIN_SHARDS = 64
+MIN_SHARDS = 32
 GROUP = 128                # customers of a word come in groups of this part of those seated, one at least
 SEAT_ROWS = 100_000        # rows seated together
 
@@ -143,21 +144,34 @@ def _pairs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shards(h: np.ndarray, word: np.ndarray, ctx: np.ndarray, head: np.ndarray, shards: int) -> np.ndarray:
-    spread = mix64(h)[word]
-    often = np.isin(h, head)[word]
+    spread = mix64(h)[ctx]
+    often = np.isin(h, head)[ctx]
     with np.errstate(over="ignore"):
-        spread[often] = mix64(h[word[often]] + mix64(h[ctx[often]]))
+        spread[often] = mix64(h[ctx[often]] + mix64(h[word[often]]))
     return (spread % np.uint64(shards)).astype(np.int64)
 
 
 # ---- pair counts ------------------------------------------------------------
 
-SHARD_SCHEMA = ("shard int, codes array<struct<chunk:long,blob:binary>>, w array<long>, c array<long>, n array<long>, "
-                "one_h array<long>, one_w array<long>, one_c array<long>")
+BLOCK_SCHEMA = "shard int, state binary, h array<long>, by_w array<long>, by_c array<long>"
+SHARD_SCHEMA = BLOCK_SCHEMA + (", codes array<struct<chunk:long,blob:binary>>, "
+                               "one_h array<long>, one_w array<long>, one_c array<long>")
 
 
-def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
-    """Pairs (word w, context c, training count n) that occur more than once, one row per shard of pairs.
+def _block(shard: int, state: dict, h: np.ndarray) -> dict:
+    """Columns of a shard's pairs: their state, and the tables of each of its words and contexts ``h``."""
+    by = [np.bincount(state[x], weights=state["t"], minlength=len(h)).astype(np.int64) for x in ("w", "c")]
+    return dict(shard=shard, state=_pack(**state), h=pa.array(h.view(np.int64)), by_w=pa.array(by[0]), by_c=pa.array(by[1]))
+
+
+def _shard_table(columns: dict) -> pa.Table:
+    out = _row(**columns)
+    return pa.Table.from_batches([out.set_column(0, "shard", out.column(0).cast(pa.int32()))])
+
+
+def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> tuple[DataFrame, str]:
+    """Pairs that occur more than once, one row per shard (and the table's folder): their state, which is word w and
+    context c (positions in h), training count n, tables t (one each at first) and their total over sweeps.
 
     Beside them: how many pairs occur once, by word (one_w) and context (one_c), and for the pairs of each chunk
     a code each: 0 not in training, 1 once, 2 + position among the shard's pairs.
@@ -202,17 +216,20 @@ def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
         sums = np.bincount(w[once], minlength=len(words)), np.bincount(c[once], minlength=len(contexts))
         at = [np.flatnonzero(x) for x in sums]
         none = [np.zeros(len(x), np.int64) for x in at]
-        lists = dict(w=words[w[often]].view(np.int64), c=contexts[c[often]].view(np.int64), n=n[often],
-                     one_h=np.concatenate([words[at[0]], contexts[at[1]]]).view(np.int64),
-                     one_w=np.concatenate([sums[0][at[0]], none[1]]), one_c=np.concatenate([none[0], sums[1][at[1]]]))
+        ones = dict(one_h=np.concatenate([words[at[0]], contexts[at[1]]]).view(np.int64),
+                    one_w=np.concatenate([sums[0][at[0]], none[1]]), one_c=np.concatenate([none[0], sums[1][at[1]]]))
+        h, place = np.unique(np.concatenate([words[w[often]], contexts[c[often]]]), return_inverse=True)
+        place = place.astype(np.uint32)
+        state = dict(w=place[:len(often)], c=place[len(often):], n=n[often], t=np.ones(len(often), np.int64),
+                     total=np.zeros(len(often), np.int64))
         both = pa.StructArray.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(codes, pa.binary())],
                                           ["chunk", "blob"])
-        out = _row(shard=table["shard"][0].as_py(), codes=both, **{k: pa.array(v, pa.int64()) for k, v in lists.items()})
-        return pa.Table.from_batches([out.set_column(0, "shard", out.column(0).cast(pa.int32()))])
+        return _shard_table(_block(table["shard"][0].as_py(), state, h) | dict(
+            codes=both, **{k: pa.array(v, pa.int64()) for k, v in ones.items()}))
 
     with arrow_rows(chunks.sparkSession, 1):
         sent = chunks.select("chunk", "held", "tokens", "words").mapInArrow(split, "shard int, chunk long, blob binary")
-        return materialize(sent.groupBy("shard").applyInArrow(add_up, SHARD_SCHEMA), "lm-shards")
+        return _keep(sent.groupBy("shard").applyInArrow(add_up, SHARD_SCHEMA), "lm-shards")
 
 
 # ---- seating ----------------------------------------------------------------
@@ -288,11 +305,6 @@ class Sums:
         return (taken + self.base(sweep)) / (PARENT_STRENGTH + self.customers[sweep] - gone)
 
 
-def _pair_key(w: np.ndarray, c: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(mix64(w.view(np.uint64)) + c.view(np.uint64))
-
-
 def _reseat_parent(sums: Sums, sweep: int):
     """Column function (h, customers, tables before) -> tables of the words at the parent."""
     @F.pandas_udf("long")
@@ -307,22 +319,30 @@ def _reseat_parent(sums: Sums, sweep: int):
 
 
 def _reseat(sums: Sums, sweep: int):
-    """Column function of pairs -> their tables after ``sweep``, given all others after the sweep before."""
-    @F.pandas_udf("long")
-    def tables(w: pd.Series, c: pd.Series, n: pd.Series, t: pd.Series, customers: pd.Series, parent: pd.Series,
-               room: pd.Series) -> pd.Series:
-        own = t.to_numpy(np.float64)
-        p = sums.at_parent(customers.to_numpy(np.float64), parent.to_numpy(np.float64), sweep - 1, own)
-        new = (STRENGTH + DISCOUNT * (room.to_numpy(np.float64) - own)) * p
-        key = _pair_key(w.to_numpy(np.int64), c.to_numpy(np.int64))
-        return pd.Series(seat(n.to_numpy(np.int64), new, DISCOUNT, key, sweep, DISCOUNT * p).astype(np.int64))
-    return tables
+    """Group function (a shard's block, its words' and contexts' sums) -> its block after ``sweep``: every pair is
+    seated given all others after the sweep before."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        p = _unpack(left["state"][0].as_py())
+        h, customers, parent, room = (right[c].to_numpy() for c in ("h", "customers", "tables", "room"))
+        h = h.view(np.uint64)
+        order = np.argsort(h)
+        h, w, c = h[order], order[p["w"]], order[p["c"]]
+        own = p["t"].astype(np.float64)
+        word = sums.at_parent(customers[w], parent[w], sweep - 1, own)
+        new = (STRENGTH + DISCOUNT * (room[c] - own)) * word
+        with np.errstate(over="ignore"):
+            key = mix64(mix64(h)[p["w"]] + h[p["c"]])
+        p["t"] = seat(p["n"], new, DISCOUNT, key, sweep, DISCOUNT * word).astype(np.int64)
+        if sweep > BURN_IN:
+            p["total"] = p["total"] + p["t"]
+        return _shard_table(_block(left["shard"][0].as_py(), p, h))
+    return run
 
 
 def sample(shards: DataFrame, counts: DataFrame, sums: Sums) -> tuple[DataFrame, DataFrame]:
     """Run the sweeps; ``counts`` are (h, c), the words' training counts.
 
-    Returns the pairs (shard, k, n, total: their tables added up over the sweeps after burn-in) and the words
+    Returns the blocks of the shards, with their pairs' tables added up over the sweeps after burn-in, and the words
     (h, c, hist): customers and tables at the parent and tables as a context, after each of those sweeps.
     Words that occur once have no ``hist``: it is all ones.
     """
@@ -333,13 +353,11 @@ def sample(shards: DataFrame, counts: DataFrame, sums: Sums) -> tuple[DataFrame,
     words = counts.where("c > 1").join(once, "h", "left").select(
         "h", "c", *(F.coalesce(x, zero).alias(x) for x in ("one_w", "one_c")), zero.alias("tables"),
         F.array().cast("array<long>").alias("hist"))
-    pairs = shards.select("shard", F.posexplode(F.arrays_zip("w", "c", "n")).alias("k", "x")).select(
-        "shard", "k", "x.w", "x.c", "x.n", F.lit(1).cast("long").alias("t"), zero.alias("total"))
+    blocks = shards.select("shard", "state", "h", "by_w", "by_c")
     old: list[str] = []
     for sweep in range(SWEEPS + 1):
-        seats = (pairs.select(F.col("w").alias("h"), F.col("t").alias("by_w"), zero.alias("by_c"))
-                 .unionByName(pairs.select(F.col("c").alias("h"), zero.alias("by_w"), F.col("t").alias("by_c")))
-                 .groupBy("h").agg(F.sum("by_w").alias("by_w"), F.sum("by_c").alias("by_c")))
+        rows = blocks.select(F.col("shard").alias("place"), F.explode(F.arrays_zip("h", "by_w", "by_c")).alias("x"))
+        seats = rows.groupBy(F.col("x.h").alias("h")).agg(F.sum("x.by_w").alias("by_w"), F.sum("x.by_c").alias("by_c"))
         now = words.join(seats, "h", "left").select(
             "h", "c", "one_w", "one_c", "hist", F.col("tables").alias("before"),
             (F.col("one_w") + F.coalesce("by_w", zero)).alias("customers"),
@@ -353,19 +371,16 @@ def sample(shards: DataFrame, counts: DataFrame, sums: Sums) -> tuple[DataFrame,
         sums.customers.append((total["k"] or 0) + sums.once)
         sums.tables.append((total["t"] or 0) + sums.once)
         if sweep < SWEEPS:
-            after = (pairs.join(words.select(F.col("h").alias("w"), "customers", "tables"), "w")
-                     .join(words.select(F.col("h").alias("c"), "room"), "c"))
-            t = _reseat(sums, sweep + 1)("w", "c", "n", "t", "customers", "tables", "room")
-            after = after.select("shard", "k", "w", "c", "n", t.alias("t"), "total")
-            if sweep + 1 > BURN_IN:
-                after = after.withColumn("total", F.col("total") + F.col("t"))
+            told = rows.select("place", "x.h").join(words.select("h", "customers", "tables", "room"), "h")
             with arrow_rows(spark, SEAT_ROWS):
-                pairs, pair_path = _keep(after, "lm-pairs")
+                blocks, block_path = _keep(
+                    blocks.select("shard", "state").groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(
+                        _reseat(sums, sweep + 1), BLOCK_SCHEMA), "lm-blocks")
             for path in old:
                 delete(spark, path)
-            old = [word_path, pair_path]
+            old = [word_path, block_path]
             release_shuffles(spark)
-    return pairs.select("shard", "k", "n", "total"), words.select("h", "c", "hist").unionByName(
+    return blocks, words.select("h", "c", "hist").unionByName(
         counts.where("c = 1").select("h", "c", F.lit(None).cast("array<long>").alias("hist")))
 
 
@@ -379,20 +394,19 @@ def _keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 # ---- scores -----------------------------------------------------------------
 
 
-def seated_mass(pairs: DataFrame, shards: DataFrame) -> DataFrame:
+def seated_mass(blocks: DataFrame, shards: DataFrame) -> DataFrame:
     """(chunk, shard, blob): for the pairs that a chunk has in a shard, n - discount * tables, averaged."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        k, n, total = (left[c].to_numpy() for c in ("k", "n", "total"))
-        mass = np.zeros(2 + len(k))
-        mass[1] = 1 - DISCOUNT
-        mass[2 + k] = n - DISCOUNT * total / (SWEEPS - BURN_IN)
-        codes = [x for row in right["codes"].to_pylist() for x in row]
-        blobs = [_pack(mass=mass[_unpack(x["blob"])["code"]]) for x in codes]
-        shard = right["shard"][0].as_py() if codes else 0
-        return pa.table({"chunk": pa.array([x["chunk"] for x in codes], pa.int64()),
-                         "shard": pa.array([shard] * len(codes), pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    return pairs.groupBy("shard").cogroup(shards.select("shard", "codes").groupBy("shard")).applyInArrow(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, state, codes in zip(*(texts_of(batch, c) for c in ("shard", "state", "codes")), strict=True):
+                p = _unpack(state)
+                mass = np.concatenate([[0, 1 - DISCOUNT], p["n"] - DISCOUNT * p["total"] / (SWEEPS - BURN_IN)])
+                blobs = [_pack(mass=mass[_unpack(x["blob"])["code"]]) for x in codes]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["chunk"] for x in codes], pa.int64()), pa.array([shard] * len(codes), pa.int32()),
+                     pa.array(blobs, pa.binary())], ["chunk", "shard", "blob"])
+
+    return blocks.select("shard", "state").join(shards.select("shard", "codes"), "shard").mapInArrow(
         run, "chunk long, shard int, blob binary")
 
 
@@ -473,11 +487,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = materialize(chunk_tokens(rows), "lm-chunks")
     counts, sums, head = count_words(chunks)
     shard_count = max(MIN_SHARDS, ceil(sums.tokens / SHARD_TOKENS))
-    shards = count_pairs(chunks, head, shard_count)
+    shards, path = count_pairs(chunks, head, shard_count)
     release_shuffles(docs.sparkSession)
-    pairs, words = sample(shards, counts, sums)
-    with arrow_rows(docs.sparkSession, SEAT_ROWS):
-        masses = materialize(seated_mass(pairs, shards), "lm-masses")
+    blocks, words = sample(shards, counts, sums)
+    with arrow_rows(docs.sparkSession, 1):
+        masses = materialize(seated_mass(blocks, shards), "lm-masses")
+    delete(docs.sparkSession, path)
     release_shuffles(docs.sparkSession)
     return score_chunks(chunks, words, masses, head, shard_count, sums)
 
