@@ -17,11 +17,11 @@ How it is spread: documents stand in chunks of bounded size, as the word
 numbers of their tokens, and stay there. Each chunk sends its distinct pairs
 to shards, by a hash of the context (of the ``CONTEXTS`` most frequent words,
 by context and word), which add up their counts. A pair that occurs once
-always has one table, and a word that occurs once one customer at the parent,
-so only the other pairs and words take part in the sweeps. Per sweep, shards
-tell the tables of each of their words and contexts, one aggregate adds them
-up, and one join brings the sums back to the shards. In the end every chunk
-gets one record for each of its words and one number for each of its pairs.
+always has one table, so only the other pairs take part in the sweeps. Words
+stand in homes by a hash. Per sweep, shards tell each home the tables of its
+words, as words and as contexts; homes add them up, seat the parent's
+customers and answer. In the end every chunk asks the homes for its words'
+sums after each sweep, and the shards for one number for each of its pairs.
 All draws are hashes of word, context and sweep, so a lost task repeats them.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and one end. The
@@ -41,7 +41,6 @@ from dataclasses import dataclass, field
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -153,25 +152,13 @@ def _shards(h: np.ndarray, word: np.ndarray, ctx: np.ndarray, head: np.ndarray,
 
 # ---- pair counts ------------------------------------------------------------
 
-BLOCK_SCHEMA = "shard int, state binary, h array<long>, by_w array<long>, by_c array<long>"
-SHARD_SCHEMA = BLOCK_SCHEMA + (", codes array<struct<chunk:long,blob:binary>>, "
-                               "one_h array<long>, one_w array<long>, one_c array<long>")
-
-
-def _block(shard: int, state: dict, h: np.ndarray) -> dict:
-    """Columns of a shard's pairs: their state, and the tables of each of its words and contexts ``h``."""
-    by = [np.bincount(state[x], weights=state["t"], minlength=len(h)).astype(np.int64) for x in ("w", "c")]
-    return dict(shard=shard, state=_pack(**state), h=pa.array(h.view(np.int64)), by_w=pa.array(by[0]), by_c=pa.array(by[1]))
-
-
-def _shard_table(columns: dict) -> pa.Table:
-    out = _row(**columns)
-    return pa.Table.from_batches([out.set_column(0, "shard", out.column(0).cast(pa.int32()))])
+SHARD_SCHEMA = ("shard int, blob binary, codes array<struct<chunk:long,blob:binary>>, "
+                "one_h array<long>, one_w array<long>, one_c array<long>")
 
 
 def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> tuple[DataFrame, str]:
     """Pairs that occur more than once, one row per shard (and the table's folder): their state, which is word w and
-    context c (positions in h), training count n, tables t (one each at first) and their total over sweeps.
+    context c (positions in the hashes h), training count n, tables t (one each at first) and their total over sweeps.
 
     Beside them: how many pairs occur once, by word (one_w) and context (one_c), and for the pairs of each chunk
     a code each: 0 not in training, 1 once, 2 + position among the shard's pairs.
@@ -220,12 +207,13 @@ def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> tuple[DataF
                     one_w=np.concatenate([sums[0][at[0]], none[1]]), one_c=np.concatenate([none[0], sums[1][at[1]]]))
         h, place = np.unique(np.concatenate([words[w[often]], contexts[c[often]]]), return_inverse=True)
         place = place.astype(np.uint32)
-        state = dict(w=place[:len(often)], c=place[len(often):], n=n[often], t=np.ones(len(often), np.int64),
+        state = dict(h=h, w=place[:len(often)], c=place[len(often):], n=n[often], t=np.ones(len(often), np.int64),
                      total=np.zeros(len(often), np.int64))
         both = pa.StructArray.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(codes, pa.binary())],
                                           ["chunk", "blob"])
-        return _shard_table(_block(table["shard"][0].as_py(), state, h) | dict(
-            codes=both, **{k: pa.array(v, pa.int64()) for k, v in ones.items()}))
+        out = _row(shard=table["shard"][0].as_py(), blob=_pack(**state), codes=both,
+                   **{k: pa.array(v, pa.int64()) for k, v in ones.items()})
+        return pa.Table.from_batches([out.set_column(0, "shard", out.column(0).cast(pa.int32()))])
 
     with arrow_rows(chunks.sparkSession, 1):
         sent = chunks.select("chunk", "held", "tokens", "words").mapInArrow(split, "shard int, chunk long, blob binary")
@@ -291,7 +279,6 @@ class Sums:
 
     tokens: int                 # training tokens
     words: int                  # distinct training tokens
-    once: int                   # those that occur once
     customers: list[int] = field(default_factory=list)
     tables: list[int] = field(default_factory=list)
 
@@ -305,83 +292,127 @@ class Sums:
         return (taken + self.base(sweep)) / (PARENT_STRENGTH + self.customers[sweep] - gone)
 
 
-def _reseat_parent(sums: Sums, sweep: int):
-    """Column function (h, customers, tables before) -> tables of the words at the parent."""
-    @F.pandas_udf("long")
-    def tables(h: pd.Series, customers: pd.Series, before: pd.Series) -> pd.Series:
-        n, key = customers.to_numpy(np.int64), mix64(h.to_numpy(np.int64).view(np.uint64))
-        if not sweep:
-            return pd.Series(np.minimum(n, 1))
-        grow = PARENT_DISCOUNT / (sums.words + 1)
-        new = sums.base(sweep - 1) - grow * before.to_numpy(np.float64)
-        return pd.Series(seat(n, new, PARENT_DISCOUNT, key, sweep, grow).astype(np.int64))
-    return tables
+def _home(h: np.ndarray, homes: int) -> np.ndarray:
+    return h.view(np.int64) % homes
+
+
+def _rows(key: str, own: int, blob: bytes, others: str, messages: list[tuple[int, bytes]], **more: int) -> pa.Table:
+    """The row of a shard or home itself, and its messages to others."""
+    n = len(messages)
+    return pa.table({key: pa.array([own] * (n + 1), pa.int32()), others: pa.array([None, *(m[0] for m in messages)], pa.int32()),
+                     "blob": pa.array([blob, *(m[1] for m in messages)], pa.binary()),
+                     **{k: pa.array([v] + [None] * n, pa.int64()) for k, v in more.items()}})
+
 
+def _messages(p: dict, homes: int) -> list[tuple[int, bytes]]:
+    """To each home: the tables that its words have in this shard, as words and as contexts."""
+    by_w, by_c = (np.bincount(p[x], weights=p["t"], minlength=len(p["h"])).astype(np.int64) for x in ("w", "c"))
+    home = _home(p["h"], homes)
+    return [(int(x), _pack(h=p["h"][at], by_w=by_w[at], by_c=by_c[at]))
+            for x in np.unique(home) for at in [np.flatnonzero(home == x)]]
 
-def _reseat(sums: Sums, sweep: int):
-    """Group function (a shard's block, its words' and contexts' sums) -> its block after ``sweep``: every pair is
-    seated given all others after the sweep before."""
+
+def _first_home(table: pa.Table) -> pa.Table:
+    h, c, one_w, one_c = (table[x].to_numpy() for x in ("h", "c", "one_w", "one_c"))
+    order = np.argsort(h.view(np.uint64))
+    blob = _pack(h=h.view(np.uint64)[order], c=c[order], one_w=one_w[order], one_c=one_c[order],
+                 tables=np.zeros(len(h), np.int64), hist=[])
+    return pa.table({"home": table["home"][:1].cast(pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+
+def _at_home(sums: Sums, sweep: int):
+    """Group function (a home's words, the shards' messages) -> its words after ``sweep``, and answers to the shards."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        p = _unpack(left["state"][0].as_py())
-        h, customers, parent, room = (right[c].to_numpy() for c in ("h", "customers", "tables", "room"))
-        h = h.view(np.uint64)
-        order = np.argsort(h)
-        h, w, c = h[order], order[p["w"]], order[p["c"]]
+        p = _unpack(left["blob"][0].as_py())
+        customers, room = p["one_w"].copy(), p["one_c"].copy()
+        asked = []
+        for shard, blob in sorted(zip(right["shard"].to_pylist(), right["blob"].to_pylist(), strict=True)):
+            m = _unpack(blob)
+            at = np.searchsorted(p["h"], m["h"])
+            customers[at] += m["by_w"]
+            room[at] += m["by_c"]
+            asked.append((shard, at))
+        if sweep:
+            grow = PARENT_DISCOUNT / (sums.words + 1)
+            tables = seat(customers, sums.base(sweep - 1) - grow * p["tables"], PARENT_DISCOUNT, mix64(p["h"]), sweep, grow)
+        else:
+            tables = np.minimum(customers, 1)
+        p["tables"] = tables = tables.astype(np.int64)
+        if sweep > BURN_IN:
+            p["hist"].append(_narrow(np.stack([customers, tables, room])))
+        answers = [(shard, _pack(customers=customers[at], tables=tables[at], room=room[at])) for shard, at in asked]
+        return _rows("home", left["home"][0].as_py(), _pack(**p), "shard", answers, customers=customers.sum(), tables=tables.sum())
+    return run
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _reseat(sums: Sums, sweep: int, homes: int):
+    """Group function (a shard's pairs, the homes' answers) -> its pairs after ``sweep``, each seated given all others
+    after the sweep before, and messages to the homes."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        p = _unpack(left["blob"][0].as_py())
+        home, told = _home(p["h"], homes), {x: np.zeros(len(p["h"])) for x in ("customers", "tables", "room")}
+        for x, blob in zip(right["home"].to_pylist(), right["blob"].to_pylist(), strict=True):
+            at = np.flatnonzero(home == x)
+            for name, values in _unpack(blob).items():
+                told[name][at] = values
         own = p["t"].astype(np.float64)
-        word = sums.at_parent(customers[w], parent[w], sweep - 1, own)
-        new = (STRENGTH + DISCOUNT * (room[c] - own)) * word
+        word = sums.at_parent(told["customers"][p["w"]], told["tables"][p["w"]], sweep - 1, own)
+        new = (STRENGTH + DISCOUNT * (told["room"][p["c"]] - own)) * word
         with np.errstate(over="ignore"):
-            key = mix64(mix64(h)[p["w"]] + h[p["c"]])
+            key = mix64(mix64(p["h"])[p["w"]] + p["h"][p["c"]])
         p["t"] = seat(p["n"], new, DISCOUNT, key, sweep, DISCOUNT * word).astype(np.int64)
         if sweep > BURN_IN:
             p["total"] = p["total"] + p["t"]
-        return _shard_table(_block(left["shard"][0].as_py(), p, h))
+        return _rows("shard", left["shard"][0].as_py(), _pack(**p), "home", _messages(p, homes))
     return run
 
 
-def sample(shards: DataFrame, counts: DataFrame, sums: Sums) -> tuple[DataFrame, DataFrame]:
+def sample(shards: DataFrame, counts: DataFrame, sums: Sums, homes: int) -> tuple[DataFrame, DataFrame]:
     """Run the sweeps; ``counts`` are (h, c), the words' training counts.
 
-    Returns the blocks of the shards, with their pairs' tables added up over the sweeps after burn-in, and the words
-    (h, c, hist): customers and tables at the parent and tables as a context, after each of those sweeps.
-    Words that occur once have no ``hist``: it is all ones.
+    Returns the shards' pairs (shard, blob), with their tables added up over the sweeps after burn-in, and the homes
+    of the words (home, blob): hash, training count, and hist, which is customers and tables at the parent and tables
+    as a context after each of those sweeps.
     """
     spark = shards.sparkSession
     once = (shards.select(F.explode(F.arrays_zip("one_h", "one_w", "one_c")).alias("x"))
             .groupBy(F.col("x.one_h").alias("h")).agg(F.sum("x.one_w").alias("one_w"), F.sum("x.one_c").alias("one_c")))
-    zero = F.lit(0).cast("long")
-    words = counts.where("c > 1").join(once, "h", "left").select(
-        "h", "c", *(F.coalesce(x, zero).alias(x) for x in ("one_w", "one_c")), zero.alias("tables"),
-        F.array().cast("array<long>").alias("hist"))
-    blocks = shards.select("shard", "state", "h", "by_w", "by_c")
+    words = counts.join(once, "h", "left").select(
+        F.pmod("h", F.lit(homes)).cast("int").alias("home"), "h", "c",
+        *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("one_w", "one_c")))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, blob in zip(texts_of(batch, "shard"), texts_of(batch, "blob"), strict=True):
+                yield from _rows("shard", shard, blob, "home", _messages(_unpack(blob), homes)).to_batches()
+
+    kinds = "shard int, home int, blob binary", "home int, shard int, blob binary, customers long, tables long"
+    with arrow_rows(spark, 1):
+        told, told_path = _keep(shards.select("shard", "blob").mapInArrow(tell, kinds[0]), "lm-pairs")
     old: list[str] = []
-    for sweep in range(SWEEPS + 1):
-        rows = blocks.select(F.col("shard").alias("place"), F.explode(F.arrays_zip("h", "by_w", "by_c")).alias("x"))
-        seats = rows.groupBy(F.col("x.h").alias("h")).agg(F.sum("x.by_w").alias("by_w"), F.sum("x.by_c").alias("by_c"))
-        now = words.join(seats, "h", "left").select(
-            "h", "c", "one_w", "one_c", "hist", F.col("tables").alias("before"),
-            (F.col("one_w") + F.coalesce("by_w", zero)).alias("customers"),
-            (F.col("one_c") + F.coalesce("by_c", zero)).alias("room"))
-        now = now.withColumn("tables", _reseat_parent(sums, sweep)("h", "customers", "before")).drop("before")
-        if sweep > BURN_IN:
-            now = now.withColumn("hist", F.concat("hist", F.array("customers", "tables", "room")))
-        with arrow_rows(spark, SEAT_ROWS):
-            words, word_path = _keep(now, "lm-words")
-        total = words.agg(F.sum("customers").alias("k"), F.sum("tables").alias("t")).first()
-        sums.customers.append((total["k"] or 0) + sums.once)
-        sums.tables.append((total["t"] or 0) + sums.once)
-        if sweep < SWEEPS:
-            told = rows.select("place", "x.h").join(words.select("h", "customers", "tables", "room"), "h")
-            with arrow_rows(spark, SEAT_ROWS):
-                blocks, block_path = _keep(
-                    blocks.select("shard", "state").groupBy("shard").cogroup(told.groupBy("place")).applyInArrow(
-                        _reseat(sums, sweep + 1), BLOCK_SCHEMA), "lm-blocks")
-            for path in old:
-                delete(spark, path)
-            old = [word_path, block_path]
+    with arrow_rows(spark, SEAT_ROWS):
+        home = words.groupBy("home").applyInArrow(_first_home, "home int, blob binary")
+        for sweep in range(SWEEPS + 1):
+            sent = told.where("home IS NOT NULL").groupBy("home")
+            answers, path = _keep(home.groupBy("home").cogroup(sent).applyInArrow(_at_home(sums, sweep), kinds[1]), "lm-homes")
+            total = answers.agg(F.sum("customers").alias("k"), F.sum("tables").alias("t")).first()
+            sums.customers.append(total["k"] or 0)
+            sums.tables.append(total["t"] or 0)
+            home = answers.where("shard IS NULL").select("home", "blob")
+            for x in old:
+                delete(spark, x)
+            old = [path]
+            if sweep < SWEEPS:
+                pairs = told.where("home IS NULL").select("shard", "blob").groupBy("shard")
+                back = answers.where("shard IS NOT NULL").select("shard", "home", "blob").groupBy("shard")
+                old.append(told_path)
+                told, told_path = _keep(pairs.cogroup(back).applyInArrow(_reseat(sums, sweep + 1, homes), kinds[0]), "lm-pairs")
             release_shuffles(spark)
-    return blocks, words.select("h", "c", "hist").unionByName(
-        counts.where("c = 1").select("h", "c", F.lit(None).cast("array<long>").alias("hist")))
+    return told.where("home IS NULL").select("shard", "blob"), home
 
 
 def _keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -394,11 +425,11 @@ def _keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 # ---- scores -----------------------------------------------------------------
 
 
-def seated_mass(blocks: DataFrame, shards: DataFrame) -> DataFrame:
+def seated_mass(pairs: DataFrame, shards: DataFrame) -> DataFrame:
     """(chunk, shard, blob): for the pairs that a chunk has in a shard, n - discount * tables, averaged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, state, codes in zip(*(texts_of(batch, c) for c in ("shard", "state", "codes")), strict=True):
+            for shard, state, codes in zip(*(texts_of(batch, c) for c in ("shard", "blob", "codes")), strict=True):
                 p = _unpack(state)
                 mass = np.concatenate([[0, 1 - DISCOUNT], p["n"] - DISCOUNT * p["total"] / (SWEEPS - BURN_IN)])
                 blobs = [_pack(mass=mass[_unpack(x["blob"])["code"]]) for x in codes]
@@ -406,7 +437,7 @@ def seated_mass(blocks: DataFrame, shards: DataFrame) -> DataFrame:
                     [pa.array([x["chunk"] for x in codes], pa.int64()), pa.array([shard] * len(codes), pa.int32()),
                      pa.array(blobs, pa.binary())], ["chunk", "shard", "blob"])
 
-    return blocks.select("shard", "state").join(shards.select("shard", "codes"), "shard").mapInArrow(
+    return pairs.join(shards.select("shard", "codes"), "shard").mapInArrow(
         run, "chunk long, shard int, blob binary")
 
 
@@ -423,36 +454,65 @@ def predictive(word: np.ndarray, ctx: np.ndarray, mass: np.ndarray, counts: np.n
     return (mass + total / len(hist)) / (STRENGTH + counts)[ctx]
 
 
-def histories(counts: np.ndarray, hist: pa.Array) -> np.ndarray:
-    """(sweep, 3, word) from the words' ``hist`` lists; all ones for a word without one, zeros if it is not known."""
-    kept = SWEEPS - BURN_IN
-    out = np.repeat((counts > 0).astype(np.float64)[:, None], 3 * kept, axis=1)
-    own = hist.is_valid().to_numpy(zero_copy_only=False)
-    out[own] = hist.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3 * kept)
-    return np.ascontiguousarray(out.T).reshape(kept, 3, -1)
+def ask_homes(chunks: DataFrame, home: DataFrame, homes: int) -> DataFrame:
+    """(chunk, home, told): training counts and histories of a chunk's words, in their order among those of the home."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                h = batch.column(1)[row].values.to_numpy().view(np.uint64)
+                at = _home(h, homes)
+                found = np.unique(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.int32()), pa.array([batch.column(0)[row].as_py()] * len(found), pa.int64()),
+                     pa.array([_pack(h=h[at == x]) for x in found], pa.binary())], ["home", "chunk", "asked"])
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        kept = SWEEPS - BURN_IN
+        p = _unpack(left["blob"][0].as_py()) if len(left) else {
+            "h": np.empty(0, np.uint64), "c": np.empty(0, np.int64), "hist": [np.empty((3, 0), np.int64)] * kept}
+        n = len(p["h"])
+        c, hist = np.append(p["c"], 0), [np.append(x, np.zeros((3, 1), x.dtype), axis=1) for x in p["hist"]]
+        out = []
+        for blob in right["asked"].to_pylist():
+            h = _unpack(blob)["h"]
+            at = np.searchsorted(p["h"], h)
+            at[at == n] = 0
+            at = np.where(p["h"][at] == h, at, n) if n else np.zeros(len(h), np.int64)  # the last stands for unknown words
+            out.append(_pack(c=c[at], hist=[_narrow(x[:, at]) for x in hist]))
+        return pa.table({"chunk": right["chunk"], "home": right["home"], "told": pa.array(out, pa.binary())})
+
+    with arrow_rows(chunks.sparkSession, 1):
+        asked = chunks.select("chunk", "words").mapInArrow(ask, "home int, chunk long, asked binary")
+        return materialize(home.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(
+            tell, "chunk long, home int, told binary"), "lm-told")
 
 
-def score_chunks(chunks: DataFrame, words: DataFrame, masses: DataFrame, head: np.ndarray, shards: int,
+def score_chunks(chunks: DataFrame, told: DataFrame, masses: DataFrame, head: np.ndarray, shards: int,
                  sums: Sums) -> DataFrame:
-    """The scores of every document, from its chunk, the chunk's word records and its pairs' masses."""
+    """The scores of every document, from its chunk, what the homes told of its words, and its pairs' masses."""
     shared = chunks.sparkSession.sparkContext.broadcast(head)
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = left.filter(left["tokens"].is_valid())
-        ids, held = (own[c].combine_chunks().flatten() for c in ("ids", "held"))
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(table["tokens"].is_valid())
+        ids, held, h = (own[c].combine_chunks().flatten() for c in ("ids", "held", "words"))
+        h = h.to_numpy().view(np.uint64)
         p = _unpack(own["tokens"][0].as_py())
-        right = right.sort_by("i").combine_chunks()
-        h = right["h"].to_numpy().view(np.uint64)
-        counts = right["c"].to_numpy()
-        hist = right["hist"].combine_chunks()
+        counts, hist = np.zeros(len(h), np.int64), np.zeros((SWEEPS - BURN_IN, 3, len(h)))
+        home = _home(h, shards)
+        rows = table.filter(table["told"].is_valid())
+        for x, blob in zip(rows["home"].to_pylist(), rows["told"].to_pylist(), strict=True):
+            at, m = np.flatnonzero(home == x), _unpack(blob)
+            counts[at] = m["c"]
+            for i, y in enumerate(m["hist"]):
+                hist[i][:, at] = y
         word, ctx, index = _pairs(p["word"])
-        rows = left.filter(left["blob"].is_valid())
+        rows = table.filter(table["blob"].is_valid())
         blobs = sorted(zip(rows["shard"].to_pylist(), rows["blob"].to_pylist(), strict=True))
         mass = np.empty(len(word))
         mass[np.argsort(_shards(h, word, ctx, shared.value, shards), kind="stable")] = np.concatenate(
             [_unpack(b)["mass"] for _, b in blobs])
-        value = np.log10(predictive(word, ctx, mass, counts, histories(counts, hist), sums))
+        value = np.log10(predictive(word, ctx, mass, counts, hist, sums))
         base = np.log10((counts + 0.5) / (sums.tokens + 0.5 * (sums.words + 1)))
         starts = np.cumsum(p["lengths"]) - p["lengths"]
         n = len(starts)
@@ -462,10 +522,9 @@ def score_chunks(chunks: DataFrame, words: DataFrame, masses: DataFrame, head: n
                          "base_score": pa.array(np.add.reduceat(base[p["word"]], starts)),
                          "score": pa.array(np.add.reduceat(value[index], starts))})
 
-    records = (chunks.select(F.col("chunk").alias("place"), F.posexplode("words").alias("i", "h")).join(words, "h", "left")
-               .select("place", "i", "h", F.coalesce("c", F.lit(0)).alias("c"), "hist"))
-    left = chunks.select("chunk", "ids", "held", "tokens").unionByName(masses, allowMissingColumns=True)
-    return left.groupBy("chunk").cogroup(records.groupBy("place")).applyInArrow(
+    rows = (chunks.select("chunk", "ids", "held", "tokens", "words").unionByName(masses, allowMissingColumns=True)
+            .unionByName(told, allowMissingColumns=True))
+    return rows.groupBy("chunk").applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
              "score double")
 
@@ -475,9 +534,9 @@ def count_words(chunks: DataFrame) -> tuple[DataFrame, Sums, np.ndarray]:
     counts = materialize(
         chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where("x.counts > 0")
         .groupBy(F.col("x.words").alias("h")).agg(F.sum("x.counts").alias("c")), "lm-counts")
-    size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = [r["h"] & 0xFFFFFFFFFFFFFFFF for r in counts.orderBy(F.col("c").desc(), "h").limit(CONTEXTS).collect()]
-    return counts, Sums(size["n"] or 0, size["v"], size["once"]), np.sort(np.array(head, np.uint64))
+    return counts, Sums(size["n"] or 0, size["v"]), np.sort(np.array(head, np.uint64))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", test_fold: int = 1) -> DataFrame:
@@ -489,12 +548,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shard_count = max(MIN_SHARDS, ceil(sums.tokens / SHARD_TOKENS))
     shards, path = count_pairs(chunks, head, shard_count)
     release_shuffles(docs.sparkSession)
-    blocks, words = sample(shards, counts, sums)
+    pairs, home = sample(shards, counts, sums, shard_count)
     with arrow_rows(docs.sparkSession, 1):
-        masses = materialize(seated_mass(blocks, shards), "lm-masses")
+        masses = materialize(seated_mass(pairs, shards), "lm-masses")
     delete(docs.sparkSession, path)
+    told = ask_homes(chunks, home, shard_count)
     release_shuffles(docs.sparkSession)
-    return score_chunks(chunks, words, masses, head, shard_count, sums)
+    return score_chunks(chunks, told, masses, head, shard_count, sums)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

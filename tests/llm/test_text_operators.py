@@ -417,13 +417,13 @@ def test_lm_probabilities_sum_to_one(spark):
     chunks = docs.sparkSession.createDataFrame(lm_score.chunk_tokens(docs).collect(), lm_score.chunk_tokens(docs).schema)
     counts, sums, head = lm_score.count_words(chunks)
     shards, _ = lm_score.count_pairs(chunks, head, 8)
-    blocks, words = lm_score.sample(shards, counts, sums)
-    records = words.orderBy("h").toPandas()
-    c = np.append(records["c"].to_numpy(), 0)                      # the last stands for an unknown word
-    hist = lm_score.histories(c, pa.array([None if x is None else list(x) for x in records["hist"]] + [None],
-                                          pa.list_(pa.int64())))
-    place = {h: i for i, h in enumerate(records["h"])}
-    key = {w: place[np.uint64(lm_score.xxhash.xxh3_64_intdigest((w or "").encode())).view(np.int64)]
+    blocks, homes = lm_score.sample(shards, counts, sums, 4)
+    found = [lm_score._unpack(r["blob"]) for r in homes.collect()]
+    c = np.append(np.concatenate([p["c"] for p in found]), 0)      # the last stands for an unknown word
+    hist = np.array([np.append(np.concatenate([p["hist"][i] for p in found], axis=1), np.zeros((3, 1)), axis=1)
+                     for i in range(lm_score.SWEEPS - lm_score.BURN_IN)])
+    place = {h: i for i, h in enumerate(np.concatenate([p["h"] for p in found]).tolist())}
+    key = {w: place[lm_score.xxhash.xxh3_64_intdigest((w or "").encode())]
            for w in [None, *{w for _, t in rows for w in t.split()}] if w is None or any(
                w in t.split() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)}
     n = collections.Counter()
@@ -436,10 +436,10 @@ def test_lm_probabilities_sum_to_one(spark):
         mass[w, ctx] = 1 - lm_score.DISCOUNT if times == 1 else 0
     seated = 0
     for r in blocks.collect():
-        p = lm_score._unpack(r["state"])
+        p = lm_score._unpack(r["blob"])
         seated += len(p["n"])
         for w, c_, times, tables in zip(p["w"], p["c"], p["n"], p["total"], strict=True):
-            w, ctx = place[r["h"][w]], place[r["h"][c_]]
+            w, ctx = place[int(p["h"][w])], place[int(p["h"][c_])]
             assert times == n[w, ctx]
             mass[w, ctx] = times - lm_score.DISCOUNT * tables / (lm_score.SWEEPS - lm_score.BURN_IN)
     assert seated == sum(x > 1 for x in n.values())
@@ -550,7 +550,7 @@ def test_lm_scores_do_not_depend_on_chunks_or_shards(spark, monkeypatch):
     chunks, shards = seen[1]
     sent = shards.selectExpr("explode(codes) AS x").groupBy("x.chunk").count()
     assert sent.count() == chunks.count()
-    assert sum(len(lm_score._unpack(r["state"])["n"]) for r in shards.collect()) <= 3 + 2 * 90   # distinct pairs
+    assert sum(len(lm_score._unpack(r["blob"])["n"]) for r in shards.collect()) <= 3 + 2 * 90   # distinct pairs
 
 
 def test_seating_follows_the_restaurant():
