@@ -56,7 +56,7 @@ SWEEPS = 12
 BURN_IN = 2
 DISCOUNT, STRENGTH = 0.75, 1.0              # of the context restaurants
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.5, 1.0
-CHUNK_BYTES = 12 << 20     # text of the documents that are packed together
+CHUNK_BYTES = 6 << 20      # text of the documents that are packed together
 SHARD_TOKENS = 4_000_000   # training tokens a shard is meant to hold
 MIN_SHARDS = 32
 GROUP = 128                # customers of a word come in groups of this part of those seated, one at least
