@@ -10,9 +10,11 @@ copies is cut into chunks that are expanded by different tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellsight.functions.columns import surrogate_key, weekday_name
@@ -21,6 +23,11 @@ from cellsight.session import materialize
 # Rows of one group of equal facts expanded by a single task.
 FACT_CHUNK_ROWS = 1_000_000
 
+# Usage rows that travel together, and shuffled bytes that one task counts: their table of counts is several
+# times as large in memory, and must fit there.
+_BLOCK_BITS = 10
+COUNT_BYTES = 16 << 20
+
 _MAX_LONG = float(1 << 63)
 
 # Columns that define a fact row's content, before keys are computed.
@@ -67,10 +74,29 @@ def prepare_usage(cleaned: DataFrame) -> DataFrame:
 def usage_counts(usage: DataFrame) -> DataFrame:
     """The star's base: one row per distinct fact content with its row count ``n``.
 
-    Combined map-side, so a group of a billion equal rows leaves each map
-    task as one row. All three star tables derive from this table.
+    Combined before the shuffle, so a group of a billion equal rows leaves each
+    task as one row. A task of the scan may hold more different rows than fit
+    its memory, and would spill them; so blocks of rows are first dealt out
+    evenly, whatever they hold. All three star tables derive from this table.
     """
-    return usage.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
+    block = F.shiftright(F.monotonically_increasing_id(), _BLOCK_BITS)
+    dealt = usage.withColumn("_block", block).repartition("_block").drop("_block")
+    return dealt.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
+
+
+@contextmanager
+def small_counts(spark: SparkSession) -> Iterator[None]:
+    """Tasks of about ``COUNT_BYTES`` at most while :func:`usage_counts` is written."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(COUNT_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def time_key():
@@ -123,14 +149,17 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS, with_date: bo
     :func:`resolve_key_collisions` when the star is loaded.
 
     Each count expands into its rows; a count above ``chunk_rows`` is cut into
-    chunks expanded by separate tasks. ``with_date`` keeps the day, which
+    chunks expanded by separate tasks. Counts are sorted before they expand, so
+    the rows of every task come in order of (region_id, time_id) and nobody
+    has to sort them. ``with_date`` keeps the day, which
     ``time_id`` implies, as a column: rows of a day depend on that day alone.
     """
     day = ["date"] if with_date else []
     keyed = base.select(*day, time_key().alias("time_id"), region_key().alias("region_id"), "call_count",
                         "sms_count", "internet_mb", _internet_text().alias("_inet"),
                         "n")
-    group = [*day, "time_id", "region_id", "call_count", "sms_count", "_inet"]
+    # The window sorts by these columns: its counts stay in that order.
+    group = [*day, "region_id", "time_id", "call_count", "sms_count", "_inet"]
     before = Window.partitionBy(*group).orderBy("internet_mb").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.withColumn("_off", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
@@ -143,7 +172,7 @@ def fact_usage(base: DataFrame, chunk_rows: int = FACT_CHUNK_ROWS, with_date: bo
     chunks = (counts.where(F.col("n") > chunk_rows)
               .select(*cols, "_off", "n",
                       F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk_rows))).alias("_k"))
-              .repartition(spread, *cols, "_k"))
+              .repartition(spread, *cols, "_k").sortWithinPartitions("region_id", "time_id"))
     first = F.col("_off") + F.col("_k") * chunk_rows + 1
     last = F.col("_off") + F.least(F.col("n"), (F.col("_k") + 1) * chunk_rows)
     large = chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_ord"))
@@ -188,7 +217,8 @@ def build_star(cleaned: DataFrame, with_usage_id: bool = True, reliable_base: bo
     usage = prepare_usage(cleaned)
     base = usage_counts(usage)
     if reliable_base:
-        base = materialize(base, "star-base")
+        with small_counts(cleaned.sparkSession):
+            base = materialize(base, "star-base")
     fact = fact_usage(base) if with_usage_id else fact_measures(usage)
     return Star(dim_time(base), dim_region(base), fact, hourly_usage(base))
 

@@ -69,12 +69,18 @@ def events_mapping(spark, d, mapped_nations=None):
                                                table(spark, d, "region"), mapped_nations)
 
 
+def _stored_mapping(mapping):
+    """The lookup written and read back: Spark then knows its size, which it cannot tell from the joins that make
+    it, and sends a small one to the usage rows instead of shuffling them all."""
+    return materialize(mapping, "region-mapping")
+
+
 def events_cleaned(spark, d):
     return cleaning.clean_raw(events_raw(spark, d))
 
 
 def events_enriched(spark, d, mapped_nations=None):
-    return enrich.enrich_region(events_cleaned(spark, d), events_mapping(spark, d, mapped_nations))
+    return enrich.enrich_region(events_cleaned(spark, d), _stored_mapping(events_mapping(spark, d, mapped_nations)))
 
 
 _STORED_STARS: dict[tuple, str] = {}
@@ -117,10 +123,9 @@ def flat_clean(spark, d):
 
 
 def lineitem_cleaned(spark, d):
-    return enrich.enrich_region(
-        adapters.usage_from_lineitem(table(spark, d, "lineitem")),
-        adapters.region_mapping_from_suppliers(table(spark, d, "supplier"), table(spark, d, "nation"),
-                                               table(spark, d, "region")))
+    mapping = adapters.region_mapping_from_suppliers(table(spark, d, "supplier"), table(spark, d, "nation"),
+                                                     table(spark, d, "region"))
+    return enrich.enrich_region(adapters.usage_from_lineitem(table(spark, d, "lineitem")), _stored_mapping(mapping))
 
 
 def _csv_round_trip(spark, df, name):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cellsight.operators._util import require_nonempty
 from cellsight.operators.star import (Star, assert_star_valid, dim_time, fact_usage, hourly_usage, prepare_usage,
-                                      region_key, resolve_key_collisions, usage_counts)
+                                      region_key, resolve_key_collisions, small_counts, usage_counts)
 from cellsight.session import materialize
 from cellsight.sinks import snapshots, write_days
 from cellsight.sources.files import STAR_TABLES, read_cleaned, read_days, star_version
@@ -36,7 +36,8 @@ def _build(spark: SparkSession, cleaned: DataFrame, star_dir: str, old: dict, da
     """Write the given days (all, if None) into a load of their own; returns the version they make with the
     other days of ``old``."""
     changed = cleaned if days is None else cleaned.where(F.col("event_date").cast("string").isin(sorted(days)))
-    base = materialize(usage_counts(prepare_usage(changed)), "star-base")
+    with small_counts(spark):
+        base = materialize(usage_counts(prepare_usage(changed)), "star-base")
     fact = materialize(fact_usage(base, with_date=True), "star-fact")
     kept = {d: x for d, x in old["days"].items() if days is not None and d not in days}
     if kept:

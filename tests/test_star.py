@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellsight.operators import features, reports, star
-from cellsight.plans import warehouse
-from cellsight.sinks import snapshots, write_cleaned
+from cellsight.plans import catalog, warehouse
+from cellsight.sinks import snapshots, write_cleaned, write_star
 from cellsight.sources.files import read_star
 
 CLEANED = ("grid_id string, call_count double, sms_count double, internet_usage double, "
@@ -232,3 +232,43 @@ def test_reports_read_the_rollup_and_equal_those_from_the_fact_table(spark, tmp_
         got, want = report(stored), report(plain)
         assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
         assert not any("fact_usage" in f for f in got.inputFiles())
+
+
+def test_facts_come_in_order_and_are_written_unsorted(spark, tmp_dir):
+    # Sorting the expanded rows spilled most of a large fact table; the counts are sorted instead.
+    rows = [(f"g{i % 7}", float(i % 5), 1.0, float(i % 11), f"2013-11-0{1 + i % 3} {i % 24:02d}:00:00", f"R{i % 4}", "X")
+            for i in range(600)]
+    base = star.usage_counts(star.prepare_usage(cleaned(spark, rows)))
+    for chunk in (1, 1_000_000):
+        fact = star.fact_usage(base, chunk_rows=chunk).withColumn("task", F.spark_partition_id())
+        last = {}
+        for r in fact.collect():
+            key = (r["region_id"], r["time_id"])
+            assert last.get(r["task"], key) <= key
+            last[r["task"]] = key
+    write_star(star.build_star(cleaned(spark, rows), reliable_base=True), tmp_dir)
+    assert read_star(spark, tmp_dir).fact.count() == 600
+
+
+def test_rows_are_dealt_out_before_they_are_counted(spark):
+    # One scan task with many different rows: its counts are made by several tasks.
+    usage = (spark.range(0, 20_000, 1, 1).select(F.lit("2013-11-01").cast("date").alias("date"), F.lit(1).alias("hour"),
+             F.lit("A").alias("region_name"), F.lit("X").alias("city"), F.col("id").alias("call_count"),
+             F.lit(1).cast("bigint").alias("sms_count"), F.lit(1.0).alias("internet_mb")))
+    twice = usage.unionByName(usage)
+    plan = star.usage_counts(twice)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count") == 1 and plan.find("partial_count") < plan.find("REPARTITION_BY_COL")
+    got = star.usage_counts(twice)
+    assert (got.count(), got.agg(F.sum("n")).first()[0], got.where("n != 2").count()) == (20_000, 40_000, 0)
+
+
+def test_stored_lookup_is_broadcast(spark, tmp_dir):
+    # A lookup joined from several tables had no known size, and all usage rows were shuffled to meet it.
+    spark.range(50).selectExpr("id l_orderkey", "id % 5 l_suppkey", "1 l_linenumber", "1D l_quantity", "2D l_extendedprice",
+                               "timestamp_ntz'2013-11-01 00:00:00' l_shipdate").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    spark.range(5).selectExpr("id s_suppkey", "1 s_nationkey").write.parquet(f"{tmp_dir}/supplier.parquet")
+    spark.sql("SELECT 1 n_nationkey, 'N' n_name, 2 n_regionkey").write.parquet(f"{tmp_dir}/nation.parquet")
+    spark.sql("SELECT 2 r_regionkey, 'R' r_name").write.parquet(f"{tmp_dir}/region.parquet")
+    found = catalog.lineitem_cleaned(spark, tmp_dir)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in found.select("region_name", "city").collect()} == {("N", "R")} and found.count() == 50
