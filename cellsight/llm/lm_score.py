@@ -21,7 +21,8 @@ always has one table, so only the other pairs take part in the sweeps. Words
 stand in homes by a hash. Per sweep, shards tell each home the tables of its
 words, as words and as contexts; homes add them up, seat the parent's
 customers and answer. In the end every chunk asks the homes for its words'
-sums after each sweep, and the shards for one number for each of its pairs.
+sums after each sweep, and the shards for one number for each of its pairs;
+chunks do so in rounds, as these answers are larger than all that is kept.
 All draws are hashes of word, context and sweep, so a lost task repeats them.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, and one end. The
@@ -38,6 +39,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -61,6 +63,7 @@ SHARD_TOKENS = 4_000_000   # training tokens a shard is meant to hold
 MIN_SHARDS = 32
 GROUP = 128                # customers of a word come in groups of this part of those seated, one at least
 SEAT_ROWS = 100_000        # rows seated together
+ROUNDS = 4                 # parts of the chunks that are scored one after the other
 
 
 def _pack(**arrays) -> bytes:
@@ -425,11 +428,19 @@ def _keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 # ---- scores -----------------------------------------------------------------
 
 
-def seated_mass(pairs: DataFrame, shards: DataFrame) -> DataFrame:
-    """(chunk, shard, blob): for the pairs that a chunk has in a shard, n - discount * tables, averaged."""
+def _round(chunk, rounds: int):
+    """The round of a chunk, from the two halves of its number."""
+    return ((chunk >> 32) + chunk) % rounds
+
+
+def seated_mass(pairs: DataFrame, shards: DataFrame, rounds: int = 1, own: int = 0) -> DataFrame:
+    """(chunk, shard, blob): for the pairs that a chunk of this round has in a shard, n - discount * tables, averaged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, state, codes in zip(*(texts_of(batch, c) for c in ("shard", "blob", "codes")), strict=True):
+                codes = [x for x in codes if _round(x["chunk"], rounds) == own]
+                if not codes:
+                    continue
                 p = _unpack(state)
                 mass = np.concatenate([[0, 1 - DISCOUNT], p["n"] - DISCOUNT * p["total"] / (SWEEPS - BURN_IN)])
                 blobs = [_pack(mass=mass[_unpack(x["blob"])["code"]]) for x in codes]
@@ -454,8 +465,9 @@ def predictive(word: np.ndarray, ctx: np.ndarray, mass: np.ndarray, counts: np.n
     return (mass + total / len(hist)) / (STRENGTH + counts)[ctx]
 
 
-def ask_homes(chunks: DataFrame, home: DataFrame, homes: int) -> DataFrame:
-    """(chunk, home, told): training counts and histories of a chunk's words, in their order among those of the home."""
+def ask_homes(chunks: DataFrame, home: DataFrame, homes: int) -> tuple[DataFrame, str]:
+    """(chunk, home, told): training counts and histories of a chunk's words, in their order among those of the home;
+    and the table's folder."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -483,7 +495,7 @@ def ask_homes(chunks: DataFrame, home: DataFrame, homes: int) -> DataFrame:
 
     with arrow_rows(chunks.sparkSession, 1):
         asked = chunks.select("chunk", "words").mapInArrow(ask, "home int, chunk long, asked binary")
-        return materialize(home.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(
+        return _keep(home.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(
             tell, "chunk long, home int, told binary"), "lm-told")
 
 
@@ -549,12 +561,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards, path = count_pairs(chunks, head, shard_count)
     release_shuffles(docs.sparkSession)
     pairs, home = sample(shards, counts, sums, shard_count)
-    with arrow_rows(docs.sparkSession, 1):
-        masses = materialize(seated_mass(pairs, shards), "lm-masses")
+    rounds = max(1, min(ROUNDS, chunks.count()))
+    scores = []
+    for r in range(rounds):
+        part = chunks.where(F.pmod(F.shiftright("chunk", 32) + F.col("chunk"), F.lit(rounds)) == r)
+        with arrow_rows(docs.sparkSession, 1):
+            masses, masses_path = _keep(seated_mass(pairs, shards, rounds, r), "lm-masses")
+        told, told_path = ask_homes(part, home, shard_count)
+        release_shuffles(docs.sparkSession)
+        scores.append(materialize(score_chunks(part, told, masses, head, shard_count, sums), "lm-scores"))
+        for x in (masses_path, told_path):
+            delete(docs.sparkSession, x)
+        release_shuffles(docs.sparkSession)
     delete(docs.sparkSession, path)
-    told = ask_homes(chunks, home, shard_count)
-    release_shuffles(docs.sparkSession)
-    return score_chunks(chunks, told, masses, head, shard_count, sums)
+    return reduce(DataFrame.unionByName, scores)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

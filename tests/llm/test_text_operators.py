@@ -530,6 +530,25 @@ def test_lm_rare_words_have_restaurants(spark, monkeypatch):
     assert mean[2] > -2.3 and abs(mean[2] - mean[4096]) < 0.1
 
 
+def test_lm_scores_come_in_rounds_that_leave_no_answers(spark, monkeypatch):
+    # The answers to all chunks at once were more than the disk limit.
+    from pathlib import Path
+
+    from cellsight.session import checkpoint_root
+    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    docs = spark.createDataFrame([(i, f"a b {i % 3} c a {i % 7}") for i in range(60)], "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 100)
+    found = []
+    for rounds in (1, 3):
+        monkeypatch.setattr(lm_score, "ROUNDS", rounds)
+        before = set(root.iterdir())
+        found.append(sorted(tuple(r) for r in lm_score.score_documents(docs).collect()))
+        new = [x.name for x in set(root.iterdir()) - before]
+        assert sum(x.startswith("lm-scores") for x in new) == rounds
+        assert not [x for x in new if x.startswith(("lm-masses", "lm-told"))]
+    assert len(found[0]) == 60 and found[0] == found[1]
+
+
 def test_lm_scores_do_not_depend_on_chunks_or_shards(spark, monkeypatch):
     """A hot pair is one entry a chunk; its documents stay in their chunks."""
     docs = spark.createDataFrame([(i, f"same text tail{i % 90}") for i in range(600)], "doc_id long, text string").repartition(6)
