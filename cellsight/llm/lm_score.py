@@ -36,6 +36,7 @@ an empty result.
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,6 +45,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -62,12 +64,23 @@ CHUNK_BYTES = 6 << 20      # text of the documents that are packed together
 SHARD_TOKENS = 4_000_000   # training tokens a shard is meant to hold
 MIN_SHARDS = 32
 GROUP = 128                # customers of a word come in groups of this part of those seated, one at least
-SEAT_ROWS = 100_000        # rows seated together
+SEAT_ROWS = 100_000        # rows of a record batch that homes are made from
+SEAT_BLOCK = 1 << 14       # restaurants' words seated together, few enough for a core's cache
 ROUNDS = 4                 # parts of the chunks that are scored one after the other
 
+if TaskContext.get():
+    gc.freeze()            # a worker collects garbage after every task: it need not walk all loaded modules again
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
 
 def _pack(**arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+    """Counts and positions are packed in their narrowest type, hashes (uint64) and floats as they are."""
+    small = {k: _narrow(v) if isinstance(v, np.ndarray) and v.dtype.kind in "iu" and v.dtype != np.uint64 else v
+             for k, v in arrays.items()}
+    return zstandard.compress(pickle.dumps(small, protocol=5), 1)
 
 
 def _unpack(blob) -> dict:
@@ -84,42 +97,36 @@ def _row(**columns: pa.Array) -> pa.RecordBatch:
 # ---- chunks -----------------------------------------------------------------
 
 
-class _Vocabulary(dict):
-    """Word -> running number within one chunk."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
-
-
-def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a chunk's words, the word number of every token (ends are number 0), and each text's tokens."""
-    vocabulary = _Vocabulary()
-    vocabulary[b""]
-    words, lengths = [], []
-    for text in texts:
-        found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        words += [np.fromiter(map(vocabulary.__getitem__, found), np.uint32, len(found)), np.zeros(1, np.uint32)]
-        lengths.append(len(found) + 1)
-    return vocabulary.hashes(), np.concatenate(words), np.array(lengths, np.int64)
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()).combine_chunks(), "")))
+    some = pc.greater(pc.binary_length(trimmed), 0)  # an empty text would be split into one empty word
+    split = pc.ascii_split_whitespace(trimmed.filter(some))
+    found = split.flatten().dictionary_encode()
+    lengths = np.ones(len(trimmed), np.int64)
+    lengths[some.to_numpy(zero_copy_only=False)] += pc.list_value_length(split).to_numpy()
+    word, is_end = np.zeros(lengths.sum(), np.uint32), np.zeros(lengths.sum(), bool)
+    is_end[np.cumsum(lengths) - 1] = True
+    word[~is_end] = found.indices.to_numpy() + 1
+    words = [b"", *found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), word, lengths
 
 
 def chunk_tokens(rows: DataFrame) -> DataFrame:
-    """One row per chunk of documents: ids, fold, tokens, and the chunk's words with their training counts.
+    """One row per chunk of documents: ids, fold, tokens, and the chunk's words (hashes, as they lie in memory) with
+    their training counts.
 
     ``rows`` are (doc_id, held_out, body).
     """
     def pack(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
         held = table["held_out"].combine_chunks()
-        h, word, lengths = _tokens(table["body"].to_pylist())
+        h, word, lengths = _tokens(table["body"])
         train = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), lengths)
         counts = np.bincount(word[train], minlength=len(h))
+        pa.default_memory_pool().release_unused()  # Arrow would keep what its split texts took
         return _row(chunk=number, ids=table["doc_id"].combine_chunks(), held=held, tokens=_pack(word=word, lengths=lengths),
-                    words=pa.array(h.view(np.int64)), counts=pa.array(counts, pa.int64()))
+                    words=h.tobytes(), counts=_pack(counts=counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, parts, size = TaskContext.get().partitionId() << 32, [], 0
@@ -134,7 +141,7 @@ def chunk_tokens(rows: DataFrame) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, tokens binary, "
-                                "words array<long>, counts array<long>")
+                                "words binary, counts binary")
 
 
 def _pairs(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,17 +160,24 @@ def _shards(h: np.ndarray, word: np.ndarray, ctx: np.ndarray, head: np.ndarray,
     return (spread % np.uint64(shards)).astype(np.int64)
 
 
+def _parts(of: np.ndarray, count: int) -> list[tuple[int, np.ndarray]]:
+    """(number, positions) of the parts that positions belong to by number, below ``count``; both ascending."""
+    order = np.argsort(of.astype(np.min_scalar_type(count)), kind="stable")
+    sizes = np.bincount(of, minlength=count)
+    ends = np.cumsum(sizes)
+    return [(int(x), order[ends[x] - sizes[x]:ends[x]]) for x in np.flatnonzero(sizes)]
+
+
 # ---- pair counts ------------------------------------------------------------
 
-SHARD_SCHEMA = ("shard int, blob binary, codes array<struct<chunk:long,blob:binary>>, "
-                "one_h array<long>, one_w array<long>, one_c array<long>")
+SHARD_SCHEMA = "shard int, blob binary, codes array<struct<chunk:long,blob:binary>>, ones binary"
 
 
 def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> tuple[DataFrame, str]:
     """Pairs that occur more than once, one row per shard (and the table's folder): their state, which is word w and
     context c (positions in the hashes h), training count n, tables t (one each at first) and their total over sweeps.
 
-    Beside them: how many pairs occur once, by word (one_w) and context (one_c), and for the pairs of each chunk
+    Beside them: how many pairs occur once, by word (one_w) and context (one_c) with hash h, and for the pairs of each chunk
     a code each: 0 not in training, 1 once, 2 + position among the shard's pairs.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(head)
@@ -173,49 +187,54 @@ def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> tuple[DataF
             for row in range(batch.num_rows):
                 chunk, held, blob, words = (batch.column(i)[row] for i in range(4))
                 p = _unpack(blob.as_py())
-                h = words.values.to_numpy().view(np.uint64)
+                h = np.frombuffer(words.as_py(), np.uint64)
                 word, ctx, index = _pairs(p["word"])
                 train = np.repeat(~held.values.to_numpy(zero_copy_only=False).astype(bool), p["lengths"])
                 n = np.bincount(index[train], minlength=len(word)).astype(np.uint32)
-                shard = _shards(h, word, ctx, shared.value, shards)
-                order = np.argsort(shard, kind="stable")
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                found = np.flatnonzero(np.diff(ends))
-                blobs = []
-                for s in found:
-                    at = order[ends[s]:ends[s + 1]]
+                found, blobs = [], []
+                for s, at in _parts(_shards(h, word, ctx, shared.value, shards), shards):
                     first = np.flatnonzero(np.diff(word[at], prepend=-1))
-                    blobs.append(_pack(w=h[word[at[first]]], runs=np.diff(first, append=len(at)).astype(np.uint32),
-                                       c=h[ctx[at]], n=n[at]))
+                    contexts, c = np.unique(ctx[at], return_inverse=True)
+                    found.append(s)
+                    blobs.append(_pack(w=h[word[at[first]]], runs=np.diff(first, append=len(at)), contexts=h[contexts], c=c, n=n[at]))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([chunk.as_py()] * len(found), pa.int64()),
                                                   pa.array(blobs, pa.binary())], ["shard", "chunk", "blob"])
 
     def add_up(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True))
-        parts = [_unpack(b) for _, b in rows]
-        words, w = np.unique(np.concatenate([np.repeat(p["w"], p["runs"]) for p in parts]), return_inverse=True)
-        contexts, c = np.unique(np.concatenate([p["c"] for p in parts]), return_inverse=True)
-        pair, index = np.unique(w * len(contexts) + c, return_inverse=True)
+        chunk = table["chunk"].to_numpy()
+        order = np.argsort(chunk)
+        parts = [_unpack(table["blob"][int(i)].as_buffer()) for i in order]
+        words, w = np.unique(np.concatenate([p.pop("w") for p in parts]), return_inverse=True)
+        w = np.repeat(w.astype(np.uint32), np.concatenate([p.pop("runs") for p in parts]))
+        contexts, place = np.unique(np.concatenate([p["contexts"] for p in parts]), return_inverse=True)
+        starts, place = np.cumsum([0, *(len(p.pop("contexts")) for p in parts)]), place.astype(np.uint32)
+        ends = np.cumsum([len(p["c"]) for p in parts])
+        c = np.concatenate([place[start:][p.pop("c")] for p, start in zip(parts, starts[:-1], strict=True)])
+        key = w.astype(np.int64)
+        key *= len(contexts)
+        key += c
+        del w, c
+        pair, index = np.unique(key, return_inverse=True)
+        del key
         w, c = pair // len(contexts), pair % len(contexts)
         n = np.bincount(index, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
         often, once = np.flatnonzero(n > 1), n == 1
+        often = often[np.argsort(-n[often], kind="stable")]  # as they are seated
         code = np.minimum(n, 1).astype(np.uint32)
         code[often] = 2 + np.arange(len(often))
-        ends = np.cumsum([len(p["c"]) for p in parts])
         codes = [_pack(code=x) for x in np.split(code[index], ends[:-1])]
         sums = np.bincount(w[once], minlength=len(words)), np.bincount(c[once], minlength=len(contexts))
         at = [np.flatnonzero(x) for x in sums]
         none = [np.zeros(len(x), np.int64) for x in at]
-        ones = dict(one_h=np.concatenate([words[at[0]], contexts[at[1]]]).view(np.int64),
+        ones = dict(h=np.concatenate([words[at[0]], contexts[at[1]]]),
                     one_w=np.concatenate([sums[0][at[0]], none[1]]), one_c=np.concatenate([none[0], sums[1][at[1]]]))
         h, place = np.unique(np.concatenate([words[w[often]], contexts[c[often]]]), return_inverse=True)
         place = place.astype(np.uint32)
         state = dict(h=h, w=place[:len(often)], c=place[len(often):], n=n[often], t=np.ones(len(often), np.int64),
                      total=np.zeros(len(often), np.int64))
-        both = pa.StructArray.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(codes, pa.binary())],
+        both = pa.StructArray.from_arrays([pa.array(chunk[order], pa.int64()), pa.array(codes, pa.binary())],
                                           ["chunk", "blob"])
-        out = _row(shard=table["shard"][0].as_py(), blob=_pack(**state), codes=both,
-                   **{k: pa.array(v, pa.int64()) for k, v in ones.items()})
+        out = _row(shard=table["shard"][0].as_py(), blob=_pack(**state), codes=both, ones=_pack(**ones))
         return pa.Table.from_batches([out.set_column(0, "shard", out.column(0).cast(pa.int32()))])
 
     with arrow_rows(chunks.sparkSession, 1):
@@ -227,8 +246,7 @@ def count_pairs(chunks: DataFrame, head: np.ndarray, shards: int) -> tuple[DataF
 
 
 def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = mix64(key + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    h = mix64(key + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
@@ -236,18 +254,27 @@ def _binomial(size: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) ->
     """Binomial draws from two uniforms each: the quantile, or beyond a mean of 32 on both sides the normal one."""
     q = np.minimum(p, 1 - p)
     mean = size * q
-    z = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v)
-    wide = np.clip(np.floor(mean + np.sqrt(mean * (1 - q)) * z + 0.5), 0, size)
-    few = mean <= 32
-    pmf = np.where(few, (1 - q) ** size, 1.0)
-    x, total, more = np.zeros(len(q)), pmf.copy(), few & (u > pmf) & (size > 0)
-    while more.any():
-        pmf = pmf * (size - x) / (x + 1) * (q / (1 - q))
-        x += more
+    x, wide = np.zeros(len(q)), np.flatnonzero(mean > 32)
+    if len(wide):
+        m = mean[wide]
+        z = np.sqrt(-2 * np.log(1 - u[wide])) * np.cos(2 * np.pi * v[wide])
+        x[wide] = np.clip(np.floor(m + np.sqrt(m * (1 - q[wide])) * z + 0.5), 0, size[wide])
+    pmf = (1 - q) ** size
+    at = np.flatnonzero((u > pmf) & (mean <= 32) & (size > 0))  # rows whose quantile is not reached yet
+    u, pmf, n, q, k = u[at], pmf[at], size[at], q[at], 0
+    odds, total = q / (1 - q), pmf.copy()
+    while len(at):
+        pmf = pmf * (n - k) / (k + 1) * odds
+        k += 1
         total += pmf
-        more &= (u > total) & (x < size)
-    drawn = np.where(few, x, wide)
-    return np.where(p > 0.5, size - drawn, drawn)
+        more = (u > total) & (n > k)
+        if not (left := np.count_nonzero(more)):
+            x[at] = k
+            break
+        if left < len(at):
+            x[at[~more]] = k
+            at, u, pmf, n, odds, total = (y[more] for y in (at, u, pmf, n, odds, total))
+    return np.where(p > 0.5, size - x, x)
 
 
 def seat(counts: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray, sweep: int,
@@ -257,10 +284,17 @@ def seat(counts: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray,
     tables = np.minimum(counts, 1).astype(np.float64)
     order = np.flatnonzero(counts > 1)
     order = order[np.argsort(-counts[order], kind="stable")]
-    left = counts[order]
-    falling = -left
-    t, w, k, g = tables[order], new[order], key[order], np.broadcast_to(grow, len(counts))[order]
-    seated, live = 1, len(left)  # rows with more than one customer
+    grow = np.broadcast_to(grow, len(counts))
+    for start in range(0, len(order), SEAT_BLOCK):
+        at = order[start:start + SEAT_BLOCK]
+        tables[at] = _seat(counts[at], new[at], discount, key[at], sweep, grow[at])
+    return tables
+
+
+def _seat(left: np.ndarray, w: np.ndarray, discount: float, k: np.ndarray, sweep: int, g: np.ndarray) -> np.ndarray:
+    """Tables of words with more than one customer, by falling number of customers."""
+    t, falling = np.ones(len(left)), -left
+    seated, live = 1, len(left)
     while live:
         step = max(1, seated // GROUP)
         weight = w[:live] + g[:live] * t[:live]
@@ -269,11 +303,12 @@ def seat(counts: np.ndarray, new: np.ndarray, discount: float, key: np.ndarray,
         if step == 1:
             t[:live] += u < p
         else:
-            t[:live] += _binomial(np.minimum(step, left[:live] - seated), p, u, _uniform(k[:live], sweep << 48 | seated << 1 | 1))
+            size = np.minimum(step, left[:live] - seated)
+            v = _uniform(k[:live], sweep << 48 | seated << 1 | 1) if step > 32 else u  # a mean beyond 32 needs it
+            t[:live] += _binomial(size, p, u, v)
         seated += step
         live = int(np.searchsorted(falling, -seated, "left"))
-    tables[order] = t
-    return tables
+    return t
 
 
 @dataclass
@@ -310,9 +345,7 @@ def _rows(key: str, own: int, blob: bytes, others: str, messages: list[tuple[int
 def _messages(p: dict, homes: int) -> list[tuple[int, bytes]]:
     """To each home: the tables that its words have in this shard, as words and as contexts."""
     by_w, by_c = (np.bincount(p[x], weights=p["t"], minlength=len(p["h"])).astype(np.int64) for x in ("w", "c"))
-    home = _home(p["h"], homes)
-    return [(int(x), _pack(h=p["h"][at], by_w=by_w[at], by_c=by_c[at]))
-            for x in np.unique(home) for at in [np.flatnonzero(home == x)]]
+    return [(x, _pack(h=p["h"][at], by_w=by_w[at], by_c=by_c[at])) for x, at in _parts(_home(p["h"], homes), homes)]
 
 
 def _first_home(table: pa.Table) -> pa.Table:
@@ -327,7 +360,7 @@ def _at_home(sums: Sums, sweep: int):
     """Group function (a home's words, the shards' messages) -> its words after ``sweep``, and answers to the shards."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         p = _unpack(left["blob"][0].as_py())
-        customers, room = p["one_w"].copy(), p["one_c"].copy()
+        customers, room = p["one_w"].astype(np.int64), p["one_c"].astype(np.int64)
         asked = []
         for shard, blob in sorted(zip(right["shard"].to_pylist(), right["blob"].to_pylist(), strict=True)):
             m = _unpack(blob)
@@ -342,34 +375,31 @@ def _at_home(sums: Sums, sweep: int):
             tables = np.minimum(customers, 1)
         p["tables"] = tables = tables.astype(np.int64)
         if sweep > BURN_IN:
-            p["hist"].append(_narrow(np.stack([customers, tables, room])))
+            p["hist"].append(_pack(x=np.stack([customers, tables, room])))  # packed once, until the last sweep
+        if sweep == SWEEPS:
+            p["hist"] = [_unpack(x)["x"] for x in p["hist"]]
         answers = [(shard, _pack(customers=customers[at], tables=tables[at], room=room[at])) for shard, at in asked]
         return _rows("home", left["home"][0].as_py(), _pack(**p), "shard", answers, customers=customers.sum(), tables=tables.sum())
     return run
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
 def _reseat(sums: Sums, sweep: int, homes: int):
     """Group function (a shard's pairs, the homes' answers) -> its pairs after ``sweep``, each seated given all others
     after the sweep before, and messages to the homes."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         p = _unpack(left["blob"][0].as_py())
-        home, told = _home(p["h"], homes), {x: np.zeros(len(p["h"])) for x in ("customers", "tables", "room")}
+        at, told = dict(_parts(_home(p["h"], homes), homes)), {x: np.zeros(len(p["h"])) for x in ("customers", "tables", "room")}
         for x, blob in zip(right["home"].to_pylist(), right["blob"].to_pylist(), strict=True):
-            at = np.flatnonzero(home == x)
             for name, values in _unpack(blob).items():
-                told[name][at] = values
+                told[name][at[x]] = values
         own = p["t"].astype(np.float64)
         word = sums.at_parent(told["customers"][p["w"]], told["tables"][p["w"]], sweep - 1, own)
         new = (STRENGTH + DISCOUNT * (told["room"][p["c"]] - own)) * word
         with np.errstate(over="ignore"):
             key = mix64(mix64(p["h"])[p["w"]] + p["h"][p["c"]])
-        p["t"] = seat(p["n"], new, DISCOUNT, key, sweep, DISCOUNT * word).astype(np.int64)
+        p["t"] = seat(p["n"].astype(np.int64), new, DISCOUNT, key, sweep, DISCOUNT * word).astype(np.int64)
         if sweep > BURN_IN:
-            p["total"] = p["total"] + p["t"]
+            p["total"] = p["total"] + p["t"]  # t is wide here, so the sum is
         return _rows("shard", left["shard"][0].as_py(), _pack(**p), "home", _messages(p, homes))
     return run
 
@@ -382,11 +412,15 @@ def sample(shards: DataFrame, counts: DataFrame, sums: Sums, homes: int) -> tupl
     as a context after each of those sweeps.
     """
     spark = shards.sparkSession
-    once = (shards.select(F.explode(F.arrays_zip("one_h", "one_w", "one_c")).alias("x"))
-            .groupBy(F.col("x.one_h").alias("h")).agg(F.sum("x.one_w").alias("one_w"), F.sum("x.one_c").alias("one_c")))
-    words = counts.join(once, "h", "left").select(
-        F.pmod("h", F.lit(homes)).cast("int").alias("home"), "h", "c",
-        *(F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("one_w", "one_c")))
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in map(_unpack, texts_of(batch, "ones")):
+                yield pa.RecordBatch.from_pydict({"h": p["h"].view(np.int64), **{x: p[x].astype(np.int64) for x in ("one_w", "one_c")}})
+
+    once = shards.select("ones").mapInArrow(flat, "h long, one_w long, one_c long")
+    words = (counts.unionByName(once, allowMissingColumns=True).groupBy(F.pmod("h", F.lit(homes)).cast("int").alias("home"), "h")
+             .agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c", "one_w", "one_c"))))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,7 +455,7 @@ def sample(shards: DataFrame, counts: DataFrame, sums: Sums, homes: int) -> tupl
 def _keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """A table written to a folder of its own and read back, and the folder."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)  # nearly all of it is packed already
     return df.sparkSession.read.parquet(path), path
 
 
@@ -471,26 +505,30 @@ def ask_homes(chunks: DataFrame, home: DataFrame, homes: int) -> tuple[DataFrame
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                h = batch.column(1)[row].values.to_numpy().view(np.uint64)
-                at = _home(h, homes)
-                found = np.unique(at)
+                h = np.frombuffer(batch.column(1)[row].as_py(), np.uint64)
+                found = _parts(_home(h, homes), homes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.int32()), pa.array([batch.column(0)[row].as_py()] * len(found), pa.int64()),
-                     pa.array([_pack(h=h[at == x]) for x in found], pa.binary())], ["home", "chunk", "asked"])
+                    [pa.array([x for x, _ in found], pa.int32()), pa.array([batch.column(0)[row].as_py()] * len(found), pa.int64()),
+                     pa.array([_pack(h=h[at]) for _, at in found], pa.binary())], ["home", "chunk", "asked"])
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
         kept = SWEEPS - BURN_IN
         p = _unpack(left["blob"][0].as_py()) if len(left) else {
             "h": np.empty(0, np.uint64), "c": np.empty(0, np.int64), "hist": [np.empty((3, 0), np.int64)] * kept}
         n = len(p["h"])
-        c, hist = np.append(p["c"], 0), [np.append(x, np.zeros((3, 1), x.dtype), axis=1) for x in p["hist"]]
+        # a row per word, the last for unknown words; most fit into bytes
+        hist = np.ascontiguousarray(np.concatenate([p["c"][None], *p["hist"]]).T)
+        hist = np.concatenate([hist, np.zeros((1, hist.shape[1]), hist.dtype)])
+        large = hist.max(axis=1) > 255
+        small = hist.astype(np.uint8)  # only read where not large
         out = []
         for blob in right["asked"].to_pylist():
             h = _unpack(blob)["h"]
             at = np.searchsorted(p["h"], h)
             at[at == n] = 0
-            at = np.where(p["h"][at] == h, at, n) if n else np.zeros(len(h), np.int64)  # the last stands for unknown words
-            out.append(_pack(c=c[at], hist=[_narrow(x[:, at]) for x in hist]))
+            at = np.where(p["h"][at] == h, at, n) if n else np.zeros(len(h), np.int64)
+            big = large[at]
+            out.append(_pack(large=big, small=small[at[~big]], wide=hist[at[big]]))
         return pa.table({"chunk": right["chunk"], "home": right["home"], "told": pa.array(out, pa.binary())})
 
     with arrow_rows(chunks.sparkSession, 1):
@@ -507,28 +545,29 @@ def score_chunks(chunks: DataFrame, told: DataFrame, masses: DataFrame, head: np
 
     def run(table: pa.Table) -> pa.Table:
         own = table.filter(table["tokens"].is_valid())
-        ids, held, h = (own[c].combine_chunks().flatten() for c in ("ids", "held", "words"))
-        h = h.to_numpy().view(np.uint64)
+        ids, held = (own[c].combine_chunks().flatten() for c in ("ids", "held"))
+        h = np.frombuffer(own["words"][0].as_py(), np.uint64)
         p = _unpack(own["tokens"][0].as_py())
-        counts, hist = np.zeros(len(h), np.int64), np.zeros((SWEEPS - BURN_IN, 3, len(h)))
-        home = _home(h, shards)
+        home = dict(_parts(_home(h, shards), shards))
         rows = table.filter(table["told"].is_valid())
-        for x, blob in zip(rows["home"].to_pylist(), rows["told"].to_pylist(), strict=True):
-            at, m = np.flatnonzero(home == x), _unpack(blob)
-            counts[at] = m["c"]
-            for i, y in enumerate(m["hist"]):
-                hist[i][:, at] = y
+        heard = [(home[x], _unpack(blob)) for x, blob in zip(rows["home"].to_pylist(), rows["told"].to_pylist(), strict=True)]
+        found = np.empty((len(h), 1 + 3 * (SWEEPS - BURN_IN)), np.result_type(np.uint8, *(m["wide"] for _, m in heard)))
+        for at, m in heard:
+            found[at[~m["large"]]], found[at[m["large"]]] = m["small"], m["wide"]
+        counts, hist = found[:, 0].astype(np.int64), np.ascontiguousarray(found[:, 1:].T, np.float64).reshape(-1, 3, len(h))
         word, ctx, index = _pairs(p["word"])
         rows = table.filter(table["blob"].is_valid())
         blobs = sorted(zip(rows["shard"].to_pylist(), rows["blob"].to_pylist(), strict=True))
         mass = np.empty(len(word))
-        mass[np.argsort(_shards(h, word, ctx, shared.value, shards), kind="stable")] = np.concatenate(
-            [_unpack(b)["mass"] for _, b in blobs])
+        parts = _parts(_shards(h, word, ctx, shared.value, shards), shards)
+        for (_, at), (_, b) in zip(parts, blobs, strict=True):
+            mass[at] = _unpack(b)["mass"]
         value = np.log10(predictive(word, ctx, mass, counts, hist, sums))
         base = np.log10((counts + 0.5) / (sums.tokens + 0.5 * (sums.words + 1)))
-        starts = np.cumsum(p["lengths"]) - p["lengths"]
+        lengths = p["lengths"].astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
         n = len(starts)
-        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(p["lengths"]),
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(lengths),
                          "n_known": pa.array(np.add.reduceat((counts > 0)[p["word"]].astype(np.int64), starts)),
                          "train_tokens": pa.array(np.full(n, sums.tokens, np.int64)),
                          "base_score": pa.array(np.add.reduceat(base[p["word"]], starts)),
@@ -543,9 +582,15 @@ def score_chunks(chunks: DataFrame, told: DataFrame, masses: DataFrame, head: np
 
 def count_words(chunks: DataFrame) -> tuple[DataFrame, Sums, np.ndarray]:
     """Training counts (h, c) of the words, their sums, and the hashes of the most frequent ones, ascending."""
-    counts = materialize(
-        chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where("x.counts > 0")
-        .groupBy(F.col("x.words").alias("h")).agg(F.sum("x.counts").alias("c")), "lm-counts")
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, blob in zip(texts_of(batch, "words"), texts_of(batch, "counts"), strict=True):
+                h, c = np.frombuffer(h, np.int64), _unpack(blob)["counts"].astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"h": h[c > 0], "c": c[c > 0]})
+
+    with arrow_rows(chunks.sparkSession, 1):
+        counts = materialize(chunks.select("words", "counts").mapInArrow(flat, "h long, c long")
+                             .groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
     size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = [r["h"] & 0xFFFFFFFFFFFFFFFF for r in counts.orderBy(F.col("c").desc(), "h").limit(CONTEXTS).collect()]
     return counts, Sums(size["n"] or 0, size["v"]), np.sort(np.array(head, np.uint64))

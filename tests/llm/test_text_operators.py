@@ -572,6 +572,44 @@ def test_lm_scores_do_not_depend_on_chunks_or_shards(spark, monkeypatch):
     assert sum(len(lm_score._unpack(r["blob"])["n"]) for r in shards.collect()) <= 3 + 2 * 90   # distinct pairs
 
 
+def test_lm_state_travels_narrow_and_in_the_order_of_seating(spark):
+    # Sweeps packed eight bytes a count and sorted the pairs again each time: too much CPU time a GB.
+    rows = [(i, False, " ".join(["a b", f"c{i % 9}", "a b d"] * (i % 4))) for i in range(80)]
+    chunks = lm_score.chunk_tokens(spark.createDataFrame(rows, "doc_id long, held_out boolean, body string").repartition(4))
+    _, _, head = lm_score.count_words(chunks)
+    states = [lm_score._unpack(r["blob"]) for r in lm_score.count_pairs(chunks, head, 3)[0].collect()]
+    n = collections.Counter()
+    for _, _, t in rows:
+        n.update(zip(["", *t.split()], [*t.split(), ""], strict=True))
+    assert sorted(x for p in states for x in p["n"].tolist()) == sorted(x for x in n.values() if x > 1)
+    for p in states:
+        assert (np.diff(p["n"].astype(np.int64)) <= 0).all() and p["h"].dtype == np.uint64
+        assert all(p[x].dtype == np.uint8 for x in ("w", "c", "t", "total"))
+
+
+def test_lm_tokens_are_those_of_a_plain_split():
+    import pyarrow as pa
+    rnd = np.random.default_rng(3)
+    letters = [*map(chr, range(0x30)), *"aAbZzÄÉ\x85\xa0\u3000İK", " ", " ", "\n", "\U0001f600"]
+    for _ in range(200):
+        texts = ["".join(rnd.choice(letters, rnd.integers(0, 40))) if rnd.random() < 0.9 else None for _ in range(rnd.integers(1, 20))]
+        h, word, lengths = lm_score._tokens(pa.chunked_array([pa.array(texts, pa.string())]))
+        want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+        assert lengths.tolist() == [len(t) for t in want]
+        assert h[word].tolist() == [lm_score.xxhash.xxh3_64_intdigest(w) for t in want for w in t]
+        assert ((word == 0) == [w == b"" for t in want for w in t]).all() and len(set(h.tolist())) == len(h)
+
+
+def test_seating_does_not_depend_on_its_blocks(monkeypatch):
+    rnd = np.random.default_rng(4)
+    counts, key = np.minimum(rnd.zipf(1.3, 3000), 200_000), lm_score.mix64(np.arange(3000, dtype=np.uint64))
+    new, grow, found = rnd.random(3000) * 4, rnd.random(3000) * 0.01, []
+    for block in (1 << 14, 7):
+        monkeypatch.setattr(lm_score, "SEAT_BLOCK", block)
+        found.append(lm_score.seat(counts[:600], new[:600], 0.75, key[:600], 2, grow[:600]))
+    assert (found[0] == found[1]).all() and (found[0] <= np.maximum(counts[:600], 1)).all()
+
+
 def test_seating_follows_the_restaurant():
     """Mean number of tables over many draws against a plain simulation."""
     counts, new, d, rnd = 40, 1.7, 0.6, np.random.default_rng(2)
