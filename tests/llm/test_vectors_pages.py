@@ -6,7 +6,8 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from cellsight.llm import ann, exact_topk, html_extract
+from cellsight.llm import _vectors, ann, exact_topk, html_extract
+from cellsight.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +66,34 @@ def test_bounds_hold():
     assert (exact_topk.ApproximationFile(same).upper_bounds(q.astype(float)) >= q @ same.T).all()
 
 
+def test_topk_in_groups_of_queries(spark, edge_vectors, monkeypatch):
+    plans = {}
+
+    def stored(df, name):
+        plans[name] = plans.get(name, "") + df._jdf.queryExecution().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(exact_topk, "materialize", stored)
+    monkeypatch.setattr(_vectors, "GROUP_ENTRIES", 12)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"])
+           for r in exact_topk.top_k(edge_vectors, query_every=10, shard_rows=60).collect()}
+    assert got == brute(usable(edge_vectors, False), 10, 5, inner, True)
+    # No block is copied for each pair of a query block and a data block.
+    assert not [name for name, plan in plans.items() if re.search("Join|Generate|explode", plan)]
+
+
+def test_scan_takes_ties_and_large_numbers():
+    rnd = np.random.default_rng(2)
+    for v in (rnd.integers(-2, 3, (600, 3)), np.tile([[3, -1]], (600, 1)), rnd.integers(-1 << 29, 1 << 29, (600, 5))):
+        ids, found = rnd.permutation(600), exact_topk.Found(50, 5)
+        for at in range(0, 600, 150):
+            own = np.sort(ids[at:at + 150])
+            exact_topk.scan(exact_topk.ApproximationFile(v[own]), own, v[own], np.arange(50), v[:50], found)
+        for q in range(50):
+            order = sorted((i for i in range(600) if i != q), key=lambda i: (-int(v[i] @ v[q]), i))[:5]
+            assert found.ids[q].tolist() == order and found.scores[q].tolist() == [int(v[i] @ v[q]) for i in order]
+
+
 def test_nearest_recall_and_scores(spark, edge_vectors):
     for table, rows in ((spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 700), (edge_vectors, 100)):
         vectors = usable(table, True)
