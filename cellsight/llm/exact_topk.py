@@ -21,6 +21,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsight.llm._common import arrow_rows, release_shuffles
-from cellsight.llm._vectors import (best, block_count, gathered, query_groups, result_batches, shared, valid_vectors)
+from cellsight.llm._vectors import Found, best, block_count, gathered, query_groups, shared, valid_vectors
 from cellsight.session import materialize
 
 CELL_BITS = 6
@@ -84,46 +85,9 @@ class ApproximationFile:
         return part @ self.steps.T + rest[:, None]
 
 
-class Found:
-    """The k best (score, id) so far of each query; ties go to the smaller id."""
-
-    def __init__(self, queries: int, k: int):
-        self.ids, self.scores = np.zeros((queries, k), np.int64), np.zeros((queries, k), np.int64)
-        self.count, self.k = np.zeros(queries, np.int64), k
-
-    def least(self, start: int, stop: int) -> np.ndarray:
-        """The k-th score of each query, none (-inf) where fewer are found."""
-        return np.where(self.count[start:stop] == self.k, self.scores[start:stop, -1].astype(np.float64), -np.inf)
-
-    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        full, last_id, last = self.count[rows] == self.k, self.ids[rows, -1], self.scores[rows, -1]
-        better = ~full | (scores > last) | ((scores == last) & (ids < last_id))
-        rows, ids, scores = rows[better], ids[better], scores[better]
-        if not len(rows):
-            return
-        touched = np.unique(rows)
-        had = np.arange(self.k) < self.count[touched][:, None]
-        rows = np.concatenate([rows, np.repeat(touched, self.count[touched])])
-        ids = np.concatenate([ids, self.ids[touched][had]])
-        scores = np.concatenate([scores, self.scores[touched][had]])
-        order = np.lexsort((ids, ~scores, rows))
-        rows, ids, scores = rows[order], ids[order], scores[order]
-        start = np.searchsorted(rows, touched)
-        size = np.diff(start, append=len(rows))
-        place = np.arange(len(rows)) - np.repeat(start, size)
-        kept = place < self.k
-        self.ids[rows[kept], place[kept]] = ids[kept]
-        self.scores[rows[kept], place[kept]] = scores[kept]
-        self.count[touched] = np.minimum(size, self.k)
-
-    def results(self, query_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        has = np.arange(self.k) < self.count[:, None]
-        yield from result_batches(np.repeat(query_ids, self.count), self.ids[has], self.scores[has])
-
-
 def scan(file: ApproximationFile, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
          found: Found) -> None:
-    """Add each query's best vectors of one block; vectors and queries are integers."""
+    """Add each query's best vectors of one block, at a cost of ~score; vectors and queries are integers."""
     # Whole numbers below 2^53 are exact in doubles.
     reach = float(np.abs(vectors).max()) * float(np.abs(queries).max()) * vectors.shape[1]
     n = len(ids)
@@ -133,16 +97,17 @@ def scan(file: ApproximationFile, ids: np.ndarray, vectors: np.ndarray, query_id
         rows, cols = rows[other], cols[other]
         if len(rows) * 16 > len(tile) * n and reach < 1 << 53:
             whole = tile.astype(np.float64) @ vectors.T.astype(np.float64)
-            found.add(first + rows, ids[cols], whole[rows, cols].astype(np.int64))
+            found.add(first + rows, ids[cols], ~whole[rows, cols].astype(np.int64))
             return
         for at in range(0, len(rows), READ_PAIRS):
             r, c = rows[at:at + READ_PAIRS], cols[at:at + READ_PAIRS]
             scores = np.einsum("ij,ij->i", tile[r].astype(np.int64), vectors[c].astype(np.int64))
-            found.add(first + r, ids[c], scores)
+            found.add(first + r, ids[c], ~scores)
 
     def limits() -> np.ndarray:
         """Rounded down, so no bound that reaches the k-th score is lost; what has been read is -inf."""
-        x = (found.least(first, first + len(tile)) - rest).astype(asked.dtype)
+        score = -1 - found.most(first, first + len(tile)).astype(np.float64)
+        x = (score - rest).astype(asked.dtype)
         return np.maximum(np.nextafter(x, x.dtype.type(-np.inf)), np.finfo(x.dtype).min)
 
     for first in range(0, len(queries), QUERY_ROWS):
@@ -200,7 +165,7 @@ def top_k(table: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "ve
 
     def scans(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, found = sent.value, {dim: Found(len(ids), k) for dim, (ids, _) in sent.value.items()}
+            asked, found = sent.value, {dim: Found(len(ids), k, np.int64) for dim, (ids, _) in sent.value.items()}
             for row in (row for batch in batches for row in batch.to_pylist()):
                 dim = row["dim"]
                 if dim in asked:
@@ -209,7 +174,8 @@ def top_k(table: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "ve
                     scan(cells, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["exact"], row["kind"]).reshape(-1, dim),
                          *asked[dim], found[dim])
             for dim, x in found.items():
-                yield from x.results(asked[dim][0])
+                for batch in x.results(asked[dim][0]):
+                    yield batch.set_column(2, "score", pa.array(~batch.column(2).to_numpy()))
         return run
 
     parts = []
@@ -217,7 +183,4 @@ def top_k(table: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "ve
         for group in query_groups(queries):
             with shared(table, group) as sent:
                 parts.append(materialize(file.mapInArrow(scans(sent), "query_id long, vec_id long, score long"), "topk-found"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    return best(found, k, [F.col("score").desc(), F.col("vec_id")])
+    return best(reduce(DataFrame.union, parts), k, [F.col("score").desc(), F.col("vec_id")])

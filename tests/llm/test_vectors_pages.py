@@ -85,13 +85,13 @@ def test_topk_in_groups_of_queries(spark, edge_vectors, monkeypatch):
 def test_scan_takes_ties_and_large_numbers():
     rnd = np.random.default_rng(2)
     for v in (rnd.integers(-2, 3, (600, 3)), np.tile([[3, -1]], (600, 1)), rnd.integers(-1 << 29, 1 << 29, (600, 5))):
-        ids, found = rnd.permutation(600), exact_topk.Found(50, 5)
+        ids, found = rnd.permutation(600), _vectors.Found(50, 5, np.int64)
         for at in range(0, 600, 150):
             own = np.sort(ids[at:at + 150])
             exact_topk.scan(exact_topk.ApproximationFile(v[own]), own, v[own], np.arange(50), v[:50], found)
         for q in range(50):
             order = sorted((i for i in range(600) if i != q), key=lambda i: (-int(v[i] @ v[q]), i))[:5]
-            assert found.ids[q].tolist() == order and found.scores[q].tolist() == [int(v[i] @ v[q]) for i in order]
+            assert found.ids[q].tolist() == order and (~found.costs[q]).tolist() == [int(v[i] @ v[q]) for i in order]
 
 
 def test_nearest_recall_and_scores(spark, edge_vectors):
@@ -110,6 +110,57 @@ def test_nearest_recall_and_scores(spark, edge_vectors):
     assert [i for _, i in hot] == list(range(260, 270))
 
 
+def test_nearest_in_groups_of_queries(edge_vectors, monkeypatch):
+    plans = {}
+
+    def stored(df, name):
+        plans[name] = plans.get(name, "") + df._jdf.queryExecution().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(ann, "materialize", stored)
+    monkeypatch.setattr(_vectors, "GROUP_ENTRIES", 12)
+    vectors = usable(edge_vectors, True)
+    want = brute(vectors, 10, 10, distance, False)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"])
+           for r in ann.nearest(edge_vectors, query_every=10, shard_rows=60).collect()}
+    assert {(q, i) for (q, _), (i, _) in got.items()} == {(q, i) for (q, _), (i, _) in want.items()}
+    assert all(abs(s - want[x][1]) < 1e-9 for x, (_, s) in got.items())
+    # No graph is copied for each block of queries.
+    assert not [name for name, plan in plans.items() if re.search("Join|Generate|explode", plan)]
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_queries_of_a_block_share_what_they_read(kind):
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(3000, 16)).astype(kind)
+    v[:300] = v[0] + 1e-5 * rnd.normal(size=(300, 16))   # near copies
+    q = np.concatenate([v[:3000:10], v[:20] + kind(1e-6)])
+    nodes, flat = ann.build(np.arange(3000), v)
+    beam, dist, read = ann.walk(v, nodes, flat, q)
+    assert read <= 1.1 * len(v)
+    exact = ((q[:, None].astype(float) - v) ** 2).sum(2)
+    hits = sum(len(set(np.argsort(d, kind="stable")[:10]) & set(b[:10].tolist())) for d, b in zip(exact, beam, strict=True))
+    assert hits >= 0.99 * 10 * len(q)
+    assert np.allclose(dist, np.take_along_axis(exact, beam, 1), rtol=1e-3) and (np.diff(dist, axis=1) >= 0).all()
+
+
+@pytest.mark.parametrize("v", [np.random.default_rng(4).normal(size=(900, 6)), np.eye(700), np.ones((1, 3)), np.eye(2),
+                               1 + 1e-4 * np.random.default_rng(5).normal(size=(800, 4))])
+def test_links_come_from_the_nearest_predecessors(v):
+    v = v.astype(np.float32)
+    exact = ((v[:, None].astype(float) - v) ** 2).sum(2)
+    near = ann._predecessors(v, 64)
+    chosen = ann._diverse(np.arange(len(v)), near, v, 16)
+    for i in range(0, len(v), 7):
+        d = np.sort(exact[i, :i])[:64]
+        assert np.allclose(np.sort(exact[i, near[i][near[i] >= 0]]), d, rtol=1e-3, atol=1e-12) and (near[i] >= 0).sum() == len(d)
+        kept = chosen[i][chosen[i] >= 0]
+        assert len(kept) == min(16, len(d)) == len(set(kept.tolist()))
+        assert not len(d) or exact[i, kept].min() <= d[0] * 1.001
+    nodes, flat = ann.build(np.arange(len(v)), v)
+    assert flat[0].shape[1] == 32 and (flat[0] < len(v)).all() and not (flat[0] == nodes[0][:, None]).any()
+
+
 def test_vectors_empty_table(edge_vectors):
     assert exact_topk.top_k(edge_vectors.limit(0)).count() == 0
     assert ann.nearest(edge_vectors.limit(0)).count() == 0
