@@ -36,7 +36,7 @@ from cellsight.session import materialize
 LINKS = 16                 # links of a vector on the upper layers; twice as many on the lowest
 BUILD_WIDTH = 64           # nearest predecessors among which links are chosen
 SEARCH_WIDTH = 128         # beam on the lowest layer
-SHARD_ROWS = 16384         # distinct vectors in a shard
+SHARD_ROWS = 4096          # distinct vectors in a shard
 QUERY_ROWS = 512           # queries in a block
 OPENED = 4                 # nodes of a beam that are opened in one step
 STEP_ROWS = 128            # vectors that look for their predecessors at once
@@ -171,20 +171,22 @@ class Walk:
 
     def __init__(self, vectors: np.ndarray, queries: np.ndarray):
         self.vectors, self.queries = vectors, queries
-        self.size, self.q_size = (np.einsum("ij,ij->i", x, x) for x in (vectors, queries))
+        size, q_size = (np.einsum("ij,ij->i", x, x)[:, None] for x in (vectors, queries))
+        # So that one product gives squared distances.
+        self.stored = np.hstack([vectors, size, np.ones_like(size)])
+        self.asked = np.hstack([-2 * queries, np.ones_like(q_size), q_size])
+        self.close = q_size[:, 0] / 40
         self.read = 0
 
     def distances(self, nodes: np.ndarray) -> np.ndarray:
-        v = self.vectors[nodes]
-        sizes = self.q_size[:, None] + self.size[nodes]
-        d = self.queries @ (-2 * v).T
-        d += sizes
+        d = self.asked @ self.stored[nodes].T
         self.read += len(nodes)
         # Where little is left of the two sizes, rounding shows: these are taken from the differences.
-        r, c = np.divmod(np.flatnonzero(d < 0.01 * sizes), len(nodes))
+        rows = np.flatnonzero(d.min(axis=1) < self.close)
+        r, c = np.nonzero(d[rows] < self.close[rows, None])
         for at in range(0, len(r), READ_PAIRS):
-            i, j = r[at:at + READ_PAIRS], c[at:at + READ_PAIRS]
-            off = v[j] - self.queries[i]
+            i, j = rows[r[at:at + READ_PAIRS]], c[at:at + READ_PAIRS]
+            off = self.vectors[nodes[j]] - self.queries[i]
             d[i, j] = np.einsum("ij,ij->i", off, off)
         return d
 
@@ -224,15 +226,17 @@ class Walk:
             keep_d, keep = np.hstack([dist, d]), np.hstack([beam, np.broadcast_to(new.astype(np.int32), d.shape)])
             rows = slice(None)
         else:
-            r, c = np.divmod(np.flatnonzero(d < worst[:, None]), len(new))
-            if not len(r):
+            near = np.flatnonzero(d < worst[:, None])
+            if not len(near):
                 return
+            r = near // len(new)
             count = np.bincount(r, minlength=len(d))
-            place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
-            rows, row_of = np.flatnonzero(count), np.cumsum(count > 0) - 1
-            more = np.full((len(rows), count.max()), len(self.vectors), np.int32)
+            rows, wide = np.flatnonzero(count), count.max()
+            # Each row's entries one after the other in a row of their own.
+            place = np.arange(len(r)) + np.repeat((np.cumsum(count > 0) - 1) * wide - np.cumsum(count) + count, count)
+            more = np.full((len(rows), wide), len(self.vectors), np.int32)
             more_d = np.full(more.shape, np.inf, dist.dtype)
-            more[row_of[r], place], more_d[row_of[r], place] = new[c], d[r, c]
+            more.ravel()[place], more_d.ravel()[place] = new[near - r * len(new)], d.ravel()[near]
             keep_d, keep = np.hstack([dist[rows], more_d]), np.hstack([beam[rows], more])
         best = np.argpartition(keep_d, width - 1, axis=1)[:, :width]
         beam[rows], dist[rows] = np.take_along_axis(keep, best, 1), np.take_along_axis(keep_d, best, 1)
